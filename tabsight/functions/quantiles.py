@@ -121,10 +121,9 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
     spark = long_df.sparkSession
     vals = (long_df.select(F.col(name_col).alias("k"), F.col(value_col).cast("double").alias("v"))
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    x = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
     base = (long_df.groupBy(F.col(name_col).alias("k"))
-            .agg(F.count(F.when(~F.isnan(F.col(value_col).cast("double")), 1)).alias("n"),
-                 F.min(F.nanvl(F.col(value_col).cast("double"), F.lit(None))).alias("lo"),
-                 F.max(F.nanvl(F.col(value_col).cast("double"), F.lit(None))).alias("hi"))
+            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
             .collect())
     brackets, plan = [], []
     for i, row in enumerate(base):

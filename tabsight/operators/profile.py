@@ -43,17 +43,6 @@ def _long_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(arr)).toDF("column_name", "value")
 
 
-def _stack(one_row: DataFrame, columns: list[str], fields: dict) -> DataFrame:
-    """Turn the single-row wide aggregate into one row per column.
-
-    ``fields`` maps an output field to a function ``name -> alias`` of the wide
-    aggregate column that holds it."""
-    structs = [F.struct(F.lit(c).alias("column_name"),
-                        *[F.col(fn(i)).alias(k) for k, fn in fields.items()])
-               for i, c in enumerate(columns)]
-    return one_row.select(F.inline(F.array(*structs)))
-
-
 def table_shape(df: DataFrame) -> DataFrame:
     """``(n_rows, n_columns)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")) \
@@ -183,13 +172,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Share of each value among the non-null rows (A12).  The window runs
-    over the grouped result (one row per distinct value), not the raw rows."""
+    """Share of each value among the non-null rows."""
     vc = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    total = vc.agg(F.sum("count").alias("__t"))
-    return vc.crossJoin(F.broadcast(total)) \
-        .select("value", "count", (F.col("count") / F.col("__t")).alias("share")) \
+    total = df.agg(F.count(col(column))).first()[0]
+    return vc.select("value", "count", F.try_divide(F.col("count"), F.lit(total).cast("double")).alias("share")) \
         .orderBy(F.desc("count"), "value")
 
 

@@ -108,3 +108,98 @@ def skewness(spark, d):
 @query
 def preview(spark, d):
     return P.preview(T(spark, d, "customer"), "c_custkey", 10)
+
+
+# ---- stage 2: distributions, outliers, correlation, tests --------------------
+from tabsight.operators import distribution as D  # noqa: E402
+from tabsight.operators import stats as S  # noqa: E402
+
+EV_COLS = ["event_id", "user_id", "event_type", "value"]
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_netprice"]
+EMB_COLS = [f"e{i}" for i in range(8)]
+
+
+@query
+def histogram(spark, d):
+    return D.histogram(X.events_nulls(spark, d), "value", 30)
+
+
+@query
+def outliers_iqr(spark, d):
+    return D.outliers_iqr(T(spark, d, "events").select(*EV_COLS), "value")
+
+
+@query
+def outliers_zscore(spark, d):
+    return D.outliers_zscore(T(spark, d, "events").select(*EV_COLS), "value")
+
+
+@query
+def outliers_mad(spark, d):
+    return D.outliers_mad(T(spark, d, "events").select(*EV_COLS), "value")
+
+
+@query
+def outlier_counts(spark, d):
+    return D.outlier_counts(T(spark, d, "events"), "value")
+
+
+@query
+def outlier_total(spark, d):
+    return D.outlier_total(X.events_nulls(spark, d))
+
+
+@query
+def box_stats(spark, d):
+    return D.box_stats(T(spark, d, "events"), "value")
+
+
+@query
+def outliers_cap_iqr(spark, d):
+    return D.outliers_cap_iqr(X.events_nulls(spark, d).select("event_id", "value"), ["value"])
+
+
+@query
+def outliers_remove_iqr(spark, d):
+    return D.outliers_remove_iqr(T(spark, d, "events").select(*EV_COLS), ["value", "user_id"])
+
+
+@query
+def correlation_matrix(spark, d):
+    return S.correlation_matrix(X.lineitem_targets(spark, d), CORR_COLS).select("col_x", "col_y", "corr")
+
+
+@query
+def top_correlations(spark, d):
+    return S.top_correlations(X.lineitem_targets(spark, d), CORR_COLS, 3)
+
+
+@query
+def high_corr_pairs(spark, d):
+    return S.high_corr_pairs(X.lineitem_targets(spark, d), CORR_COLS)
+
+
+@query
+def ttest_pooled(spark, d):
+    return S.ttest_pooled(T(spark, d, "lineitem"), "l_discount", "l_tax")
+
+
+@query
+def ttest_pvalue(spark, d):
+    return S.ttest_pvalue(T(spark, d, "lineitem"), "l_discount", "l_tax")
+
+
+@query
+def f_classif(spark, d):
+    return S.f_classif(X.embeddings_wide(spark, d), EMB_COLS, "label")
+
+
+@query
+def f_regression(spark, d):
+    return S.f_regression(X.lineitem_targets(spark, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                          "target_reg")
+
+
+@query
+def select_k_best(spark, d):
+    return S.select_k_best(X.embeddings_wide(spark, d), EMB_COLS, "label", 5)

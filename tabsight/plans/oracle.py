@@ -163,3 +163,92 @@ SQL["skewness"] = _union([
 SQL["preview"] = f"""
 SELECT c_custkey, c_name, c_nationkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment
 FROM customer ORDER BY c_custkey LIMIT 10"""
+
+
+# ---- stage 2: distributions, outliers, correlation, tests --------------------
+SQL["histogram"] = "WITH " + EVENTS_NULLS + f""",
+r AS (SELECT min(value) AS lo, max(value) AS hi FROM events_n),
+c AS (SELECT least(coalesce(floor((value - lo) / nullif(hi - lo, 0) * 30) + 1, 1), 30)::INTEGER AS bin,
+             count(*) AS count
+      FROM events_n, r WHERE value IS NOT NULL GROUP BY 1)
+SELECT g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower,
+       {R('lo + g.i * (hi - lo) / 30')} AS upper, coalesce(c.count, 0) AS count
+FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i ORDER BY bin"""
+
+_EV = f"event_id, user_id, event_type, {R('value')} AS value"
+_IQR = """q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)"""
+SQL["outliers_iqr"] = f"""WITH {_IQR}
+SELECT {_EV} FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""
+SQL["outliers_zscore"] = f"""WITH s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events)
+SELECT {_EV} FROM events, s WHERE abs(value - mu) / sd > 3"""
+_MAD = """m AS (SELECT median(value) AS med FROM events),
+d AS (SELECT median(abs(value - med)) AS mad FROM events, m)"""
+SQL["outliers_mad"] = f"""WITH {_MAD}
+SELECT {_EV} FROM events, m, d WHERE abs(0.6745 * (value - med) / mad) > 3.5"""
+SQL["outlier_counts"] = f"""WITH {_IQR}, s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events), {_MAD}
+SELECT 'IQR' AS method, count(*) AS n_outliers FROM events, q
+  WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
+UNION ALL SELECT 'Z-Score', count(*) FROM events, s WHERE abs(value - mu) / sd > 3
+UNION ALL SELECT 'Modified Z-Score', count(*) FROM events, m, d WHERE abs(0.6745 * (value - med) / mad) > 3.5"""
+SQL["outlier_total"] = "WITH " + EVENTS_NULLS + "\n" + _union([f"""
+SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM events_n, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events_n)"""
+    for c in ("event_id", "user_id", "value")])
+SQL["box_stats"] = f"""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, median(value) AS med,
+                 quantile_cont(value, 0.75) AS q3 FROM events),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT {R('q1')} AS q1, {R('med')} AS median, {R('q3')} AS q3, {R('lf')} AS lower_fence, {R('uf')} AS upper_fence,
+       {R('min(value) FILTER (WHERE value BETWEEN lf AND uf)')} AS lower_whisker,
+       {R('max(value) FILTER (WHERE value BETWEEN lf AND uf)')} AS upper_whisker,
+       count(*) FILTER (WHERE value < lf OR value > uf) AS n_outliers
+FROM events, f GROUP BY q1, med, q3, lf, uf"""
+SQL["outliers_cap_iqr"] = "WITH " + EVENTS_NULLS + f""",
+q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events_n)
+SELECT event_id, {R('CASE WHEN value IS NULL THEN NULL WHEN value < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1) WHEN value > q3 + 1.5 * (q3 - q1) THEN q3 + 1.5 * (q3 - q1) ELSE value END')} AS value
+FROM events_n, q"""
+SQL["outliers_remove_iqr"] = f"""WITH q1 AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events),
+s1 AS (SELECT events.* FROM events, q1 WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)),
+q2 AS (SELECT quantile_cont(user_id, 0.25) AS a, quantile_cont(user_id, 0.75) AS b FROM s1),
+s2 AS (SELECT s1.* FROM s1, q2 WHERE user_id BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))
+SELECT {_EV} FROM s2"""
+
+_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_netprice"]
+
+
+def _corr_long(pred: str = "TRUE") -> str:
+    parts = []
+    for i, a in enumerate(_CORR):
+        for j, b in enumerate(_CORR):
+            parts.append(f"SELECT '{a}' AS col_x, '{b}' AS col_y, {i} AS i, {j} AS j, "
+                         f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END AS corr FROM lineitem_t")
+    return "WITH " + LINEITEM_T + ", cm AS (" + _union(parts) + ")\n"
+
+
+SQL["correlation_matrix"] = _corr_long() + f"SELECT col_x, col_y, {R('corr')} AS corr FROM cm"
+SQL["top_correlations"] = _corr_long() + f"""SELECT col_x, col_y, {R('corr')} AS corr FROM cm
+WHERE i < j AND corr IS NOT NULL ORDER BY cm.corr DESC, i, j LIMIT 3"""
+SQL["high_corr_pairs"] = _corr_long() + f"""SELECT col_x, col_y, {R('corr')} AS corr FROM cm
+WHERE i < j AND abs(cm.corr) > 0.8 ORDER BY i, j"""
+
+SQL["ttest_pooled"] = f"""WITH s AS (SELECT count(l_discount) AS na, count(l_tax) AS nb, avg(l_discount) AS ma,
+       avg(l_tax) AS mb, var_samp(l_discount) AS va, var_samp(l_tax) AS vb FROM lineitem)
+SELECT 'l_discount' AS col_a, 'l_tax' AS col_b, na AS n_a, nb AS n_b, {R('ma')} AS mean_a, {R('mb')} AS mean_b,
+       {R('(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb))')} AS t_stat,
+       (na + nb - 2)::BIGINT AS dof
+FROM s"""
+
+_EMB = [f"e{i}" for i in range(8)]
+SQL["f_classif"] = "WITH " + EMB + "\n" + _union([f"""
+SELECT '{c}' AS feature, {R(f'(sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))')} AS f_score
+FROM (SELECT label, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM emb GROUP BY label) g,
+     (SELECT avg({c}) AS gm FROM emb) t""" for c in _EMB])
+
+SQL["f_regression"] = "WITH " + LINEITEM_T + "\n" + _union([f"""
+SELECT '{c}' AS feature, {R(f'corr({c}, target_reg) ^ 2 / (1 - corr({c}, target_reg) ^ 2) * (count(*) - 2)')} AS f_score
+FROM lineitem_t""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+
+SQL["select_k_best"] = "WITH " + EMB + ", fs AS (" + _union([f"""
+SELECT '{c}' AS feature, (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f_score
+FROM (SELECT label, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM emb GROUP BY label) g,
+     (SELECT avg({c}) AS gm FROM emb) t""" for c in _EMB]) + f""")
+SELECT feature, {R('f_score')} AS f_score FROM fs ORDER BY fs.f_score DESC, feature LIMIT 5"""
