@@ -203,3 +203,19 @@ def f_regression(spark, d):
 @query
 def select_k_best(spark, d):
     return S.select_k_best(X.embeddings_wide(spark, d), EMB_COLS, "label", 5)
+
+
+# ---- stage 3: rule reports ---------------------------------------------------
+from tabsight.operators import rules as RU  # noqa: E402
+
+
+@query
+def insights(spark, d):
+    return RU.insights(X.events_nulls(spark, d)).select("rule_id", "rule", "column_name", "value")
+
+
+@query
+def suggestions(spark, d):
+    lab = T(spark, d, "labels")
+    return RU.suggestions(lab.select("doc_id", "quality", F.col("toxic").cast("string").alias("toxic"))) \
+        .select("rule_id", "rule", "column_name", "value")

@@ -252,3 +252,40 @@ SELECT '{c}' AS feature, (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(
 FROM (SELECT label, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM emb GROUP BY label) g,
      (SELECT avg({c}) AS gm FROM emb) t""" for c in _EMB]) + f""")
 SELECT feature, {R('f_score')} AS f_score FROM fs ORDER BY fs.f_score DESC, feature LIMIT 5"""
+
+
+# ---- stage 3: rule reports ---------------------------------------------------
+_NUM_E = ["event_id", "user_id", "value"]
+_TXT_E = ["event_type", "props"]
+_PAIRS = [(i, j) for i in range(3) for j in range(3) if i < j]
+SQL["insights"] = "WITH " + EVENTS_NULLS + f""",
+nl AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in EVENTS_ALL)} AS miss FROM events_n),
+sk AS ({_union([f"SELECT '{c}' AS c, skewness({c}) AS s FROM events_n" for c in _NUM_E])}),
+cm AS ({_union([f"SELECT '{_NUM_E[i]}' AS a, '{_NUM_E[j]}' AS b, {i} AS i, {j} AS j, corr({_NUM_E[i]}, {_NUM_E[j]}) AS r FROM events_n" for i, j in _PAIRS])}),
+nd AS ({_union([f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d, sum(strlen({c})) AS bytes FROM events_n" for c in _TXT_E])}),
+ot AS (SELECT {' + '.join(f'''(SELECT count(*) FROM events_n, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events_n) WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))''' for c in _NUM_E)} AS total)
+SELECT 1 AS rule_id, 'missing_values' AS rule, NULL::VARCHAR AS column_name, miss::DOUBLE AS value FROM nl WHERE miss > 0
+UNION ALL SELECT 2, 'skewed', c, {R('s')} FROM sk WHERE abs(s) > 1
+UNION ALL SELECT * FROM (SELECT 3, 'top_correlation', a || ',' || b, {R('r')} FROM cm WHERE r IS NOT NULL ORDER BY r DESC, i, j LIMIT 3)
+UNION ALL SELECT 8, 'high_corr_pairs', NULL, count(*)::DOUBLE FROM cm WHERE abs(r) > 0.8 HAVING count(*) > 0
+UNION ALL SELECT 4, 'few_categories', c, d::DOUBLE FROM nd WHERE d < 5
+UNION ALL SELECT 7, 'high_cardinality', c, d::DOUBLE FROM nd, nl WHERE d > n * 0.8
+UNION ALL SELECT 9, 'heavy_text', c, bytes::DOUBLE FROM nd WHERE bytes > 1000000
+UNION ALL SELECT 5, 'high_missing', NULL, {R('miss * 100.0 / (n * 6)')} FROM nl WHERE miss * 100.0 / (n * 6) > 10
+UNION ALL SELECT 5, 'no_missing', NULL, 0.0 FROM nl WHERE miss = 0
+UNION ALL SELECT 6, 'outliers', NULL, total::DOUBLE FROM ot WHERE total > 0
+UNION ALL SELECT 10, 'small_dataset', NULL, n::DOUBLE FROM nl WHERE n < 100
+UNION ALL SELECT 10, 'large_dataset', NULL, n::DOUBLE FROM nl WHERE n > 100000"""
+
+SQL["suggestions"] = f"""WITH lt AS (SELECT doc_id, quality, CAST(toxic AS VARCHAR) AS toxic FROM labels),
+m AS (SELECT (count(*) - count(doc_id)) + (count(*) - count(quality)) + (count(*) - count(toxic)) AS miss FROM lt),
+du AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lt)) AS dups FROM lt),
+sh AS (SELECT count(DISTINCT toxic) AS d,
+              (SELECT count(*) FROM lt WHERE toxic = (SELECT toxic FROM lt GROUP BY toxic ORDER BY count(*) DESC, toxic LIMIT 1)) * 1.0 / count(toxic) AS top
+       FROM lt)
+SELECT 1 AS rule_id, 'handle_missing' AS rule, NULL::VARCHAR AS column_name, miss::DOUBLE AS value FROM m WHERE miss > 0
+UNION ALL SELECT 2, 'encode_categorical', NULL, 1.0
+UNION ALL SELECT 3, 'remove_duplicates', NULL, dups::DOUBLE FROM du WHERE dups > 0
+UNION ALL SELECT 4, 'scale_features', NULL, 2.0
+UNION ALL SELECT 5, 'check_outliers', NULL, 2.0
+UNION ALL SELECT 6, 'imbalanced', 'toxic', {R('top')} FROM sh WHERE d = 2 AND top > 0.8"""
