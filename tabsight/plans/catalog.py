@@ -219,3 +219,85 @@ def suggestions(spark, d):
     lab = T(spark, d, "labels")
     return RU.suggestions(lab.select("doc_id", "quality", F.col("toxic").cast("string").alias("toxic"))) \
         .select("rule_id", "rule", "column_name", "value")
+
+
+# ---- stage 4: preprocessing --------------------------------------------------
+from tabsight.operators import prepare as PR  # noqa: E402
+
+LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query
+def impute_mean(spark, d):
+    return PR.impute_mean(X.events_nulls(spark, d).select("event_id", "value"), ["value"])
+
+
+@query
+def impute_median(spark, d):
+    return PR.impute_median(X.events_nulls(spark, d).select("event_id", "value"), ["value"])
+
+
+@query
+def impute_mode(spark, d):
+    return PR.impute_mode(X.events_nulls(spark, d).select("event_id", "event_type", "value"),
+                          ["event_type", "value"])
+
+
+@query
+def impute_constant(spark, d):
+    return PR.impute_constant(X.events_nulls(spark, d).select("event_id", "event_type", "value"),
+                              ["event_type", "value"], "0")
+
+
+@query
+def label_encode(spark, d):
+    return PR.label_encode(T(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"),
+                           ["c_name", "c_mktsegment"])
+
+
+@query
+def standard_scale(spark, d):
+    return PR.standard_scale(T(spark, d, "lineitem").select(*LI_KEY, "l_quantity", "l_extendedprice"),
+                             ["l_quantity", "l_extendedprice"])
+
+
+@query
+def minmax_scale(spark, d):
+    return PR.minmax_scale(T(spark, d, "lineitem").select(*LI_KEY, "l_quantity", "l_extendedprice"),
+                           ["l_quantity", "l_extendedprice"])
+
+
+@query
+def preprocess(spark, d):
+    return PR.preprocess(X.events_nulls(spark, d).select("event_id", "user_id", "value"), ["user_id", "value"],
+                         missing="median", scaling="standard", outliers="cap")
+
+
+@query
+def prepare(spark, d):
+    return PR.prepare(X.events_nulls(spark, d), "event_type", ["user_id", "value", "props"], keep=["event_id"])
+
+
+@query
+def split(spark, d):
+    return PR.split(T(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 0.2)
+
+
+@query
+def stratified_split(spark, d):
+    return PR.stratified_split(X.lineitem_targets(spark, d).select(*LI_KEY, "target_cls"), LI_KEY,
+                               "target_cls", 0.2)
+
+
+@query
+def target_type(spark, d):
+    li = X.lineitem_targets(spark, d)
+    return PR.target_type(li, "target_bin").unionByName(PR.target_type(li, "target_reg")) \
+        .unionByName(PR.target_type(li, "target_cls"))
+
+
+@query
+def problem_type(spark, d):
+    li = X.lineitem_targets(spark, d)
+    return PR.problem_type(li, "target_bin").unionByName(PR.problem_type(li, "target_reg")) \
+        .unionByName(PR.problem_type(li, "target_cls"))

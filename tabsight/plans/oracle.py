@@ -289,3 +289,83 @@ UNION ALL SELECT 3, 'remove_duplicates', NULL, dups::DOUBLE FROM du WHERE dups >
 UNION ALL SELECT 4, 'scale_features', NULL, 2.0
 UNION ALL SELECT 5, 'check_outliers', NULL, 2.0
 UNION ALL SELECT 6, 'imbalanced', 'toxic', {R('top')} FROM sh WHERE d = 2 AND top > 0.8"""
+
+
+# ---- stage 4: preprocessing --------------------------------------------------
+SQL["impute_mean"] = "WITH " + EVENTS_NULLS + f"""
+SELECT event_id, {R('coalesce(value, (SELECT avg(value) FROM events_n))')} AS value FROM events_n"""
+SQL["impute_median"] = "WITH " + EVENTS_NULLS + f"""
+SELECT event_id, {R('coalesce(value, (SELECT median(value) FROM events_n))')} AS value FROM events_n"""
+SQL["impute_mode"] = "WITH " + EVENTS_NULLS + f"""
+SELECT event_id,
+  coalesce(event_type, (SELECT event_type FROM events_n WHERE event_type IS NOT NULL GROUP BY event_type
+                        ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type,
+  {R('coalesce(value, (SELECT value FROM events_n WHERE value IS NOT NULL GROUP BY value ORDER BY count(*) DESC, value LIMIT 1))')} AS value
+FROM events_n"""
+SQL["impute_constant"] = "WITH " + EVENTS_NULLS + f"""
+SELECT event_id, coalesce(event_type, '0') AS event_type, {R('coalesce(value, 0.0)')} AS value FROM events_n"""
+SQL["label_encode"] = """
+SELECT c_custkey,
+       (dense_rank() OVER (ORDER BY c_name) - 1)::BIGINT AS c_name,
+       (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::BIGINT AS c_mktsegment
+FROM customer"""
+SQL["standard_scale"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {R('(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()')} AS l_quantity,
+       {R('(l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER ()')} AS l_extendedprice
+FROM lineitem"""
+SQL["minmax_scale"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {R('(l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ())')} AS l_quantity,
+       {R('(l_extendedprice - min(l_extendedprice) OVER ()) / (max(l_extendedprice) OVER () - min(l_extendedprice) OVER ())')} AS l_extendedprice
+FROM lineitem"""
+SQL["preprocess"] = "WITH " + EVENTS_NULLS + """,
+imp AS (SELECT event_id, coalesce(user_id::DOUBLE, (SELECT median(user_id) FROM events_n)) AS user_id,
+               coalesce(value, (SELECT median(value) FROM events_n)) AS value FROM events_n),
+sc AS (SELECT event_id, (user_id - avg(user_id) OVER ()) / stddev_pop(user_id) OVER () AS user_id,
+              (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS value FROM imp),
+q AS (SELECT quantile_cont(user_id, 0.25) AS u1, quantile_cont(user_id, 0.75) AS u3,
+             quantile_cont(value, 0.25) AS v1, quantile_cont(value, 0.75) AS v3 FROM sc)
+""" + f"""SELECT event_id,
+       {R('least(greatest(user_id, u1 - 1.5 * (u3 - u1)), u3 + 1.5 * (u3 - u1))')} AS user_id,
+       {R('least(greatest(value, v1 - 1.5 * (v3 - v1)), v3 + 1.5 * (v3 - v1))')} AS value
+FROM sc, q"""
+SQL["prepare"] = "WITH " + EVENTS_NULLS + """,
+d AS (SELECT event_id, user_id, value, props, event_type FROM events_n WHERE event_type IS NOT NULL),
+f AS (SELECT event_id, user_id::DOUBLE AS user_id,
+             coalesce(value, (SELECT median(value) FROM d)) AS value,
+             coalesce(props, (SELECT props FROM d WHERE props IS NOT NULL GROUP BY props ORDER BY count(*) DESC, props LIMIT 1)) AS props,
+             event_type FROM d)
+""" + f"""SELECT event_id, {R('user_id')} AS user_id, {R('value')} AS value,
+       (dense_rank() OVER (ORDER BY props) - 1)::BIGINT AS props,
+       (dense_rank() OVER (ORDER BY event_type) - 1)::BIGINT AS event_type
+FROM f"""
+SQL["split"] = """
+SELECT o_orderkey, o_custkey,
+       ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7))::BIGINT % 100 < 20 AS is_test
+FROM orders"""
+SQL["stratified_split"] = "WITH " + LINEITEM_T + """,
+h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target_cls,
+             concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem_t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target_cls,
+       row_number() OVER (PARTITION BY target_cls ORDER BY ('0x' || substr(md5(k), 1, 7))::BIGINT, k)
+         <= ceil(0.2 * count(*) OVER (PARTITION BY target_cls)) AS is_test
+FROM h"""
+SQL["target_type"] = "WITH " + LINEITEM_T + """
+SELECT 'target_bin' AS target, CASE WHEN count(DISTINCT target_bin) = 2 THEN 'binary' ELSE 'multiclass' END AS target_type,
+       count(DISTINCT target_bin) AS n_distinct FROM lineitem_t
+UNION ALL
+SELECT 'target_reg', CASE WHEN bool_or(target_reg <> floor(target_reg)) THEN 'continuous'
+                          WHEN count(DISTINCT target_reg) = 2 THEN 'binary' ELSE 'multiclass' END,
+       count(DISTINCT target_reg) FROM lineitem_t
+UNION ALL
+SELECT 'target_cls', CASE WHEN count(DISTINCT target_cls) = 2 THEN 'binary' ELSE 'multiclass' END,
+       count(DISTINCT target_cls) FROM lineitem_t"""
+SQL["problem_type"] = "WITH " + LINEITEM_T + """
+SELECT 'target_bin' AS target, CASE WHEN count(DISTINCT target_bin) < 10 THEN 'Classification' ELSE 'Regression' END AS problem_type,
+       count(DISTINCT target_bin) AS n_distinct FROM lineitem_t
+UNION ALL
+SELECT 'target_reg', CASE WHEN count(DISTINCT target_reg) < 10 THEN 'Classification' ELSE 'Regression' END,
+       count(DISTINCT target_reg) FROM lineitem_t
+UNION ALL
+SELECT 'target_cls', 'Classification', count(DISTINCT target_cls) FROM lineitem_t"""
