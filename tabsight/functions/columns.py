@@ -84,7 +84,8 @@ def sig_round(c: Column, digits: int = 6) -> Column:
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
     up = F.round(x * F.pow(F.lit(10.0), k)) / F.pow(F.lit(10.0), k)
     down = F.round(x / F.pow(F.lit(10.0), -k)) * F.pow(F.lit(10.0), -k)
-    return (F.when(x.isNull(), None).when(F.isnan(x), x).when(F.abs(x) < 1e-9, F.lit(0.0))
+    return (F.when(x.isNull(), None).when(F.isnan(x) | (F.abs(x) == float("inf")), x)
+            .when(F.abs(x) < 1e-9, F.lit(0.0))
             .when(k >= 0, up + F.lit(0.0)).otherwise(down + F.lit(0.0)))
 
 

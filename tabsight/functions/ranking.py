@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from tabsight.session import checkpoint_dir
 
 
-def running_sum(df: DataFrame, group: str | None, order: list[str], value: str, out: str,
+def running_sum(df: DataFrame, group: str | None, order: list[str], value, out,
                 partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``group`` that
-    come before or at this row in ``order`` (which must be a total order)."""
+    come before or at this row in ``order`` (which must be a total order).
+    ``value``/``out`` may be lists to accumulate several columns at once."""
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -27,18 +30,24 @@ def running_sum(df: DataFrame, group: str | None, order: list[str], value: str,
     pinned = base.repartitionByRange(n, "__g", *order).checkpoint(eager=True) \
         .withColumn("__pid", F.spark_partition_id())
     w = Window.partitionBy("__pid", "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = pinned.withColumn("__local", F.sum(value).over(w))
-    totals = pinned.groupBy("__pid", "__g").agg(F.sum(value).alias("__t")).collect()
+    local = pinned
+    for i, v in enumerate(values):
+        local = local.withColumn(f"__local{i}", F.sum(v).over(w))
+    totals = pinned.groupBy("__pid", "__g").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)]).collect()
     acc: dict = {}
     offsets = []
     for r in sorted(totals, key=lambda r: (r["__g"], r["__pid"])):
-        offsets.append((r["__pid"], r["__g"], acc.get(r["__g"], 0)))
-        acc[r["__g"]] = acc.get(r["__g"], 0) + (r["__t"] or 0)
-    vtype = "double" if df.schema[value].dataType.typeName() in ("double", "float") else "bigint"
-    off = spark.createDataFrame(offsets, f"__pid int, __g string, __off {vtype}")
-    res = local.join(F.broadcast(off), ["__pid", "__g"]) \
-        .withColumn(out, F.col("__local") + F.col("__off"))
-    return res.drop("__pid", "__g", "__local", "__off")
+        prev = acc.get(r["__g"], [0] * len(values))
+        offsets.append((r["__pid"], r["__g"], *prev))
+        acc[r["__g"]] = [p + (r[f"__t{i}"] or 0) for i, p in enumerate(prev)]
+    types = ["double" if df.schema[v].dataType.typeName() in ("double", "float") else "bigint" for v in values]
+    off = spark.createDataFrame(offsets, "__pid int, __g string, " +
+                                ", ".join(f"__off{i} {t}" for i, t in enumerate(types)))
+    res = local.join(F.broadcast(off), ["__pid", "__g"])
+    for i, o in enumerate(outs):
+        res = res.withColumn(o, F.col(f"__local{i}") + F.col(f"__off{i}"))
+    drop = ["__pid", "__g"] + [f"__local{i}" for i in range(len(values))] + [f"__off{i}" for i in range(len(values))]
+    return res.drop(*drop)
 
 
 def dense_codes(values: DataFrame, group: str, value: str, out: str = "code") -> DataFrame:

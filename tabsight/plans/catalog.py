@@ -301,3 +301,57 @@ def problem_type(spark, d):
     li = X.lineitem_targets(spark, d)
     return PR.problem_type(li, "target_bin").unionByName(PR.problem_type(li, "target_reg")) \
         .unionByName(PR.problem_type(li, "target_cls"))
+
+
+# ---- stage 5: evaluation -----------------------------------------------------
+from tabsight.operators import evaluate as EV  # noqa: E402
+
+
+@query
+def metric_accuracy(spark, d):
+    return EV.metric_accuracy(X.prediction_table(spark, d))
+
+
+@query
+def metric_weighted_prf(spark, d):
+    return EV.metric_weighted_prf(X.class_predictions(spark, d))
+
+
+@query
+def confusion_matrix(spark, d):
+    return EV.confusion_matrix(X.class_predictions(spark, d))
+
+
+@query
+def classification_report(spark, d):
+    return EV.classification_report(X.class_predictions(spark, d))
+
+
+@query
+def roc_curve(spark, d):
+    return EV.roc_curve(X.prediction_table(spark, d))
+
+
+@query
+def roc_auc(spark, d):
+    return EV.roc_auc(X.prediction_table(spark, d))
+
+
+@query
+def pr_curve(spark, d):
+    return EV.pr_curve(X.prediction_table(spark, d))
+
+
+@query
+def regression_metrics(spark, d):
+    return EV.regression_metrics(X.regression_predictions(spark, d))
+
+
+@query
+def residuals(spark, d):
+    return EV.residuals(X.regression_predictions(spark, d), LI_KEY)
+
+
+@query
+def residual_histogram(spark, d):
+    return EV.residual_histogram(X.regression_predictions(spark, d))

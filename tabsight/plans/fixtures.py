@@ -57,3 +57,22 @@ def embeddings_wide(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
     ring = F.when(F.col("embedding")[0] * F.col("embedding")[0]
                   + F.col("embedding")[1] * F.col("embedding")[1] > 0.022, 1).otherwise(0)
     return e.select("vec_id", *cols, "label", ring.alias("ring"))
+
+
+def class_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A deterministic 3-class prediction table: actual = planted 3-class
+    target, predicted = the same rule on l_quantity + l_suppkey % 5 - 2."""
+    li = lineitem_targets(spark, d)
+    q2 = F.col("l_quantity") + (F.col("l_suppkey") % 5) - 2
+    pred = F.when(q2 < 15, "low").when(q2 < 35, "mid").otherwise("high")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     F.col("target_cls").alias("label"), pred.alias("prediction"))
+
+
+def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A deterministic regression prediction table: actual = planted
+    regression target, predicted = 3 * l_quantity - 1."""
+    li = lineitem_targets(spark, d)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     F.col("target_reg").alias("label"),
+                     (3 * F.col("l_quantity") - 1).cast("double").alias("prediction"))

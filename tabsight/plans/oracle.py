@@ -10,7 +10,7 @@ from __future__ import annotations
 
 def R(x: str, digits: int = 6) -> str:
     k = f"({digits - 1} - floor(log10(abs(({x})::DOUBLE))))"
-    return (f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN isnan(({x})::DOUBLE) THEN ({x})::DOUBLE "
+    return (f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN isnan(({x})::DOUBLE) OR isinf(({x})::DOUBLE) THEN ({x})::DOUBLE "
             f"WHEN abs(({x})::DOUBLE) < 1e-9 THEN 0.0::DOUBLE "
             f"WHEN {k} >= 0 THEN round(({x})::DOUBLE * pow(10.0, {k})) / pow(10.0, {k}) + 0.0 "
             f"ELSE round(({x})::DOUBLE / pow(10.0, -{k})) * pow(10.0, -{k}) + 0.0 END)")
@@ -369,3 +369,70 @@ SELECT 'target_reg', CASE WHEN count(DISTINCT target_reg) < 10 THEN 'Classificat
        count(DISTINCT target_reg) FROM lineitem_t
 UNION ALL
 SELECT 'target_cls', 'Classification', count(DISTINCT target_cls) FROM lineitem_t"""
+
+
+# ---- stage 5: evaluation -----------------------------------------------------
+CLS_PRED = LINEITEM_T + """, cp AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target_cls AS label,
+         CASE WHEN l_quantity + (l_suppkey % 5) - 2 < 15 THEN 'low'
+              WHEN l_quantity + (l_suppkey % 5) - 2 < 35 THEN 'mid' ELSE 'high' END AS prediction
+  FROM lineitem_t)"""
+REG_PRED = LINEITEM_T + """, rp AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target_reg AS label,
+         (3 * l_quantity - 1)::DOUBLE AS prediction FROM lineitem_t)"""
+PER_CLASS = """, cls AS (SELECT label AS c FROM cp UNION SELECT prediction FROM cp),
+pc AS (SELECT c,
+         (SELECT count(*) FROM cp WHERE label = c) AS support,
+         (SELECT count(*) FROM cp WHERE prediction = c) AS n_pred,
+         (SELECT count(*) FROM cp WHERE label = c AND prediction = c) AS tp
+       FROM cls),
+m AS (SELECT c, support, tp,
+        coalesce(tp * 1.0 / nullif(n_pred, 0), 0) AS p, coalesce(tp * 1.0 / nullif(support, 0), 0) AS r
+      FROM pc),
+m2 AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM m)"""
+
+SQL["metric_accuracy"] = "WITH " + PRED + f"""
+SELECT {R('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM pred"""
+SQL["metric_weighted_prf"] = "WITH " + CLS_PRED + PER_CLASS + f"""
+SELECT {R('sum(p * support) / sum(support)')} AS precision, {R('sum(r * support) / sum(support)')} AS recall,
+       {R('sum(f * support) / sum(support)')} AS f1 FROM m2"""
+SQL["confusion_matrix"] = "WITH " + CLS_PRED + """, cls AS (SELECT label AS c FROM cp UNION SELECT prediction FROM cp)
+SELECT a.c AS actual, b.c AS predicted,
+       (SELECT count(*) FROM cp WHERE label = a.c AND prediction = b.c) AS count
+FROM cls a, cls b"""
+SQL["classification_report"] = "WITH " + CLS_PRED + PER_CLASS + f"""
+SELECT c AS class, {R('p')} AS precision, {R('r')} AS recall, {R('f')} AS f1, support FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, {R('sum(tp) * 1.0 / sum(support)')}, sum(support)::BIGINT FROM m2
+UNION ALL SELECT 'macro avg', {R('avg(p)')}, {R('avg(r)')}, {R('avg(f)')}, sum(support)::BIGINT FROM m2
+UNION ALL SELECT 'weighted avg', {R('sum(p * support) / sum(support)')}, {R('sum(r * support) / sum(support)')},
+          {R('sum(f * support) / sum(support)')}, sum(support)::BIGINT FROM m2"""
+_ROC = "WITH " + PRED + """,
+tot AS (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS N FROM pred),
+th AS (SELECT DISTINCT score AS t FROM pred),
+pts AS (SELECT t,
+          (SELECT count(*) FROM pred WHERE score >= t AND label = 1) AS tp,
+          (SELECT count(*) FROM pred WHERE score >= t AND label <> 1) AS fp,
+          (SELECT count(*) FROM pred WHERE score = t AND label = 1) AS pos,
+          (SELECT count(*) FROM pred WHERE score = t AND label <> 1) AS neg
+        FROM th)
+"""
+SQL["roc_curve"] = _ROC + f"""SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT {R('t')}, {R('fp * 1.0 / N')}, {R('tp * 1.0 / P')} FROM pts, tot"""
+SQL["roc_auc"] = _ROC + f"""SELECT {R('sum(neg * ((tp - pos) + pos / 2.0)) / (max(P) * max(N))')} AS auc FROM pts, tot"""
+SQL["pr_curve"] = _ROC + f"""SELECT {R('t')} AS threshold, {R('tp * 1.0 / (tp + fp)')} AS precision, {R('tp * 1.0 / P')} AS recall FROM pts, tot
+UNION ALL SELECT NULL, 1.0, 0.0"""
+SQL["regression_metrics"] = "WITH " + REG_PRED + f"""
+SELECT {R('avg((label - prediction) ^ 2)')} AS mse, {R('sqrt(avg((label - prediction) ^ 2))')} AS rmse,
+       {R('avg(abs(label - prediction))')} AS mae,
+       {R('1 - sum((label - prediction) ^ 2) / (var_pop(label) * count(*))')} AS r2, count(*) AS n FROM rp"""
+SQL["residuals"] = "WITH " + REG_PRED + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {R('label')} AS actual, {R('prediction')} AS predicted,
+       {R('label - prediction')} AS residual FROM rp"""
+SQL["residual_histogram"] = "WITH " + REG_PRED + f""",
+e AS (SELECT label - prediction AS x FROM rp),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM e),
+c AS (SELECT least(coalesce(floor((x - lo) / nullif(hi - lo, 0) * 30) + 1, 1), 30)::INTEGER AS bin, count(*) AS count
+      FROM e, r GROUP BY 1)
+SELECT g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower, {R('lo + g.i * (hi - lo) / 30')} AS upper,
+       coalesce(c.count, 0) AS count
+FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i"""
