@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.functions.columns import round_doubles
+from tabsight.functions.columns import round_doubles, sig_round
 from tabsight.operators import profile as P
 from tabsight.plans import fixtures as X
 from tabsight.sources.tables import load_table
@@ -355,3 +355,98 @@ def residuals(spark, d):
 @query
 def residual_histogram(spark, d):
     return EV.residual_histogram(X.regression_predictions(spark, d))
+
+
+# ---- stage 6: models ---------------------------------------------------------
+from tabsight.operators import models as M  # noqa: E402
+
+
+def _emb_split(spark, d):
+    e = PR.split(X.embeddings_wide(spark, d), ["vec_id"], 0.2)
+    return e.where(~F.col("is_test")).drop("is_test"), e.where(F.col("is_test")).drop("is_test")
+
+
+def _li_split(spark, d):
+    li = PR.split(X.lineitem_targets(spark, d).withColumn("l_key", PR.key_column(LI_KEY)), ["l_key"], 0.2)
+    return li.where(~F.col("is_test")).drop("is_test"), li.where(F.col("is_test")).drop("is_test")
+
+
+REG_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+@query
+def gaussian_nb(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.gaussian_nb(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+
+
+@query
+def knn_classify(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.knn(tr, EMB_COLS, "ring", "vec_id", True).transform(te).select(
+        "vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def knn_regress(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.knn(tr, EMB_COLS, "radius2", "vec_id", False).transform(te).select("vec_id", "prediction")
+
+
+@query
+def linear(spark, d):
+    m = M.linear(X.lineitem_targets(spark, d), ["l_quantity"], "target_reg")
+    st = m.stage
+    return spark.createDataFrame([("intercept", float(st.intercept)), ("l_quantity", float(st.coefficients[0]))],
+                                 "term string, value double")
+
+
+@query
+def pca_loadings(spark, d):
+    return M.pca_loadings(X.lineitem_targets(spark, d), ["l_extendedprice", "l_netprice"], 2)
+
+
+@query
+def pca_scores(spark, d):
+    # the two columns correlate at 0.998, so PC2 scores cancel about three
+    # digits; they are compared at 4 significant digits
+    s = M.pca_scores(X.lineitem_targets(spark, d), ["l_extendedprice", "l_netprice"], LI_KEY, 2)
+    return s.select(*LI_KEY, sig_round(F.col("PC1"), 4).alias("PC1"), sig_round(F.col("PC2"), 4).alias("PC2"))
+
+
+@query
+def logistic(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.logistic(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+
+
+@query
+def random_forest(spark, d):
+    tr, te = _emb_split(spark, d)
+    tr = M.fixed_layout(tr, ["vec_id"])
+    return M.random_forest(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+
+
+@query
+def decision_tree(spark, d):
+    tr, te = _li_split(spark, d)
+    return M.decision_tree(tr, REG_FEATURES, "target_reg", classification=False).transform(te) \
+        .select(*LI_KEY, "prediction")
+
+
+@query
+def gbt(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.gbt(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+
+
+@query
+def svm_rbf(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.svm_rbf(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+
+
+@query
+def svr_rbf(spark, d):
+    tr, te = _emb_split(spark, d)
+    return M.svr_rbf(tr, EMB_COLS, "radius2").transform(te).select("vec_id", "prediction")

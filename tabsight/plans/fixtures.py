@@ -56,7 +56,9 @@ def embeddings_wide(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
     cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]
     ring = F.when(F.col("embedding")[0] * F.col("embedding")[0]
                   + F.col("embedding")[1] * F.col("embedding")[1] > 0.022, 1).otherwise(0)
-    return e.select("vec_id", *cols, "label", ring.alias("ring"))
+    rad = F.col("embedding")[0].cast("double") * F.col("embedding")[0].cast("double") \
+        + F.col("embedding")[1].cast("double") * F.col("embedding")[1].cast("double")
+    return e.select("vec_id", *cols, "label", ring.alias("ring"), rad.alias("radius2"))
 
 
 def class_predictions(spark: SparkSession, d: str) -> DataFrame:

@@ -50,7 +50,8 @@ PRED = LINEITEM_T + """, pred AS (
 
 EMB = """emb AS (
   SELECT vec_id, {cols}, label,
-         CASE WHEN embedding[1] * embedding[1] + embedding[2] * embedding[2] > 0.022 THEN 1 ELSE 0 END AS ring
+         CASE WHEN embedding[1] * embedding[1] + embedding[2] * embedding[2] > 0.022 THEN 1 ELSE 0 END AS ring,
+         embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE AS radius2
   FROM embeddings)""".format(cols=", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)))
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -436,3 +437,57 @@ c AS (SELECT least(coalesce(floor((x - lo) / nullif(hi - lo, 0) * 30) + 1, 1), 3
 SELECT g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower, {R('lo + g.i * (hi - lo) / 30')} AS upper,
        coalesce(c.count, 0) AS count
 FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i"""
+
+
+# ---- stage 6: models ---------------------------------------------------------
+_E = [f"e{i}" for i in range(8)]
+EMB_SPLIT = EMB + """,
+s AS (SELECT *, ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 7))::BIGINT % 100 < 20 AS is_test FROM emb),
+tr AS (SELECT * FROM s WHERE NOT is_test),
+te AS (SELECT * FROM s WHERE is_test)"""
+
+SQL["gaussian_nb"] = "WITH " + EMB_SPLIT + f""",
+eps AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _E)}) AS eps FROM tr),
+cs AS (SELECT ring AS c, count(*) * 1.0 / (SELECT count(*) FROM tr) AS prior,
+              {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _E)} FROM tr GROUP BY ring),
+ll AS (SELECT te.vec_id, cs.c,
+              ln(prior) - 0.5 * ({' + '.join(f'ln(2 * pi() * (v_{c} + eps))' for c in _E)})
+              - ({' + '.join(f'(te.{c} - m_{c}) ^ 2 / (2 * (v_{c} + eps))' for c in _E)}) AS ll
+       FROM te, cs, eps)
+SELECT vec_id, c AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, c) AS r FROM ll) WHERE r = 1"""
+
+_KNN = "WITH " + EMB_SPLIT + f""",
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _E)} FROM tr),
+trs AS (SELECT vec_id AS tid, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _E)}, ring, radius2 FROM tr, st),
+tes AS (SELECT vec_id AS qid, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _E)} FROM te, st),
+dd AS (SELECT q.qid, t.tid, t.ring, t.radius2, {' + '.join(f'(q.{c} - t.{c}) ^ 2' for c in _E)} AS dist FROM tes q, trs t),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM dd) WHERE rn <= 5)
+"""
+SQL["knn_classify"] = _KNN + """, votes AS (SELECT qid, ring, count(*) AS n FROM nn GROUP BY qid, ring)
+SELECT qid AS vec_id, ring AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, ring) AS r FROM votes) WHERE r = 1"""
+SQL["knn_regress"] = _KNN + f"SELECT qid AS vec_id, {R('avg(radius2)')} AS prediction FROM nn GROUP BY qid"
+
+SQL["linear"] = "WITH " + LINEITEM_T + f"""
+SELECT 'intercept' AS term, {R('regr_intercept(target_reg, l_quantity)')} AS value FROM lineitem_t
+UNION ALL SELECT 'l_quantity', {R('regr_slope(target_reg, l_quantity)')} FROM lineitem_t"""
+
+_PCA = "WITH " + LINEITEM_T + """,
+cv AS (SELECT var_samp(l_extendedprice) AS a, var_samp(l_netprice) AS c, covar_samp(l_extendedprice, l_netprice) AS b,
+              avg(l_extendedprice) AS mx, avg(l_netprice) AS my FROM lineitem_t),
+ev AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ^ 2 + b ^ 2) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ^ 2 + b ^ 2) AS l2 FROM cv),
+v AS (SELECT *, b / sqrt(b ^ 2 + (l1 - a) ^ 2) AS v1x, (l1 - a) / sqrt(b ^ 2 + (l1 - a) ^ 2) AS v1y FROM ev),
+w AS (SELECT *, CASE WHEN abs(v1x) >= abs(v1y) THEN sign(v1x) ELSE sign(v1y) END AS s1,
+             -v1y AS v2x, v1x AS v2y FROM v),
+w2 AS (SELECT *, CASE WHEN abs(v2x) >= abs(v2y) THEN sign(v2x) ELSE sign(v2y) END AS s2 FROM w)
+"""
+SQL["pca_loadings"] = _PCA + f"""SELECT 'PC1' AS component, 'l_extendedprice' AS feature, {R('s1 * v1x')} AS loading,
+       {R('l1 / (l1 + l2)')} AS explained_variance_ratio FROM w2
+UNION ALL SELECT 'PC1', 'l_netprice', {R('s1 * v1y')}, {R('l1 / (l1 + l2)')} FROM w2
+UNION ALL SELECT 'PC2', 'l_extendedprice', {R('s2 * v2x')}, {R('l2 / (l1 + l2)')} FROM w2
+UNION ALL SELECT 'PC2', 'l_netprice', {R('s2 * v2y')}, {R('l2 / (l1 + l2)')} FROM w2"""
+SQL["pca_scores"] = _PCA + f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {R(R('(l_extendedprice - mx) * s1 * v1x + (l_netprice - my) * s1 * v1y', 4))} AS PC1,
+       {R(R('(l_extendedprice - mx) * s2 * v2x + (l_netprice - my) * s2 * v2y', 4))} AS PC2
+FROM lineitem_t, w2"""
