@@ -27,6 +27,7 @@ import os
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
@@ -186,7 +187,7 @@ def logistic(train, features, label, C: float = 1.0, max_iter: int = 1000, class
     over n rows, so regParam = 1 / (C * n)."""
     n = train.count()
     est = LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                             maxIter=max_iter, tol=1e-8)
+                             maxIter=max_iter, tol=1e-6)
     return _fit_spark(train, features, label, est, "Logistic Regression", True, classes)
 
 
@@ -429,6 +430,31 @@ class RFFModel(FittedModel):
         return z.select(*[col(c) for c in df.columns], dot.alias("prediction"))
 
 
+    def margins(self, df):
+        """Raw SVM margins per class as ``array<double>`` (classification)."""
+        z = df.select("*", self._z(df).alias("__z")).withColumn("__zv", array_to_vector("__z"))
+        out = self.inner.transform(z)
+        return out.select(*[col(c) for c in df.columns], vector_to_array("__raw").alias("__margin"))
+
+    def probabilities(self, df, calibrate_on):
+        """Class probabilities from margins: Platt scaling (a one-feature
+        logistic regression fitted on ``calibrate_on``) for two classes, a
+        softmax of the one-vs-rest margins otherwise."""
+        m = self.margins(df)
+        if len(self.classes) == 2:
+            cal = self.margins(calibrate_on).select(F.col("__margin")[1].alias("m"),
+                                                    _index_expr(self.label, self.classes).alias("y"))
+            lr = LogisticRegression(featuresCol="mv", labelCol="y", regParam=0.0).fit(
+                cal.select(array_to_vector(F.array("m")).alias("mv"), "y"))
+            a, b = float(lr.coefficients[0]), float(lr.intercept)
+            p = F.lit(1.0) / (1 + F.exp(-(F.lit(a) * F.col("__margin")[1] + F.lit(b))))
+            return m.select(*[col(c) for c in df.columns], F.array(1 - p, p).alias("probability"))
+        mx = F.array_max("__margin")
+        ex = F.transform("__margin", lambda v: F.exp(v - mx))
+        tot = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
+        return m.select(*[col(c) for c in df.columns], F.transform(ex, lambda v: v / tot).alias("probability"))
+
+
 def _rff_setup(train, features, n_components, gamma):
     r = train.agg(*[e for i, f in enumerate(features) for e in (
         F.avg(numeric_value(train, f)).alias(f"m{i}"), F.stddev_pop(numeric_value(train, f)).alias(f"s{i}"))]).first()
@@ -447,13 +473,14 @@ def svm_rbf(train, features, label, C: float = 1.0, n_components: int = 128, gam
     mu, sd, W, b = _rff_setup(train, features, n_components, gamma)
     tmp = RFFModel(features, label, classes, True, W, b, (mu, sd), None, "SVM")
     data = train.select(_index_expr(label, classes).alias("__label"), tmp._z(train).alias("__z")) \
-        .withColumn("__zv", array_to_vector("__z"))
+        .withColumn("__zv", array_to_vector("__z")).persist(StorageLevel.MEMORY_AND_DISK)
     n = data.count()
-    base = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=200, featuresCol="__zv", labelCol="__label",
+    base = LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=50, tol=1e-4, featuresCol="__zv", labelCol="__label",
                      predictionCol="__pred", rawPredictionCol="__raw")
     est = base if len(classes) <= 2 else OneVsRest(classifier=base, featuresCol="__zv", labelCol="__label",
                                                    predictionCol="__pred", rawPredictionCol="__raw")
     tmp.inner = est.fit(data)
+    data.unpersist()
     return tmp
 
 

@@ -450,3 +450,119 @@ def svm_rbf(spark, d):
 def svr_rbf(spark, d):
     tr, te = _emb_split(spark, d)
     return M.svr_rbf(tr, EMB_COLS, "radius2").transform(te).select("vec_id", "prediction")
+
+
+# ---- stage 7: comparison, tuning, ensembles ----------------------------------
+from tabsight.plans import compare as C  # noqa: E402
+
+
+@query
+def compare_models(spark, d):
+    e = X.embeddings_wide(spark, d).select("vec_id", *EMB_COLS, "ring")
+    metrics, _ = C.compare_models(e, "ring", EMB_COLS, "Classification", "vec_id")
+    return metrics.drop("error")
+
+
+@query
+def cv_scores(spark, d):
+    tr, _ = _emb_split(spark, d)
+    s = C.cv_scores(tr, EMB_COLS, "ring", "vec_id", "Logistic Regression", True, 5)
+    mu, sd = C._mean_std(s)
+    return spark.createDataFrame([("Logistic Regression", mu, sd)], "model string, cv_mean double, cv_std double")
+
+
+@query
+def cv_folds(spark, d):
+    tr, _ = _emb_split(spark, d)
+    return C.cv_folds(tr, EMB_COLS, "ring", "vec_id", "Naive Bayes", True, 5)
+
+
+@query
+def metrics_table(spark, d):
+    return C.metrics_table(X.rule_model_metrics(spark, d))
+
+
+@query
+def metric_extremes(spark, d):
+    return C.metric_extremes(X.rule_model_metrics(spark, d))
+
+
+@query
+def recommend_model(spark, d):
+    return C.recommend_model(X.rule_model_metrics(spark, d), "Classification")
+
+
+@query
+def rfe(spark, d):
+    tr, _ = _emb_split(spark, d)
+    return C.rfe(tr, EMB_COLS, "ring", "vec_id", 5)
+
+
+@query
+def grid_search(spark, d):
+    tr, _ = _emb_split(spark, d)
+    return C.grid_search(tr, EMB_COLS, "ring", "vec_id", "Logistic Regression", True, 5)
+
+
+@query
+def random_search(spark, d):
+    tr, _ = _emb_split(spark, d)
+    return C.random_search(tr, EMB_COLS, "ring", "vec_id", "SVM", True, 5)
+
+
+@query
+def voting_classifier(spark, d):
+    tr, te = _emb_split(spark, d)
+    return C.voting_classifier(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+
+
+@query
+def voting_regressor(spark, d):
+    tr, te = _emb_split(spark, d)
+    return C.voting_regressor(tr, te, EMB_COLS, "radius2", "vec_id").select("vec_id", "prediction")
+
+
+@query
+def bagging(spark, d):
+    tr, te = _emb_split(spark, d)
+    return C.bagging(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+
+
+@query
+def boosting(spark, d):
+    tr, te = _emb_split(spark, d)
+    return C.boosting(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+
+
+@query
+def quick_preview(spark, d):
+    cu = T(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    a = C.quick_preview(cu, "c_mktsegment", "c_custkey", problem_type="Classification")
+    li = X.lineitem_targets(spark, d).withColumn("l_key", PR.key_column(LI_KEY)) \
+        .select("l_key", "l_quantity", "l_discount", "l_tax", "target_reg")
+    b = C.quick_preview(li, "target_reg", "l_key", problem_type="Regression")
+    return a.unionByName(b)
+
+
+@query
+def forest_importance(spark, d):
+    e = X.embeddings_wide(spark, d).select("vec_id", *EMB_COLS, "ring")
+    return C.forest_importance(e, "ring", "vec_id")
+
+
+@query
+def model_importance(spark, d):
+    tr, _ = _emb_split(spark, d)
+    return C.model_importance(M.logistic(tr, EMB_COLS, "ring"), spark)
+
+
+@query
+def model_coefficients(spark, d):
+    tr, _ = _li_split(spark, d)
+    return C.model_coefficients(M.logistic(tr, ["l_quantity", "l_discount"], "target_cls"), spark)
+
+
+@query
+def batch_predict(spark, d):
+    tr, te = _emb_split(spark, d)
+    return C.batch_predict(M.gaussian_nb(tr, EMB_COLS, "ring"), te.select("vec_id", *EMB_COLS))

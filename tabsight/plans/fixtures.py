@@ -78,3 +78,30 @@ def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                      F.col("target_reg").alias("label"),
                      (3 * F.col("l_quantity") - 1).cast("double").alias("prediction"))
+
+
+def rule_model_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A comparison metrics table for three threshold rules on the prediction
+    table's score (0.4, 0.5, 0.6), in the layout of ``compare_models``:
+    test metrics on all rows, CV = accuracy over 5 md5 folds of the row key
+    (mean and population std)."""
+    from tabsight.functions.columns import hash_order
+    from tabsight.operators import evaluate as EV
+    base = prediction_table(spark, d)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey",
+                                                                "l_suppkey")])
+    base = base.withColumn("fold", hash_order(key) % 5)
+    auc = EV.roc_auc(base).first()["auc"]
+    rows = []
+    for i, t in enumerate((0.4, 0.5, 0.6)):
+        p = base.withColumn("prediction", F.when(F.col("score") > t, 1.0).otherwise(0.0))
+        acc = EV.metric_accuracy(p).first()["accuracy"]
+        prf = EV.metric_weighted_prf(p).first()
+        folds = [r["a"] for r in p.groupBy("fold").agg(
+            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).collect()]
+        mu = sum(folds) / len(folds)
+        sd = (sum((x - mu) ** 2 for x in folds) / len(folds)) ** 0.5
+        rows.append((i, f"Rule {t}", acc, prf["precision"], prf["recall"], prf["f1"], mu, sd, auc, None))
+    return spark.createDataFrame(rows, "ordinal int, model string, accuracy double, precision double, "
+                                       "recall double, f1 double, cv_mean double, cv_std double, "
+                                       "roc_auc double, error string")

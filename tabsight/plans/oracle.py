@@ -491,3 +491,55 @@ SQL["pca_scores"] = _PCA + f"""SELECT l_orderkey, l_linenumber, l_partkey, l_sup
        {R(R('(l_extendedprice - mx) * s1 * v1x + (l_netprice - my) * s1 * v1y', 4))} AS PC1,
        {R(R('(l_extendedprice - mx) * s2 * v2x + (l_netprice - my) * s2 * v2y', 4))} AS PC2
 FROM lineitem_t, w2"""
+
+
+# ---- stage 7: comparison tables ---------------------------------------------
+def _rule_metrics(t: float, i: int) -> str:
+    return f"""
+SELECT {i} AS ordinal, 'Rule {t}' AS model,
+  avg(CASE WHEN label = pr THEN 1.0 ELSE 0.0 END) AS accuracy,
+  (SELECT sum(coalesce(tp * 1.0 / nullif(np, 0), 0) * sup) / sum(sup) FROM pc{i}) AS precision,
+  (SELECT sum(coalesce(tp * 1.0 / nullif(sup, 0), 0) * sup) / sum(sup) FROM pc{i}) AS recall,
+  (SELECT sum(coalesce(2 * (tp * 1.0 / nullif(np, 0)) * (tp * 1.0 / nullif(sup, 0))
+        / nullif(tp * 1.0 / nullif(np, 0) + tp * 1.0 / nullif(sup, 0), 0), 0) * sup) / sum(sup) FROM pc{i}) AS f1,
+  (SELECT avg(a) FROM fa{i}) AS cv_mean, (SELECT stddev_pop(a) FROM fa{i}) AS cv_std,
+  (SELECT auc FROM au) AS roc_auc
+FROM r{i}"""
+
+
+def _rule_ctes() -> str:
+    parts = []
+    for i, t in enumerate((0.4, 0.5, 0.6)):
+        parts.append(f"""r{i} AS (SELECT label, CASE WHEN score > {t} THEN 1.0 ELSE 0.0 END AS pr,
+  ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 7))::BIGINT % 5 AS fold FROM pred),
+cl{i} AS (SELECT label AS c FROM r{i} UNION SELECT pr FROM r{i}),
+pc{i} AS (SELECT c, (SELECT count(*) FROM r{i} WHERE label = c) AS sup, (SELECT count(*) FROM r{i} WHERE pr = c) AS np,
+                 (SELECT count(*) FROM r{i} WHERE label = c AND pr = c) AS tp FROM cl{i}),
+fa{i} AS (SELECT fold, avg(CASE WHEN label = pr THEN 1.0 ELSE 0.0 END) AS a FROM r{i} GROUP BY fold)""")
+    auc = """au AS (SELECT sum(neg * ((tp - pos) + pos / 2.0)) / (max(P) * max(N)) AS auc FROM
+  (SELECT t, (SELECT count(*) FROM pred WHERE score >= t AND label = 1) AS tp,
+          (SELECT count(*) FROM pred WHERE score = t AND label = 1) AS pos,
+          (SELECT count(*) FROM pred WHERE score = t AND label <> 1) AS neg FROM (SELECT DISTINCT score AS t FROM pred)),
+  (SELECT sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS N FROM pred))"""
+    return "WITH " + PRED + ",\n" + ",\n".join(parts) + ",\n" + auc + ",\nmt AS (" + \
+        _union([_rule_metrics(t, i) for i, t in enumerate((0.4, 0.5, 0.6))]) + ")\n"
+
+
+SQL["metrics_table"] = _rule_ctes() + f"""SELECT model AS "Model", {R('accuracy')} AS "Accuracy", {R('precision')} AS "Precision",
+  {R('recall')} AS "Recall", {R('f1')} AS "F1-Score", {R('cv_mean')} AS "CV Mean", {R('cv_std')} AS "CV Std",
+  {R('roc_auc')} AS "ROC AUC" FROM mt ORDER BY ordinal"""
+
+_MCOLS = ["accuracy", "precision", "recall", "f1", "cv_mean", "cv_std", "roc_auc"]
+SQL["metric_extremes"] = _rule_ctes() + ", lg AS (" + _union([
+    f"SELECT ordinal, model, '{m}' AS metric, {m} AS value FROM mt" for m in _MCOLS]) + f""")
+SELECT metric,
+  (SELECT model FROM lg b WHERE b.metric = a.metric ORDER BY value DESC, ordinal LIMIT 1) AS max_model,
+  {R('max(value)')} AS max_value,
+  (SELECT model FROM lg b WHERE b.metric = a.metric ORDER BY value ASC, ordinal LIMIT 1) AS min_model,
+  {R('min(value)')} AS min_value
+FROM lg a WHERE value IS NOT NULL GROUP BY metric"""
+SQL["recommend_model"] = _rule_ctes() + """SELECT
+  (SELECT model FROM mt ORDER BY accuracy DESC, ordinal LIMIT 1) AS best_accuracy,
+  (SELECT model FROM mt ORDER BY f1 DESC, ordinal LIMIT 1) AS best_f1,
+  (SELECT model FROM mt ORDER BY cv_mean DESC, ordinal LIMIT 1) AS best_cv,
+  (SELECT model FROM mt ORDER BY f1 DESC, ordinal LIMIT 1) AS recommended"""
