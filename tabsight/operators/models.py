@@ -337,6 +337,15 @@ class KNN(FittedModel):
             xs = [(x - F.lit(m)) / F.lit(s) if s else F.lit(0.0) for x, m, s in zip(xs, mu, sd)]
         return F.array(*xs)
 
+    def _meta(self):
+        m = super()._meta()
+        m.update(key=self.key, k=self.k, scale=self.scale, classification=self.classification)
+        return m
+
+    def _save_state(self, path):
+        self.train.select(col(self.key), *[col(f) for f in self.features], col(self.label)) \
+            .write.mode("overwrite").parquet(os.path.join(path, "train"))
+
     def neighbours(self, df: DataFrame, qkey: str) -> DataFrame:
         """``(qid, tid, dist, y, rank)`` of the k nearest training rows."""
         spark = df.sparkSession
@@ -455,6 +464,21 @@ class RFFModel(FittedModel):
         return m.select(*[col(c) for c in df.columns], F.transform(ex, lambda v: v / tot).alias("probability"))
 
 
+def _rff_meta(self):
+    m = FittedModel._meta(self)
+    m.update(W=self.W.tolist(), b=self.b.tolist(), scale=self.scale, w_reg=self.w_reg)
+    return m
+
+
+def _rff_save(self, path):
+    if self.inner is not None:
+        self.inner.write().overwrite().save(os.path.join(path, "inner"))
+
+
+RFFModel._meta = _rff_meta
+RFFModel._save_state = _rff_save
+
+
 def _rff_setup(train, features, n_components, gamma):
     r = train.agg(*[e for i, f in enumerate(features) for e in (
         F.avg(numeric_value(train, f)).alias(f"m{i}"), F.stddev_pop(numeric_value(train, f)).alias(f"s{i}"))]).first()
@@ -574,4 +598,20 @@ def load_model(path: str) -> FittedModel:
     if kind == "GaussianNB":
         return GaussianNB(meta["features"], meta["label"], meta["classes"], meta["priors"], meta["means"],
                           meta["variances"])
+    if kind == "KNN":
+        train = spark.read.parquet(os.path.join(path, "train"))
+        return KNN(train, meta["features"], meta["label"], meta["key"], meta["classification"], meta["k"],
+                   meta["scale"])
+    if kind == "RFFModel":
+        inner = None
+        if os.path.exists(os.path.join(path, "inner")) or meta["w_reg"] is None:
+            from pyspark.ml.classification import LinearSVCModel, OneVsRestModel
+            p = os.path.join(path, "inner")
+            try:
+                inner = LinearSVCModel.load(p)
+            except Exception:  # noqa: BLE001 - multi-class models are one-vs-rest
+                inner = OneVsRestModel.load(p)
+        return RFFModel(meta["features"], meta["label"], meta["classes"], meta["classification"],
+                        np.array(meta["W"]), np.array(meta["b"]), tuple(meta["scale"]), inner, meta["name"],
+                        tuple(meta["w_reg"]) if meta["w_reg"] else None)
     raise ValueError(f"cannot load model kind {kind}")

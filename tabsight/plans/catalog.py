@@ -566,3 +566,66 @@ def model_coefficients(spark, d):
 def batch_predict(spark, d):
     tr, te = _emb_split(spark, d)
     return C.batch_predict(M.gaussian_nb(tr, EMB_COLS, "ring"), te.select("vec_id", *EMB_COLS))
+
+
+# ---- stage 8: sources and sinks ----------------------------------------------
+from tabsight.sources import files as FI  # noqa: E402
+from tabsight.sources import model_store as MS  # noqa: E402
+
+EVN_NO_TS = ["event_id", "user_id", "event_type", "value", "props"]
+
+
+@query
+def read_csv(spark, d):
+    path = FI.scratch_path(spark, "events-csv")
+    FI.write_csv(X.events_nulls(spark, d).select(*EVN_NO_TS), path)
+    return FI.read_csv(spark, path)
+
+
+@query
+def read_json(spark, d):
+    path = FI.scratch_path(spark, "events-json")
+    X.events_nulls(spark, d).select(*EVN_NO_TS).write.json(path)
+    return FI.read_json(spark, path).select(*EVN_NO_TS)
+
+
+@query
+def read_workbooks(spark, d):
+    path = FI.scratch_path(spark, "customer-xlsx")
+    FI.write_workbooks(T(spark, d, "customer"), path)
+    return FI.read_workbooks(spark, path)
+
+
+@query
+def write_predictions(spark, d):
+    tr, te = _emb_split(spark, d)
+    scored = C.batch_predict(M.gaussian_nb(tr, EMB_COLS, "ring"), te.select("vec_id", *EMB_COLS))
+    path = FI.scratch_path(spark, "predictions")
+    FI.write_predictions(scored.select("vec_id", F.col("Predictions").alias("prediction")), path)
+    return FI.read_csv(spark, path).select(F.col("vec_id"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def save_model(spark, d):
+    tr, te = _emb_split(spark, d)
+    store = FI.scratch_path(spark, "models")
+    fname = MS.save_model(M.gaussian_nb(tr, EMB_COLS, "ring"), store)
+    return MS.load_model(store, fname).transform(te).select("vec_id", "prediction")
+
+
+@query
+def register_model(spark, d):
+    tr, _ = _emb_split(spark, d)
+    store = FI.scratch_path(spark, "models")
+    MS.save_model(M.logistic(tr, EMB_COLS, "ring"), store)
+    MS.save_model(M.gaussian_nb(tr, EMB_COLS, "ring"), store)
+    return MS.list_models(spark, store).select("model_name", "is_classification")
+
+
+@query
+def load_model(spark, d):
+    tr, te = _emb_split(spark, d)
+    store = FI.scratch_path(spark, "models")
+    fname = MS.save_model(M.knn(tr, EMB_COLS, "ring", "vec_id", True), store)
+    return MS.load_model(store, fname).transform(te).select(
+        "vec_id", F.col("prediction").cast("int").alias("prediction"))

@@ -543,3 +543,14 @@ SQL["recommend_model"] = _rule_ctes() + """SELECT
   (SELECT model FROM mt ORDER BY f1 DESC, ordinal LIMIT 1) AS best_f1,
   (SELECT model FROM mt ORDER BY cv_mean DESC, ordinal LIMIT 1) AS best_cv,
   (SELECT model FROM mt ORDER BY f1 DESC, ordinal LIMIT 1) AS recommended"""
+
+
+# ---- stage 8: round trips equal their source ---------------------------------
+SQL["read_csv"] = "WITH " + EVENTS_NULLS + f"\nSELECT event_id, user_id, event_type, {R('value')} AS value, props FROM events_n"
+SQL["read_json"] = SQL["read_csv"]
+SQL["read_workbooks"] = f"SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+SQL["write_predictions"] = SQL["gaussian_nb"]
+SQL["save_model"] = SQL["gaussian_nb"]
+SQL["load_model"] = SQL["knn_classify"]
+SQL["register_model"] = """SELECT 'Logistic Regression' AS model_name, true AS is_classification
+UNION ALL SELECT 'Naive Bayes', true"""
