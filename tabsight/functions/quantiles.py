@@ -6,14 +6,14 @@ column in one final task, which does not survive a column with billions of
 distinct values.  Here every target rank is located by bracket refinement:
 
 1. one aggregate gives ``n``, ``min`` and ``max`` per column;
-2. each target rank starts with the bracket ``[min, max]``; a pass counts the
-   rows and (HyperLogLog) distinct values inside every bracket;
+2. each target rank starts with the bracket ``[min, max]`` and the column's
+   HyperLogLog distinct estimate;
 3. a bracket with few distinct values is resolved exactly: the values inside it
    are grouped (``groupBy(bracket, value).count()``) and a running sum within
    the bracket gives each value's rank range;
 4. a bracket with many distinct values is split into ``bins`` equal-width bins
-   in one ``groupBy(bracket, bin).count()`` pass and the target moves into the
-   bin that holds its rank.
+   in one ``groupBy(bracket, bin)`` pass (count and distinct estimate per bin)
+   and the target moves into the bin that holds its rank.
 
 Every pass is a distributed aggregate whose collected output is bounded by
 ``targets x bins`` rows, and the final window groups are bounded by
@@ -41,10 +41,11 @@ class _Bracket:
 
 
 def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
-                     bins: int, max_iter: int) -> dict:
+                     bins: int, max_iter: int, first_nd: dict | None = None) -> dict:
     spark = vals.sparkSession
     found: dict = {}
     next_id = max(b.bid for b in brackets) + 1 if brackets else 0
+    nd = {b.bid: (first_nd or {}).get(b.key) for b in brackets}
     active = brackets
     for _ in range(max_iter):
         if not active:
@@ -54,10 +55,14 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
             "bid long, k string, lo double, hi double, w double")
         inside = (vals.join(F.broadcast(tbl), "k")
                   .where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))))
-        stats = {r["bid"]: r["nd"] for r in
-                 inside.groupBy("bid").agg(F.approx_count_distinct("v").alias("nd")).collect()}
-        small = [b for b in active if stats.get(b.bid, 0) <= max_group]
-        big = [b for b in active if stats.get(b.bid, 0) > max_group]
+        unknown = [b for b in active if nd.get(b.bid) is None]
+        if unknown:
+            got = {r["bid"]: r["nd"] for r in
+                   inside.where(F.col("bid").isin([b.bid for b in unknown]))
+                   .groupBy("bid").agg(F.approx_count_distinct("v").alias("nd")).collect()}
+            nd.update({b.bid: got.get(b.bid, 0) for b in unknown})
+        small = [b for b in active if nd[b.bid] <= max_group]
+        big = [b for b in active if nd[b.bid] > max_group]
         if small:
             ids = [b.bid for b in small]
             w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -85,15 +90,16 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                   .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
                   .otherwise(b0))
             hist = (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
-                    .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt")).collect())
+                    .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
+                                               F.approx_count_distinct("v").alias("nd")).collect())
             per: dict = {}
             for row in hist:
-                per.setdefault(row["bid"], []).append((int(row["bin"]), int(row["cnt"])))
+                per.setdefault(row["bid"], []).append((int(row["bin"]), int(row["cnt"]), int(row["nd"])))
             for b in big:
                 w_ = (b.hi - b.lo) / bins
                 acc = b.below
                 children: dict = {}
-                for i, cnt in sorted(per.get(b.bid, [])):
+                for i, cnt, dn in sorted(per.get(b.bid, [])):
                     for r in b.ranks:
                         if acc <= r < acc + cnt:
                             lo = b.lo + float(i) * w_
@@ -101,6 +107,8 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                             ch = children.get(i)
                             if ch is None:
                                 ch = children[i] = _Bracket(next_id, b.key, lo, hi, acc)
+                                # a bin that cannot be split further is resolved exactly
+                                nd[next_id] = dn if lo < hi and (hi - lo) / bins > 0 else 0
                                 next_id += 1
                             ch.ranks.append(r)
                     acc += cnt
@@ -110,23 +118,9 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
     return found
 
 
-def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "column_name",
-                    value_col: str = "value", max_group: int = 200_000, bins: int = 1024,
-                    max_iter: int = 40) -> DataFrame:
-    """Exact ``quantile_cont`` of every column in a long ``(name, value)`` frame.
-
-    Returns a small DataFrame ``(column_name, p, quantile)`` with one row per
-    column and probability; nulls (and NaN) are ignored; a column without values
-    gets NULL quantiles."""
-    spark = long_df.sparkSession
-    vals = (long_df.select(F.col(name_col).alias("k"), F.col(value_col).cast("double").alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    x = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
-    base = (long_df.groupBy(F.col(name_col).alias("k"))
-            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-            .collect())
+def _finish(spark, base_rows, probs, vals, max_group, bins, max_iter, name_col, first_nd=None):
     brackets, plan = [], []
-    for i, row in enumerate(base):
+    for i, row in enumerate(base_rows):
         n = int(row["n"])
         if n == 0:
             plan.extend((row["k"], p, None, None, 0.0) for p in probs)
@@ -139,7 +133,7 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
             plan.append((row["k"], p, r0, r1, h - r0))
             b.ranks.extend(r for r in (r0, r1) if r not in b.ranks)
         brackets.append(b)
-    found = _values_at_ranks(vals, brackets, max_group, bins, max_iter)
+    found = _values_at_ranks(vals, brackets, max_group, bins, max_iter, first_nd)
     out = []
     for k, p, r0, r1, frac in plan:
         if r0 is None:
@@ -150,6 +144,50 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
     return spark.createDataFrame(out, f"{name_col} string, p double, quantile double")
 
 
+def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "column_name",
+                    value_col: str = "value", max_group: int = 20_000, bins: int = 1024,
+                    max_iter: int = 40) -> DataFrame:
+    """Exact ``quantile_cont`` of every column in a long ``(name, value)`` frame.
+
+    Returns a small DataFrame ``(column_name, p, quantile)`` with one row per
+    column and probability; nulls (and NaN) are ignored; a column without values
+    gets NULL quantiles."""
+    spark = long_df.sparkSession
+    vals = (long_df.select(F.col(name_col).alias("k"), F.col(value_col).cast("double").alias("v"))
+            .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    x = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
+    base = (long_df.groupBy(F.col(name_col).alias("k"))
+            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+                 F.approx_count_distinct(x).alias("nd"))
+            .collect())
+    return _finish(spark, base, probs, vals, max_group, bins, max_iter, name_col,
+                   {r["k"]: r["nd"] for r in base})
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_group: int = 20_000,
+                     bins: int = 1024, max_iter: int = 40) -> DataFrame:
+    """:func:`exact_quantiles` of columns of a wide frame.  Counts, ranges and
+    distinct estimates come from one wide aggregate; the values reach the
+    bracket passes as a union of one-column projections, so each branch reads
+    only its own column and no row is exploded per column."""
+    from tabsight.functions.columns import numeric_value
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "column_name string, p double, quantile double")
+    xs = [F.nanvl(numeric_value(df, c), F.lit(None).cast("double")) for c in columns]
+    r = df.agg(*[e for i, x in enumerate(xs) for e in (
+        F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+        F.approx_count_distinct(x).alias(f"nd{i}"))]).first()
+    base = [{"k": c, "n": r[f"n{i}"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for i, c in enumerate(columns)]
+    parts = [df.select(F.lit(c).alias("k"), x.alias("v")).where(F.col("v").isNotNull())
+             for c, x in zip(columns, xs)]
+    vals = parts[0]
+    for p in parts[1:]:
+        vals = vals.unionAll(p)
+    return _finish(spark, base, probs, vals, max_group, bins, max_iter, "column_name",
+                   {c: r[f"nd{i}"] for i, c in enumerate(columns)})
+
+
 def approx_quantiles(long_df: DataFrame, probs: list[float], accuracy: int = 10_000,
                      name_col: str = "column_name", value_col: str = "value") -> DataFrame:
     """Single-pass sketch alternative (rank error <= n/accuracy)."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.columns import col, columns_of_kind, numeric_value, unpivot_numeric
-from tabsight.functions.quantiles import exact_quantiles
+from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 
 IQR_K = 1.5          # Tukey fences
 Z_LIMIT = 3.0        # |z| > 3, z with ddof=0
@@ -26,7 +26,7 @@ def _x(df: DataFrame, column: str):
 
 def iqr_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, q1, q3, lower, upper)`` per column (exact quartiles)."""
-    q = exact_quantiles(unpivot_numeric(df, columns), [0.25, 0.75])
+    q = column_quantiles(df, columns, [0.25, 0.75])
     w = q.groupBy("column_name").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("q3"))
@@ -85,7 +85,7 @@ def outliers_zscore(df: DataFrame, column: str) -> DataFrame:
 
 def mad_stats(df: DataFrame, column: str) -> tuple:
     """``(median, mad)``: median, then the median of |x - median| (unscaled)."""
-    med = exact_quantiles(unpivot_numeric(df, [column]), [0.5]).first()["quantile"]
+    med = column_quantiles(df, [column], [0.5]).first()["quantile"]
     if med is None:
         return None, None
     dev = df.select(F.lit(column).alias("column_name"),
@@ -141,7 +141,7 @@ def box_stats(df: DataFrame, column: str) -> DataFrame:
     """Box-plot statistics (D8): quartiles, fences, whiskers (most extreme
     values inside the fences) and the outlier count."""
     q = {r["p"]: r["quantile"] for r in
-         exact_quantiles(unpivot_numeric(df, [column]), [0.25, 0.5, 0.75]).collect()}
+         column_quantiles(df, [column], [0.25, 0.5, 0.75]).collect()}
     q1, med, q3 = q.get(0.25), q.get(0.5), q.get(0.75)
     x = _x(df, column)
     if q1 is None:

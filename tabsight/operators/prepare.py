@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tabsight.functions.columns import (
     col, columns_of_kind, hash_order, kind_of, numeric_value, quote, unpivot_numeric,
 )
-from tabsight.functions.quantiles import exact_quantiles
+from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 from tabsight.functions.ranking import dense_codes, running_sum
 
 MIN_ROWS = 10          # fixed value: minimum rows for training
@@ -38,7 +38,7 @@ def column_means(df: DataFrame, columns: list[str]) -> dict:
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict:
-    q = exact_quantiles(unpivot_numeric(df, columns), [0.5]).collect()
+    q = column_quantiles(df, columns, [0.5]).collect()
     return {r["column_name"]: r["quantile"] for r in q}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tabsight.functions.columns import (
     col, columns_of_kind, kind_of, numeric_value, quote, unpivot_numeric,
 )
-from tabsight.functions.quantiles import exact_quantiles
+from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
@@ -224,7 +224,7 @@ def summary_numeric(df: DataFrame, columns: list[str] | None = None,
                         .alias("missing_pct"))
                for i, c in enumerate(columns)]
     stats = wide.select(F.inline(F.array(*structs)))
-    q = exact_quantiles(unpivot_numeric(df, columns), list(percentiles))
+    q = column_quantiles(df, columns, list(percentiles))
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
     qw = q.groupBy("column_name").pivot("p", [float(p) for p in percentiles]).agg(F.first("quantile"))
     qw = qw.toDF("column_name", *[names.get(p, f"q{int(p * 100)}") for p in percentiles])

@@ -21,32 +21,51 @@ HIGH_CORR = 0.8
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Long-form Pearson matrix ``(col_x, col_y, corr)`` for every ordered
-    pair, diagonal included (C1).  One pass: ``covar_pop`` and the masked
-    ``stddev_pop`` of each pair."""
+    """Long-form Pearson matrix ``(col_x, col_y, corr, i, j)`` for every
+    ordered pair, diagonal included (C1), pairwise-complete.
+
+    A first small aggregate finds the columns with nulls and the constant
+    columns.  Pairs of null-free, non-constant columns use the built-in
+    ``corr``; pairs touching a column with nulls use moments over the rows
+    where both are present (``covar_pop`` / masked ``stddev_pop``, NULL when
+    either side has no spread); pairs with a constant column are NULL."""
     columns = columns if columns is not None else columns_of_kind(df, "numeric")
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "col_x string, col_y string, corr double, i int, j int")
     xs = [numeric_value(df, c) for c in columns]
-    aggs, pairs = [], []
+    pre = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[e for i, x in enumerate(xs) for e in (F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"),
+                                                         F.max(x).alias(f"hi{i}"))]).first()
+    has_null = [pre[f"c{i}"] < pre["n"] for i in range(len(columns))]
+    const = [pre[f"lo{i}"] is None or pre[f"lo{i}"] == pre[f"hi{i}"] for i in range(len(columns))]
+    aggs, exprs = [], {}
     for i in range(len(columns)):
-        for j in range(i, len(columns)):
-            xi = F.when(xs[j].isNotNull(), xs[i])
-            xj = F.when(xs[i].isNotNull(), xs[j])
-            r = F.try_divide(F.covar_pop(xi, xj), F.stddev_pop(xi) * F.stddev_pop(xj))
-            aggs.append(r.alias(f"__r{i}_{j}"))
-            pairs.append((i, j))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "col_x string, col_y string, corr double")
-    one = df.agg(*aggs)
-    structs = []
-    for i, j in pairs:
-        # a pair without spread or without common rows has no correlation
-        v = F.when(F.abs(F.col(f"__r{i}_{j}")) <= 1.0 + 1e-9, F.col(f"__r{i}_{j}"))
-        structs.append(F.struct(F.lit(columns[i]).alias("col_x"), F.lit(columns[j]).alias("col_y"),
-                                v.alias("corr"), F.lit(i).alias("i"), F.lit(j).alias("j")))
-        if i != j:
-            structs.append(F.struct(F.lit(columns[j]).alias("col_x"), F.lit(columns[i]).alias("col_y"),
-                                    v.alias("corr"), F.lit(j).alias("i"), F.lit(i).alias("j")))
-    return one.select(F.inline(F.array(*structs))).select("col_x", "col_y", "corr", "i", "j")
+        for j in range(i + 1, len(columns)):
+            if has_null[i] or has_null[j]:
+                if pre[f"c{i}"] == 0 or pre[f"c{j}"] == 0:
+                    continue
+                xi = F.when(xs[j].isNotNull(), xs[i])
+                xj = F.when(xs[i].isNotNull(), xs[j])
+                r = F.try_divide(F.covar_pop(xi, xj), F.stddev_pop(xi) * F.stddev_pop(xj))
+            elif const[i] or const[j]:
+                continue
+            else:
+                r = F.corr(xs[i], xs[j])
+            aggs.append(r.alias(f"r{i}_{j}"))
+    got = df.agg(*aggs).first().asDict() if aggs else {}
+    rows = []
+    for i in range(len(columns)):
+        for j in range(len(columns)):
+            if i == j:
+                v = None if const[i] else 1.0
+            else:
+                a, b = min(i, j), max(i, j)
+                v = got.get(f"r{a}_{b}")
+                if v is not None and (v != v or abs(v) > 1.0 + 1e-9):
+                    v = None          # no spread among the common rows
+            rows.append((columns[i], columns[j], v, i, j))
+    return spark.createDataFrame(rows, "col_x string, col_y string, corr double, i int, j int")
 
 
 def _upper(df: DataFrame, columns: list[str] | None) -> DataFrame:
