@@ -20,7 +20,7 @@ from tabsight.functions.columns import columns_of_kind, numeric_value
 HIGH_CORR = 0.8
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pre: dict | None = None) -> DataFrame:
     """Long-form Pearson matrix ``(col_x, col_y, corr, i, j)`` for every
     ordered pair, diagonal included (C1), pairwise-complete.
 
@@ -34,9 +34,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     if not columns:
         return spark.createDataFrame([], "col_x string, col_y string, corr double, i int, j int")
     xs = [numeric_value(df, c) for c in columns]
-    pre = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[e for i, x in enumerate(xs) for e in (F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"),
-                                                         F.max(x).alias(f"hi{i}"))]).first()
+    if pre is None:   # callers that already profiled the table pass n, c{i}, lo{i}, hi{i}
+        pre = df.agg(F.count(F.lit(1)).alias("n"),
+                     *[e for i, x in enumerate(xs) for e in (F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"),
+                                                             F.max(x).alias(f"hi{i}"))]).first().asDict()
     has_null = [pre[f"c{i}"] < pre["n"] for i in range(len(columns))]
     const = [pre[f"lo{i}"] is None or pre[f"lo{i}"] == pre[f"hi{i}"] for i in range(len(columns))]
     aggs, exprs = [], {}
