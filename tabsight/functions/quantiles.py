@@ -165,7 +165,7 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_group: int = 20_000,
-                     bins: int = 1024, max_iter: int = 40) -> DataFrame:
+                     bins: int = 1024, max_iter: int = 40, stats: dict | None = None) -> DataFrame:
     """:func:`exact_quantiles` of columns of a wide frame.  Counts, ranges and
     distinct estimates come from one wide aggregate; the values reach the
     bracket passes as a union of one-column projections, so each branch reads
@@ -175,7 +175,9 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_
     if not columns:
         return spark.createDataFrame([], "column_name string, p double, quantile double")
     xs = [F.nanvl(numeric_value(df, c), F.lit(None).cast("double")) for c in columns]
-    r = df.agg(*[e for i, x in enumerate(xs) for e in (
+    # ``stats`` (keys n{i}, lo{i}, hi{i}, nd{i}) lets a caller that already
+    # aggregated the table skip this pass
+    r = stats if stats is not None else df.agg(*[e for i, x in enumerate(xs) for e in (
         F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
         F.approx_count_distinct(x).alias(f"nd{i}"))]).first()
     base = [{"k": c, "n": r[f"n{i}"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for i, c in enumerate(columns)]

@@ -206,32 +206,32 @@ def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def summary_numeric(df: DataFrame, columns: list[str] | None = None,
                     percentiles=(0.25, 0.5, 0.75)) -> DataFrame:
     """``describe`` of numeric columns (A1): count, mean, std (ddof=1), min,
-    quartiles (linear interpolation), max, missing count and %."""
+    quartiles (linear interpolation), max, missing count and %.
+
+    One wide aggregate (also feeding the quantile brackets with count, range
+    and distinct estimate), then the quantile passes."""
     columns = columns if columns is not None else columns_of_kind(df, "numeric")
-    wide = df.agg(F.count(F.lit(1)).alias("__n"),
-                  *[e for i, c in enumerate(columns) for e in (
-                      F.count(numeric_value(df, c)).alias(f"__c{i}"),
-                      F.avg(numeric_value(df, c)).alias(f"__m{i}"),
-                      F.stddev_samp(numeric_value(df, c)).alias(f"__s{i}"),
-                      F.min(numeric_value(df, c)).alias(f"__lo{i}"),
-                      F.max(numeric_value(df, c)).alias(f"__hi{i}"))])
-    structs = [F.struct(F.lit(c).alias("column_name"), F.lit(_dtype(df, c)).alias("dtype"),
-                        F.col(f"__c{i}").alias("count"), F.col(f"__m{i}").alias("mean"),
-                        F.col(f"__s{i}").alias("std"), F.col(f"__lo{i}").alias("min"),
-                        F.col(f"__hi{i}").alias("max"),
-                        (F.col("__n") - F.col(f"__c{i}")).alias("missing_count"),
-                        F.try_divide((F.col("__n") - F.col(f"__c{i}")) * 100.0, F.col("__n"))
-                        .alias("missing_pct"))
-               for i, c in enumerate(columns)]
-    stats = wide.select(F.inline(F.array(*structs)))
-    q = column_quantiles(df, columns, list(percentiles))
+    spark = df.sparkSession
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    qw = q.groupBy("column_name").pivot("p", [float(p) for p in percentiles]).agg(F.first("quantile"))
-    qw = qw.toDF("column_name", *[names.get(p, f"q{int(p * 100)}") for p in percentiles])
-    out = stats.join(F.broadcast(qw), "column_name", "left")
-    return out.select("column_name", "dtype", "count", "mean", "std", "min",
-                      *[names.get(p, f"q{int(p * 100)}") for p in percentiles], "max",
-                      "missing_count", "missing_pct")
+    qnames = [names.get(p, f"q{int(p * 100)}") for p in percentiles]
+    xs = [numeric_value(df, c) for c in columns]
+    r = df.agg(F.count(F.lit(1)).alias("__n"),
+               *[e for i, x in enumerate(xs) for e in (
+                   F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                   F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                   F.approx_count_distinct(x).alias(f"nd{i}"))]).first().asDict()
+    q = {(row["column_name"], row["p"]): row["quantile"]
+         for row in column_quantiles(df, columns, list(percentiles), stats=r).collect()}
+    n = r["__n"]
+    rows = []
+    for i, c in enumerate(columns):
+        miss = n - r[f"n{i}"]
+        rows.append((c, _dtype(df, c), r[f"n{i}"], r[f"m{i}"], r[f"s{i}"], r[f"lo{i}"],
+                     *[q.get((c, float(p))) for p in percentiles], r[f"hi{i}"], miss,
+                     miss * 100.0 / n if n else None))
+    schema = ("column_name string, dtype string, count bigint, mean double, std double, min double, "
+              + ", ".join(f"{x} double" for x in qnames) + ", max double, missing_count bigint, missing_pct double")
+    return spark.createDataFrame(rows, schema)
 
 
 def summary_timestamp(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
