@@ -25,7 +25,9 @@ def running_sum(df: DataFrame, group: str | None, order: list[str], value, out,
     outs = [out] if isinstance(out, str) else list(out)
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many range partitions as input partitions (at least the shuffle
+    # setting), so one partition's local sort stays the size of an input split
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     base = df.withColumn("__g", F.col(group).cast("string") if group else F.lit(""))
     pinned = base.repartitionByRange(n, "__g", *order).checkpoint(eager=True) \
         .withColumn("__pid", F.spark_partition_id())

@@ -64,6 +64,35 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         .orderBy("bin")
 
 
+def histograms(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
+    """:func:`histogram` of several columns in two passes in total: one
+    aggregate for every range, one ``groupBy(column, bin)`` over a union of
+    one-column projections.  Output ``(column_name, bin, lower, upper, count)``."""
+    spark = df.sparkSession
+    xs = [_x(df, c) for c in columns]
+    r = df.agg(*[e for i, x in enumerate(xs) for e in (F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
+    parts, edges = [], []
+    for i, (c, x) in enumerate(zip(columns, xs)):
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if lo is None:
+            continue
+        w = hi - lo
+        b = F.least(F.coalesce(F.floor(F.try_divide(x - F.lit(lo), F.lit(w)) * bins) + 1, F.lit(1)),
+                    F.lit(bins)).cast("int")
+        parts.append(df.where(x.isNotNull()).select(F.lit(c).alias("column_name"), b.alias("bin")))
+        edges += [(c, k, lo + (k - 1) * w / bins, lo + k * w / bins) for k in range(1, bins + 1)]
+    frame = spark.createDataFrame(edges, "column_name string, bin int, lower double, upper double")
+    if not parts:
+        return frame.withColumn("count", F.lit(0).cast("bigint"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionAll(p)
+    counts = u.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count"))
+    return frame.join(counts, ["column_name", "bin"], "left") \
+        .select("column_name", "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")) \
+        .orderBy("column_name", "bin")
+
+
 def outliers_iqr(df: DataFrame, column: str) -> DataFrame:
     """Rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] (D3).  The fences are
     literals, so the filter reaches the parquet scan."""

@@ -64,6 +64,16 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict:
     return out
 
 
+def default_features(df: DataFrame, target: str | None = None, n: int | None = None,
+                     kind: str | None = None) -> list[str]:
+    """Default feature choice (P3): columns other than the target in schema
+    order, optionally of one kind, the first ``n`` of them (the reference
+    preselects 5 or 10 features and the first 4 numeric columns for plots)."""
+    cols = [f.name for f in df.schema.fields if f.name != target
+            and (kind is None or kind_of(f.dataType) == kind)]
+    return cols[:n] if n is not None else cols
+
+
 def _fill(df: DataFrame, values: dict) -> DataFrame:
     exprs = {}
     for c, v in values.items():

@@ -77,10 +77,18 @@ def _null_counts(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*structs)))
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct non-null values per column (A9), via one distributed
-    ``groupBy(column, value)`` on the unpivoted table."""
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
+                    rsd: float = 0.01) -> DataFrame:
+    """Distinct non-null values per column (A9).  Exact: one distributed
+    ``groupBy(column, value)`` on the unpivoted table.  ``approx=True``: one
+    aggregate of HyperLogLog++ sketches (relative error ``rsd``), no shuffle
+    of values, for very wide or very large tables."""
     columns = columns or df.columns
+    if approx:
+        one = df.agg(*[F.approx_count_distinct(_as_text(df, c), rsd).alias(f"__d{i}") for i, c in enumerate(columns)])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                       F.col(f"__d{i}").alias("n_distinct"))
+                                             for i, c in enumerate(columns)])))
     vals = _long_text(df, columns).where(F.col("value").isNotNull())
     per = vals.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     got = per.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))

@@ -629,3 +629,8 @@ def load_model(spark, d):
     fname = MS.save_model(M.knn(tr, EMB_COLS, "ring", "vec_id", True), store)
     return MS.load_model(store, fname).transform(te).select(
         "vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def histograms(spark, d):
+    return D.histograms(T(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 30)

@@ -554,3 +554,13 @@ SQL["save_model"] = SQL["gaussian_nb"]
 SQL["load_model"] = SQL["knn_classify"]
 SQL["register_model"] = """SELECT 'Logistic Regression' AS model_name, true AS is_classification
 UNION ALL SELECT 'Naive Bayes', true"""
+
+
+SQL["histograms"] = _union([f"""
+SELECT * FROM (
+  WITH r AS (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem),
+  c AS (SELECT least(coalesce(floor(({c} - lo) / nullif(hi - lo, 0) * 30) + 1, 1), 30)::INTEGER AS bin, count(*) AS count
+        FROM lineitem, r WHERE {c} IS NOT NULL GROUP BY 1)
+  SELECT '{c}' AS column_name, g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower,
+         {R('lo + g.i * (hi - lo) / 30')} AS upper, coalesce(c.count, 0) AS count
+  FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i)""" for c in ("l_quantity", "l_extendedprice", "l_discount")])

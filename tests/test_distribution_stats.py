@@ -92,3 +92,11 @@ def test_f_scores(spark):
     fr = S.f_regression(df, ["x"], "y").first()["f_score"]
     r = np.corrcoef(x, y)[0, 1]
     assert fr == pytest.approx(r * r / (1 - r * r) * 58)
+
+
+def test_histograms_equal_single_column(spark, df):
+    two = df.withColumn("w", df["v"] * 2)
+    many = {(r["column_name"], r["bin"]): r["count"] for r in D.histograms(two, ["v", "w"], 10).collect()}
+    for c in ("v", "w"):
+        one = {r["bin"]: r["count"] for r in D.histogram(two, c, 10).collect()}
+        assert one == {b: n for (cc, b), n in many.items() if cc == c}

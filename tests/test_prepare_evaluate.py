@@ -119,3 +119,8 @@ def test_regression_metrics(spark):
     e = np.array(y) - np.array(p)
     assert r["mse"] == pytest.approx((e ** 2).mean()) and r["mae"] == pytest.approx(np.abs(e).mean())
     assert r["r2"] == pytest.approx(1 - (e ** 2).sum() / ((np.array(y) - 2.5) ** 2).sum())
+
+
+def test_default_features(df):
+    assert PR.default_features(df, "t") == ["k", "x"]
+    assert PR.default_features(df, None, 1, kind="text") == ["t"]
