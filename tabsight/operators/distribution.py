@@ -109,7 +109,8 @@ def outliers_zscore(df: DataFrame, column: str) -> DataFrame:
     mu, sd = df.agg(F.avg(x), F.stddev_pop(x)).first()
     if mu is None:
         return df.where(F.lit(False))
-    return df.where(F.abs(x - F.lit(mu)) > Z_LIMIT * F.lit(sd))
+    # |x - mu| > 3 sd as a two-sided range on literals: pushed to the scan
+    return df.where((x < F.lit(mu - Z_LIMIT * sd)) | (x > F.lit(mu + Z_LIMIT * sd)))
 
 
 def mad_stats(df: DataFrame, column: str) -> tuple:
@@ -131,7 +132,9 @@ def outliers_mad(df: DataFrame, column: str) -> DataFrame:
     x = _x(df, column)
     if med is None:
         return df.where(F.lit(False))
-    return df.where(MODZ_FACTOR * F.abs(x - F.lit(med)) > MODZ_LIMIT * F.lit(mad))
+    # |x - median| > 3.5 MAD / 0.6745 as a two-sided range on literals
+    t = MODZ_LIMIT * mad / MODZ_FACTOR
+    return df.where((x < F.lit(med - t)) | (x > F.lit(med + t)))
 
 
 def outlier_counts(df: DataFrame, column: str) -> DataFrame:
