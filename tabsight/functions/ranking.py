@@ -10,6 +10,9 @@ totals are one small row per (partition, group).
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +59,82 @@ def dense_codes(values: DataFrame, group: str, value: str, out: str = "code") ->
     """0-based dense rank of the distinct ``value`` within each ``group``."""
     dv = values.select(group, value).distinct().withColumn("__one", F.lit(1).cast("bigint"))
     return running_sum(dv, group, [value], "__one", out).withColumn(out, F.col(out) - 1).drop("__one")
+
+
+def rank_cuts(df: DataFrame, group: str | None, score: str, tie: str, cuts: dict) -> dict:
+    """Order statistics without moving the table.
+
+    ``cuts`` maps a group value (``None`` without groups) to a list of counts
+    ``c``, or is a function ``(group, n_rows_of_group) -> counts``; for each,
+    returns the ``(score, tie)`` of the ``c``-th row (1-based)
+    in ``(score, tie)`` order within the group, so that exactly ``c`` rows are
+    ``<=`` it.  ``score`` must be numeric, ``tie`` makes the order total.
+
+    The score value at each rank comes from the bracket refinement of
+    :mod:`tabsight.functions.quantiles` (aggregates only); then one aggregate
+    counts the rows strictly below each cut score and the rows that share a
+    cut score (few, as ``tie`` is a key) are ranked by ``tie``."""
+    spark = df.sparkSession
+    g = F.col(group).cast("string") if group else F.lit("")
+    # the narrow (group, score, tie) projection is read by every pass below:
+    # persisted (spills to disk; recomputed from lineage if an executor is lost)
+    narrow = df.select(g.alias("k"), F.col(score).cast("double").alias("v"), F.col(tie).cast("string").alias("t"),
+                       (F.col(group) if group else F.lit(None)).alias("g")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _rank_cuts(spark, narrow, group, cuts)
+    finally:
+        narrow.unpersist()
+
+
+def _rank_cuts(spark, narrow: DataFrame, group, cuts) -> dict:
+    from tabsight.functions.quantiles import _Bracket, _values_at_ranks
+    vals = narrow.select("k", "v", "t")
+    base = {r["k"]: r for r in narrow
+            .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                              F.approx_count_distinct("v").alias("nd"), F.first("g").alias("g")).collect()}
+    typed = {(r["g"] if group else None): k for k, r in base.items()}   # original group value -> text key
+    if callable(cuts):
+        cuts = {gv: cuts(gv, base[k]["n"]) for gv, k in typed.items()}
+    key = {gv: typed.get(gv, "" if group is None else str(gv)) for gv in cuts}
+    brackets = []
+    for i, (gv, cs) in enumerate(cuts.items()):
+        r = base.get(key[gv])
+        if r is None:
+            continue
+        ranks = sorted({min(max(c, 1), r["n"]) - 1 for c in cs if c > 0})
+        if ranks:
+            brackets.append(_Bracket(i, key[gv], float(r["lo"]), math.nextafter(float(r["hi"]), math.inf), 0, ranks))
+    found = _values_at_ranks(vals.select("k", "v"), brackets, 20_000, 1024, 40,
+                             {k: r["nd"] for k, r in base.items()}) if brackets else {}
+    # rows strictly below each cut score, and the tie keys sharing it
+    targets = sorted({(k, v) for (k, _), v in found.items()})
+    below = {}
+    if targets:
+        tbl = spark.createDataFrame(targets, "k string, s double")
+        # one pass: rows below each cut score and the (few) keys sharing it
+        got = vals.join(F.broadcast(tbl), "k").where(F.col("v") <= F.col("s")).groupBy("k", "s").agg(
+            F.count(F.when(F.col("v") < F.col("s"), 1)).alias("b"),
+            F.collect_list(F.when(F.col("v") == F.col("s"), F.col("t"))).alias("ties")).collect()
+        below = {(r["k"], r["s"]): r["b"] for r in got}
+        ties = {(r["k"], r["s"]): r["ties"] for r in got}
+    out = {}
+    for gv, cs in cuts.items():
+        k = key[gv]
+        for c in cs:
+            if k not in base or c <= 0:
+                out[(gv, c)] = None
+                continue
+            r0 = min(c, base[k]["n"]) - 1
+            s = found[(k, r0)]
+            pos = r0 - below[(k, s)]
+            out[(gv, c)] = (s, sorted(ties[(k, s)])[pos])
+    return out
+
+
+def at_or_below(score_col, tie_col, cut):
+    """Row filter ``(score, tie) <= cut`` for a cut from :func:`rank_cuts`."""
+    if cut is None:
+        return F.lit(False)
+    s, t = cut
+    sc = score_col.cast("double")
+    return (sc < F.lit(s)) | ((sc == F.lit(s)) & (tie_col.cast("string") <= F.lit(t)))

@@ -18,7 +18,7 @@ from tabsight.functions.columns import (
     col, columns_of_kind, hash_order, kind_of, numeric_value, quote, unpivot_numeric,
 )
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
-from tabsight.functions.ranking import dense_codes, running_sum
+from tabsight.functions.ranking import at_or_below, dense_codes, rank_cuts
 
 MIN_ROWS = 10          # fixed value: minimum rows for training
 UNKNOWN = "Unknown"    # fixed value: fill for an all-null text feature
@@ -223,18 +223,18 @@ def split(df: DataFrame, keys: list[str], test_fraction: float = 0.2, out: str =
 def stratified_split(df: DataFrame, keys: list[str], label: str, test_fraction: float = 0.2,
                      out: str = "is_test") -> DataFrame:
     """Stratified split (X11): within every class the first
-    ceil(test_fraction * n_class) rows in md5 order (ties by key) are test rows.
-    Ranks come from the distributed running sum, so a class holding a third
-    of the rows is spread over many tasks."""
+    ceil(test_fraction * n_class) rows in md5 order (ties by key) are test
+    rows.  The per-class cut is an order statistic found with aggregates
+    (:func:`rank_cuts`); rows are then compared with literals, so the table
+    is neither shuffled nor checkpointed and a hot class costs nothing extra."""
     k = key_column(keys)
-    base = df.withColumn("__h", hash_order(k)).withColumn("__k", k).withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = running_sum(base, label, ["__h", "__k"], "__one", "__rank")
-    sizes = {r[0]: r[1] for r in df.groupBy(col(label).cast("string")).count().collect()}
-    quota = F.create_map(*[e for g, n in sizes.items() if g is not None
-                           for e in (F.lit(g), F.lit(int(math.ceil(test_fraction * n))))]) \
-        if sizes else F.create_map()
-    res = ranked.withColumn(out, F.col("__rank") <= F.coalesce(quota[col(label).cast("string")], F.lit(0)))
-    return res.drop("__h", "__k", "__one", "__rank")
+    base = df.withColumn("__h", hash_order(k)).withColumn("__k", k)
+    cuts = rank_cuts(base.where(col(label).isNotNull()), label, "__h", "__k",
+                     lambda g, n: [int(math.ceil(test_fraction * n))])
+    cond = F.lit(False)
+    for (g, _), c in cuts.items():
+        cond = F.when(col(label) == F.lit(g), at_or_below(F.col("__h"), F.col("__k"), c)).otherwise(cond)
+    return base.withColumn(out, F.coalesce(cond, F.lit(False))).drop("__h", "__k")
 
 
 def target_type(df: DataFrame, target: str) -> DataFrame:

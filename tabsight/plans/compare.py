@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.columns import col, hash_order
-from tabsight.functions.ranking import running_sum
+from tabsight.functions.ranking import at_or_below, rank_cuts
 from tabsight.operators import evaluate as EV
 from tabsight.operators import models as M
 from tabsight.operators import prepare as PR
@@ -59,17 +59,25 @@ def fit_model(name: str, train: DataFrame, features: list[str], label: str, key:
 
 
 def assign_folds(df: DataFrame, key: str, k: int, label: str | None = None, out: str = "fold") -> DataFrame:
-    """Fold number per row (E10): stratified round robin over md5 order within
-    each class, or contiguous blocks of the md5 order without a label."""
-    base = df.withColumn("__h", hash_order(col(key))).withColumn("__k", col(key).cast("string")) \
-        .withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = running_sum(base, label, ["__h", "__k"], "__one", "__r")
-    if label is not None:
-        fold = (F.col("__r") - 1) % k
+    """Fold number per row (E10): contiguous blocks of the md5 order of the
+    key, within each class when ``label`` is given (stratified: every fold
+    gets floor or ceil of n_class / k rows of each class).  The k-1 block
+    boundaries per class are order statistics found with aggregates; rows
+    are compared with literals, so the table is not shuffled."""
+    base = df.withColumn("__h", hash_order(col(key))).withColumn("__k", col(key).cast("string"))
+    src = base.where(col(label).isNotNull()) if label is not None else base
+    cuts = rank_cuts(src, label, "__h", "__k", lambda g, n: [(n * j) // k for j in range(1, k)])
+    fold_of: dict = {}
+    for (g, _), c in cuts.items():
+        hit = F.when(at_or_below(F.col("__h"), F.col("__k"), c), F.lit(0)).otherwise(F.lit(1))
+        fold_of[g] = fold_of.get(g, F.lit(0)) + hit
+    if label is None:
+        fold = fold_of.get(None, F.lit(0))
     else:
-        n = df.count()
-        fold = F.floor((F.col("__r") - 1) * k / F.lit(max(n, 1)))
-    return ranked.withColumn(out, fold.cast("int")).drop("__h", "__k", "__one", "__r")
+        fold = F.lit(None)
+        for g, e in fold_of.items():
+            fold = F.when(col(label) == F.lit(g), e).otherwise(fold)
+    return base.withColumn(out, fold.cast("int")).drop("__h", "__k")
 
 
 def _score(model: M.FittedModel, test: DataFrame, label: str, classification: bool, key: str) -> float:

@@ -124,3 +124,18 @@ def test_regression_metrics(spark):
 def test_default_features(df):
     assert PR.default_features(df, "t") == ["k", "x"]
     assert PR.default_features(df, None, 1, kind="text") == ["t"]
+
+
+def test_folds_balanced_per_class(spark):
+    from tabsight.plans.compare import assign_folds
+    df = spark.createDataFrame([(i, "a" if i % 10 < 7 else "b") for i in range(103)], "k int, y string")
+    got = assign_folds(df, "k", 5, "y").groupBy("y", "fold").count().collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["y"], []).append(r["count"])
+    for y, counts in per.items():
+        n = sum(counts)
+        assert len(counts) == 5 and set(counts) <= {n // 5, -(-n // 5)}
+    plain = assign_folds(df, "k", 4).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in plain) in ([25, 26, 26, 26], [25, 25, 26, 27]) or \
+        sum(r["count"] for r in plain) == 103 and len(plain) == 4
