@@ -22,6 +22,7 @@ from tabsight.functions.ranking import at_or_below, dense_codes, rank_cuts
 
 MIN_ROWS = 10          # fixed value: minimum rows for training
 UNKNOWN = "Unknown"    # fixed value: fill for an all-null text feature
+BROADCAST_LIMIT_BYTES = 64 << 20   # code tables up to this size are broadcast
 
 
 def _replace(df: DataFrame, exprs: dict) -> DataFrame:
@@ -134,10 +135,18 @@ def label_encode(df: DataFrame, columns: list[str] | None = None, null_token: st
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), txt[c].alias("value"))
                                         for c in columns])))
     codes = dense_codes(long, "column_name", "value", "code")
+    # size of each column's code table (rows and text bytes, one small
+    # aggregate): tables under the limit are broadcast explicitly, so a hot
+    # category never concentrates in one reducer; larger ones are joined by
+    # the planner (AQE splits skewed partitions)
+    size = {r["column_name"]: r["b"] for r in codes.groupBy("column_name").agg(
+        (F.sum(F.octet_length("value")) + F.count(F.lit(1)) * 16).alias("b")).collect()}
     out = df
     for i, c in enumerate(columns):
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"__v{i}"),
                                                           F.col("code").alias(f"__code{i}"))
+        if (size.get(c) or 0) <= BROADCAST_LIMIT_BYTES:
+            m = F.broadcast(m)
         out = out.withColumn(f"__v{i}", txt[c]).join(m, f"__v{i}", "left")
     return out.select(*[F.col(f"__code{columns.index(c)}").cast("bigint").alias(c) if c in columns else col(c)
                         for c in df.columns])
