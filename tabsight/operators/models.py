@@ -33,7 +33,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA as SparkPCA
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -548,18 +547,35 @@ def svr_rbf(train, features, label, C: float = 1.0, epsilon: float = 0.1, n_comp
 def pca(df: DataFrame, columns: list[str], k: int = 2):
     """PCA on rows without nulls, centred and unscaled (C7).  Returns
     ``(loadings, explained_ratio, means)``; each component's sign makes its
-    largest absolute loading positive."""
-    data = df.select(*[numeric_value(df, c).alias(c) for c in columns]).dropna()
-    means = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    mu = [means[c] for c in columns]
-    cent = data.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(columns, mu)])
-    model = SparkPCA(k=k, inputCol="__v", outputCol="__p").fit(assemble(cent, columns, "__v"))
-    pcs = model.pc.toArray().copy()                # d x k
+    largest absolute loading positive.
+
+    One aggregate gives the means and the sample covariance matrix of the
+    complete rows (d(d+1)/2 ``covar_samp``); the d x d eigen-decomposition
+    runs on the driver, as MLlib's PCA does after its covariance pass."""
+    xs = [numeric_value(df, c) for c in columns]
+    complete = F.lit(True)
+    for x in xs:
+        complete = complete & x.isNotNull()
+    d = len(columns)
+    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
+    aggs += [F.covar_samp(xs[i], xs[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+    r = df.where(complete).agg(*aggs).first()
+    if r["m0"] is None:
+        raise ValueError("PCA needs at least one complete row")
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1][:k]
+    pcs = vecs[:, order].copy()
     for j in range(pcs.shape[1]):
         i = int(np.argmax(np.abs(pcs[:, j])))
         if pcs[i, j] < 0:
             pcs[:, j] = -pcs[:, j]
-    return pcs, [float(v) for v in model.explainedVariance.toArray()], mu
+    total = float(np.clip(vals, 0, None).sum())
+    ratio = [float(max(vals[o], 0.0) / total) if total > 0 else None for o in order]
+    return pcs, ratio, [r[f"m{i}"] for i in range(d)]
 
 
 def pca_loadings(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
