@@ -24,6 +24,7 @@ single ``(value, count)`` row after the partial aggregation.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -63,7 +64,10 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
             nd.update({b.bid: got.get(b.bid, 0) for b in unknown})
         small = [b for b in active if nd[b.bid] <= max_group]
         big = [b for b in active if nd[b.bid] > max_group]
-        if small:
+
+        def finalize(small=small, inside=inside):
+            if not small:
+                return []
             ids = [b.bid for b in small]
             w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
             ranked = (inside.where(F.col("bid").isin(ids))
@@ -71,15 +75,13 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                       .withColumn("upto", F.sum("cnt").over(w)))
             want = spark.createDataFrame(
                 [(b.bid, int(r - b.below)) for b in small for r in b.ranks], "bid long, r long")
-            hit = (ranked.join(F.broadcast(want), "bid")
-                   .where((F.col("upto") - F.col("cnt") <= F.col("r")) & (F.col("r") < F.col("upto")))
-                   .select("bid", "r", "v").collect())
-            by_id = {b.bid: b for b in small}
-            for row in hit:
-                b = by_id[row["bid"]]
-                found[(b.key, int(row["r"]) + b.below)] = row["v"]
-        active = []
-        if big:
+            return (ranked.join(F.broadcast(want), "bid")
+                    .where((F.col("upto") - F.col("cnt") <= F.col("r")) & (F.col("r") < F.col("upto")))
+                    .select("bid", "r", "v").collect())
+
+        def histogram(big=big, inside=inside):
+            if not big:
+                return []
             ids = [b.bid for b in big]
             # bin by arithmetic, then correct by one against the exact edges
             # lo + i*w so that the next bracket's comparisons agree with it.
@@ -89,9 +91,20 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
             b1 = (F.when((b0 > 0) & (F.col("v") < edge(b0)), b0 - 1)
                   .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
                   .otherwise(b0))
-            hist = (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
+            return (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
                     .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
                                                F.approx_count_distinct("v").alias("nd")).collect())
+
+        # the two passes are independent jobs: submit them together
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            f_hit, f_hist = pool.submit(finalize), pool.submit(histogram)
+            hit, hist = f_hit.result(), f_hist.result()
+        by_id = {b.bid: b for b in small}
+        for row in hit:
+            b = by_id[row["bid"]]
+            found[(b.key, int(row["r"]) + b.below)] = row["v"]
+        active = []
+        if big:
             per: dict = {}
             for row in hist:
                 per.setdefault(row["bid"], []).append((int(row["bin"]), int(row["cnt"]), int(row["nd"])))
