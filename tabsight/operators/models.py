@@ -252,7 +252,8 @@ class GaussianNB(FittedModel):
         classes = [r["__c"] for r in per]
         priors = [r["__n"] / n for r in per]
         means = [[r[f"__m{i}"] for i in range(len(features))] for r in per]
-        variances = [[(r[f"__v{i}"] or 0.0) + eps for i in range(len(features))] for r in per]
+        # a feature without any spread would divide by zero: floor the variance
+        variances = [[max((r[f"__v{i}"] or 0.0) + eps, 1e-300) for i in range(len(features))] for r in per]
         return GaussianNB(features, label, classes, priors, means, variances)
 
     def _loglik(self, df):
