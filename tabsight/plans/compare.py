@@ -172,12 +172,13 @@ def compare_models(df: DataFrame, target: str, features: list[str], problem_type
         classes = M.class_list(data, target) if classification else None
         train, test = data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
         names = CLS_METRICS if classification else REG_METRICS
-        rows, preds = [], None
+        rows, preds, cached = [], None, []
         for order, name in enumerate(models):
             try:
                 tr, te = _scaled(train, test, features, name)
                 m = fit_model(name, tr, features, target, key, classification, classes)
                 met, pred = _metrics(m, te, target, key, classification, classes)
+                cached.append(pred)
                 try:
                     cvs = cv_scores(train, features, target, key, name, classification, cv_folds_k, classes)
                     met["cv_mean"], met["cv_std"] = _mean_std(cvs)
@@ -197,6 +198,8 @@ def compare_models(df: DataFrame, target: str, features: list[str], problem_type
             preds = spark.createDataFrame([], "model string, row_key string, actual string, predicted string")
         return metrics, preds
     finally:
+        for p in locals().get("cached", []):
+            p.unpersist()
         data.unpersist()
 
 
