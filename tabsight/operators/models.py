@@ -323,7 +323,7 @@ class KNN(FittedModel):
     name = "K-Nearest Neighbors"
 
     def __init__(self, train: DataFrame, features, label, key: str, classification: bool, k: int = KNN_K,
-                 scale=None, train_block: int = 20_000, query_block: int = 2_000):
+                 scale=None, train_block: int = 20_000, query_block: int = 20_000):
         super().__init__(features, label, None)
         self.train, self.key, self.classification, self.k = train, key, classification, k
         self.scale = scale            # (means, stds) or None
