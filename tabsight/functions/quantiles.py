@@ -6,8 +6,8 @@ column in one final task, which does not survive a column with billions of
 distinct values.  Here every target rank is located by bracket refinement:
 
 1. one aggregate gives ``n``, ``min`` and ``max`` per column;
-2. each target rank starts with the bracket ``[min, max]`` and the column's
-   HyperLogLog distinct estimate;
+2. each target rank starts with the bracket ``[min, max]``; the row count
+   bounds its distinct values;
 3. a bracket with few distinct values is resolved exactly: the values inside it
    are grouped (``groupBy(bracket, value).count()``) and a running sum within
    the bracket gives each value's rank range;
@@ -170,11 +170,12 @@ def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "col
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
     x = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
     base = (long_df.groupBy(F.col(name_col).alias("k"))
-            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                 F.approx_count_distinct(x).alias("nd"))
+            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
             .collect())
+    # the row count bounds the distinct count; the histogram pass estimates
+    # the distinct values of each bin
     return _finish(spark, base, probs, vals, max_group, bins, max_iter, name_col,
-                   {r["k"]: r["nd"] for r in base})
+                   {r["k"]: r["n"] for r in base})
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_group: int = 20_000,
@@ -188,11 +189,12 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_
     if not columns:
         return spark.createDataFrame([], "column_name string, p double, quantile double")
     xs = [F.nanvl(numeric_value(df, c), F.lit(None).cast("double")) for c in columns]
-    # ``stats`` (keys n{i}, lo{i}, hi{i}, nd{i}) lets a caller that already
-    # aggregated the table skip this pass
+    # ``stats`` (keys n{i}, lo{i}, hi{i}) lets a caller that already
+    # aggregated the table skip this pass.  Only declarative aggregates here,
+    # so the pass keeps whole-stage codegen; the row count bounds the distinct
+    # count and the histogram pass estimates distinct values per bin.
     r = stats if stats is not None else df.agg(*[e for i, x in enumerate(xs) for e in (
-        F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-        F.approx_count_distinct(x).alias(f"nd{i}"))]).first()
+        F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
     base = [{"k": c, "n": r[f"n{i}"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for i, c in enumerate(columns)]
     parts = [df.select(F.lit(c).alias("k"), x.alias("v")).where(F.col("v").isNotNull())
              for c, x in zip(columns, xs)]
@@ -200,7 +202,7 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_
     for p in parts[1:]:
         vals = vals.unionAll(p)
     return _finish(spark, base, probs, vals, max_group, bins, max_iter, "column_name",
-                   {c: r[f"nd{i}"] for i, c in enumerate(columns)})
+                   {c: r[f"n{i}"] for i, c in enumerate(columns)})
 
 
 def approx_quantiles(long_df: DataFrame, probs: list[float], accuracy: int = 10_000,

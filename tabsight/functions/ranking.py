@@ -91,7 +91,7 @@ def _rank_cuts(spark, narrow: DataFrame, group, cuts) -> dict:
     vals = narrow.select("k", "v", "t")
     base = {r["k"]: r for r in narrow
             .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                              F.approx_count_distinct("v").alias("nd"), F.first("g").alias("g")).collect()}
+                              F.first("g").alias("g")).collect()}
     typed = {(r["g"] if group else None): k for k, r in base.items()}   # original group value -> text key
     if callable(cuts):
         cuts = {gv: cuts(gv, base[k]["n"]) for gv, k in typed.items()}
@@ -105,7 +105,7 @@ def _rank_cuts(spark, narrow: DataFrame, group, cuts) -> dict:
         if ranks:
             brackets.append(_Bracket(i, key[gv], float(r["lo"]), math.nextafter(float(r["hi"]), math.inf), 0, ranks))
     found = _values_at_ranks(vals.select("k", "v"), brackets, 20_000, 1024, 40,
-                             {k: r["nd"] for k, r in base.items()}) if brackets else {}
+                             {k: r["n"] for k, r in base.items()}) if brackets else {}
     # rows strictly below each cut score, and the tie keys sharing it
     targets = sorted({(k, v) for (k, _), v in found.items()})
     below = {}
