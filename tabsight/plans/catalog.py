@@ -634,3 +634,9 @@ def load_model(spark, d):
 @query
 def histograms(spark, d):
     return D.histograms(T(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 30)
+
+
+@query
+def insights_small(spark, d):
+    # a table below the small-dataset threshold with a high-cardinality text column
+    return RU.insights(T(spark, d, "region")).select("rule_id", "rule", "column_name", "value")

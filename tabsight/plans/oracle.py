@@ -564,3 +564,21 @@ SELECT * FROM (
   SELECT '{c}' AS column_name, g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower,
          {R('lo + g.i * (hi - lo) / 30')} AS upper, coalesce(c.count, 0) AS count
   FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i)""" for c in ("l_quantity", "l_extendedprice", "l_discount")])
+
+
+SQL["insights_small"] = f"""WITH nl AS (SELECT count(*) AS n, (count(*) - count(r_regionkey)) + (count(*) - count(r_name)) AS miss FROM region),
+sk AS (SELECT 'r_regionkey' AS c, skewness(r_regionkey) AS s FROM region),
+nd AS (SELECT 'r_name' AS c, count(DISTINCT r_name) AS d, sum(strlen(r_name)) AS bytes FROM region),
+ot AS (SELECT count(*) AS total FROM region,
+         (SELECT quantile_cont(r_regionkey, 0.25) AS q1, quantile_cont(r_regionkey, 0.75) AS q3 FROM region)
+       WHERE r_regionkey < q1 - 1.5 * (q3 - q1) OR r_regionkey > q3 + 1.5 * (q3 - q1))
+SELECT 1 AS rule_id, 'missing_values' AS rule, NULL::VARCHAR AS column_name, miss::DOUBLE AS value FROM nl WHERE miss > 0
+UNION ALL SELECT 2, 'skewed', c, {R('s')} FROM sk WHERE abs(s) > 1
+UNION ALL SELECT 4, 'few_categories', c, d::DOUBLE FROM nd WHERE d < 5
+UNION ALL SELECT 7, 'high_cardinality', c, d::DOUBLE FROM nd, nl WHERE d > n * 0.8
+UNION ALL SELECT 9, 'heavy_text', c, bytes::DOUBLE FROM nd WHERE bytes > 1000000
+UNION ALL SELECT 5, 'high_missing', NULL, {R('miss * 100.0 / (n * 2)')} FROM nl WHERE miss * 100.0 / (n * 2) > 10
+UNION ALL SELECT 5, 'no_missing', NULL, 0.0 FROM nl WHERE miss = 0
+UNION ALL SELECT 6, 'outliers', NULL, total::DOUBLE FROM ot WHERE total > 0
+UNION ALL SELECT 10, 'small_dataset', NULL, n::DOUBLE FROM nl WHERE n < 100
+UNION ALL SELECT 10, 'large_dataset', NULL, n::DOUBLE FROM nl WHERE n > 100000"""
