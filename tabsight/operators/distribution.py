@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.functions.columns import col, columns_of_kind, numeric_value, unpivot_numeric
+from tabsight.functions.columns import col, columns_of_kind, numeric_value
 from tabsight.functions.quantiles import column_quantiles, exact_quantiles
 
 IQR_K = 1.5          # Tukey fences

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.columns import (
-    col, columns_of_kind, hash_order, kind_of, numeric_value, quote, unpivot_numeric,
+    col, columns_of_kind, hash_order, kind_of, numeric_value, unpivot_numeric,
 )
-from tabsight.functions.quantiles import column_quantiles, exact_quantiles
+from tabsight.functions.quantiles import column_quantiles
 from tabsight.functions.ranking import at_or_below, dense_codes, rank_cuts
 
 MIN_ROWS = 10          # fixed value: minimum rows for training

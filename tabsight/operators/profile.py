@@ -4,7 +4,7 @@ Design: a table is profiled with as few scans as possible.  All counts and
 moments of all columns come from **one** ``agg`` (partial aggregation on the
 map side, one row shuffled per task); distinct counts and modes come from one
 ``groupBy(column, value)`` over the unpivoted table (no ``Expand`` per
-``count(distinct)``); quantiles come from :func:`exact_quantiles`.  Results are
+``count(distinct)``); quantiles come from :func:`column_quantiles`.  Results are
 long-form DataFrames with one row per profiled column.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.columns import (
-    col, columns_of_kind, kind_of, numeric_value, quote, unpivot_numeric,
+    col, columns_of_kind, kind_of, numeric_value, quote,
 )
-from tabsight.functions.quantiles import column_quantiles, exact_quantiles
+from tabsight.functions.quantiles import column_quantiles
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4,
