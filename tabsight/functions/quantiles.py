@@ -11,9 +11,11 @@ distinct values.  Here every target rank is located by bracket refinement:
 3. a bracket with few distinct values is resolved exactly: the values inside it
    are grouped (``groupBy(bracket, value).count()``) and a running sum within
    the bracket gives each value's rank range;
-4. a bracket with many distinct values is split into ``bins`` equal-width bins
-   in one ``groupBy(bracket, bin)`` pass (count and distinct estimate per bin)
-   and the target moves into the bin that holds its rank.
+4. a bracket with many values is split into ``bins`` equal-width bins in one
+   ``groupBy(bracket, bin)`` pass (count, min and max per bin, all declarative
+   so the pass keeps whole-stage codegen); a bin holding one value resolves
+   its ranks, any other bin becomes the next bracket (its own ``[min, max]``,
+   its row count bounding its distinct values).
 
 Every pass is a distributed aggregate whose collected output is bounded by
 ``targets x bins`` rows, and the final window groups are bounded by
@@ -43,27 +45,32 @@ class _Bracket:
 
 def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                      bins: int, max_iter: int, first_nd: dict | None = None) -> dict:
+    """Value at every target rank of every bracket.
+
+    ``first_nd`` bounds the distinct values of the first brackets (their row
+    count).  A bracket whose bound is at most ``max_group`` is resolved
+    exactly; a larger one is cut into ``bins`` equal-width bins in one
+    declarative ``groupBy(bracket, bin)`` (count, min, max: whole-stage
+    codegen).  A bin whose min equals its max resolves its ranks at once;
+    otherwise its row count bounds its distinct values and the next bracket
+    is the bin's own ``[min, max]``, so every pass at least splits it."""
     spark = vals.sparkSession
     found: dict = {}
     next_id = max(b.bid for b in brackets) + 1 if brackets else 0
-    nd = {b.bid: (first_nd or {}).get(b.key) for b in brackets}
+    nd = {b.bid: (first_nd or {}).get(b.key, max_group + 1) for b in brackets}
     active = brackets
     for _ in range(max_iter):
         if not active:
             break
+        # a range too narrow to cut into bins is resolved exactly
+        small = [b for b in active if nd[b.bid] <= max_group or not (b.hi - b.lo) / bins > 0]
+        big = [b for b in active if b not in small]
         tbl = spark.createDataFrame(
-            [(b.bid, b.key, float(b.lo), float(b.hi), (b.hi - b.lo) / bins) for b in active],
+            [(b.bid, b.key, float(b.lo), float(b.hi), (b.hi - b.lo) / bins if b in big else 1.0)
+             for b in active],
             "bid long, k string, lo double, hi double, w double")
         inside = (vals.join(F.broadcast(tbl), "k")
                   .where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))))
-        unknown = [b for b in active if nd.get(b.bid) is None]
-        if unknown:
-            got = {r["bid"]: r["nd"] for r in
-                   inside.where(F.col("bid").isin([b.bid for b in unknown]))
-                   .groupBy("bid").agg(F.approx_count_distinct("v").alias("nd")).collect()}
-            nd.update({b.bid: got.get(b.bid, 0) for b in unknown})
-        small = [b for b in active if nd[b.bid] <= max_group]
-        big = [b for b in active if nd[b.bid] > max_group]
 
         def finalize(small=small, inside=inside):
             if not small:
@@ -84,7 +91,7 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                 return []
             ids = [b.bid for b in big]
             # bin by arithmetic, then correct by one against the exact edges
-            # lo + i*w so that the next bracket's comparisons agree with it.
+            # lo + i*w so that bins are ordered, contiguous ranges.
             b0 = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.col("w")),
                                     F.lit(0)), F.lit(bins - 1)).cast("long")
             edge = lambda i: F.col("lo") + i.cast("double") * F.col("w")
@@ -93,7 +100,7 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                   .otherwise(b0))
             return (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
                     .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
-                                               F.approx_count_distinct("v").alias("nd")).collect())
+                                               F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
 
         # the two passes are independent jobs: submit them together
         with ThreadPoolExecutor(max_workers=2) as pool:
@@ -107,21 +114,21 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
         if big:
             per: dict = {}
             for row in hist:
-                per.setdefault(row["bid"], []).append((int(row["bin"]), int(row["cnt"]), int(row["nd"])))
+                per.setdefault(row["bid"], []).append(
+                    (int(row["bin"]), int(row["cnt"]), float(row["mn"]), float(row["mx"])))
             for b in big:
-                w_ = (b.hi - b.lo) / bins
                 acc = b.below
                 children: dict = {}
-                for i, cnt, dn in sorted(per.get(b.bid, [])):
+                for i, cnt, mn, mx in sorted(per.get(b.bid, [])):
                     for r in b.ranks:
                         if acc <= r < acc + cnt:
-                            lo = b.lo + float(i) * w_
-                            hi = b.hi if i == bins - 1 else b.lo + float(i + 1) * w_
+                            if mn == mx:
+                                found[(b.key, r)] = mn
+                                continue
                             ch = children.get(i)
                             if ch is None:
-                                ch = children[i] = _Bracket(next_id, b.key, lo, hi, acc)
-                                # a bin that cannot be split further is resolved exactly
-                                nd[next_id] = dn if lo < hi and (hi - lo) / bins > 0 else 0
+                                ch = children[i] = _Bracket(next_id, b.key, mn, math.nextafter(mx, math.inf), acc)
+                                nd[next_id] = cnt
                                 next_id += 1
                             ch.ranks.append(r)
                     acc += cnt

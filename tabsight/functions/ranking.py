@@ -106,17 +106,22 @@ def _rank_cuts(spark, narrow: DataFrame, group, cuts) -> dict:
             brackets.append(_Bracket(i, key[gv], float(r["lo"]), math.nextafter(float(r["hi"]), math.inf), 0, ranks))
     found = _values_at_ranks(vals.select("k", "v"), brackets, 20_000, 1024, 40,
                              {k: r["n"] for k, r in base.items()}) if brackets else {}
-    # rows strictly below each cut score, and the tie keys sharing it
     targets = sorted({(k, v) for (k, _), v in found.items()})
-    below = {}
+    below, ties = {}, {}
     if targets:
         tbl = spark.createDataFrame(targets, "k string, s double")
-        # one pass: rows below each cut score and the (few) keys sharing it
-        got = vals.join(F.broadcast(tbl), "k").where(F.col("v") <= F.col("s")).groupBy("k", "s").agg(
-            F.count(F.when(F.col("v") < F.col("s"), 1)).alias("b"),
-            F.collect_list(F.when(F.col("v") == F.col("s"), F.col("t"))).alias("ties")).collect()
-        below = {(r["k"], r["s"]): r["b"] for r in got}
-        ties = {(r["k"], r["s"]): r["ties"] for r in got}
+        # one pass: rows strictly below each cut score (the NULL tie group)
+        # and the tie keys sharing it as (key, rows) pairs.  A repeated key is
+        # one row, so the collected size is bounded by the distinct keys at
+        # the cut score, not by its rows.
+        got = (vals.join(F.broadcast(tbl), "k").where(F.col("v") <= F.col("s"))
+               .groupBy("k", "s", F.when(F.col("v") == F.col("s"), F.col("t")).alias("t"))
+               .agg(F.count(F.lit(1)).alias("c")).collect())
+        for r in got:
+            if r["t"] is None:
+                below[(r["k"], r["s"])] = r["c"]
+            else:
+                ties.setdefault((r["k"], r["s"]), []).append((r["t"], r["c"]))
     out = {}
     for gv, cs in cuts.items():
         k = key[gv]
@@ -126,8 +131,12 @@ def _rank_cuts(spark, narrow: DataFrame, group, cuts) -> dict:
                 continue
             r0 = min(c, base[k]["n"]) - 1
             s = found[(k, r0)]
-            pos = r0 - below[(k, s)]
-            out[(gv, c)] = (s, sorted(ties[(k, s)])[pos])
+            pos = r0 - below.get((k, s), 0)
+            for t, cnt in sorted(ties[(k, s)]):
+                if pos < cnt:
+                    out[(gv, c)] = (s, t)
+                    break
+                pos -= cnt
     return out
 
 

@@ -411,7 +411,7 @@ def pca_scores(spark, d):
     # the two columns correlate at 0.998, so PC2 scores cancel about three
     # digits; they are compared at 4 significant digits
     s = M.pca_scores(X.lineitem_targets(spark, d), ["l_extendedprice", "l_netprice"], LI_KEY, 2)
-    return s.select(*LI_KEY, sig_round(F.col("PC1"), 4).alias("PC1"), sig_round(F.col("PC2"), 4).alias("PC2"))
+    return s.select(*LI_KEY, sig_round("PC1", 4).alias("PC1"), sig_round("PC2", 4).alias("PC2"))
 
 
 @query

@@ -45,3 +45,28 @@ def test_running_sum_total_order(spark):
     out = running_sum(df, "g", ["o"], "one", "rank", partitions=5).collect()
     for r in out:
         assert r["rank"] == len([i for i in range(50) if i % 3 == r["g"] and i <= r["o"]])
+
+
+def test_constant_zero_and_clustered_values(spark):
+    # a constant 0.0 column (its range cannot be cut into bins) and clusters
+    # of near-equal values that need several narrowing passes
+    assert _q(spark, [0.0] * 50, [0.1, 0.9], max_group=3, bins=4) == {0.1: 0.0, 0.9: 0.0}
+    rng = np.random.default_rng(7)
+    vals = ([1e-6 * i for i in range(40)] + [1e6 + i * 1e-3 for i in range(40)]
+            + rng.normal(size=40).tolist() + [2.0] * 60)
+    got = _q(spark, vals, [0.05, 0.3, 0.5, 0.7, 0.95], max_group=3, bins=4)
+    for p, v in got.items():
+        assert v == pytest.approx(float(np.quantile(vals, p)), rel=1e-12)
+
+
+def test_rank_cuts_repeated_key(spark):
+    # one tie key repeated on a third of the rows: the cut is found from
+    # (key, rows) pairs without listing the rows
+    from tabsight.functions.ranking import rank_cuts
+    rows = [("a", 5.0, "k1")] * 30 + [("a", 5.0, f"k{i:03d}") for i in range(2, 32)] \
+        + [("a", float(i), f"z{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, s double, t string")
+    order = sorted((s, t) for _, s, t in rows)
+    cuts = rank_cuts(df, "g", "s", "t", {"a": [1, 10, 40, 45, 70, 90]})
+    for c in (1, 10, 40, 45, 70, 90):
+        assert cuts[("a", c)] == order[c - 1]
