@@ -37,6 +37,15 @@ def lineitem_targets(spark: SparkSession, d: str) -> DataFrame:
         .cast("double").alias("target_reg"))
 
 
+def line_status_summary(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem aggregated per (return flag, line status): a table below the
+    small-dataset threshold whose every row is distinct text (``flag``) and
+    whose ``n_lines`` is a count over the whole of lineitem."""
+    li = load_table(spark, d, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n_lines")) \
+        .select(F.concat_ws("|", "l_returnflag", "l_linestatus").alias("flag"), "n_lines")
+
+
 def prediction_table(spark: SparkSession, d: str) -> DataFrame:
     """A deterministic prediction table (no model involved): label = planted
     binary target, score = (l_quantity + l_suppkey % 17 - 8) / 50,

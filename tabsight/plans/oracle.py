@@ -566,12 +566,14 @@ SELECT * FROM (
   FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i)""" for c in ("l_quantity", "l_extendedprice", "l_discount")])
 
 
-SQL["insights_small"] = f"""WITH nl AS (SELECT count(*) AS n, (count(*) - count(r_regionkey)) + (count(*) - count(r_name)) AS miss FROM region),
-sk AS (SELECT 'r_regionkey' AS c, skewness(r_regionkey) AS s FROM region),
-nd AS (SELECT 'r_name' AS c, count(DISTINCT r_name) AS d, sum(strlen(r_name)) AS bytes FROM region),
-ot AS (SELECT count(*) AS total FROM region,
-         (SELECT quantile_cont(r_regionkey, 0.25) AS q1, quantile_cont(r_regionkey, 0.75) AS q3 FROM region)
-       WHERE r_regionkey < q1 - 1.5 * (q3 - q1) OR r_regionkey > q3 + 1.5 * (q3 - q1))
+SQL["insights_small"] = f"""WITH t AS (SELECT concat_ws('|', l_returnflag, l_linestatus) AS flag, count(*) AS n_lines
+           FROM lineitem GROUP BY l_returnflag, l_linestatus),
+nl AS (SELECT count(*) AS n, (count(*) - count(flag)) + (count(*) - count(n_lines)) AS miss FROM t),
+sk AS (SELECT 'n_lines' AS c, skewness(n_lines) AS s FROM t),
+nd AS (SELECT 'flag' AS c, count(DISTINCT flag) AS d, sum(strlen(flag)) AS bytes FROM t),
+ot AS (SELECT count(*) AS total FROM t,
+         (SELECT quantile_cont(n_lines, 0.25) AS q1, quantile_cont(n_lines, 0.75) AS q3 FROM t)
+       WHERE n_lines < q1 - 1.5 * (q3 - q1) OR n_lines > q3 + 1.5 * (q3 - q1))
 SELECT 1 AS rule_id, 'missing_values' AS rule, NULL::VARCHAR AS column_name, miss::DOUBLE AS value FROM nl WHERE miss > 0
 UNION ALL SELECT 2, 'skewed', c, {R('s')} FROM sk WHERE abs(s) > 1
 UNION ALL SELECT 4, 'few_categories', c, d::DOUBLE FROM nd WHERE d < 5
