@@ -299,20 +299,21 @@ def _knn_cell(k: int):
         Q = np.stack(te["x"].to_numpy()).astype(float)
         qid = te["qid"].to_numpy()
         xx = (X * X).sum(axis=1)
-        out = []
+        kk = min(k, X.shape[0])
+        qs, ts, ds = [], [], []
         for s in range(0, len(Q), 256):
             q = Q[s:s + 256]
             d = np.maximum((q * q).sum(axis=1)[:, None] - 2.0 * q @ X.T + xx[None, :], 0.0)
-            kk = min(k, X.shape[0])
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < X.shape[0] else \
-                np.tile(np.arange(X.shape[0]), (len(q), 1))
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
             for r in range(len(q)):
-                kth = d[r, part[r]].max()
-                cand = np.nonzero(d[r] <= kth)[0]          # every tie at the boundary
-                order = np.lexsort((tid[cand], d[r, cand]))[:kk]
-                sel = cand[order]
-                out.append(pd.DataFrame({"qid": qid[s + r], "tid": tid[sel], "dist": d[r, sel], "y": y[sel]}))
-        return pd.concat(out, ignore_index=True)
+                cand = np.nonzero(d[r] <= kth[r])[0]       # every tie at the boundary
+                sel = cand[np.lexsort((tid[cand], d[r, cand]))[:kk]]
+                qs.append(np.full(len(sel), qid[s + r]))
+                ts.append(sel)
+                ds.append(d[r, sel])
+        sel = np.concatenate(ts)
+        return pd.DataFrame({"qid": np.concatenate(qs).astype("int64"), "tid": tid[sel].astype("int64"),
+                             "dist": np.concatenate(ds), "y": y[sel]})
     return fn
 
 
