@@ -77,9 +77,11 @@ def rank_cuts(df: DataFrame, group: str | None, score: str, tie: str, cuts: dict
     spark = df.sparkSession
     g = F.col(group).cast("string") if group else F.lit("")
     # the narrow (group, score, tie) projection is read by every pass below:
-    # persisted (spills to disk; recomputed from lineage if an executor is lost)
+    # persisted on disk (at scale it does not fit in memory; lost blocks are
+    # recomputed from lineage if an executor is lost)
     narrow = df.select(g.alias("k"), F.col(score).cast("double").alias("v"), F.col(tie).cast("string").alias("t"),
-                       (F.col(group) if group else F.lit(None)).alias("g")).persist(StorageLevel.MEMORY_AND_DISK)
+                       (F.col(group) if group else F.lit(None)).alias("g"))
+    narrow = narrow.persist(StorageLevel.DISK_ONLY)
     try:
         return _rank_cuts(spark, narrow, group, cuts)
     finally:
