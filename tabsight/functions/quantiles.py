@@ -33,6 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _inf():
+    return F.lit(float("inf"))
+
+
 @dataclass
 class _Bracket:
     bid: int
@@ -69,8 +73,10 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
             [(b.bid, b.key, float(b.lo), float(b.hi), (b.hi - b.lo) / bins if b in big else 1.0)
              for b in active],
             "bid long, k string, lo double, hi double, w double")
+        # hi is exclusive, except that +inf (its own nextafter) is included
         inside = (vals.join(F.broadcast(tbl), "k")
-                  .where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi"))))
+                  .where((F.col("v") >= F.col("lo"))
+                         & ((F.col("v") < F.col("hi")) | ((F.col("v") == _inf()) & (F.col("hi") == _inf())))))
 
         def finalize(small=small, inside=inside):
             if not small:
@@ -98,6 +104,13 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
             b1 = (F.when((b0 > 0) & (F.col("v") < edge(b0)), b0 - 1)
                   .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
                   .otherwise(b0))
+            # infinities get their own end bins (one value each: resolved);
+            # a range of infinite width puts all finite values in bin 0,
+            # whose [min, max] is finite
+            b1 = (F.when(F.col("v") == -_inf(), F.lit(-1).cast("long"))
+                  .when(F.col("v") == _inf(), F.lit(bins).cast("long"))
+                  .when(F.col("w") == _inf(), F.lit(0).cast("long"))
+                  .otherwise(b1))
             return (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
                     .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
                                                F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
@@ -138,6 +151,16 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
     return found
 
 
+def _lerp(a: float, b: float, frac: float) -> float:
+    """Linear interpolation between neighbouring order statistics; equal or
+    infinite endpoints give the endpoint (both infinite and different: NaN)."""
+    if not frac or a == b:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return math.nan if math.isinf(a) and math.isinf(b) else (a if math.isinf(a) else b)
+    return a + (b - a) * frac
+
+
 def _finish(spark, base_rows, probs, vals, max_group, bins, max_iter, name_col, first_nd=None):
     brackets, plan = [], []
     for i, row in enumerate(base_rows):
@@ -159,8 +182,7 @@ def _finish(spark, base_rows, probs, vals, max_group, bins, max_iter, name_col,
         if r0 is None:
             out.append((k, float(p), None))
             continue
-        a, b = found[(k, r0)], found[(k, r1)]
-        out.append((k, float(p), a + (b - a) * frac if frac else a))
+        out.append((k, float(p), _lerp(found[(k, r0)], found[(k, r1)], frac)))
     return spark.createDataFrame(out, f"{name_col} string, p double, quantile double")
 
 

@@ -70,3 +70,22 @@ def test_rank_cuts_repeated_key(spark):
     cuts = rank_cuts(df, "g", "s", "t", {"a": [1, 10, 40, 45, 70, 90]})
     for c in (1, 10, 40, 45, 70, 90):
         assert cuts[("a", c)] == order[c - 1]
+
+
+@pytest.mark.parametrize("max_group,bins", [(20_000, 1024), (3, 4)])
+def test_infinite_values(spark, max_group, bins):
+    inf = float("inf")
+    vals = [-inf] * 5 + [float(i) for i in range(30)] + [inf] * 7
+    probs = [0.0, 0.05, 0.2, 0.5, 0.8, 0.95, 1.0]
+    got = _q(spark, vals, probs, max_group=max_group, bins=bins)
+    # exact order statistics: compare the probabilities that hit a single rank
+    n = len(vals)
+    for p in probs:
+        h = (n - 1) * p
+        if h == int(h):
+            assert got[p] == sorted(vals)[int(h)]
+    assert _q(spark, [inf] * 4, [0.5], max_group=max_group, bins=bins) == {0.5: inf}   # as DuckDB
+    assert _q(spark, [-inf, 1.0, 2.0], [0.25], max_group=max_group, bins=bins) == {0.25: -inf}
+    mixed = [1.0, 2.0, 3.0, inf]
+    assert _q(spark, mixed * 10, [0.25], max_group=max_group, bins=bins)[0.25] == \
+        float(np.quantile(mixed * 10, 0.25))
