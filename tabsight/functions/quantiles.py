@@ -47,6 +47,29 @@ class _Bracket:
     ranks: list = field(default_factory=list)
 
 
+def _bin_counts(inside: DataFrame, bins: int) -> DataFrame:
+    """``(bid, bin, cnt, mn, mx)`` of the rows ``(bid, v, lo, w)`` of the
+    brackets being cut: declarative aggregates only (whole-stage codegen)."""
+    # bin by arithmetic, then correct by one against the exact edges
+    # lo + i*w so that bins are ordered, contiguous ranges.
+    b0 = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.col("w")),
+                            F.lit(0)), F.lit(bins - 1)).cast("long")
+    edge = lambda i: F.col("lo") + i.cast("double") * F.col("w")
+    b1 = (F.when((b0 > 0) & (F.col("v") < edge(b0)), b0 - 1)
+          .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
+          .otherwise(b0))
+    # infinities get their own end bins (one value each: resolved); a range
+    # of infinite width puts all finite values in bin 0, whose [min, max] is
+    # finite
+    b1 = (F.when(F.col("v") == -_inf(), F.lit(-1).cast("long"))
+          .when(F.col("v") == _inf(), F.lit(bins).cast("long"))
+          .when(F.col("w") == _inf(), F.lit(0).cast("long"))
+          .otherwise(b1))
+    return (inside.withColumn("bin", b1)
+            .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
+                                       F.min("v").alias("mn"), F.max("v").alias("mx")))
+
+
 def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                      bins: int, max_iter: int, first_nd: dict | None = None) -> dict:
     """Value at every target rank of every bracket.
@@ -95,25 +118,7 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
         def histogram(big=big, inside=inside):
             if not big:
                 return []
-            ids = [b.bid for b in big]
-            # bin by arithmetic, then correct by one against the exact edges
-            # lo + i*w so that bins are ordered, contiguous ranges.
-            b0 = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.col("w")),
-                                    F.lit(0)), F.lit(bins - 1)).cast("long")
-            edge = lambda i: F.col("lo") + i.cast("double") * F.col("w")
-            b1 = (F.when((b0 > 0) & (F.col("v") < edge(b0)), b0 - 1)
-                  .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
-                  .otherwise(b0))
-            # infinities get their own end bins (one value each: resolved);
-            # a range of infinite width puts all finite values in bin 0,
-            # whose [min, max] is finite
-            b1 = (F.when(F.col("v") == -_inf(), F.lit(-1).cast("long"))
-                  .when(F.col("v") == _inf(), F.lit(bins).cast("long"))
-                  .when(F.col("w") == _inf(), F.lit(0).cast("long"))
-                  .otherwise(b1))
-            return (inside.where(F.col("bid").isin(ids)).withColumn("bin", b1)
-                    .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
-                                               F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
+            return _bin_counts(inside.where(F.col("bid").isin([b.bid for b in big])), bins).collect()
 
         # the two passes are independent jobs: submit them together
         with ThreadPoolExecutor(max_workers=2) as pool:

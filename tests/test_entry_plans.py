@@ -29,3 +29,17 @@ def test_outlier_bounds_pushed_to_scan(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value")
     plan = D.outliers_iqr(ev, "value")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "value" in plan.split("PushedFilters")[1][:200]
+
+
+def test_quantile_bins_stay_in_codegen(spark):
+    """The histogram pass of the exact quantiles is a codegen hash aggregate
+    (no sketch buffers, no object or sort aggregate)."""
+    from pyspark.sql import functions as F
+    from tabsight.functions.quantiles import _bin_counts
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    inside = li.select(F.lit(0).cast("long").alias("bid"), F.col("l_extendedprice").alias("v"),
+                       F.lit(900.0).alias("lo"), F.lit(100.0).alias("w"))
+    plan = _bin_counts(inside, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert "ReadSchema: struct<l_extendedprice:double>" in plan
