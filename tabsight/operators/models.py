@@ -61,7 +61,10 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 def fixed_layout(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Deterministic row layout for estimators whose sampling depends on the
     partitioning (bootstraps, feature subsets): hash-partition by key into a
-    fixed count and sort within partitions."""
+    fixed count and sort within partitions.  The count defaults to the
+    session's ``spark.sql.shuffle.partitions`` (sized to the cluster), and
+    AQE does not coalesce an explicit count, so the layout is the same on
+    every run with the same settings."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[col(k) for k in keys]).sortWithinPartitions(*[col(k) for k in keys])
 
