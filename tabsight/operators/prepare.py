@@ -127,7 +127,8 @@ def impute_drop(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode(df: DataFrame, columns: list[str] | None = None, null_token: str = "nan") -> DataFrame:
     """Codes = position of the value among the column's sorted distinct values
     (X5); nulls become the category ``'nan'``.  The code table is built with a
-    distributed dense rank and joined back (AQE broadcasts it when small)."""
+    distributed dense rank and joined back: broadcast when its measured size
+    is under ``BROADCAST_LIMIT_BYTES``, otherwise a shuffle join."""
     columns = columns if columns is not None else columns_of_kind(df, "text")
     if not columns:
         return df
