@@ -14,7 +14,10 @@ Work per step, so that no group is ever expanded into all its pairs:
    confirmed on full sets, rebuilt from the texts;
 3. in buckets whose members still lie in different components, the members
    outside the bucket's first component are compared with the others.  Pairs
-   within a component need no comparison, as they cannot change the result.
+   within a component need no comparison, as they cannot change the result,
+   and neither do pairs whose rare shingles leave too little to share (an
+   exact bound: heavily edited members of a large group fall out here instead
+   of meeting the whole group).
 
 Cases: null and empty texts, and texts without words, have an empty set and
 are linked with nothing; rows sharing an id are one document, that of their
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import join_small, keep, small_batches
@@ -39,6 +42,8 @@ WORDS = 5
 PERCENT = 75
 COLLECTIONS = 14
 PER_COLLECTION = 2
+#: Sets holding a shingle, up to which it counts as rare in step 3.
+RARE = 16
 _TABLE = 200_000
 
 
@@ -130,6 +135,59 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.select("u", "v", "ta", "tb").mapInPandas(check, "u long, v long")
 
 
+def _key(i: Column, j: Column, bands: Column, collections: int) -> Column:
+    """Table key of collections i > j."""
+    return F.xxhash64(i * collections + j, bands[i], bands[j])
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: DataFrame, percent: int,
+                collections: int) -> DataFrame:
+    """Pairs in buckets of several components that may still be linked.
+
+    Two sets share at most the smaller of their counts of common shingles plus
+    the rare ones (in at most ``RARE`` sets) that both hold.  Pairs that share
+    rare shingles are listed from the short lists of those; for all others the
+    common shingles alone must allow the similarity."""
+    member = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = (member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("low <> high").select("key", "low"))
+    open_ = keep(member.join(mixed, "key"), "open")
+    reps = keep(open_.select("rep", "root").distinct().join(groups.select("rep", "n", "bands"), "rep"), "reps")
+
+    def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Shingles()
+        for part in parts:
+            found = [sets.of(text).view(np.int64) for text in part["text"]]
+            if found:
+                yield pd.DataFrame({"rep": np.repeat(part["id"].to_numpy(), [len(f) for f in found]),
+                                    "shingle": np.concatenate(found)})
+
+    held = join_small(texts, reps.select(F.col("rep").alias("id")), "id", "left_semi", 16).mapInPandas(
+        spell, "rep long, shingle long")
+    few = held.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = keep(held.join(few, "shingle"), "rare")
+    known = keep(reps.join(rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
+                 .select("rep", "root", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common"), "bands"), "known")
+    both = known.toDF("u", "ru", "nu", "cu", "bu")
+    other = known.toDF("v", "rv", "nv", "cv", "bv")
+
+    def allowed(shared_rare):
+        most = F.least("cu", "cv") + shared_rare
+        return (F.col("ru") != F.col("rv")) & (100 * most >= percent * (F.col("nu") + F.col("nv") - most))
+
+    lists = rare.where("df > 1").select("shingle", "rep")
+    listed = (lists.toDF("shingle", "u").join(lists.toDF("shingle", "v"), "shingle").where("u < v")
+              .groupBy("u", "v").agg(F.count("*").alias("k")).join(both, "u").join(other, "v").where(allowed(F.col("k"))))
+    left = open_.where("root <> low").select("key", F.col("rep").alias("u")).join(both, "u")
+    right = open_.select("key", F.col("rep").alias("v")).join(other, "v")
+    # a pair counts in the first table that it shares only
+    same = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda i: F.col("bu")[i] == F.col("bv")[i])
+    once = F.transform(F.array(same), lambda m: _key(m[1], m[0], F.col("bu"), collections))[0] == F.col("key")
+    bucketed = left.join(right, "key").where(allowed(F.lit(0)) & once)
+    return (listed.select("u", "v").union(bucketed.select(F.least("u", "v"), F.greatest("u", "v"))).distinct())
+
+
 def one_text_per_id(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``source`` with the smallest text of every repeated id, and a table
     (id, n_rows) of the ids that repeat.  Only rows of such ids are shuffled
@@ -154,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = sig.where("id IS NOT NULL AND n > 0")
     groups = keep(linked.groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"),
                                               F.min_by("bands", "id").alias("bands")), "sets")
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i * collections + j), F.col("bands")[i], F.col("bands")[j])
+    keys = F.explode(F.array(*[_key(F.lit(i), F.lit(j), F.col("bands"), collections)
                                for i in range(collections) for j in range(i)]))
     rows = groups.select(keys.alias("key"), "rep")
     tops = rows.groupBy("key").agg(F.min("rep").alias("top"), F.count("*").alias("size")).where("size > 1")
@@ -171,17 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = keep(shared.select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = keep(join_small(source, wanted, "id", "left_semi", 16), "texts")
     edges = keep(_confirm(first, texts, percent), "links")
-    member = shared.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = (member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low <> high").select("key", "low"))
-    open_ = keep(member.join(mixed, "key"), "open")
-    left = open_.where("root <> low").select("key", F.col("rep").alias("u"), F.col("root").alias("ru"))
-    right = open_.select("key", F.col("rep").alias("v"), F.col("root").alias("rv"))
-    rest = (left.join(right, "key").where("ru <> rv")
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            .join(first, ["u", "v"], "left_anti"))
-    more = keep(_confirm(keep(sized(rest), "pairs"), texts, percent), "links")
+    rest = _open_pairs(shared, components(edges), texts, groups, percent, collections).join(first, ["u", "v"], "left_anti")
+    more = keep(_confirm(keep(rest, "pairs"), texts, percent), "links")
     roots = components(edges.union(more)).withColumnRenamed("node", "rep")
     home = groups.join(roots, "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
