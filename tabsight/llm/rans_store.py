@@ -22,10 +22,13 @@ store; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabsight.llm.bpe_counts import byte_symbols
 from tabsight.llm.common import keep, small_batches, tokenizer_path
 from tabsight.session import checkpoint_dir
 
@@ -42,45 +46,88 @@ SCALE_BITS = 18
 LANES, CHECK_ROWS = 128, 128
 BLOCK_IDS = 1 << 16
 BUCKET_ROWS = 4000
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 400_000
 LOW = np.uint64(1 << 31)
 _GROUP = 16  # blocks coded side by side
 
 
 class ChunkTokens:
-    """Ids of the tokenizers library; distinct chunks between spaces are
-    encoded once per task (no token reaches over white space)."""
+    """Ids of the tokenizers library; distinct chunks are encoded once and
+    joined back by position, as little-endian unsigned integers.
+
+    No token reaches over white space, nor from a letter to the punctuation
+    behind it, and case is dropped before the merges.  So a text is lowered
+    (unless it holds a character whose lower case depends on its place, or the
+    start of a special string), cut at spaces, and a word's last mark is a
+    chunk of its own.  A chunk of letters is one word to the library, so its
+    merge model is asked directly; any other chunk goes through all its steps."""
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str, max_chunks: int = MAX_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.lib, self.max_chunks, self.table = Tokenizer.from_file(path), max_chunks, {}
+        self.lib, self.max_chunks = Tokenizer.from_file(path), max_chunks
+        self.code = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.model, self.table = self.lib.model, _Table(self._chunk)
+
+    def _chunk(self, w: str) -> bytes:
+        if w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+            word = w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols)
+            return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        if w[-1:] in self.MARKS and w[:-1].isalpha():
+            return self._chunk(w[:-1]) + self.table[w[-1]]
+        return array(self.code, self.lib.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, get = [], self.table.__getitem__
+        for t in texts:
+            if len(self.table) > self.max_chunks:
+                self.table.clear()
+            if not ("<|" in t or "\u03a3" in t or "\u0130" in t):
+                t = t.lower()
+            out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return out
+
+
+class _Table(dict):
+    """Values made on first use."""
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        table = self.table
-        new = [w for w in {w for words in cut for w in words} if w not in table]
-        if len(table) + len(new) > self.max_chunks:
-            table.clear()
-            new = list({w for words in cut for w in words})
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            table[w] = e.ids
-        return [[i for w in words for i in table[w]] for words in cut]
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> ChunkTokens:
+    """One per Python worker, so that its tasks share the table."""
+    return ChunkTokens(path)
 
 
 def tokenise_udf(path: str, end: int | None = END):
-    """Column function text -> ids as little-endian unsigned 32-bit integers."""
+    """Column function text -> ids as little-endian unsigned integers of the
+    width ``id_type`` gives."""
     @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens, tail = ChunkTokens(path), [] if end is None else [end]
+        tokens = _tokens(path)
+        tail = b"" if end is None else array(tokens.code, [end]).tobytes()
         for part in parts:
             out, texts = [], part.fillna("").tolist()
             for i in range(0, len(texts), 200):
-                out += [np.array(ids + tail, dtype="<u4").tobytes() for ids in tokens.encode(texts[i:i + 200])]
+                out += [ids + tail for ids in tokens.encode(texts[i:i + 200])]
             yield pd.Series(out, dtype=object)
     return run
 
 
+def id_type(path: str) -> str:
+    return "<u2" if ChunkTokens(path).code == "H" else "<u4"
+
+
 class RansCoder:
     """Coder of blocks under one frequency table (symbols, shares)."""
 
@@ -88,6 +135,8 @@ class RansCoder:
         order = np.argsort(symbols)
         self.symbols, self.freq = symbols[order].astype(np.uint32), shares[order].astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
+        self.place = np.zeros(int(self.symbols.max()) + 1, dtype=np.uint32)
+        self.place[self.symbols] = np.arange(len(self.symbols))
         self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
         self.bits, self.mask = np.uint64(SCALE_BITS), np.uint64((1 << SCALE_BITS) - 1)
 
@@ -97,7 +146,7 @@ class RansCoder:
         rows = int(-(-lens.max() // LANES)) if b else 0
         s = np.zeros((b, rows * LANES), dtype=np.int64)
         for k, x in enumerate(blocks):
-            s[k, :len(x)] = np.searchsorted(self.symbols, x)
+            s[k, :len(x)] = self.place[x]
         state = np.full((b, LANES), LOW, dtype=np.uint64)
         words, counts, checks = [None] * rows, np.zeros((rows, b), dtype=np.int64), {}
         lane = np.arange(LANES)
@@ -209,22 +258,19 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(dtype=np.int64), side="right"))
 
     small_batches(spark)
-    n_parts = len(bounds) + 1
+    path = path or tokenizer_path(MODEL)
+    width, n_parts = id_type(path), len(bounds) + 1
     tokens = source.select("id", deal(F.coalesce("id", F.lit(-(1 << 63)))).alias("bucket"),
-                           tokenise_udf(path or tokenizer_path(MODEL), end)("text").alias("ids"))
+                           tokenise_udf(path, end)("text").alias("ids"))
     tokens = tokens.repartitionById(n_parts, F.col("bucket")).sortWithinPartitions("bucket", "id", "ids")
     tokens = keep(tokens, "tokens")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for part in parts:
-            for raw in part["ids"]:
-                c = np.bincount(np.frombuffer(raw, "<u4")) if raw else total[:0]
-                if len(c) > len(total):
-                    c[:len(total)] += total
-                    total = c
-                else:
-                    total[:len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(part["ids"]), width), minlength=len(total))
+            c[:len(total)] += total
+            total = c
         at = np.flatnonzero(total)
         yield pd.DataFrame({"symbol": at, "n": total[at]})
 
@@ -244,7 +290,7 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
             nonlocal ids, lens, arrays, size
             if lens:
                 ready.append((state["bucket"], state["seq"], state["at"], size, ids, lens,
-                              np.concatenate(arrays) if arrays else np.zeros(0, "<u4")))
+                              np.concatenate(arrays)))
                 state["seq"] += 1
                 state["at"] += size
             ids, lens, arrays, size = [], [], [], 0
@@ -263,7 +309,7 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
                 if b != state["bucket"]:
                     close()
                     state.update(bucket=int(b), seq=0, at=0)
-                x = np.frombuffer(raw, "<u4")
+                x = np.frombuffer(raw, width)
                 if lens and size + len(x) > BLOCK_IDS:
                     close()
                 ids.append(i)
