@@ -155,13 +155,24 @@ def _revealing(terms: DataFrame, texts: DataFrame, support: int, generalise: flo
     pairs = (terms.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(
         x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
         .groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
-    pairs = keep(pairs, "pairs")
-    sizes = pairs.agg(F.sum(F.octet_length("term") + 32), F.count("*")).first()
     total = texts.count()
-    if not sizes[1]:
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
     entities = (terms.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(
         ":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
+    near = (terms.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
+            .groupBy("term").agg(F.count("*").alias("n_near")))
+
+    def ratio(n_term: str) -> Column:
+        pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col(n_term)))
+        worth = F.log2(F.lit(float(total)) / F.col("n_entity"))
+        return F.when(worth > 0, pmi / worth).otherwise(0.0)
+
+    # a term is in at least as many documents as it is near any entity, which
+    # rules most pairs out before words of the whole corpus are counted
+    pairs = keep(pairs.join(entities, "entity").join(near, "term").where(ratio("n_near") >= generalise)
+                 .select("entity", "term", "n_both", "n_entity"), "pairs")
+    sizes = pairs.agg(F.sum(F.octet_length("term") + 32), F.count("*")).first()
+    if not sizes[1]:
+        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
     vocabulary = pairs.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -169,10 +180,7 @@ def _revealing(terms: DataFrame, texts: DataFrame, support: int, generalise: flo
         counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(vocabulary, "term")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    worth = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return (pairs.join(entities, "entity").join(counts, "term")
-            .withColumn("ratio", F.when(worth > 0, pmi / worth).otherwise(0.0))
+    return (pairs.join(counts, "term").withColumn("ratio", ratio("n_term"))
             .where(F.col("ratio") >= generalise).select("entity", "term", "ratio"))
 
 
