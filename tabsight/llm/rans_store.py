@@ -46,7 +46,7 @@ SCALE_BITS = 18
 LANES, CHECK_ROWS = 128, 128
 BLOCK_IDS = 1 << 16
 BUCKET_ROWS = 4000
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 600_000
 LOW = np.uint64(1 << 31)
 _GROUP = 16  # blocks coded side by side
 
@@ -77,7 +77,7 @@ class ChunkTokens:
             word = w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols)
             return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
         if w[-1:] in self.MARKS and w[:-1].isalpha():
-            return self._chunk(w[:-1]) + self.table[w[-1]]
+            return (self.table.get(w[:-1]) or self._chunk(w[:-1])) + self.table[w[-1]]
         return array(self.code, self.lib.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
