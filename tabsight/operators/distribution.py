@@ -108,8 +108,8 @@ def outliers_iqr(df: DataFrame, column: str) -> DataFrame:
 def outliers_zscore(df: DataFrame, column: str) -> DataFrame:
     """Rows with |x - mean| / std_pop > 3 (D4), aligned with the rows."""
     x = _x(df, column)
-    mu, sd = df.agg(F.avg(x), F.stddev_pop(x)).first()
-    if mu is None:
+    mu, sd, low, high = df.agg(F.avg(x), F.stddev_pop(x), F.min(x), F.max(x)).first()
+    if mu is None or low == high:  # no spread: a rounded mean must not make every row an outlier
         return df.where(F.lit(False))
     # |x - mu| > 3 sd as a two-sided range on literals: pushed to the scan
     return df.where((x < F.lit(mu - Z_LIMIT * sd)) | (x > F.lit(mu + Z_LIMIT * sd)))

@@ -527,7 +527,7 @@ fa{i} AS (SELECT fold, avg(CASE WHEN label = pr THEN 1.0 ELSE 0.0 END) AS a FROM
 
 SQL["metrics_table"] = _rule_ctes() + f"""SELECT model AS "Model", {R('accuracy')} AS "Accuracy", {R('precision')} AS "Precision",
   {R('recall')} AS "Recall", {R('f1')} AS "F1-Score", {R('cv_mean')} AS "CV Mean", {R('cv_std')} AS "CV Std",
-  {R('roc_auc')} AS "ROC AUC" FROM mt ORDER BY ordinal"""
+  {R('roc_auc')} AS "ROC-AUC" FROM mt ORDER BY ordinal"""
 
 _MCOLS = ["accuracy", "precision", "recall", "f1", "cv_mean", "cv_std", "roc_auc"]
 SQL["metric_extremes"] = _rule_ctes() + ", lg AS (" + _union([

@@ -43,10 +43,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in
-    ``spark.checkpoint.dir``.  Only when it is unset (local tests) a fresh
-    folder under the system temp dir is used."""
+    ``spark.checkpoint.dir``.  Only in local mode, when it is unset (tests), a
+    fresh folder under the system temp dir is used; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tabsight-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -40,13 +40,19 @@ def canonicalize_na(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     return df.select(*[F.when(col(c).isin(list(tokens)), None).otherwise(col(c)).alias(c) for c in df.columns])
 
 
+# a number as text: no type suffix such as 1d or 2f
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Quotes are doubled inside quoted fields, as other CSV tools write and read.
+_CSV_QUOTES = {"quote": '"', "escape": '"'}
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns to the narrowest type every non-null value parses as
     (one aggregate for all columns and candidate types)."""
     checks = {
         "boolean": lambda c: F.lower(c).isin("true", "false"),
-        "bigint": lambda c: c.try_cast("bigint").isNotNull() & ~c.contains("."),
-        "double": lambda c: c.try_cast("double").isNotNull(),
+        "bigint": lambda c: c.try_cast("bigint").isNotNull() & c.rlike(r"^[+-]?\d+$"),
+        "double": lambda c: c.try_cast("double").isNotNull() & c.rlike(_NUMBER),
         "date": lambda c: c.rlike(_DATE) & c.try_cast("date").isNotNull(),
         "timestamp_ntz": lambda c: c.try_cast("timestamp_ntz").isNotNull() & c.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"),
     }
@@ -79,11 +85,17 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, na_tokens=NA_TOKENS,
-             infer: bool = True, multi_line: bool = False, **options) -> DataFrame:
+             infer: bool = True, multi_line: bool | None = None, **options) -> DataFrame:
     """CSV source (S1): header row, NA tokens -> NULL, inferred types.
 
-    Files stay splittable (many tasks per large file); ``multi_line=True``
-    accepts quoted fields with line breaks at the price of one task per file."""
+    Quoted fields may hold quotes (doubled), commas and line breaks.  Files
+    stay splittable (many tasks per large file) unless a line leaves a quote
+    open; then a field holds a line break and each file is one task.
+    ``multi_line`` skips that look."""
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+    options = _CSV_QUOTES | options
     raw = spark.read.options(header=str(header).lower(), inferSchema="false", multiLine=str(multi_line).lower(),
                              **options).csv(path)
     raw = canonicalize_na(raw, na_tokens)
@@ -105,7 +117,7 @@ def _looks_like_array(spark: SparkSession, path: str) -> bool:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV sink (S5): header, one file per partition."""
-    df.write.mode(mode).option("header", "true").csv(path)
+    df.write.mode(mode).options(header="true", **_CSV_QUOTES).csv(path)
     return path
 
 

@@ -100,3 +100,9 @@ def test_histograms_equal_single_column(spark, df):
     for c in ("v", "w"):
         one = {r["bin"]: r["count"] for r in D.histogram(two, c, 10).collect()}
         assert one == {b: n for (cc, b), n in many.items() if cc == c}
+
+
+def test_zscore_constant_column_has_no_outlier(spark):
+    from tabsight.operators.distribution import outliers_zscore
+    df = spark.range(1000).selectExpr("CAST(0.1 AS double) AS x")
+    assert outliers_zscore(df, "x").count() == 0

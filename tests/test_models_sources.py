@@ -103,3 +103,16 @@ def test_workbook_round_trip(spark, tmp_path):
     df = FI.read_workbooks(spark, str(d))
     rows = sorted(tuple(r) for r in df.collect())
     assert rows == [(1, "a&b", 1.5), (2, None, None)]
+
+
+def test_csv_quotes_line_breaks_and_codes(spark, tmp_path):
+    import pandas as pd
+    from tabsight.sources.files import read_csv, write_csv
+    f = tmp_path / "a.csv"
+    f.write_text('id,j,code\n1,"{""a"": 1, ""b"": 2}",1d\n2,"two\nlines, here",2f\n')
+    df = read_csv(spark, str(f))
+    rows = [tuple(r) for r in df.orderBy("id").collect()]
+    assert rows == [(1, '{"a": 1, "b": 2}', "1d"), (2, "two\nlines, here", "2f")]
+    out = write_csv(df.coalesce(1), str(tmp_path / "out"))
+    back = pd.read_csv(next((tmp_path / "out").glob("part-*.csv")))
+    assert out and sorted(map(tuple, back.values.tolist())) == rows
