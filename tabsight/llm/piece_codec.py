@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tabsight.llm.common import small_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 150_000
 MARKER = "▁"
 
 
@@ -38,9 +38,9 @@ class ChunkCodec:
         #: Only then may the text be cut at markers.
         self.cuts = not any(MARKER in p.lstrip(MARKER) for p in pieces)
         self.max_chunks = max_chunks
-        self.lone = [self.sp.piece_to_id(MARKER)]
+        self.lone = array("I", [self.sp.piece_to_id(MARKER)]).tobytes()
         self.bos, self.eos = self.sp.bos_id(), self.sp.eos_id()
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -66,20 +66,22 @@ class ChunkCodec:
             self.table.clear()
             new = list(words)
         for w, ids in zip(new, self.sp.encode(new, num_threads=1) if new else []):
-            self.table[w] = ids
+            self.table[w] = array("I", ids).tobytes()
         if "" in words:  # one marker with no word behind it
             self.table[""] = self.lone
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with begin and end, as unsigned 32-bit integers."""
+        first, last = array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()
         if not self.cuts:
-            return [[self.bos, *ids, self.eos] for ids in self.sp.encode(texts, num_threads=1)]
+            return [first + array("I", ids).tobytes() + last for ids in self.sp.encode(texts, num_threads=1)]
         cut = [self.chunks(t.replace(MARKER, " ")) if t else [] for t in texts]
         self.learn({w for words in cut for w in words})
-        get = self.table
-        return [[self.bos, *[i for w in words for i in get[w]], self.eos] for words in cut]
+        get = self.table.__getitem__
+        return [b"".join((first, *map(get, words), last)) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+    def decode(self, ids: bytes) -> str:
+        return self.sp.decode(array("I", ids).tolist())
 
 
 def codec_udf(path: str):
@@ -91,9 +93,9 @@ def codec_udf(path: str):
         for part in parts:
             texts = part.fillna("").tolist()
             out = []
-            for i in range(0, len(texts), 200):
-                for ids in codec.encode(texts[i:i + 200]):
-                    out.append((array("I", ids).tobytes(), len(ids), codec.decode(ids)))
+            for i in range(0, len(texts), 100):
+                for ids in codec.encode(texts[i:i + 100]):
+                    out.append((ids, len(ids) // 4, codec.decode(ids)))
             yield pd.DataFrame(out, columns=["ids", "n_tokens", "decoded"])
     return code
 
@@ -104,7 +106,7 @@ def decode_udf(path: str):
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = ChunkCodec(path)
         for part in parts:
-            yield pd.Series([None if b is None else codec.decode(array("I", b).tolist()) for b in part], dtype=object)
+            yield pd.Series([None if b is None else codec.decode(b) for b in part], dtype=object)
     return decode
 
 
