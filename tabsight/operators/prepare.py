@@ -274,7 +274,7 @@ def min_rows_guard(df: DataFrame, n: int = MIN_ROWS) -> None:
     """Raise when fewer than ``n`` rows (P8); reads at most ``n`` rows."""
     got = df.limit(n).count()
     if got < n:
-        raise ValueError(f"Not enough data after preprocessing (minimum {n} samples required, got {got})")
+        raise ValueError(f"{got} complete rows left, at least {n} are needed")
 
 
 def prepare(df: DataFrame, target: str, features: list[str], keep: list[str] | None = None,

@@ -298,7 +298,7 @@ def model_importance(model: M.FittedModel, spark) -> DataFrame:
     if imp is None:
         co = model.coefficients()
         if co is None:
-            raise ValueError("Model does not support feature importance extraction")
+            raise ValueError("this model has neither importances nor coefficients")
         first = co[0][0]
         imp = [(f, abs(v)) for c, f, v in co if c == first]
     rows = sorted(imp, key=lambda r: (-r[1], r[0]))
@@ -382,7 +382,7 @@ def grid_search(data, features, label, key, name, classification=True, k: int =
     flagged (ties -> first combination)."""
     grid = param_grids().get(name)
     if not grid:
-        raise ValueError(f"No parameter grid defined for {name}")
+        raise ValueError(f"nothing to search for model {name!r}")
     keys = list(grid)
     combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k_] for k_ in keys])]
     return _search(data, features, label, key, name, classification, combos, k)
@@ -394,7 +394,7 @@ def random_search(data, features, label, key, name, classification=True, k: int
     from the grid with a seeded generator (the whole grid when smaller)."""
     grid = param_grids().get(name)
     if not grid:
-        raise ValueError(f"No parameter grid defined for {name}")
+        raise ValueError(f"nothing to search for model {name!r}")
     keys = list(grid)
     combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k_] for k_ in keys])]
     if len(combos) > n_iter:
