@@ -45,19 +45,34 @@ class _Bracket:
     hi: float            # exclusive
     below: int           # rows of the column strictly below ``lo``
     ranks: list = field(default_factory=list)
+    log: bool = False    # bins of equal width in the logarithm
+
+    def base(self) -> float:
+        return _log_value(self.lo) if self.log else self.lo
+
+    def width(self, bins: int) -> float:
+        return ((_log_value(self.hi) - _log_value(self.lo)) if self.log else (self.hi - self.lo)) / bins
+
+
+_TINY = 2.0 ** -1022     # smallest normal double
+
+
+def _log_value(v: float) -> float:
+    return math.copysign(math.log(abs(v)) - math.log(_TINY), v) if abs(v) > _TINY else 0.0
+
+
+def _log_column(v):
+    """Signed logarithm above the smallest normal double: keeps the order, and
+    spreads values of all magnitudes over about +-1420."""
+    return F.when(F.abs(v) > _TINY, F.signum(v) * (F.log(F.abs(v)) - F.lit(math.log(_TINY)))).otherwise(F.lit(0.0))
 
 
 def _bin_counts(inside: DataFrame, bins: int) -> DataFrame:
-    """``(bid, bin, cnt, mn, mx)`` of the rows ``(bid, v, lo, w)`` of the
+    """``(bid, bin, cnt, mn, mx)`` of the rows ``(bid, v, base, w, lg)`` of the
     brackets being cut: declarative aggregates only (whole-stage codegen)."""
-    # bin by arithmetic, then correct by one against the exact edges
-    # lo + i*w so that bins are ordered, contiguous ranges.
-    b0 = F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.col("w")),
-                            F.lit(0)), F.lit(bins - 1)).cast("long")
-    edge = lambda i: F.col("lo") + i.cast("double") * F.col("w")
-    b1 = (F.when((b0 > 0) & (F.col("v") < edge(b0)), b0 - 1)
-          .when((b0 < bins - 1) & (F.col("v") >= edge(b0 + 1)), b0 + 1)
-          .otherwise(b0))
+    # every step keeps the order of the values, so bins are ordered ranges
+    x = F.when(F.col("lg"), _log_column(F.col("v"))).otherwise(F.col("v"))
+    b1 = F.least(F.greatest(F.floor((x - F.col("base")) / F.col("w")), F.lit(0)), F.lit(bins - 1)).cast("long")
     # infinities get their own end bins (one value each: resolved); a range
     # of infinite width puts all finite values in bin 0, whose [min, max] is
     # finite
@@ -80,7 +95,9 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
     declarative ``groupBy(bracket, bin)`` (count, min, max: whole-stage
     codegen).  A bin whose min equals its max resolves its ranks at once;
     otherwise its row count bounds its distinct values and the next bracket
-    is the bin's own ``[min, max]``, so every pass at least splits it."""
+    is the bin's own ``[min, max]``, so every pass at least splits it.  A bin
+    that keeps more than an eighth of its bracket's rows (a heavy tail) is cut
+    in the logarithm next, which leaves ranges of one order of magnitude."""
     spark = vals.sparkSession
     found: dict = {}
     next_id = max(b.bid for b in brackets) + 1 if brackets else 0
@@ -92,10 +109,14 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
         # a range too narrow to cut into bins is resolved exactly
         small = [b for b in active if nd[b.bid] <= max_group or not (b.hi - b.lo) / bins > 0]
         big = [b for b in active if b not in small]
+        for b in big:
+            finite = math.isfinite(b.lo) and math.isfinite(b.hi)
+            b.log = finite and (b.log or math.isinf(b.hi - b.lo))
+            b.log = b.log and b.width(bins) > 0
         tbl = spark.createDataFrame(
-            [(b.bid, b.key, float(b.lo), float(b.hi), (b.hi - b.lo) / bins if b in big else 1.0)
+            [(b.bid, b.key, float(b.lo), float(b.hi), b.base(), b.width(bins) if b in big else 1.0, b.log)
              for b in active],
-            "bid long, k string, lo double, hi double, w double")
+            "bid long, k string, lo double, hi double, base double, w double, lg boolean")
         # hi is exclusive, except that +inf (its own nextafter) is included
         inside = (vals.join(F.broadcast(tbl), "k")
                   .where((F.col("v") >= F.col("lo"))
@@ -136,6 +157,7 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                     (int(row["bin"]), int(row["cnt"]), float(row["mn"]), float(row["mx"])))
             for b in big:
                 acc = b.below
+                rows = sum(x[1] for x in per.get(b.bid, []))
                 children: dict = {}
                 for i, cnt, mn, mx in sorted(per.get(b.bid, [])):
                     for r in b.ranks:
@@ -145,7 +167,8 @@ def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
                                 continue
                             ch = children.get(i)
                             if ch is None:
-                                ch = children[i] = _Bracket(next_id, b.key, mn, math.nextafter(mx, math.inf), acc)
+                                ch = children[i] = _Bracket(next_id, b.key, mn, math.nextafter(mx, math.inf), acc,
+                                                            log=not b.log and 8 * cnt > rows)
                                 nd[next_id] = cnt
                                 next_id += 1
                             ch.ranks.append(r)

@@ -15,8 +15,8 @@ the model has one, ``probability`` as ``array<double>``), ``importances()``,
   list is ever materialised.
 * Kernel SVM/SVR approximated with random Fourier features (Rahimi & Recht,
   2007) computed by an Arrow-batched pandas UDF, followed by ``LinearSVC``
-  (classification) or distributed subgradient steps on the
-  epsilon-insensitive loss (regression).  These are approximations.
+  (classification) or ``LinearRegression`` with the Huber loss (regression).
+  These are approximations.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
@@ -46,7 +45,7 @@ from pyspark.sql import types as T
 from tabsight.functions.columns import col, numeric_value
 
 SEED = 42                 # fixed value: random_state of the reference
-MAX_TREE_DEPTH = 12       # MLlib limit is 30; sklearn's unbounded depth is capped
+MAX_TREE_DEPTH = 30       # MLlib's limit stands for an unbounded depth
 KNN_K = 5
 
 
@@ -276,8 +275,9 @@ class GaussianNB(FittedModel):
         mx = F.greatest(*ll) if len(ll) > 1 else ll[0]
         probs = F.array(*[F.exp(e - mx) for e in ll])
         norm = F.aggregate(probs, F.lit(0.0), lambda a, b: a + b)
-        return df.select("*", _label_of(-best["neg"], self.classes).alias("prediction"),
-                         F.transform(probs, lambda p: p / norm).alias("probability"))
+        known = ll[0].isNotNull()  # a row with a null feature gets no prediction
+        return df.select("*", F.when(known, _label_of(-best["neg"], self.classes)).alias("prediction"),
+                         F.when(known, F.transform(probs, lambda p: p / norm)).alias("probability"))
 
     def _meta(self):
         m = super()._meta()
@@ -512,39 +512,30 @@ def svm_rbf(train, features, label, C: float = 1.0, n_components: int = 128, gam
     return tmp
 
 
-def svr_rbf(train, features, label, C: float = 1.0, epsilon: float = 0.1, n_components: int = 128,
-            gamma=None, iterations: int = 60):
+def svr_rbf(train, features, label, C: float = 1.0, epsilon: float = 1.35, n_components: int = 128,
+            gamma=None, max_iter: int = 200):
     """RBF-kernel SVR (M9), approximated: random Fourier features, then
-    full-batch subgradient descent on 1/2 |w|^2 + C sum max(0, |r| - eps)
-    (averaged over rows); each step is one distributed aggregate."""
+    ``LinearRegression`` with the Huber loss (linear for residuals over
+    ``epsilon`` deviations, as the SVR's is) and the same penalty, on the
+    standardised label, until it converges.  A label without spread is
+    predicted by its mean."""
     mu, sd, W, b = _rff_setup(train, features, n_components, gamma)
     tmp = RFFModel(features, label, None, False, W, b, (mu, sd), None, "SVM")
-    data = train.select(col(label).cast("double").alias("__y"), tmp._z(train).alias("__z")).cache()
-    n = data.count()
-    D = n_components
-    w = np.zeros(D)
-    b0 = float(data.agg(F.avg("__y")).first()[0] or 0.0)
-    lam = 1.0 / (C * max(n, 1))
-    for t in range(1, iterations + 1):
-        wt, bt = w.copy(), b0
-
-        def part_grad(it, wt=wt, bt=bt):
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                Z = np.stack(pdf["__z"].to_numpy())
-                r = pdf["__y"].to_numpy(dtype=float) - (Z @ wt + bt)
-                sgn = np.where(r > epsilon, 1.0, np.where(r < -epsilon, -1.0, 0.0))
-                yield pd.DataFrame({"g": [np.append(Z.T @ sgn, sgn.sum()).tolist()]})
-        parts = data.mapInPandas(part_grad, "g array<double>").select(array_to_vector("g").alias("g"))
-        tot = parts.select(Summarizer.sum(F.col("g")).alias("s")).first()["s"].toArray()
-        grad_w = lam * w - tot[:D] / n
-        grad_b = -float(tot[D]) / n
-        step = 1.0 / math.sqrt(t)
-        w = w - step * grad_w
-        b0 = b0 - step * grad_b
-    data.unpersist()
-    tmp.w_reg = (w.tolist(), b0)
+    y = col(label).cast("double")
+    s = train.agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.stddev_pop(y).alias("sd")).first()
+    if not s["sd"]:
+        tmp.w_reg = ([0.0] * n_components, float(s["m"] or 0.0))
+        return tmp
+    data = train.where(y.isNotNull()).select(((y - F.lit(s["m"])) / F.lit(s["sd"])).alias("__y"),
+                                             array_to_vector(tmp._z(train)).alias("__zv")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fit = LinearRegression(featuresCol="__zv", labelCol="__y", loss="huber", epsilon=epsilon,
+                               regParam=1.0 / (C * s["n"]), standardization=False, maxIter=max_iter,
+                               tol=1e-6).fit(data)
+    finally:
+        data.unpersist()
+    tmp.w_reg = ((fit.coefficients.toArray() * s["sd"]).tolist(), float(fit.intercept * s["sd"] + s["m"]))
     return tmp
 
 

@@ -48,8 +48,8 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict:
     order for numbers, text order for text).  One ``groupBy(column, value)``
     per kind, then ``min_by`` per column."""
     out: dict = {c: None for c in columns}
-    num = [c for c in columns if not _is_text(df, c)]
-    txt = [c for c in columns if _is_text(df, c)]
+    num = [c for c in columns if kind_of(df.schema[c].dataType) == "numeric"]
+    txt = [c for c in columns if c not in num]  # datetimes too: their text sorts as they do
     for names, long in ((num, unpivot_numeric(df, num) if num else None),
                         (txt, df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("n"),
                                                                     col(c).cast("string").alias("v"))
@@ -107,11 +107,15 @@ def impute_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def impute_constant(df: DataFrame, columns: list[str] | None = None, fill: str = "0") -> DataFrame:
     """Fill with a constant (X3): text gets ``fill``; numeric gets ``fill``
-    parsed as a number, 0 when it does not parse."""
+    parsed as a number, 0 when it does not parse; a datetime gets ``fill``
+    parsed as one and keeps its nulls when it does not parse."""
     columns = columns if columns is not None else df.columns
     exprs = {}
     for c in columns:
-        if _is_text(df, c):
+        dt = df.schema[c].dataType
+        if kind_of(dt) == "datetime":
+            exprs[c] = F.coalesce(col(c), F.lit(fill).try_cast(dt))
+        elif _is_text(df, c):
             exprs[c] = F.coalesce(col(c).cast("string"), F.lit(fill))
         else:
             exprs[c] = F.coalesce(col(c).cast("double"),
@@ -224,10 +228,11 @@ def key_column(keys: list[str]):
 
 def split(df: DataFrame, keys: list[str], test_fraction: float = 0.2, out: str = "is_test") -> DataFrame:
     """Deterministic train/test split (X11): a row is in the test set when
-    the md5 order of its key, modulo 100, is below the test percentage.
+    the md5 order of its key, modulo 100 (for a fraction that is no whole
+    percentage: a million), is below the test share.
     Independent of partitioning; no shuffle."""
-    pct = int(round(test_fraction * 100))
-    return df.withColumn(out, (hash_order(key_column(keys)) % 100) < pct)
+    steps = 100 if abs(test_fraction * 100 - round(test_fraction * 100)) < 1e-9 else 1_000_000
+    return df.withColumn(out, (hash_order(key_column(keys)) % steps) < int(round(test_fraction * steps)))
 
 
 def stratified_split(df: DataFrame, keys: list[str], label: str, test_fraction: float = 0.2,
@@ -294,8 +299,9 @@ def prepare(df: DataFrame, target: str, features: list[str], keep: list[str] | N
     num = [c for c in features if c not in txt]
     modes = column_modes(data, txt) if txt else {}
     meds = column_medians(data, num) if num else {}
-    exprs = {c: F.coalesce(col(c), F.lit(modes.get(c) if modes.get(c) is not None else UNKNOWN)) for c in txt}
-    exprs.update({c: F.coalesce(col(c).cast("double"), F.lit(meds.get(c) if meds.get(c) is not None else 0.0))
+    exprs = {c: F.coalesce(col(c).cast("string"), F.lit(modes.get(c) if modes.get(c) is not None else UNKNOWN))
+             for c in txt}
+    exprs.update({c: F.coalesce(numeric_value(data, c), F.lit(meds.get(c) if meds.get(c) is not None else 0.0))
                   for c in num})
     data = _replace(data, exprs).dropna()
     min_rows_guard(data)

@@ -35,6 +35,8 @@ def _as_text(df: DataFrame, name: str):
     dt = df.schema[name].dataType
     if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(col(name))
+    if isinstance(dt, (T.FloatType, T.DoubleType)):  # 0.0 and -0.0 are one value
+        return F.when(col(name) == 0, F.lit(0).cast(dt)).otherwise(col(name)).cast("string")
     return col(name).cast("string")
 
 

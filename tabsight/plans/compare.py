@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.functions.columns import col, hash_order
+from tabsight.functions.columns import col, hash_order, kind_of
 from tabsight.functions.ranking import at_or_below, rank_cuts
 from tabsight.operators import evaluate as EV
 from tabsight.operators import models as M
@@ -151,6 +151,16 @@ def _metrics(model, test, label, key, classification, classes) -> tuple[dict, Da
     return out, pred
 
 
+def refuse_wrong_target(df: DataFrame, target: str, classification: bool) -> None:
+    """Raise for a continuous target with classification, and for a target
+    that is no number with regression (X12)."""
+    number = kind_of(df.schema[target].dataType) == "numeric"
+    if classification and number and PR.target_type(df, target).first()["target_type"] == "continuous":
+        raise ValueError(f"{target} is continuous: choose Regression")
+    if not classification and not number:
+        raise ValueError(f"{target} holds no numbers: choose Classification")
+
+
 def compare_models(df: DataFrame, target: str, features: list[str], problem_type: str, key: str,
                    models: list[str] | None = None, test_size: float = 0.2, cv_folds_k: int = 5):
     """Run the comparison (M15): prepare -> split (stratified for
@@ -164,6 +174,7 @@ def compare_models(df: DataFrame, target: str, features: list[str], problem_type
         raise ValueError("select at least one feature")
     if target in features:
         raise ValueError("the target column cannot be a feature")
+    refuse_wrong_target(df, target, classification)
     data = PR.prepare(df, target, features, keep=[key])
     data = (PR.stratified_split(data, [key], target, test_size) if classification
             else PR.split(data, [key], test_size)).persist(StorageLevel.MEMORY_AND_DISK)
