@@ -281,3 +281,23 @@ def test_pipeline_stages(spark, texts):
     assert corpus_pipeline.identify_language(spark, docs, "").columns == names
     assert corpus_pipeline.encode_pieces(spark, docs.limit(0), "").count() == 0
     assert rng and len(corpus_pipeline.STAGES) == 5
+
+
+def test_repeated_passages_through_a_third(spark):
+    """Slices of one sequence: classes are those of shared runs of 50 words."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        a, n = int(rng.integers(0, 330)), int(rng.integers(20, 75))
+        rows.append((i, " ".join([f"a{i}x{k}" for k in range(60)] + base[a:a + n] + [f"b{i}x{k}" for k in range(60)])))
+    runs = [{tuple(t.split()[k:k + 50]) for k in range(len(t.split()) - 49)} for _, t in rows]
+    root = list(range(40))
+    for _ in range(40):
+        for i in range(40):
+            for j in range(40):
+                if runs[i] & runs[j]:
+                    root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.repeated_passages(df).collect()}
+    assert got == dict(enumerate(root))
