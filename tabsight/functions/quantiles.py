@@ -69,7 +69,10 @@ def _log_column(v):
 
 def _bin_counts(inside: DataFrame, bins: int) -> DataFrame:
     """``(bid, bin, cnt, mn, mx)`` of the rows ``(bid, v, base, w, lg)`` of the
-    brackets being cut: declarative aggregates only (whole-stage codegen)."""
+    brackets being cut: declarative aggregates only (whole-stage codegen).
+    Rows ``(bid, v, lo, w)`` without a scale are cut into equal widths."""
+    if "lg" not in inside.columns:
+        inside = inside.withColumns({"base": F.col("lo"), "lg": F.lit(False)})
     # every step keeps the order of the values, so bins are ordered ranges
     x = F.when(F.col("lg"), _log_column(F.col("v"))).otherwise(F.col("v"))
     b1 = F.least(F.greatest(F.floor((x - F.col("base")) / F.col("w")), F.lit(0)), F.lit(bins - 1)).cast("long")
