@@ -44,7 +44,6 @@ COLLECTIONS = 14
 PER_COLLECTION = 2
 #: Sets holding a shingle, up to which it counts as rare in step 3.
 RARE = 16
-_TABLE = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,22 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sets of hashed shingles; word hashes are kept in a bounded table."""
+    """Sets of hashed shingles."""
 
     def __init__(self, words: int = WORDS):
         import xxhash
-        self.hash, self.words, self.table = xxhash.xxh3_64_intdigest, words, {}
+        self.hash, self.words = xxhash.xxh3_64_intdigest, words
 
     def word_hashes(self, text: str | None) -> np.ndarray:
-        table, out = self.table, []
-        if len(table) > _TABLE:
-            table.clear()
-        for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-            h = table.get(w)
-            if h is None:
-                h = table[w] = self.hash(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(self.hash, found), dtype=np.uint64, count=len(found))
 
     def sequence(self, text: str | None) -> np.ndarray:
         """One hash per shingle, in order; one for a short text."""
@@ -79,10 +71,10 @@ class Shingles:
         if not k:
             return h
         n = len(h) - k + 1
-        out = np.full(n, k, dtype=np.uint64)
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-        return out
+        out = h[:n] + np.uint64(k)
+        for i in range(1, k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]
+        return _mix(out)
 
     def of(self, text: str | None) -> np.ndarray:
         """The sorted set."""
