@@ -2,14 +2,20 @@
 DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
-The method then asks which terms of the neighbourhood of such an entity would
-reveal it.  Over the corpus it counts the documents holding an entity e, a
-term t, and both near each other.  The information that t gives about e,
+The method then asks which terms of the documents that hold such an entity
+would reveal it.  Over the corpus it counts the documents holding an entity e, a
+term t, and both, wherever they stand.  The information that t gives about e,
 PMI(t; e) = log2(N * n(e,t) / (n(e) * n(t))), is compared with what e itself is
 worth, IC(e) = log2(N / n(e)).  With a ratio of at least ``generalise`` the
 term becomes its class (a span of kind ``term``); with at least ``remove`` it
-is taken out (kind ``reveal``).  A pair needs ``support`` documents, so that
-the accidental neighbours of an entity seen once stay.
+is taken out (kind ``reveal``), at every place it has in a document that holds
+e.  A pair needs ``support`` documents, so that the accidental neighbours of an
+entity seen once stay.  A term that touches a base span is neither counted with
+an entity nor taken out there.
+
+Entities (and terms) found in the same documents have the same counts with any
+term, so pairs are counted once for each such group; the documents of a group
+are told by their number and the sum of their hashes.
 
 Positions: a text is split by a pattern; the lengths of the pieces and of the
 matches give the offsets in code points.  The patterns are written so that
@@ -23,10 +29,10 @@ gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import BROADCAST_BYTES, keep
+from tabsight.llm.common import BROADCAST_BYTES, join_small, keep
 
 #: Kinds in order, and what each is replaced by.
 KINDS = ("email", "ip", "card", "phone")
@@ -44,9 +50,9 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 #: A term: letters only, four or more.
-TERM = r"\p{L}{4,}+"
-#: Code points on either side of an entity in which terms are looked at.
-WINDOW = 60
+TERM = r"[\p{L}]{4,}+"
+#: Stands for a base span where terms are read; no character of any text.
+HIDDEN = "\uffff"
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -130,58 +136,84 @@ def joined(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near_terms(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) for the terms around each base span; a term
-    that the window cuts or that touches a base span is left out."""
-    def around(s: Column) -> Column:
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        piece = F.substring(text, lo + 1, s["end"] + WINDOW - lo)
-        # a letter beside the window belongs to a cut term: widen by one and drop at the rim
-        def usable(t: Column) -> Column:
-            a, b = lo + t["start"], lo + t["end"]
-            inside = ((t["start"] > 0) | (lo == 0)) & (t["end"] < F.length(piece))
-            return inside & ~F.exists(spans, lambda x: (a < x["end"]) & (b > x["start"]))
-
-        kept = F.filter(_offsets(piece, TERM), usable)
-        return F.transform(kept, lambda t: F.struct(
-            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.lower(t["value"]).alias("term"),
-            (lo + t["start"]).cast("int").alias("start"), (lo + t["end"]).cast("int").alias("end")))
-
-    return F.flatten(F.transform(spans, around))
-
-
-def _revealing(terms: DataFrame, texts: DataFrame, support: int, generalise: float) -> DataFrame:
-    """(entity, term, ratio) of the pairs over the disclosure threshold."""
-    pairs = (terms.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(
-        x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-        .groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
-    total = texts.count()
-    entities = (terms.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(
-        ":", s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
-    near = (terms.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
-            .groupBy("term").agg(F.count("*").alias("n_near")))
-
-    def ratio(n_term: str) -> Column:
-        pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col(n_term)))
-        worth = F.log2(F.lit(float(total)) / F.col("n_entity"))
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
+
+
+def _terms_beside(text: Column, spans: Column) -> Column:
+    """Distinct terms that touch no base span."""
+    shown = replaced(text, spans, F.lit(HIDDEN))
+    runs = F.regexp_extract_all(shown, F.lit(TERM.replace("[", "[" + HIDDEN, 1)), F.lit(0))
+    own = F.filter(runs, lambda t: F.instr(t, HIDDEN) == 0)
+    return F.array_distinct(F.transform(own, lambda t: F.lower(t)))
+
+
+def _documents() -> list[Column]:
+    """Which rows a group holds: their number and the sum of their hashes, in
+    halves that can't overflow."""
+    h = F.xxhash64("row")
+    return [F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+            F.sum(F.shiftrightunsigned(h, 32)).alias("high")]
+
+
+def _revealing(found: DataFrame, texts: DataFrame, support: int, generalise: float) -> DataFrame:
+    """(row, term, ratio) of the terms over the disclosure threshold in the
+    rows that hold their entity."""
+    total = float(texts.count())
+    held = found.where(F.size("base") > 0)
+    rows_e = held.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(
+        ":", s["kind"], F.lower(s["value"]))))).alias("entity"))
+    entities = (rows_e.groupBy("entity").agg(*_documents()).where(F.col("n") >= support)
+                .select("entity", F.struct("n", "low", "high").alias("e")))
+    groups = keep(rows_e.join(entities, "entity").groupBy("row").agg(
+        F.collect_set("e").alias("es"), F.max("e.n").alias("top")), "entities")
+
+    def ratio(n_both: Column, n_entity: Column, n_term: Column) -> Column:
+        pmi = F.log2(F.lit(total) * n_both / (n_entity * n_term))
+        worth = F.log2(F.lit(total) / n_entity)
         return F.when(worth > 0, pmi / worth).otherwise(0.0)
 
-    # a term is in at least as many documents as it is near any entity, which
-    # rules most pairs out before words of the whole corpus are counted
-    pairs = keep(pairs.join(entities, "entity").join(near, "term").where(ratio("n_near") >= generalise)
-                 .select("entity", "term", "n_both", "n_entity"), "pairs")
-    sizes = pairs.agg(F.sum(F.octet_length("term") + 32), F.count("*")).first()
+    rows_t = join_small(held.select("row", "terms"), groups.select("row", "top"), "row").select(
+        "row", "top", F.explode("terms").alias("term"))
+    # a term is in at least as many documents as hold it beside an entity, and
+    # in no more of an entity's than either has: that rules most terms out
+    # before words of the whole corpus are counted (the margin is for rounding)
+    most = F.pow(F.lit(total), F.lit(1 - generalise)) * F.pow(F.col("top").cast("double"), F.lit(generalise))
+    candidates = keep(rows_t.groupBy("term").agg(*_documents(), F.max("top").alias("top"))
+                      .where((F.col("n") >= support) & (F.col("n") <= F.greatest(most, F.col("top")) * 1.000001))
+                      .drop("top"), "candidates")
+    sizes = candidates.agg(F.sum(F.octet_length("term") + 64), F.count("*")).first()
     if not sizes[1]:
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    vocabulary = pairs.select("term").distinct()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if sizes[0] <= BROADCAST_BYTES:  # then only rows of candidate terms are counted
+        return groups.select("row", F.lit("").alias("term"), F.lit(0.0).alias("ratio")).limit(0)
+    small = sizes[0] <= BROADCAST_BYTES
+    vocabulary = candidates.select("term")
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if small:  # then only rows of candidate terms are counted
         counts = words.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n_term"))
     else:
         counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(vocabulary, "term")
-    return (pairs.join(counts, "term").withColumn("ratio", ratio("n_term"))
-            .where(F.col("ratio") >= generalise).select("entity", "term", "ratio"))
+    terms = keep(candidates.join(counts, "term").select("term", F.struct("n", "low", "high", "n_term").alias("t")), "terms")
+    rows_t = keep(rows_t.join(F.broadcast(terms) if small else terms, "term").where(
+        F.col("t.n_term") <= F.greatest(most, F.col("top")) * 1.000001).select("row", "term", "t"), "beside")
+    both = (rows_t.select("row", "t").distinct().join(groups.select("row", "es"), "row")
+            .select("row", "t", F.explode("es").alias("e")))
+    pairs = (both.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+             .withColumn("ratio", ratio(F.col("n_both"), F.col("e.n"), F.col("t.n_term")))
+             .where(F.col("ratio") >= generalise))
+    best = both.join(pairs, ["e", "t"]).groupBy("row", "t").agg(F.max("ratio").alias("ratio"))
+    return rows_t.join(best, ["row", "t"]).select("row", "term", "ratio")
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(row, text) -> (row, term, start, end) for every term of a text."""
+    tokens = texts.select("row", F.posexplode(F.arrays_zip(
+        F.transform(F.split("text", TERM, -1), F.length).alias("gap"),
+        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("value"))).alias("at", "x")).select("row", "at", "x.*")
+    w = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # one text at most
+    size = F.length("value")
+    return (tokens.where("value IS NOT NULL").withColumn("end", F.sum(F.col("gap") + size).over(w).cast("int"))
+            .select("row", F.lower("value").alias("term"), (F.col("end") - size).alias("start"), "end"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
@@ -190,19 +222,23 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, and the distinct (id, print) with added spans ``extra``."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = (texts.withColumn("base", base_spans(F.col("text")))
-             .select("id", F.md5("text").alias("print"), "base",
-                     F.when(F.size("base") > 0, _near_terms(F.col("text"), F.col("base")))
-                     .otherwise(F.array()).alias("near")))
-    found = keep(found, "spans")
-    terms = found.where(F.size("near") > 0)
-    pairs = keep(_revealing(terms, texts, support, generalise), "revealing")
-    extra = (terms.select("id", "print", F.explode("near").alias("x"))
-             .select("id", "print", "x.*").join(pairs, ["entity", "term"])
-             .groupBy("id", "print", "start", "end").agg(F.max("ratio").alias("ratio"), F.first("term").alias("value"))
-             .select("id", "print", F.struct(
-                 F.when(F.col("ratio") >= remove, "reveal").otherwise("term").alias("kind"),
-                 "start", "end", "value").alias("s"))
-             .groupBy("id", "print").agg(F.sort_array(F.collect_list("s")).alias("extra")))
+             .select(F.monotonically_increasing_id().alias("row"), "id", F.md5("text").alias("print"), "base",
+                     F.when(F.size("base") > 0, _terms_beside(F.col("text"), F.col("base")))
+                     .otherwise(F.array().cast("array<string>")).alias("terms")))
+    found = keep(found, "spans")  # which fixes the numbers of the rows
+    hits = keep(_revealing(found, texts, support, generalise), "revealing")
+    ours = keep(join_small(found.drop("terms"), hits.select("row").distinct(), "row", "left_semi")
+                .groupBy("id", "print").agg(F.min("row").alias("row"), F.first("base").alias("base")), "rows")
+    e = ours.select(F.col("id").alias("e_id"), F.col("print").alias("e_print"), "row")
+    e = F.broadcast(e) if ours.count() * 128 <= BROADCAST_BYTES else e
+    marked = (texts.join(e, F.col("id").eqNullSafe(F.col("e_id")) & (F.md5("text") == F.col("e_print")))
+              .select("row", "text").dropDuplicates(["row"]))
+    spans = (_places(marked).join(hits, ["row", "term"]).select("row", F.struct(
+        F.when(F.col("ratio") >= remove, "reveal").otherwise("term").alias("kind"),
+        "start", "end", F.col("term").alias("value")).alias("s"))
+        .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra")))
+    extra = (ours.join(spans, "row").select("id", "print", F.filter("extra", lambda s: ~F.exists(
+        "base", lambda x: (s["start"] < x["end"]) & (s["end"] > x["start"]))).alias("extra")).where(F.size("extra") > 0))
     return found.select("id", "print", "base"), extra
 
 
@@ -219,9 +255,9 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"), "all_spans")
 
 
-def replaced(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its label; spans that overlap are
-    replaced once, by the first one's label."""
+def replaced(text: Column, spans: Column, by: Column | None = None) -> Column:
+    """The text with every span replaced by its label, or by ``by``; spans that
+    overlap are replaced once, by the first one's label."""
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
 
     def build(s: Column) -> Column:
@@ -230,7 +266,8 @@ def replaced(text: Column, spans: Column) -> Column:
 
         def one(x: Column, i: Column) -> Column:
             return _let(done(i), lambda m: F.when(x["start"] >= m, F.concat(
-                F.substring(text, m + 1, x["start"] - m), F.element_at(label, x["kind"]))).otherwise(""))
+                F.substring(text, m + 1, x["start"] - m),
+                F.element_at(label, x["kind"]) if by is None else by)).otherwise(""))
 
         return _let(done(F.size(s)), lambda m: F.concat(
             F.array_join(F.transform(s, one), ""), F.substring(text, m + 1, F.length(text) - m)))

@@ -241,6 +241,21 @@ def test_revealing_terms_are_removed(spark):
     assert all("Zebulon" not in out[i] and "[EMAIL]" in out[i] for i in range(60, 64))
 
 
+def test_revealing_terms_anywhere_in_the_document(spark):
+    rng = random.Random(4)
+    far = [f"Zebulon {_doc(rng, 120)} zeb@mail.org {_doc(rng, 120)} Zebulon {_doc(rng, 9)} zebulon, {_doc(rng, 5)}"
+           for _ in range(4)]  # the nearest is some 500 characters away
+    texts = [_doc(rng, 30) for _ in range(60)] + far
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(_docs(spark, texts)).collect()}
+    report = {r["doc_id"]: r["all_spans"] for r in pii.span_report(_docs(spark, texts)).collect()}
+    for i in range(60):
+        assert out[i] == texts[i]
+    for i in range(60, 64):
+        assert out[i] == texts[i].replace("Zebulon", "").replace("zebulon", "").replace("zeb@mail.org", "[EMAIL]")
+        names = [(s["start"], s["end"]) for s in report[i] if s["kind"] == "reveal"]
+        assert names == [m.span() for m in re.finditer("zebulon", texts[i], re.I)] and names[0][1] + 400 < texts[i].index("@")
+
+
 def test_compact_windows_cover_once():
     s = np.random.default_rng(0).integers(0, 1 << 62, 150).astype(np.uint64)
     found = compact_windows.windows(s, 1, 46)
