@@ -256,6 +256,16 @@ def test_revealing_terms_anywhere_in_the_document(spark):
         assert names == [m.span() for m in re.finditer("zebulon", texts[i], re.I)] and names[0][1] + 400 < texts[i].index("@")
 
 
+def test_revealing_terms_at_the_ends(spark):
+    rng = random.Random(6)
+    ends = [f"Zebulon {_doc(rng, 3)} mail zeb@mail.org" for _ in range(4)] + ["mail zeb@mail.org Zebulon" for _ in range(4)]
+    rim = [f"{_doc(rng, 9)} Marigold {'x' * 50} mari@mail.org" for _ in range(4)]  # a word that begins 60 before
+    texts = [_doc(rng, 30) for _ in range(80)] + ends + rim
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(_docs(spark, texts)).collect()}
+    assert all(out[i] == texts[i] for i in range(80))
+    assert all("Zebulon" not in out[i] for i in range(80, 88)) and all("Marigold" not in out[i] for i in range(88, 92))
+
+
 def test_compact_windows_cover_once():
     s = np.random.default_rng(0).integers(0, 1 << 62, 150).astype(np.uint64)
     found = compact_windows.windows(s, 1, 46)
