@@ -9,8 +9,11 @@ PMI(t; e) = log2(N * n(e,t) / (n(e) * n(t))), is compared with what e itself is
 worth, IC(e) = log2(N / n(e)).  With a ratio of at least ``generalise`` the
 term becomes its class (a span of kind ``term``); with at least ``remove`` it
 is taken out (kind ``reveal``), at every place it has in a document that holds
-e.  A pair needs ``support`` documents, so that the accidental neighbours of an
-entity seen once stay.  A term that touches a base span is neither counted with
+e.  A pair of fewer than ``support`` documents must be significant, so that the
+accidental neighbours of an entity seen once stay: the chance that the
+documents of e and of t, drawn at random, share as many different texts is at
+most C(n(e), k) C(n(t), k) / C(N, k), and times the number of entities and of
+terms it must not exceed ``CHANCE``.  A term that touches a base span is neither counted with
 an entity nor taken out there.
 
 Entities (and terms) found in the same documents have the same counts with any
@@ -29,6 +32,8 @@ gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +54,13 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-#: A term: letters only, four or more.
-TERM = r"[\p{L}]{4,}+"
+#: A term: two or more letters (with their marks) and digits.
+TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
 #: Stands for a base span where terms are read; no character of any text.
 HIDDEN = "\uffff"
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
+#: Pairs of fewer documents than the support that may be accidental, over all pairs tried.
+CHANCE = 0.01
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -162,18 +169,27 @@ def _revealing(found: DataFrame, texts: DataFrame, support: int, generalise: flo
     rows that hold their entity."""
     total = float(texts.count())
     held = found.where(F.size("base") > 0)
-    rows_e = held.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(
+    rows_e = held.select("row", "print", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(
         ":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-    entities = (rows_e.groupBy("entity").agg(*_documents()).where(F.col("n") >= support)
+    tried = rows_e.select("entity").distinct().count() * held.select(F.explode("terms")).distinct().count()
+    least = support  # fewer documents can't be significant, however they fall
+    while least > 1 and tried / CHANCE <= math.comb(int(total), least - 1):
+        least -= 1
+    entities = (rows_e.groupBy("entity").agg(*_documents()).where(F.col("n") >= least)
                 .select("entity", F.struct("n", "low", "high").alias("e")))
     groups = keep(rows_e.join(entities, "entity").groupBy("row").agg(
-        F.collect_set("e").alias("es"), F.max("e.n").alias("top")), "entities")
+        F.collect_set("e").alias("es"), F.max("e.n").alias("top"), F.first("print").alias("print")), "entities")
 
     def ratio(n_both: Column, n_entity: Column, n_term: Column) -> Column:
         pmi = F.log2(F.lit(total) * n_both / (n_entity * n_term))
         worth = F.log2(F.lit(total) / n_entity)
         return F.when(worth > 0, pmi / worth).otherwise(0.0)
 
+    def chance(k: Column, n_entity: Column, n_term: Column) -> Column:
+        """Its logarithm, for all pairs tried."""
+        return F.aggregate(F.sequence(F.lit(1), k), F.lit(math.log2(max(tried, 1))), lambda s, i: s + F.log2(
+            F.greatest(n_entity - i + 1, F.lit(1)) * F.greatest(n_term - i + 1, F.lit(1)) / (i * (F.lit(total) - i + 1))))
+
     rows_t = join_small(held.select("row", "terms"), groups.select("row", "top"), "row").select(
         "row", "top", F.explode("terms").alias("term"))
     # a term is in at least as many documents as hold it beside an entity, and
@@ -181,7 +197,7 @@ def _revealing(found: DataFrame, texts: DataFrame, support: int, generalise: flo
     # before words of the whole corpus are counted (the margin is for rounding)
     most = F.pow(F.lit(total), F.lit(1 - generalise)) * F.pow(F.col("top").cast("double"), F.lit(generalise))
     candidates = keep(rows_t.groupBy("term").agg(*_documents(), F.max("top").alias("top"))
-                      .where((F.col("n") >= support) & (F.col("n") <= F.greatest(most, F.col("top")) * 1.000001))
+                      .where((F.col("n") >= least) & (F.col("n") <= F.greatest(most, F.col("top")) * 1.000001))
                       .drop("top"), "candidates")
     sizes = candidates.agg(F.sum(F.octet_length("term") + 64), F.count("*")).first()
     if not sizes[1]:
@@ -196,9 +212,12 @@ def _revealing(found: DataFrame, texts: DataFrame, support: int, generalise: flo
     terms = keep(candidates.join(counts, "term").select("term", F.struct("n", "low", "high", "n_term").alias("t")), "terms")
     rows_t = keep(rows_t.join(F.broadcast(terms) if small else terms, "term").where(
         F.col("t.n_term") <= F.greatest(most, F.col("top")) * 1.000001).select("row", "term", "t"), "beside")
-    both = (rows_t.select("row", "t").distinct().join(groups.select("row", "es"), "row")
-            .select("row", "t", F.explode("es").alias("e")))
-    pairs = (both.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    both = (rows_t.select("row", "t").distinct().join(groups.select("row", "print", "es"), "row")
+            .select("row", "print", "t", F.explode("es").alias("e")))
+    rare = chance(F.least(F.col("n_texts"), F.lit(support)).cast("int"), F.col("e.n"), F.col("t.n_term")) <= math.log2(CHANCE)
+    pairs = (both.groupBy("e", "t", "print").agg(F.count("*").alias("n"))
+             .groupBy("e", "t").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
+             .where(F.when(F.col("n_both") >= support, True).otherwise(rare))
              .withColumn("ratio", ratio(F.col("n_both"), F.col("e.n"), F.col("t.n_term")))
              .where(F.col("ratio") >= generalise))
     best = both.join(pairs, ["e", "t"]).groupBy("row", "t").agg(F.max("ratio").alias("ratio"))

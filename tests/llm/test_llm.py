@@ -243,7 +243,11 @@ def test_revealing_terms_are_removed(spark):
 
 def test_revealing_terms_anywhere_in_the_document(spark):
     rng = random.Random(4)
-    far = [f"Zebulon {_doc(rng, 120)} zeb@mail.org {_doc(rng, 120)} Zebulon {_doc(rng, 9)} zebulon, {_doc(rng, 5)}"
+
+    def rest(n):  # words too long to be in three texts by accident
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+    far = [f"Zebulon {rest(120)} zeb@mail.org {rest(120)} Zebulon {rest(9)} zebulon, {rest(5)}"
            for _ in range(4)]  # the nearest is some 500 characters away
     texts = [_doc(rng, 30) for _ in range(60)] + far
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(_docs(spark, texts)).collect()}
@@ -266,6 +270,21 @@ def test_revealing_terms_at_the_ends(spark):
     assert all("Zebulon" not in out[i] for i in range(80, 88)) and all("Marigold" not in out[i] for i in range(88, 92))
 
 
+def test_revealing_terms_short_with_digits_and_rare(spark):
+    rng = random.Random(8)
+    texts = [_doc(rng, 30) for _ in range(80)]
+    texts += [f"Ng {_doc(rng, 9)} ng@mail.org {_doc(rng, 9)} 李明 k77x" for _ in range(4)]
+    texts += [_doc(rng, 4) for _ in range(20_000)]
+    pair = [f"{_doc(rng, 2)} Quux {_doc(rng, 2)} two@mail.org" for _ in range(2)]  # an entity of two documents
+    once = [f"{_doc(rng, 2)} Solo one@mail.org"]
+    copies = ["Twin Copy twin@mail.org"] * 2  # one text, so no evidence
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(_docs(spark, texts + pair + once + copies)).collect()}
+    assert all(out[i] == texts[i] for i in [*range(80), *range(84, 20_084)])
+    assert all(not {"Ng", "李明", "k77x"} & set(out[i].split()) for i in range(80, 84))
+    assert all("Quux" not in out[i] and "[EMAIL]" in out[i] for i in (20_084, 20_085))
+    assert "Solo" in out[20_086] and out[20_087] == out[20_088] == "Twin Copy [EMAIL]"
+
+
 def test_compact_windows_cover_once():
     s = np.random.default_rng(0).integers(0, 1 << 62, 150).astype(np.uint64)
     found = compact_windows.windows(s, 1, 46)
