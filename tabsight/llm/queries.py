@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import (bpe_counts, compact_windows, graph_ann, language_id, minhash_dedup, mixing, pii, piece_codec,
-                          rans_store, topk_mtree)
+from tabsight.llm import (bpe_counts, compact_windows, exact_dedup, filter_audit, graph_ann, language_id, minhash_dedup,
+                          mixing, pii, piece_codec, rans_store, topk_mtree)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,62 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(
+        filter_audit.document_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_mtree, op2_language_id, op3_rans_store, op4_minhash_dedup, op5_source_mix, op6_pii, op7_bpe_counts,
-    op8_piece_codec, op9_compact_windows, op10_graph_ann)}
-
-SQL: dict[str, str] = {}
+    op8_piece_codec, op9_compact_windows, op10_graph_ann, op11_filter_audit, op12_exact_dedup)}
+
+SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(words.doc_id > min(words.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM words LEFT JOIN marks ON words.doc_id = marks.doc_id),
+states AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+perm AS (
+  SELECT p.c || q.c || r.c || s.c || u.c AS filter_order,
+         [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+  FROM letter p, letter q, letter r, letter s, letter u
+  WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31 AND (p.bit | q.bit | r.bit | s.bit | u.bit) = 31),
+steps AS (
+  SELECT filter_order, k::INT AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS earlier
+  FROM perm, unnest(range(1, 6)) AS x(k)),
+report AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM states, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM report""",
+    "op12_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+         AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+}
