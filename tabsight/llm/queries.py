@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import (bpe_counts, compact_windows, exact_dedup, filter_audit, graph_ann, language_id, minhash_dedup,
-                          mixing, pii, piece_codec, rans_store, topk_mtree)
+from tabsight.llm import (bpe_counts, collocations, compact_windows, exact_dedup, filter_audit, graph_ann, language_id,
+                          minhash_dedup, mixing, pii, piece_codec, rans_store, topk_mtree)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,14 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_mtree, op2_language_id, op3_rans_store, op4_minhash_dedup, op5_source_mix, op6_pii, op7_bpe_counts,
-    op8_piece_codec, op9_compact_windows, op10_graph_ann, op11_filter_audit, op12_exact_dedup)}
+    op8_piece_codec, op9_compact_windows, op10_graph_ann, op11_filter_audit, op12_exact_dedup,
+    op13_collocations)}
 
 SQL: dict[str, str] = {
     "op11_filter_audit": r"""
@@ -121,4 +126,36 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, unnest(range(1, len(w) + 1)) AS x(i), unnest([1, 2, 3, 4]) AS y(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS rest
+  FROM counts, unnest([1, 2, 3]) AS x(c) WHERE k > 1 AND c < k AND f >= 30),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r,
+         ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score, c
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head
+            JOIN counts y ON y.lang = cuts.lang AND y.phrase = rest),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM counts, unnest([1, 2, 3]) AS x(i), unnest([2, 3]) AS y(m)
+  WHERE f >= 30 AND m < k AND i + m - 1 <= k GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM lowest JOIN total USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000""",
 }
