@@ -44,9 +44,9 @@ LEAST = 30
 TOP = 2000
 UNKNOWN = "und"
 #: Text that a shard takes in; more only if one piece is longer.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: Sequences of a prefix range, about, before equal ones are added up.
-RANGE_WORDS = 2_000_000
+RANGE_WORDS = 1_000_000
 #: Questions that one task answers from one range, about.
 QUESTIONS = 200_000
 #: Texts sampled for each place to cut at, and sequences taken from a text.
@@ -69,8 +69,9 @@ def sequences(raw: bytes) -> tuple[list[bytes], np.ndarray]:
     words = sorted({END, *tokens} - {cut})
     rank = {w: i for i, w in enumerate(words)}
     rank[cut] = 0
-    col = np.fromiter(map(rank.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    out = np.zeros((len(col), DEPTH), dtype=np.int64)
+    col = np.fromiter(map(rank.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+    del tokens, rank
+    out = np.zeros((len(col), DEPTH), dtype=np.int32)
     out[:, 0] = col
     for d in range(1, DEPTH):
         out[:-d, d] = np.where(out[:-d, d - 1] > 0, col[d:], 0) if len(col) > d else out[:-d, d]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 from bisect import bisect_left
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -34,8 +35,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``DEPTH`` symbols as two integers that order alike."""
-    x = ids.astype(np.uint64)
-    return x[:, 0] << np.uint64(32) | x[:, 1], x[:, 2] << np.uint64(32) | x[:, 3]
+    return tuple(ids[:, k].astype(np.uint64) << np.uint64(32) | ids[:, k + 1].astype(np.uint64) for k in (0, 2))
 
 
 def sum_paths(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +46,7 @@ def sum_paths(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((lo, hi))
     hi, lo = hi[order], lo[order]
     first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+    del hi, lo
     return ids[order[first]], np.add.reduceat(counts[order], first)
 
 
@@ -116,7 +117,7 @@ class CountTransducer:
     @classmethod
     def from_bytes(cls, raw: bytes) -> CountTransducer:
         words, levels = pickle.loads(raw)
-        return cls(words.split(b" "), [tuple(x.astype(np.int64) for x in level) for level in levels])
+        return cls(words.split(b" "), [(d.astype(np.int64), x.astype(np.int32), v.astype(np.int64)) for d, x, v in levels])
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """All paths, sorted, and their counts."""
@@ -129,16 +130,19 @@ class CountTransducer:
         return np.stack(found, axis=1), at
 
     @classmethod
-    def union(cls, parts: list[CountTransducer]) -> CountTransducer:
+    def union(cls, parts: Iterable[CountTransducer]) -> CountTransducer:
         """The paths of all, with their counts added."""
+        parts = list(parts)
         words = sorted({END}.union(*(p.words for p in parts)))
         rank = {w: i for i, w in enumerate(words)}
-        ids, counts = [np.zeros((0, DEPTH), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        ids, counts = [np.zeros((0, DEPTH), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for p in parts:
             own, n = p.paths()
-            ids.append(np.fromiter((rank[w] for w in p.words), dtype=np.int64, count=len(p.words))[own])
+            ids.append(np.fromiter((rank[w] for w in p.words), dtype=np.int32, count=len(p.words))[own])
             counts.append(n)
-        return cls.build(words, *sum_paths(np.concatenate(ids), np.concatenate(counts)))
+        del rank, parts
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        return cls.build(words, *sum_paths(ids, counts))
 
     def totals(self) -> list[np.ndarray]:
         """Of every state, the sum of the counts of the paths from it."""
