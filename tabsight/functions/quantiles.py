@@ -3,24 +3,26 @@
 
 Spark's exact ``percentile`` aggregate merges a value->count map of the whole
 column in one final task, which does not survive a column with billions of
-distinct values.  Here every target rank is located by bracket refinement:
-
-1. one aggregate gives ``n``, ``min`` and ``max`` per column;
-2. each target rank starts with the bracket ``[min, max]``; the row count
-   bounds its distinct values;
-3. a bracket with few distinct values is resolved exactly: the values inside it
-   are grouped (``groupBy(bracket, value).count()``) and a running sum within
-   the bracket gives each value's rank range;
-4. a bracket with many values is split into ``bins`` equal-width bins in one
-   ``groupBy(bracket, bin)`` pass (count, min and max per bin, all declarative
-   so the pass keeps whole-stage codegen); a bin holding one value resolves
-   its ranks, any other bin becomes the next bracket (its own ``[min, max]``,
-   its row count bounding its distinct values).
-
-Every pass is a distributed aggregate whose collected output is bounded by
-``targets x bins`` rows, and the final window groups are bounded by
-``max_group`` distinct values.  A hot value holding a third of the rows is a
-single ``(value, count)`` row after the partial aggregation.
+distinct values.  Here a table is read three times, whatever its size, and all
+columns share each reading:
+
+1. one aggregate gives ``n``, ``min``, ``max`` and a KLL sketch per column.
+   Sketches are merged in two levels, so that no task gets those of all tasks.
+   Each target rank takes the sketch's values a margin below and above it as
+   its bracket;
+2. one aggregate counts the rows below and inside every bracket, which are
+   literals.  A bracket that the sketch put beside its rank (a matter of luck)
+   is widened and counted again;
+3. the rows inside any bracket (about two margins of the table) are grouped to
+   ``(bracket, value, count)``.
+
+What is left is small.  A bracket with few values is ranked by a running sum
+within it; one with many values is written and cut into bins (count, min and
+max per bin), and the bin that holds the rank is the next bracket, narrowed to
+its own ``[min, max]``, until few values are left.  Every such pass puts the
+smallest and the largest value into different bins, so it ends.  A hot value is
+one ``(value, count)`` row after the partial aggregation.  Collected results
+are bounded by targets and bins.
 """
 
 from __future__ import annotations
@@ -29,9 +31,18 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsight.session import keep
+
+#: Size parameter of the sketches (rank error about 0.2 %), share of the rows
+#: on each side of a rank that its bracket takes in (and then, if it misses),
+#: and number of tasks that merge sketches.
+SKETCH_K = 2048
+MARGINS = (0.005, 0.04, 0.3)
+MERGERS = 64
+
 
 def _inf():
     return F.lit(float("inf"))
@@ -40,13 +51,19 @@ def _inf():
 @dataclass
 class _Bracket:
     bid: int
-    key: str
+    value: Column        # of the frame that the bracket is looked for in
+    where: Column | None
     lo: float            # inclusive
-    hi: float            # exclusive
-    below: int           # rows of the column strictly below ``lo``
+    hi: float            # inclusive
+    below: int           # rows of the column below ``lo``
+    rows: int            # rows inside, which bounds the distinct values
     ranks: list = field(default_factory=list)
     log: bool = False    # bins of equal width in the logarithm
 
+    def inside(self) -> Column:
+        at = (self.value >= F.lit(self.lo)) & (self.value <= F.lit(self.hi))
+        return at if self.where is None else self.where & at
+
     def base(self) -> float:
         return _log_value(self.lo) if self.log else self.lo
 
@@ -84,101 +101,100 @@ def _bin_counts(inside: DataFrame, bins: int) -> DataFrame:
           .when(F.col("w") == _inf(), F.lit(0).cast("long"))
           .otherwise(b1))
     return (inside.withColumn("bin", b1)
-            .groupBy("bid", "bin").agg(F.count(F.lit(1)).alias("cnt"),
+            .groupBy("bid", "bin").agg((F.sum("c") if "c" in inside.columns else F.count(F.lit(1))).alias("cnt"),
                                        F.min("v").alias("mn"), F.max("v").alias("mx")))
 
 
-def _values_at_ranks(vals: DataFrame, brackets: list[_Bracket], max_group: int,
-                     bins: int, max_iter: int, first_nd: dict | None = None) -> dict:
-    """Value at every target rank of every bracket.
-
-    ``first_nd`` bounds the distinct values of the first brackets (their row
-    count).  A bracket whose bound is at most ``max_group`` is resolved
-    exactly; a larger one is cut into ``bins`` equal-width bins in one
-    declarative ``groupBy(bracket, bin)`` (count, min, max: whole-stage
-    codegen).  A bin whose min equals its max resolves its ranks at once;
-    otherwise its row count bounds its distinct values and the next bracket
-    is the bin's own ``[min, max]``, so every pass at least splits it.  A bin
-    that keeps more than an eighth of its bracket's rows (a heavy tail) is cut
-    in the logarithm next, which leaves ranges of one order of magnitude."""
-    spark = vals.sparkSession
+def _matching(src: DataFrame, brackets: list[_Bracket], count: Column, *more) -> DataFrame:
+    """``(bid, v, c, ...)`` of the rows of ``src`` inside any bracket; all
+    bounds are literals, so they reach the scan as filters."""
+    hits = [F.when(b.inside(), F.struct(F.lit(b.bid).cast("long").alias("bid"), b.value.alias("v"), count.alias("c"),
+                                        *[F.lit(f(b)).alias(name) for name, f in more])) for b in brackets]
+    any_of = brackets[0].inside()
+    for b in brackets[1:]:
+        any_of = any_of | b.inside()
+    return src.where(any_of).select(F.inline(F.array_compact(F.array(*hits))))
+
+
+def _rank_values(counted: DataFrame, brackets: list[_Bracket]) -> list:
+    """Rows ``(bid, r, v)``: the value at each rank of each bracket, from a
+    running sum over the bracket's few ``(value, count)`` rows."""
+    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("upto", F.sum("c").over(w))
+    wanted = F.array(*[F.struct(F.lit(b.bid).cast("long").alias("b"), F.lit(r - b.below).cast("long").alias("r"))
+                       for b in brackets for r in b.ranks])
+    mine = F.filter(wanted, lambda x: (x["b"] == F.col("bid")) & (F.col("upto") - F.col("c") <= x["r"])
+                    & (x["r"] < F.col("upto")))
+    return upto.select("bid", "v", F.explode(mine).alias("x")).select("bid", "x.r", "v").collect()
+
+
+def _values_at_ranks(src: DataFrame, brackets: list[_Bracket], max_group: int, bins: int,
+                     count: Column | None = None) -> dict:
+    """``{(bracket, rank): value}`` for every rank of every bracket of ``src``
+    (``count`` rows per row), which is read once if all brackets hold at most
+    ``max_group`` rows.  Otherwise what the brackets hold is written grouped by
+    value, and the large ones are cut into bins there."""
     found: dict = {}
-    next_id = max(b.bid for b in brackets) + 1 if brackets else 0
-    nd = {b.bid: (first_nd or {}).get(b.key, max_group + 1) for b in brackets}
-    active = brackets
-    for _ in range(max_iter):
-        if not active:
-            break
-        # a range too narrow to cut into bins is resolved exactly
-        small = [b for b in active if nd[b.bid] <= max_group or not (b.hi - b.lo) / bins > 0]
+    active = []
+    for b in brackets:
+        if b.lo == b.hi:
+            found.update({(b.bid, r): b.lo for r in b.ranks})
+        else:
+            active.append(b)
+    if not active:
+        return found
+    counted = (_matching(src, active, F.lit(1).cast("long") if count is None else count)
+               .groupBy("bid", "v").agg(F.sum("c").alias("c")))
+    if any(b.rows > max_group for b in active):
+        counted = keep(counted, "quantiles")
+    owner = {b.bid: b.bid for b in active}       # bracket -> the one whose ranks it holds
+    for b in active:
+        b.value, b.where = F.col("v"), F.col("bid") == b.bid
+    next_id, first = max(b.bid for b in brackets) + 1, True
+    while active:
+        # a range too narrow to cut into bins is ranked as it is
+        small = [b for b in active if b.rows <= max_group or not (b.hi - b.lo) / bins > 0]
         big = [b for b in active if b not in small]
         for b in big:
             finite = math.isfinite(b.lo) and math.isfinite(b.hi)
             b.log = finite and (b.log or math.isinf(b.hi - b.lo))
             b.log = b.log and b.width(bins) > 0
-        tbl = spark.createDataFrame(
-            [(b.bid, b.key, float(b.lo), float(b.hi), b.base(), b.width(bins) if b in big else 1.0, b.log)
-             for b in active],
-            "bid long, k string, lo double, hi double, base double, w double, lg boolean")
-        # hi is exclusive, except that +inf (its own nextafter) is included
-        inside = (vals.join(F.broadcast(tbl), "k")
-                  .where((F.col("v") >= F.col("lo"))
-                         & ((F.col("v") < F.col("hi")) | ((F.col("v") == _inf()) & (F.col("hi") == _inf())))))
-
-        def finalize(small=small, inside=inside):
+
+        def finalize(small=small, first=first):
             if not small:
                 return []
-            ids = [b.bid for b in small]
-            w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            ranked = (inside.where(F.col("bid").isin(ids))
-                      .groupBy("bid", "v").agg(F.count(F.lit(1)).alias("cnt"))
-                      .withColumn("upto", F.sum("cnt").over(w)))
-            want = spark.createDataFrame(
-                [(b.bid, int(r - b.below)) for b in small for r in b.ranks], "bid long, r long")
-            return (ranked.join(F.broadcast(want), "bid")
-                    .where((F.col("upto") - F.col("cnt") <= F.col("r")) & (F.col("r") < F.col("upto")))
-                    .select("bid", "r", "v").collect())
-
-        def histogram(big=big, inside=inside):
+            same = first and len(small) == len(active)
+            return _rank_values(counted if same else _matching(counted, small, F.col("c")), small)
+
+        def histogram(big=big):
             if not big:
                 return []
-            return _bin_counts(inside.where(F.col("bid").isin([b.bid for b in big])), bins).collect()
+            return _bin_counts(_matching(counted, big, F.col("c"), ("base", _Bracket.base), ("lg", lambda b: b.log),
+                                         ("w", lambda b: b.width(bins))), bins).collect()
 
         # the two passes are independent jobs: submit them together
         with ThreadPoolExecutor(max_workers=2) as pool:
             f_hit, f_hist = pool.submit(finalize), pool.submit(histogram)
             hit, hist = f_hit.result(), f_hist.result()
-        by_id = {b.bid: b for b in small}
+        below = {b.bid: b.below for b in small}
         for row in hit:
-            b = by_id[row["bid"]]
-            found[(b.key, int(row["r"]) + b.below)] = row["v"]
-        active = []
-        if big:
-            per: dict = {}
-            for row in hist:
-                per.setdefault(row["bid"], []).append(
-                    (int(row["bin"]), int(row["cnt"]), float(row["mn"]), float(row["mx"])))
-            for b in big:
-                acc = b.below
-                rows = sum(x[1] for x in per.get(b.bid, []))
-                children: dict = {}
-                for i, cnt, mn, mx in sorted(per.get(b.bid, [])):
-                    for r in b.ranks:
-                        if acc <= r < acc + cnt:
-                            if mn == mx:
-                                found[(b.key, r)] = mn
-                                continue
-                            ch = children.get(i)
-                            if ch is None:
-                                ch = children[i] = _Bracket(next_id, b.key, mn, math.nextafter(mx, math.inf), acc,
-                                                            log=not b.log and 8 * cnt > rows)
-                                nd[next_id] = cnt
-                                next_id += 1
-                            ch.ranks.append(r)
-                    acc += cnt
-                active.extend(children.values())
-    if active:
-        raise RuntimeError("exact_quantiles did not converge; raise max_iter")
+            found[(owner[row["bid"]], int(row["r"]) + below[row["bid"]])] = row["v"]
+        active, first = [], False
+        per: dict = {}
+        for row in hist:
+            per.setdefault(row["bid"], []).append((int(row["bin"]), int(row["cnt"]), float(row["mn"]), float(row["mx"])))
+        for b in big:
+            acc = b.below
+            for _, cnt, mn, mx in sorted(per.get(b.bid, [])):
+                ranks = [r for r in b.ranks if acc <= r < acc + cnt]
+                if ranks and mn == mx:
+                    found.update({(owner[b.bid], r): mn for r in ranks})
+                elif ranks:
+                    # a bin that keeps over an eighth of its bracket (a heavy tail) is cut in the logarithm next
+                    active.append(_Bracket(next_id, b.value, b.where, mn, mx, acc, cnt, ranks, not b.log and 8 * cnt > b.rows))
+                    owner[next_id] = owner[b.bid]
+                    next_id += 1
+                acc += cnt
     return found
 
 
@@ -192,77 +208,104 @@ def _lerp(a: float, b: float, frac: float) -> float:
     return a + (b - a) * frac
 
 
-def _finish(spark, base_rows, probs, vals, max_group, bins, max_iter, name_col, first_nd=None):
-    brackets, plan = [], []
-    for i, row in enumerate(base_rows):
-        n = int(row["n"])
-        if n == 0:
-            plan.extend((row["k"], p, None, None, 0.0) for p in probs)
-            continue
-        b = _Bracket(i, row["k"], float(row["lo"]), math.nextafter(float(row["hi"]), math.inf), 0)
-        for p in probs:
+def _shares(probs) -> list[float]:
+    return [s for p in probs for m in MARGINS for s in (max(p - m, 0.0), min(p + m, 1.0))]
+
+
+def sketch_columns(x: Column, i) -> list[Column]:
+    """Aggregates of one column for :func:`merged_sketches`."""
+    return [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+            F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias(f"sk{i}")]
+
+
+def merged_sketches(i, probs) -> list[Column]:
+    """The same over the results of several groups of rows, with the sketch's
+    values around each probability (``q{i}``)."""
+    n, sketch = F.sum(f"n{i}"), F.kll_merge_agg_double(f"sk{i}", F.lit(SKETCH_K))
+    at = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(float(s)) for s in _shares(probs)]))
+    return [n.alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"),
+            F.when(n > 0, at).alias(f"q{i}")]
+
+
+def mergers(df: DataFrame, *by):
+    """``df`` grouped into ``MERGERS`` parts by task (and by ``by``)."""
+    return df.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("__part"))
+
+
+def _finish(spark, src: DataFrame, columns: list[dict], probs, max_group: int, bins: int, name_col: str) -> DataFrame:
+    """``columns``: for each, its name ``k``, ``value`` and ``where`` columns of
+    ``src`` and n, lo, hi, q of the sketch pass."""
+    plan, open_, brackets = [], [], []
+    for c in columns:
+        n, whole = int(c["n"] or 0), None
+        for j, p in enumerate(probs):
+            if not n:
+                plan.append((c["k"], p, None, 0, 0, 0.0))
+                continue
             h = (n - 1) * float(p)
-            r0 = int(math.floor(h))
-            r1 = min(r0 + 1, n - 1)
-            plan.append((row["k"], p, r0, r1, h - r0))
-            b.ranks.extend(r for r in (r0, r1) if r not in b.ranks)
-        brackets.append(b)
-    found = _values_at_ranks(vals, brackets, max_group, bins, max_iter, first_nd)
-    out = []
-    for k, p, r0, r1, frac in plan:
-        if r0 is None:
-            out.append((k, float(p), None))
-            continue
-        out.append((k, float(p), _lerp(found[(k, r0)], found[(k, r1)], frac)))
+            r0, r1 = int(math.floor(h)), min(int(math.floor(h)) + 1, n - 1)
+            b = whole
+            if b is None:
+                b = _Bracket(len(brackets), c["value"], c["where"], float(c["lo"]), float(c["hi"]), 0, n)
+                brackets.append(b)
+            b.ranks = sorted({*b.ranks, r0, r1})
+            plan.append((c["k"], p, b.bid, r0, r1, h - r0))
+            if n > max_group and b.lo < b.hi:
+                q = c["q"][2 * len(MARGINS) * j:]
+                open_.append((b, [(q[2 * m], q[2 * m + 1]) for m in range(len(MARGINS))]))
+            else:
+                whole = b  # a short column is one bracket for all its ranks
+    while open_:  # one reading, but for brackets beside their ranks
+        tries = [(b, *around[0]) for b, around in open_ if around]
+        if not tries:
+            break
+        r = src.agg(*[F.count(F.when(e if b.where is None else b.where & e, 1)).alias(f"{name}{i}")
+                      for i, (b, lo, hi) in enumerate(tries)
+                      for name, e in (("b", b.value < F.lit(lo)), ("i", (b.value >= F.lit(lo)) & (b.value <= F.lit(hi))))]
+                    ).first()
+        missed = []
+        for i, (b, lo, hi) in enumerate(tries):
+            if r[f"b{i}"] <= b.ranks[0] and b.ranks[-1] < r[f"b{i}"] + r[f"i{i}"]:
+                b.lo, b.hi, b.below, b.rows = float(lo), float(hi), r[f"b{i}"], r[f"i{i}"]
+            else:
+                missed.append(b.bid)
+        open_ = [(b, around[1:]) for b, around in open_ if b.bid in missed]
+    found = _values_at_ranks(src, brackets, max_group, bins)
+    out = [(k, float(p), None if bid is None else _lerp(found[(bid, r0)], found[(bid, r1)], frac))
+           for k, p, bid, r0, r1, frac in plan]
     return spark.createDataFrame(out, f"{name_col} string, p double, quantile double")
 
 
 def exact_quantiles(long_df: DataFrame, probs: list[float], name_col: str = "column_name",
-                    value_col: str = "value", max_group: int = 20_000, bins: int = 1024,
-                    max_iter: int = 40) -> DataFrame:
+                    value_col: str = "value", max_group: int = 20_000, bins: int = 1024) -> DataFrame:
     """Exact ``quantile_cont`` of every column in a long ``(name, value)`` frame.
 
     Returns a small DataFrame ``(column_name, p, quantile)`` with one row per
     column and probability; nulls (and NaN) are ignored; a column without values
     gets NULL quantiles."""
-    spark = long_df.sparkSession
-    vals = (long_df.select(F.col(name_col).alias("k"), F.col(value_col).cast("double").alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    x = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
-    base = (long_df.groupBy(F.col(name_col).alias("k"))
-            .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-            .collect())
-    # the row count bounds the distinct count; the histogram pass estimates
-    # the distinct values of each bin
-    return _finish(spark, base, probs, vals, max_group, bins, max_iter, name_col,
-                   {r["k"]: r["n"] for r in base})
+    src = long_df.select(F.col(name_col).alias("k"),
+                         F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double")).alias("v"))
+    base = mergers(src, "k").agg(*sketch_columns(F.col("v"), "")).groupBy("k").agg(*merged_sketches("", probs)).collect()
+    return _finish(long_df.sparkSession, src, [r.asDict() | {"value": F.col("v"), "where": F.col("k").eqNullSafe(F.lit(r["k"]))}
+                                               for r in base], probs, max_group, bins, name_col)
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], max_group: int = 20_000,
-                     bins: int = 1024, max_iter: int = 40, stats: dict | None = None) -> DataFrame:
-    """:func:`exact_quantiles` of columns of a wide frame.  Counts, ranges and
-    distinct estimates come from one wide aggregate; the values reach the
-    bracket passes as a union of one-column projections, so each branch reads
-    only its own column and no row is exploded per column."""
+                     bins: int = 1024, stats: dict | None = None) -> DataFrame:
+    """:func:`exact_quantiles` of columns of a wide frame; ``stats`` (keys
+    n{i}, lo{i}, hi{i}, q{i}) lets a caller that has already aggregated the
+    table with :func:`sketch_columns` and :func:`merged_sketches` skip the
+    first reading."""
     from tabsight.functions.columns import numeric_value
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column_name string, p double, quantile double")
     xs = [F.nanvl(numeric_value(df, c), F.lit(None).cast("double")) for c in columns]
-    # ``stats`` (keys n{i}, lo{i}, hi{i}) lets a caller that already
-    # aggregated the table skip this pass.  Only declarative aggregates here,
-    # so the pass keeps whole-stage codegen; the row count bounds the distinct
-    # count and the histogram pass estimates distinct values per bin.
-    r = stats if stats is not None else df.agg(*[e for i, x in enumerate(xs) for e in (
-        F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first()
-    base = [{"k": c, "n": r[f"n{i}"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for i, c in enumerate(columns)]
-    parts = [df.select(F.lit(c).alias("k"), x.alias("v")).where(F.col("v").isNotNull())
-             for c, x in zip(columns, xs)]
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionAll(p)
-    return _finish(spark, base, probs, vals, max_group, bins, max_iter, "column_name",
-                   {c: r[f"n{i}"] for i, c in enumerate(columns)})
+    if stats is None:
+        stats = mergers(df).agg(*[e for i, x in enumerate(xs) for e in sketch_columns(x, i)]).agg(
+            *[e for i in range(len(columns)) for e in merged_sketches(i, probs)]).first()
+    return _finish(spark, df, [{"k": c, "value": x, "where": None} | {name: stats[f"{name}{i}"] for name in ("n", "lo", "hi", "q")}
+                               for i, (c, x) in enumerate(zip(columns, xs))], probs, max_group, bins, "column_name")
 
 
 def approx_quantiles(long_df: DataFrame, probs: list[float], accuracy: int = 10_000,

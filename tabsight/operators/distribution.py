@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.functions.columns import col, columns_of_kind, numeric_value
-from tabsight.functions.quantiles import column_quantiles, exact_quantiles
+from tabsight.functions.quantiles import column_quantiles
 
 IQR_K = 1.5          # Tukey fences
 Z_LIMIT = 3.0        # |z| > 3, z with ddof=0
@@ -120,9 +120,8 @@ def mad_stats(df: DataFrame, column: str) -> tuple:
     med = column_quantiles(df, [column], [0.5]).first()["quantile"]
     if med is None:
         return None, None
-    dev = df.select(F.lit(column).alias("column_name"),
-                    F.abs(_x(df, column) - F.lit(med)).alias("value"))
-    mad = exact_quantiles(dev, [0.5]).first()["quantile"]
+    dev = df.select(F.abs(_x(df, column) - F.lit(med)).alias("value"))
+    mad = column_quantiles(dev, ["value"], [0.5]).first()["quantile"]
     return med, mad
 
 

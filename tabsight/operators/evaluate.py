@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabsight.functions.columns import col
 from tabsight.functions.ranking import running_sum
 from tabsight.operators.distribution import histogram
+from tabsight.session import keep
 
 
 def metric_accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -24,24 +25,28 @@ def metric_accuracy(pred: DataFrame, label: str = "label", prediction: str = "pr
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Counts for every (actual, predicted) pair of the label set (E3),
-    zero cells included; classes are the union of labels and predictions
-    (one small row per class)."""
-    counts = pred.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    classes = sorted({r[0] for r in counts.select("actual").union(counts.select("predicted")).distinct().collect()},
-                     key=lambda v: (v is None, v))
-    dt = counts.schema["actual"].dataType
-    grid = pred.sparkSession.createDataFrame([(a, p) for a in classes for p in classes],
-                                             f"actual {dt.simpleString()}, predicted {dt.simpleString()}")
-    return grid.join(counts, ["actual", "predicted"], "left") \
-        .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    zero cells included; classes are the union of labels and predictions.
+    The pairs are made by Spark, none of them on the driver."""
+    counts = keep(_cells(pred, label, prediction), "cells")
+    classes = keep(counts.select("actual").union(counts.select("predicted")).distinct(), "classes")
+    k = classes.count()
+    # a number for each class; a class meets every number, and the number its class
+    numbered = classes.agg(F.collect_list(F.struct(F.col("actual").alias("c"))).alias("all")).select(
+        F.posexplode("all").alias("j", "x")).select("j", F.col("x.c").alias("predicted"))
+    grid = classes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(k - 1, 0))))).join(numbered, "j").drop("j")
+    both = grid["actual"].eqNullSafe(counts["actual"]) & grid["predicted"].eqNullSafe(counts["predicted"])
+    return grid.join(counts, both, "left").select(
+        grid["actual"], grid["predicted"], F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+def _cells(pred: DataFrame, label: str, prediction: str) -> DataFrame:
+    return pred.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def _per_class(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     """Per class: support, tp, predicted count; precision, recall and F1 are
     0 when undefined (``zero_division=0``)."""
-    cm = pred.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    cm = _cells(pred, label, prediction)
     sup = cm.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"))
     prd = cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("n_pred"))
     tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("count").alias("tp"))
@@ -66,29 +71,29 @@ def metric_weighted_prf(pred: DataFrame, label: str = "label", prediction: str =
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per-class precision/recall/F1/support plus ``accuracy``, ``macro avg``
-    and ``weighted avg`` rows (E4).  One scan; the per-class rows (one per
-    class) are combined on the driver."""
-    per = _per_class(pred, label, prediction).collect()
-    n = sum(r["support"] for r in per)
-    rows = [(str(r["cls"]), r["precision"], r["recall"], r["f1"], int(r["support"])) for r in per]
-    if per and n:
-        k = len(per)
-        rows.append(("accuracy", None, None, sum(r["tp"] for r in per) / n, n))
-        rows.append(("macro avg", sum(r["precision"] for r in per) / k, sum(r["recall"] for r in per) / k,
-                     sum(r["f1"] for r in per) / k, n))
-        rows.append(("weighted avg", sum(r["precision"] * r["support"] for r in per) / n,
-                     sum(r["recall"] * r["support"] for r in per) / n,
-                     sum(r["f1"] * r["support"] for r in per) / n, n))
-    return pred.sparkSession.createDataFrame(
-        rows, "class string, precision double, recall double, f1 double, support bigint")
+    and ``weighted avg`` rows (E4), from one reading."""
+    per = keep(_per_class(pred, label, prediction), "classes")
+    rows = per.select(F.col("cls").cast("string").alias("class"), "precision", "recall", "f1", "support")
+    n = F.sum("support")
+    none = F.lit(None).cast("double")
+    names = ("precision", "recall", "f1")
+    parts = [F.struct(F.lit("accuracy").alias("class"), none.alias("precision"), none.alias("recall"),
+                      (F.sum("tp") / n).alias("f1"), n.alias("support")),
+             F.struct(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in names], n.alias("support")),
+             F.struct(F.lit("weighted avg").alias("class"),
+                      *[(F.sum(F.col(c) * F.col("support")) / n).alias(c) for c in names], n.alias("support"))]
+    total = per.agg(F.array(*parts).alias("parts"), n.alias("n")).where("n > 0").select(F.inline("parts"))
+    return rows.unionByName(total).withColumn("support", F.col("support").cast("bigint"))
 
 
 def _score_counts(pred: DataFrame, label: str, score: str, positive) -> DataFrame:
     """Positives/negatives per distinct score, with running totals from the
-    highest score down (a distributed running sum over distinct scores)."""
+    highest score down (a distributed running sum over distinct scores).
+    ``pred`` is read once; all that follows reads the written result.  Rows
+    with a null score or label belong to no curve."""
     is_pos = (col(label) == F.lit(positive)).cast("bigint")
-    per = pred.where(col(score).isNotNull()).groupBy(col(score).cast("double").alias("score")).agg(
-        F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
+    per = (pred.where(col(score).isNotNull() & col(label).isNotNull())
+           .groupBy(col(score).cast("double").alias("score")).agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")))
     per = per.withColumn("__desc", -F.col("score"))
     return running_sum(per, None, ["__desc"], ["pos", "neg"], ["tp", "fp"]).drop("__desc")
 
@@ -97,8 +102,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score", posit
     """ROC points (E5): one per distinct score (threshold = score, predicted
     positive when score >= threshold) plus the start (0, 0) at +inf."""
     c = _score_counts(pred, label, score, positive)
-    tot = pred.agg(F.sum((col(label) == F.lit(positive)).cast("bigint")).alias("P"),
-                   F.sum((col(label) != F.lit(positive)).cast("bigint")).alias("N")).first()
+    tot = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] or 0
     pts = c.select(F.col("score").alias("threshold"),
                    F.try_divide(F.col("fp").cast("double"), F.lit(N)).alias("fpr"),
@@ -120,7 +124,7 @@ def pr_curve(pred: DataFrame, label: str = "label", score: str = "score", positi
     """Precision-recall points (E7) at every distinct score, plus the closing
     point (precision 1, recall 0) without threshold."""
     c = _score_counts(pred, label, score, positive)
-    P = pred.agg(F.sum((col(label) == F.lit(positive)).cast("bigint"))).first()[0] or 0
+    P = c.agg(F.sum("pos")).first()[0] or 0
     pts = c.select(F.col("score").alias("threshold"),
                    F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
                    .alias("precision"),

@@ -18,7 +18,7 @@ from tabsight.functions.columns import (
     col, columns_of_kind, hash_order, kind_of, numeric_value, unpivot_numeric,
 )
 from tabsight.functions.quantiles import column_quantiles
-from tabsight.functions.ranking import at_or_below, dense_codes, rank_cuts
+from tabsight.functions.ranking import cuts_passed, dense_codes, hash_cuts, join_checked
 
 MIN_ROWS = 10          # fixed value: minimum rows for training
 UNKNOWN = "Unknown"    # fixed value: fill for an all-null text feature
@@ -130,9 +130,10 @@ def impute_drop(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, columns: list[str] | None = None, null_token: str = "nan") -> DataFrame:
     """Codes = position of the value among the column's sorted distinct values
-    (X5); nulls become the category ``'nan'``.  The code table is built with a
-    distributed dense rank and joined back: broadcast when its measured size
-    is under ``BROADCAST_LIMIT_BYTES``, otherwise a shuffle join."""
+    (X5); nulls become the category ``'nan'``.  Two readings: one for the
+    distinct values of all columns, whose code table is a distributed dense
+    rank, one to join the codes back (broadcast while the code tables sent add
+    up to at most ``BROADCAST_LIMIT_BYTES``, otherwise a shuffle join)."""
     columns = columns if columns is not None else columns_of_kind(df, "text")
     if not columns:
         return df
@@ -140,19 +141,21 @@ def label_encode(df: DataFrame, columns: list[str] | None = None, null_token: st
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), txt[c].alias("value"))
                                         for c in columns])))
     codes = dense_codes(long, "column_name", "value", "code")
-    # size of each column's code table (rows and text bytes, one small
-    # aggregate): tables under the limit are broadcast explicitly, so a hot
-    # category never concentrates in one reducer; larger ones are joined by
-    # the planner (AQE splits skewed partitions)
+    # the code tables' sizes (rows and text bytes, one small aggregate): the
+    # smallest are broadcast as long as all of these together stay under the
+    # limit, so a hot category never meets in one reducer; larger ones are
+    # joined by the planner (AQE splits skewed partitions)
     size = {r["column_name"]: r["b"] for r in codes.groupBy("column_name").agg(
         (F.sum(F.octet_length("value")) + F.count(F.lit(1)) * 16).alias("b")).collect()}
-    out = df
+    out, held, sent = df, 0, set()
+    for c in sorted(columns, key=lambda c: size.get(c) or 0):
+        held += size.get(c) or 0
+        if held <= BROADCAST_LIMIT_BYTES:
+            sent.add(c)
     for i, c in enumerate(columns):
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"__v{i}"),
                                                           F.col("code").alias(f"__code{i}"))
-        if (size.get(c) or 0) <= BROADCAST_LIMIT_BYTES:
-            m = F.broadcast(m)
-        out = out.withColumn(f"__v{i}", txt[c]).join(m, f"__v{i}", "left")
+        out = out.withColumn(f"__v{i}", txt[c]).join(F.broadcast(m) if c in sent else m, f"__v{i}", "left")
     return out.select(*[F.col(f"__code{columns.index(c)}").cast("bigint").alias(c) if c in columns else col(c)
                         for c in df.columns])
 
@@ -192,31 +195,56 @@ def minmax_scale(df: DataFrame, columns: list[str], fit: DataFrame | None = None
     return _replace(df, exprs)
 
 
-def preprocess(df: DataFrame, columns: list[str] | None = None, missing: str | None = "mean",
+STRATEGIES = ("mean", "median", "most_frequent", "constant", "drop")
+
+
+def impute_by_column(df: DataFrame, strategies: dict[str, str], fill: str | dict[str, str] = "0") -> DataFrame:
+    """Fill every column by its own strategy (``STRATEGIES``; P6, X1-X3), text
+    included, in the order given: rows that a ``drop`` column rules out count
+    for the columns before it and no longer for those after it.  ``fill`` is
+    one text or one per column.  Columns between two drops share their
+    readings."""
+    def fill_up(rows: DataFrame, by: dict) -> DataFrame:
+        for s, fit in (("mean", impute_mean), ("median", impute_median), ("most_frequent", impute_mode)):
+            if s in by:
+                rows = fit(rows, by[s])
+        for c in by.get("constant", []):
+            rows = impute_constant(rows, [c], fill if isinstance(fill, str) else fill.get(c, "0"))
+        return rows
+
+    out, open_ = df, {}
+    for c, s in strategies.items():
+        if s not in STRATEGIES:
+            raise ValueError(f"no strategy {s!r}")
+        if s in ("mean", "median") and kind_of(df.schema[c].dataType) != "numeric":
+            raise ValueError(f"{c} has no {s}")
+        if s == "drop":
+            out, open_ = impute_drop(fill_up(out, open_), [c]), {}
+        else:
+            open_.setdefault(s, []).append(c)
+    return fill_up(out, open_)
+
+
+def preprocess(df: DataFrame, columns: list[str] | None = None, missing: str | dict | None = "mean",
                scaling: str | None = "standard", outliers: str | None = "cap",
-               fill: str = "0") -> DataFrame:
-    """Missing values -> scaling -> outliers, each optional."""
+               fill: str | dict[str, str] = "0") -> DataFrame:
+    """Missing values -> scaling -> outliers, each optional (X8).  ``missing``
+    is one strategy for ``columns`` or a dict with one for each column, text
+    columns included; scaling and outliers take the numeric ``columns``."""
     from tabsight.operators import distribution as D
     columns = columns if columns is not None else columns_of_kind(df, "numeric")
-    out = df
-    if missing == "mean":
-        out = impute_mean(out, columns)
-    elif missing == "median":
-        out = impute_median(out, columns)
-    elif missing == "most_frequent":
-        out = impute_mode(out, columns)
-    elif missing == "constant":
-        out = impute_constant(out, columns, fill)
-    elif missing == "drop":
-        out = impute_drop(out, columns)
+    if isinstance(missing, str):
+        missing = {c: missing for c in columns}
+    out = impute_by_column(df, missing, fill) if missing else df
+    numeric = [c for c in columns if kind_of(out.schema[c].dataType) == "numeric"]
     if scaling == "standard":
-        out = standard_scale(out, columns)
+        out = standard_scale(out, numeric)
     elif scaling == "minmax":
-        out = minmax_scale(out, columns)
+        out = minmax_scale(out, numeric)
     if outliers == "cap":
-        out = D.outliers_cap_iqr(out, columns)
+        out = D.outliers_cap_iqr(out, numeric)
     elif outliers == "remove":
-        out = D.outliers_remove_iqr(out, columns)
+        out = D.outliers_remove_iqr(out, numeric)
     return out
 
 
@@ -239,17 +267,17 @@ def stratified_split(df: DataFrame, keys: list[str], label: str, test_fraction:
                      out: str = "is_test") -> DataFrame:
     """Stratified split (X11): within every class the first
     ceil(test_fraction * n_class) rows in md5 order (ties by key) are test
-    rows.  The per-class cut is an order statistic found with aggregates
-    (:func:`rank_cuts`); rows are then compared with literals, so the table
-    is neither shuffled nor checkpointed and a hot class costs nothing extra."""
+    rows.  The cut of every class is an order statistic found with two
+    aggregates (:func:`hash_cuts`) and joined to the rows (broadcast, if the
+    classes are few enough by count), so the table is neither shuffled nor
+    written, a hot class costs nothing extra and classes may be many."""
     k = key_column(keys)
-    base = df.withColumn("__h", hash_order(k)).withColumn("__k", k)
-    cuts = rank_cuts(base.where(col(label).isNotNull()), label, "__h", "__k",
-                     lambda g, n: [int(math.ceil(test_fraction * n))])
-    cond = F.lit(False)
-    for (g, _), c in cuts.items():
-        cond = F.when(col(label) == F.lit(g), at_or_below(F.col("__h"), F.col("__k"), c)).otherwise(cond)
-    return base.withColumn(out, F.coalesce(cond, F.lit(False))).drop("__h", "__k")
+    cuts = hash_cuts(df, col(label), hash_order(k), k, lambda n: F.array(F.ceil(F.lit(float(test_fraction)) * n)))
+    rows = df.select("*", hash_order(k).alias("__h"), k.alias("__k"))
+    cuts = cuts.select(F.col("g").alias("__g"), F.col("cuts").alias("__cuts"))
+    test = F.coalesce(cuts_passed(F.col("__cuts"), F.col("__h"), F.col("__k")) == 0, F.lit(False))
+    return join_checked(rows, cuts, col(label) == F.col("__g"), "left").select(
+        *[col(c) for c in df.columns], test.alias(out))
 
 
 def target_type(df: DataFrame, target: str) -> DataFrame:

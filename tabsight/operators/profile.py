@@ -10,6 +10,8 @@ long-form DataFrames with one row per profiled column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from tabsight.functions.columns import (
     col, columns_of_kind, kind_of, numeric_value, quote,
 )
+from tabsight.functions import quantiles as Q
 from tabsight.functions.quantiles import column_quantiles
 
 _FIXED_WIDTH = {
@@ -213,23 +216,43 @@ def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.select(F.inline(F.array(*structs))).orderBy(F.desc_nulls_last("skewness"), "column_name")
 
 
+def _joined_moments(parts) -> tuple:
+    """Mean and sample deviation of all rows from (n, mean, population
+    variance) of groups of them."""
+    n, mean, m2 = 0, None, 0.0
+    for k, m, v in sorted(p for p in parts if p[0]):
+        if mean is None:
+            n, mean, m2 = k, m, k * v
+            continue
+        step = m - mean
+        m2 += k * v + step * step * (n * k / (n + k))
+        mean += step * (k / (n + k))
+        n += k
+    return mean, math.sqrt(m2 / (n - 1)) if n > 1 else None
+
+
 def summary_numeric(df: DataFrame, columns: list[str] | None = None,
                     percentiles=(0.25, 0.5, 0.75)) -> DataFrame:
     """``describe`` of numeric columns (A1): count, mean, std (ddof=1), min,
     quartiles (linear interpolation), max, missing count and %.
 
-    One wide aggregate of declarative functions (whole-stage codegen; it also
-    feeds the quantile brackets with count and range), then the quantile
-    passes."""
+    The table is read three times: one wide aggregate with moments, ranges
+    and sketches (per ``MERGERS`` groups of tasks, whose moments are put
+    together here), one that counts around the ranks, one that reads the rows
+    near them (:mod:`tabsight.functions.quantiles`)."""
     columns = columns if columns is not None else columns_of_kind(df, "numeric")
     spark = df.sparkSession
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
     qnames = [names.get(p, f"q{int(p * 100)}") for p in percentiles]
-    xs = [numeric_value(df, c) for c in columns]
-    r = df.agg(F.count(F.lit(1)).alias("__n"),
-               *[e for i, x in enumerate(xs) for e in (
-                   F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                   F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))]).first().asDict()
+    xs = [F.nanvl(numeric_value(df, c), F.lit(None).cast("double")) for c in columns]
+    parts = Q.mergers(df).agg(F.count(F.lit(1)).alias("__n"), *[e for i, x in enumerate(xs) for e in (
+        *Q.sketch_columns(x, i), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"))])
+    r = parts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), *[e for i in range(len(columns)) for e in (
+        *Q.merged_sketches(i, percentiles), F.collect_list(F.struct(f"n{i}", f"m{i}", f"v{i}")).alias(f"p{i}"))]
+                  ).first().asDict()
+    for i in range(len(columns)):
+        r[f"n{i}"] = r[f"n{i}"] or 0
+        r[f"m{i}"], r[f"s{i}"] = _joined_moments(r[f"p{i}"])
     q = {(row["column_name"], row["p"]): row["quantile"]
          for row in column_quantiles(df, columns, list(percentiles), stats=r).collect()}
     n = r["__n"]

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tabsight-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read
+    back: cuts the lineage, and a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -59,17 +59,39 @@ def test_constant_zero_and_clustered_values(spark):
         assert v == pytest.approx(float(np.quantile(vals, p)), rel=1e-12)
 
 
-def test_rank_cuts_repeated_key(spark):
-    # one tie key repeated on a third of the rows: the cut is found from
-    # (key, rows) pairs without listing the rows
-    from tabsight.functions.ranking import rank_cuts
-    rows = [("a", 5.0, "k1")] * 30 + [("a", 5.0, f"k{i:03d}") for i in range(2, 32)] \
-        + [("a", float(i), f"z{i}") for i in range(30)]
-    df = spark.createDataFrame(rows, "g string, s double, t string")
-    order = sorted((s, t) for _, s, t in rows)
-    cuts = rank_cuts(df, "g", "s", "t", {"a": [1, 10, 40, 45, 70, 90]})
-    for c in (1, 10, 40, 45, 70, 90):
-        assert cuts[("a", c)] == order[c - 1]
+def test_hash_cuts_repeated_key(spark):
+    # one key repeated on a third of the rows: it is one counted row of its cell
+    from pyspark.sql import functions as F
+    from tabsight.functions.ranking import cuts_passed, hash_cuts
+    rows = [("a", 5, "k1")] * 30 + [("a", 5, f"k{i:03d}") for i in range(2, 32)] \
+        + [("a", i << 13, f"z{i}") for i in range(30)] + [("b", 7, "x"), (None, 1, "y")]
+    df = spark.createDataFrame(rows, "g string, s long, t string")
+    order = sorted((s, t) for g, s, t in rows if g == "a")
+    ranks = [1, 10, 40, 45, 70, 90]
+    cuts = hash_cuts(df, F.col("g"), F.col("s"), F.col("t"), lambda n: F.when(n > 1, F.array(*map(F.lit, ranks)))
+                     .otherwise(F.array(F.lit(0), F.lit(1))))
+    got = {r["g"]: [c and tuple(c) for c in r["cuts"]] for r in cuts.collect()}
+    assert got == {"a": [order[c - 1] for c in ranks], "b": [None, (7, "x")]}
+    passed = df.join(cuts, "g").select("g", "s", "t", cuts_passed(F.col("cuts"), F.col("s"), F.col("t")).alias("n")).collect()
+    for r in passed:
+        assert r["n"] == (sum(order[c - 1] < (r["s"], r["t"]) for c in ranks) if r["g"] == "a" else 1)
+
+
+def test_running_sum_over_ranges_and_batches(spark):
+    """Groups over several ranges and several batches; a null group; two sums."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(("a", "b", None)[i % 3], i * 7 % 101, i, None if i % 5 == 0 else i / 4) for i in range(101)]
+        df = spark.createDataFrame(rows, "g string, o int, x long, y double")
+        for n in (None, 6):
+            out = running_sum(df, "g", ["o"], ["x", "y"], ["sx", "sy"], partitions=n).collect()
+            assert len(out) == len(rows)
+            for r in out:
+                same = [q for q in rows if q[0] == r["g"] and q[1] <= r["o"]]
+                assert r["sx"] == sum(q[2] for q in same)
+                assert r["sy"] == pytest.approx(sum(q[3] or 0 for q in same))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 @pytest.mark.parametrize("max_group,bins", [(20_000, 1024), (3, 4)])
