@@ -8,11 +8,9 @@ the model has one, ``probability`` as ``array<double>``), ``importances()``,
   forest, gradient-boosted trees (one-vs-rest for multi-class), PCA.
 * Gaussian naive Bayes as SQL aggregates (class priors, means, variances),
   predicted in one projection with literal parameters.
-* Exact k-nearest neighbours as a blocked cogroup: train and query rows are
-  cut into blocks, every (train block, query block) cell keeps a local top-k
-  per query row with numpy, and a per-query merge keeps the global top-k.
-  No cell holds more than one train block and one query block, and no pair
-  list is ever materialised.
+* Exact k-nearest neighbours over pivot cells cut into rings, of which a query
+  visits those that the triangle inequality leaves
+  (:mod:`tabsight.operators.neighbours`).
 * Kernel SVM/SVR approximated with random Fourier features (Rahimi & Recht,
   2007) computed by an Arrow-batched pandas UDF, followed by ``LinearSVC``
   (classification) or ``LinearRegression`` with the Huber loss (regression).
@@ -38,15 +36,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions.columns import col, numeric_value
+from tabsight.functions.gram import masked_gram, scaled_spread
+from tabsight.functions.ranking import dense_codes, join_checked
+from tabsight.operators.neighbours import BLOCK_ROWS, NeighbourIndex
+from tabsight.session import keep
 
 SEED = 42                 # fixed value: random_state of the reference
 MAX_TREE_DEPTH = 30       # MLlib's limit stands for an unbounded depth
 KNN_K = 5
+LAYOUT_ROWS, LAYOUT_LEAST = 100_000, 8
+FEW_CLASSES = 64          # up to so many, naive Bayes parameters are literals
+CLASS_BLOCK = 256         # classes of one row of the parameter table
 
 
 # ---------------------------------------------------------------- helpers
@@ -60,11 +65,10 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 def fixed_layout(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """Deterministic row layout for estimators whose sampling depends on the
     partitioning (bootstraps, feature subsets): hash-partition by key into a
-    fixed count and sort within partitions.  The count defaults to the
-    session's ``spark.sql.shuffle.partitions`` (sized to the cluster), and
-    AQE does not coalesce an explicit count, so the layout is the same on
-    every run with the same settings."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count and sort within partitions.  The count follows from the number of
+    rows alone (one partition per ``LAYOUT_ROWS``), so the layout, and with it
+    the forest, is the same under any setting."""
+    n = partitions or max(LAYOUT_LEAST, -(-df.count() // LAYOUT_ROWS))
     return df.repartition(n, *[col(k) for k in keys]).sortWithinPartitions(*[col(k) for k in keys])
 
 
@@ -183,11 +187,12 @@ def _fit_spark(train: DataFrame, features, label, estimator, name, classificatio
     return SparkModel(pm, features, label, classes, name, classification)
 
 
-def logistic(train, features, label, C: float = 1.0, max_iter: int = 1000, classes=None):
-    """L2 logistic regression with sklearn's C (M1): Spark averages the loss
-    over n rows, so regParam = 1 / (C * n)."""
+def logistic(train, features, label, C: float = 1.0, max_iter: int = 1000, classes=None, elastic_net: float = 0.0):
+    """Logistic regression with sklearn's C (M1): Spark averages the loss over
+    n rows, so regParam = 1 / (C * n).  ``elastic_net`` 0 is the L2 penalty, 1
+    the L1 penalty."""
     n = train.count()
-    est = LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False,
+    est = LogisticRegression(regParam=1.0 / (C * max(n, 1)), elasticNetParam=elastic_net, standardization=False,
                              maxIter=max_iter, tol=1e-6)
     return _fit_spark(train, features, label, est, "Logistic Regression", True, classes)
 
@@ -199,13 +204,13 @@ def linear(train, features, label):
 
 
 def random_forest(train, features, label, classification=True, num_trees=100, max_depth=MAX_TREE_DEPTH,
-                  feature_subset=None, bootstrap=True, name="Random Forest", classes=None):
+                  feature_subset=None, bootstrap=True, name="Random Forest", classes=None, min_leaf: int = 1):
     """Random forest (M3): 100 trees, seed 42; sqrt features for
     classification, all for regression."""
     subset = feature_subset or ("sqrt" if classification else "all")
     cls = RandomForestClassifier if classification else RandomForestRegressor
     est = cls(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=subset, seed=SEED,
-              bootstrap=bootstrap, maxBins=64)
+              bootstrap=bootstrap, maxBins=64, minInstancesPerNode=min_leaf)
     return _fit_spark(train, features, label, est, name, classification, classes)
 
 
@@ -285,61 +290,103 @@ class GaussianNB(FittedModel):
         return m
 
 
+class GaussianNBTable(FittedModel):
+    """:class:`GaussianNB` for many classes: their parameters are a table of
+    blocks of ``CLASS_BLOCK`` classes, which Spark joins to the rows.  Nothing
+    per class is on the driver."""
+
+    name = "Naive Bayes"
+
+    def __init__(self, features, label, blocks: DataFrame, n_classes: int):
+        super().__init__(features, label, None)
+        self.blocks, self.n_classes = blocks, n_classes
+
+    @staticmethod
+    def fit(train: DataFrame, features, label, var_smoothing: float = 1e-9) -> "GaussianNBTable":
+        from tabsight.operators.stats import class_moments
+        per = class_moments(train, features, label)
+        xs = [numeric_value(train, f) for f in features]
+        eps = var_smoothing * max([v or 0.0 for v in train.agg(*[F.var_pop(x) for x in xs]).first()] or [0.0])
+        n, k = per.agg(F.sum("rows"), F.count(F.lit(1))).first()
+        var = F.transform("var", lambda v: F.greatest(F.coalesce(v, F.lit(0.0)) + F.lit(eps), F.lit(1e-300)))
+        const = F.aggregate("v", F.log(F.col("rows") / F.lit(float(n or 1))), lambda s, v: s - 0.5 * F.log(2 * math.pi * v))
+        per = per.withColumn("v", var).select("label", F.struct(
+            F.col("label").alias("value"), const.alias("const"), F.col("mean"),
+            F.transform("v", lambda v: 0.5 / v).alias("half")).alias("c"))
+        codes = dense_codes(per.select(F.lit("").alias("g"), "label"), "g", "label")
+        blocks = (per.join(codes, "label").groupBy(F.floor(F.col("code") / CLASS_BLOCK).cast("int").alias("block"))
+                  .agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("classes")))
+        return GaussianNBTable(features, label, keep(blocks, "classes"), k)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        xs = [numeric_value(df, f) for f in self.features]
+        whole = F.lit(True)
+        for x in xs:
+            whole = whole & x.isNotNull()
+        rows = keep(df.select("*", F.monotonically_increasing_id().alias("__id"), F.when(whole, F.array(*xs)).alias("__x")), "rows")
+        n_blocks = -(-self.n_classes // CLASS_BLOCK)
+
+        def score(x):
+            def one(e):
+                gaps = F.zip_with(F.zip_with(x, e["c"]["mean"], lambda a, m: (a - m) * (a - m)), e["c"]["half"], lambda g, h: g * h)
+                return F.struct(F.aggregate(gaps, e["c"]["const"], lambda s, g: s - g).alias("ll"), (-e["code"]).alias("neg"),
+                                e["c"]["value"].alias("value"))
+            return one
+
+        asked = rows.where("__x IS NOT NULL").select("__id", "__x", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0))))
+                                                     .alias("block"))
+        scored = (join_checked(asked, self.blocks, "block", row_bytes=CLASS_BLOCK * (32 + 16 * len(self.features)))
+                  .select("__id", "block", F.transform("classes", score(F.col("__x"))).alias("s"))
+                  .select("__id", "block", F.array_max("s").alias("best"), F.transform("s", lambda e: e["ll"]).alias("ll")))
+        per_row = scored.groupBy("__id").agg(F.max("best").alias("best"), F.sort_array(F.collect_list(F.struct("block", "ll"))).alias("parts"))
+        ex = F.transform(F.flatten(F.transform("parts", lambda p: p["ll"])), lambda v: F.exp(v - F.col("best.ll")))
+        total = F.aggregate("ex", F.lit(0.0), lambda a, b: a + b)
+        found = per_row.select("__id", F.col("best.value").alias("prediction"), ex.alias("ex")).select(
+            F.col("__id").alias("__of"), "prediction", F.transform("ex", lambda v: v / total).alias("probability"))
+        return rows.join(found, rows["__id"] == found["__of"], "left").select(*[col(c) for c in df.columns], "prediction", "probability")
+
+    def _meta(self):
+        return super()._meta() | {"n_classes": self.n_classes}
+
+    def _save_state(self, path):
+        self.blocks.write.mode("overwrite").parquet(os.path.join(path, "classes"))
+
+
 def gaussian_nb(train, features, label):
-    """Gaussian naive Bayes (M6)."""
+    """Gaussian naive Bayes (M6).  Up to ``FEW_CLASSES`` classes their
+    parameters are literals of one projection, beyond that a table."""
+    if train.select(col(label)).where(col(label).isNotNull()).distinct().limit(FEW_CLASSES + 1).count() > FEW_CLASSES:
+        return GaussianNBTable.fit(train, features, label)
     return GaussianNB.fit(train, features, label)
 
 
 # ------------------------------------------------------------------- KNN
-def _knn_cell(k: int):
-    def fn(key, tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
-        if tr.empty or te.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64"), "y": pd.Series([], dtype="float64")})
-        X = np.stack(tr["x"].to_numpy()).astype(float)
-        tid = tr["tid"].to_numpy()
-        y = tr["y"].to_numpy(dtype=float)
-        Q = np.stack(te["x"].to_numpy()).astype(float)
-        qid = te["qid"].to_numpy()
-        xx = (X * X).sum(axis=1)
-        kk = min(k, X.shape[0])
-        qs, ts, ds = [], [], []
-        for s in range(0, len(Q), 256):
-            q = Q[s:s + 256]
-            d = np.maximum((q * q).sum(axis=1)[:, None] - 2.0 * q @ X.T + xx[None, :], 0.0)
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            for r in range(len(q)):
-                cand = np.nonzero(d[r] <= kth[r])[0]       # every tie at the boundary
-                sel = cand[np.lexsort((tid[cand], d[r, cand]))[:kk]]
-                qs.append(np.full(len(sel), qid[s + r]))
-                ts.append(sel)
-                ds.append(d[r, sel])
-        sel = np.concatenate(ts)
-        return pd.DataFrame({"qid": np.concatenate(qs).astype("int64"), "tid": tid[sel].astype("int64"),
-                             "dist": np.concatenate(ds), "y": y[sel]})
-    return fn
-
-
 class KNN(FittedModel):
     """Exact k-nearest neighbours on (optionally standardised) features;
-    uniform vote (ties -> smallest label) or mean of the neighbours."""
+    uniform vote (ties -> smallest label) or mean of the neighbours.  Labels
+    and keys may be of any type, keys may repeat; a row with a null feature is
+    nobody's neighbour and gets no prediction."""
 
     name = "K-Nearest Neighbors"
 
     def __init__(self, train: DataFrame, features, label, key: str, classification: bool, k: int = KNN_K,
-                 scale=None, train_block: int = 20_000, query_block: int = 20_000):
+                 scale=None, pivots: int | None = None, block_rows: int = BLOCK_ROWS):
         super().__init__(features, label, None)
         self.train, self.key, self.classification, self.k = train, key, classification, k
         self.scale = scale            # (means, stds) or None
-        self.train_block, self.query_block = train_block, query_block
-        self.name = "K-Nearest Neighbors"
+        self.pivots, self.block_rows = pivots, block_rows
+        self._index = None
 
     def _vec(self, df):
         xs = [numeric_value(df, f) for f in self.features]
         if self.scale is not None:
             mu, sd = self.scale
-            xs = [(x - F.lit(m)) / F.lit(s) if s else F.lit(0.0) for x, m, s in zip(xs, mu, sd)]
-        return F.array(*xs)
+            xs = [(x - F.lit(m)) / F.lit(s) if s else F.when(x.isNotNull(), 0.0) for x, m, s in zip(xs, mu, sd)]
+        xs = [F.nanvl(x, F.lit(None).cast("double")) for x in xs]
+        whole = F.lit(True)
+        for x in xs:
+            whole = whole & x.isNotNull()
+        return F.when(whole, F.array(*xs))
 
     def _meta(self):
         m = super()._meta()
@@ -350,37 +397,49 @@ class KNN(FittedModel):
         self.train.select(col(self.key), *[col(f) for f in self.features], col(self.label)) \
             .write.mode("overwrite").parquet(os.path.join(path, "train"))
 
-    def neighbours(self, df: DataFrame, qkey: str) -> DataFrame:
-        """``(qid, tid, dist, y, rank)`` of the k nearest training rows."""
-        spark = df.sparkSession
-        tr = self.train.select(col(self.key).cast("long").alias("tid"), self._vec(self.train).alias("x"),
-                               col(self.label).cast("double").alias("y"))
-        te = df.select(col(qkey).cast("long").alias("qid"), self._vec(df).alias("x"))
-        n_tr = tr.count()
-        n_te = te.count()
-        bt = max(1, math.ceil(n_tr / self.train_block))
-        bq = max(1, math.ceil(n_te / self.query_block))
-        tr = tr.withColumn("tb", F.pmod(F.xxhash64("tid"), F.lit(bt))) \
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<bigint>")))
-        te = te.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))) \
-            .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1)).cast("array<bigint>")))
-        local = tr.groupBy("tb", "qb").cogroup(te.groupBy("tb", "qb")).applyInPandas(
-            _knn_cell(self.k), "qid long, tid long, dist double, y double")
-        w = Window.partitionBy("qid").orderBy("dist", "tid")
-        del spark
-        return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+    def _fitted(self):
+        """The numbered train rows and the index over them, made once."""
+        if self._index is None:
+            rows = keep(self.train.select(F.monotonically_increasing_id().alias("tid"), col(self.key).alias("key"),
+                                          self._vec(self.train).alias("x"), col(self.label).alias("y"))
+                        .where("x IS NOT NULL AND y IS NOT NULL"), "train")
+            self._index = rows, NeighbourIndex(rows.select("tid", "key", "x"), self.pivots, self.block_rows)
+        return self._index
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        return keep(df.select("*", F.monotonically_increasing_id().alias("__qid"), self._vec(df).alias("__x")), "queries")
+
+    def _search(self, rows: DataFrame):
+        return self._fitted()[1].search(rows.where("__x IS NOT NULL").select(F.col("__qid").alias("qid"), F.col("__x").alias("x")),
+                                        self.k)
+
+    def neighbours(self, df: DataFrame, qkey: str | None = None) -> DataFrame:
+        """``(qkey, key, dist, y, rank)`` of the k nearest training rows."""
+        rows = self._numbered(df)
+        asked = rows.select(F.col("__qid").alias("qid"), col(qkey or self.key).alias("qkey"))
+        return (self._search(rows)[0].join(self._fitted()[0].drop("x"), "tid").join(asked, "qid")
+                .select("qkey", "key", "dist", "y", "rank"))
+
+    def candidates(self, df: DataFrame) -> DataFrame:
+        """How much the bounds leave: number of queries, of train rows, and of
+        distances computed."""
+        rows = self._numbered(df)
+        cost = self._search(rows)[1]
+        return cost.agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("candidates"), F.lit(0)).alias("n_distances")) \
+            .select("n_queries", F.lit(self._fitted()[1].n).cast("long").alias("n_train"), "n_distances")
 
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
-        qkey = key or self.key
-        nb = self.neighbours(df, qkey)
+        """``df`` with ``prediction``; ``key`` is not needed, rows are told
+        apart by number."""
+        rows = self._numbered(df)
+        nb = self._search(rows)[0].join(self._fitted()[0].select("tid", "y"), "tid")
         if self.classification:
             votes = nb.groupBy("qid", "y").agg(F.count(F.lit(1)).alias("n"))
             pred = votes.groupBy("qid").agg(
                 F.min_by("y", F.struct((-F.col("n")).alias("a"), F.col("y").alias("b"))).alias("prediction"))
         else:
-            pred = nb.groupBy("qid").agg(F.avg("y").alias("prediction"))
-        return df.join(pred.withColumnRenamed("qid", "__qid"), col(qkey).cast("long") == F.col("__qid"), "left") \
-            .drop("__qid")
+            pred = nb.groupBy("qid").agg(F.avg(F.col("y").cast("double")).alias("prediction"))
+        return rows.join(pred, rows["__qid"] == pred["qid"], "left").select(*[col(c) for c in df.columns], "prediction")
 
 
 def knn(train, features, label, key, classification=True, k=KNN_K, scale=True):
@@ -429,7 +488,7 @@ class RFFModel(FittedModel):
         mu, sd = self.scale
         xs = [(numeric_value(df, f) - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
               for f, m, s in zip(self.features, mu, sd)]
-        return rff_column(F.array(*xs), self.W, self.b)
+        return rff_column(F.array(*xs), self.W, self.b) if self.W is not None else F.array(*xs)
 
     def transform(self, df):
         z = df.select("*", self._z(df).alias("__z"))
@@ -470,7 +529,8 @@ class RFFModel(FittedModel):
 
 def _rff_meta(self):
     m = FittedModel._meta(self)
-    m.update(W=self.W.tolist(), b=self.b.tolist(), scale=self.scale, w_reg=self.w_reg)
+    m.update(W=self.W if self.W is None else self.W.tolist(), b=self.b if self.b is None else self.b.tolist(),
+             scale=self.scale, w_reg=self.w_reg)
     return m
 
 
@@ -489,16 +549,22 @@ def _rff_setup(train, features, n_components, gamma):
     mu = [r[f"m{i}"] for i in range(len(features))]
     sd = [r[f"s{i}"] for i in range(len(features))]
     # gamma='scale' = 1 / (d * Var(X)); X is standardised, so Var(X) = 1
-    g = gamma if gamma is not None else 1.0 / len(features)
+    g = 1.0 / len(features) if gamma in (None, "scale", "auto") else gamma
     W, b = rff_params(len(features), n_components, g)
     return mu, sd, W, b
 
 
-def svm_rbf(train, features, label, C: float = 1.0, n_components: int = 128, gamma=None, classes=None):
-    """RBF-kernel SVM classifier (M8), approximated: random Fourier features
-    on standardised input, then ``LinearSVC`` (one-vs-rest for >2 classes)."""
+def svm_rbf(train, features, label, C: float = 1.0, n_components: int = 128, gamma=None, classes=None,
+            kernel: str = "rbf"):
+    """SVM classifier (M8) on standardised input.  The RBF kernel is
+    approximated by random Fourier features, then ``LinearSVC`` (one-vs-rest
+    for >2 classes); with ``kernel="linear"`` the SVC sees the input itself.
+    ``gamma``: a number, or "scale" / "auto", which are both 1 / features on
+    standardised input."""
     classes = classes if classes is not None else class_list(train, label)
     mu, sd, W, b = _rff_setup(train, features, n_components, gamma)
+    if kernel == "linear":
+        W = b = None
     tmp = RFFModel(features, label, classes, True, W, b, (mu, sd), None, "SVM")
     data = train.select(_index_expr(label, classes).alias("__label"), tmp._z(train).alias("__z")) \
         .withColumn("__zv", array_to_vector("__z")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -545,23 +611,24 @@ def pca(df: DataFrame, columns: list[str], k: int = 2):
     ``(loadings, explained_ratio, means)``; each component's sign makes its
     largest absolute loading positive.
 
-    One aggregate gives the means and the sample covariance matrix of the
-    complete rows (d(d+1)/2 ``covar_samp``); the d x d eigen-decomposition
-    runs on the driver, as MLlib's PCA does after its covariance pass."""
+    One aggregate gives the ranges and means of the complete rows, one pass
+    their sums of products as matrices (:mod:`tabsight.functions.gram`); the
+    d x d eigen-decomposition runs on the driver, as MLlib's PCA does."""
     xs = [numeric_value(df, c) for c in columns]
     complete = F.lit(True)
     for x in xs:
         complete = complete & x.isNotNull()
-    d = len(columns)
-    aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]
-    aggs += [F.covar_samp(xs[i], xs[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    r = df.where(complete).agg(*aggs).first()
+    d, rows = len(columns), df.where(complete)
+    r = rows.agg(*[e for i, x in enumerate(xs) for e in (F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
+                                                         F.max(x).alias(f"hi{i}"))]).first()
     if r["m0"] is None:
         raise ValueError("PCA needs at least one complete row")
+    scale = [scaled_spread(r[f"lo{i}"], r[f"hi{i}"]) for i in range(d)]
     cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
+    for s in masked_gram(rows, xs, [r[f"m{i}"] for i in range(d)], scale).collect():
+        i, j = s["i"], s["j"]
+        c = (s["sxy"] - s["sx"] * s["sy"] / s["n"]) / max(s["n"] - 1, 1)
+        cov[i, j] = cov[j, i] = c * scale[i] * scale[j]
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:k]
     pcs = vecs[:, order].copy()
@@ -610,13 +677,16 @@ def load_model(path: str) -> FittedModel:
     if kind == "GaussianNB":
         return GaussianNB(meta["features"], meta["label"], meta["classes"], meta["priors"], meta["means"],
                           meta["variances"])
+    if kind == "GaussianNBTable":
+        return GaussianNBTable(meta["features"], meta["label"], spark.read.parquet(os.path.join(path, "classes")),
+                               meta["n_classes"])
     if kind == "KNN":
         train = spark.read.parquet(os.path.join(path, "train"))
         return KNN(train, meta["features"], meta["label"], meta["key"], meta["classification"], meta["k"],
                    meta["scale"])
     if kind == "RFFModel":
         inner = None
-        if os.path.exists(os.path.join(path, "inner")) or meta["w_reg"] is None:
+        if meta["w_reg"] is None:
             from pyspark.ml.classification import LinearSVCModel, OneVsRestModel
             p = os.path.join(path, "inner")
             try:
@@ -624,6 +694,6 @@ def load_model(path: str) -> FittedModel:
             except Exception:  # noqa: BLE001 - multi-class models are one-vs-rest
                 inner = OneVsRestModel.load(p)
         return RFFModel(meta["features"], meta["label"], meta["classes"], meta["classification"],
-                        np.array(meta["W"]), np.array(meta["b"]), tuple(meta["scale"]), inner, meta["name"],
+                        *(None if meta[x] is None else np.array(meta[x]) for x in ("W", "b")), tuple(meta["scale"]), inner, meta["name"],
                         tuple(meta["w_reg"]) if meta["w_reg"] else None)
     raise ValueError(f"cannot load model kind {kind}")

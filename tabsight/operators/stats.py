@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabsight.functions.columns import columns_of_kind, numeric_value
+from tabsight.functions.columns import columns_of_kind, numeric_value, quote
+from tabsight.functions.gram import masked_gram, pair_correlation, scaled_spread, spread
+from tabsight.session import keep
 
 HIGH_CORR = 0.8
+#: Up to so many columns, pairs are expressions of one generated aggregate.
+NARROW = 12
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pre: dict | None = None) -> DataFrame:
@@ -28,16 +29,21 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pre: dic
     columns.  Pairs of null-free, non-constant columns use the built-in
     ``corr``; pairs touching a column with nulls use moments over the rows
     where both are present (``covar_pop`` / masked ``stddev_pop``, NULL when
-    either side has no spread); pairs with a constant column are NULL."""
+    either side has no spread); pairs with a constant column are NULL.  Above
+    ``NARROW`` columns the pairs are summed as matrices
+    (:mod:`tabsight.functions.gram`) and stay in Spark."""
     columns = columns if columns is not None else columns_of_kind(df, "numeric")
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "col_x string, col_y string, corr double, i int, j int")
     xs = [numeric_value(df, c) for c in columns]
-    if pre is None:   # callers that already profiled the table pass n, c{i}, lo{i}, hi{i}
+    if pre is None:   # callers that already profiled the table pass n, c{i}, lo{i}, hi{i}, m{i}, sp{i}
         pre = df.agg(F.count(F.lit(1)).alias("n"),
-                     *[e for i, x in enumerate(xs) for e in (F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"),
-                                                             F.max(x).alias(f"hi{i}"))]).first().asDict()
+                     *[e for i, x in enumerate(xs) for e in (
+                         F.count(x).alias(f"c{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                         F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"sp{i}"))]).first().asDict()
+    if len(columns) > NARROW:
+        return _wide_correlation(df, columns, xs, pre)
     has_null = [pre[f"c{i}"] < pre["n"] for i in range(len(columns))]
     const = [pre[f"lo{i}"] is None or pre[f"lo{i}"] == pre[f"hi{i}"] for i in range(len(columns))]
     aggs, exprs = [], {}
@@ -69,6 +75,44 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pre: dic
     return spark.createDataFrame(rows, "col_x string, col_y string, corr double, i int, j int")
 
 
+def _wide_correlation(df: DataFrame, columns: list[str], xs: list, pre: dict) -> DataFrame:
+    """The same matrix from :func:`masked_gram`.  Pairs whose common rows show
+    hardly any spread after scaling are looked at again with the built-in
+    moments, which tell none from little."""
+    d = len(columns)
+    if not pre["n"]:
+        return df.sparkSession.createDataFrame([(a, b, None, i, j) for i, a in enumerate(columns) for j, b in enumerate(columns)],
+                                               "col_x string, col_y string, corr double, i int, j int")
+    scale = [pre[f"sp{i}"] if pre[f"sp{i}"] and math.isfinite(pre[f"sp{i}"]) else scaled_spread(pre[f"lo{i}"], pre[f"hi{i}"])
+             for i in range(d)]
+    sums = keep(masked_gram(df, xs, [pre[f"m{i}"] for i in range(d)], scale), "gram")
+    const = F.array(*[F.lit(pre[f"lo{i}"] is None or pre[f"lo{i}"] == pre[f"hi{i}"]) for i in range(d)])
+    flat = const[F.col("i")] | const[F.col("j")]
+    little = ~flat & (F.col("n") > 0) & ((spread("x") <= F.col("n") * 1e-9) | (spread("y") <= F.col("n") * 1e-9))
+    again = [(r["i"], r["j"]) for r in sums.where((F.col("i") < F.col("j")) & little).select("i", "j").collect()]
+    exact = []
+    for at in range(0, len(again), 50):
+        some = again[at:at + 50]
+        aggs = []
+        for k, (i, j) in enumerate(some):
+            x, y = F.when(xs[j].isNotNull(), xs[i]), F.when(xs[i].isNotNull(), xs[j])
+            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+            aggs.append(F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), r).alias(f"r{k}"))
+        row = df.agg(*aggs).first()
+        exact += [(i, j, row[f"r{k}"]) for k, (i, j) in enumerate(some)]
+    r = F.when(~flat & ~little & (F.abs(pair_correlation()) <= 1.0 + 1e-9), pair_correlation())
+    r = F.when(F.col("i") == F.col("j"), F.when(~flat, 1.0)).otherwise(r)
+    found = sums.select("i", "j", r.alias("corr"), little.alias("again"))
+    if exact:
+        table = df.sparkSession.createDataFrame(exact, "i int, j int, exact double")
+        found = found.join(F.broadcast(table), ["i", "j"], "left").withColumn(  # pairs of a d x d matrix
+            "corr", F.when(F.col("again") & (F.col("i") < F.col("j")), F.col("exact")).otherwise(F.col("corr")))
+    names = F.array(*[F.lit(c) for c in columns])
+    full = found.select("i", "j", "corr").unionByName(
+        found.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return full.select(names[F.col("i")].alias("col_x"), names[F.col("j")].alias("col_y"), "corr", "i", "j")
+
+
 def _upper(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return correlation_matrix(df, columns).where((F.col("i") < F.col("j")) & F.col("corr").isNotNull())
 
@@ -99,98 +143,60 @@ def ttest_pooled(df: DataFrame, a: str, b: str) -> DataFrame:
                     dof.cast("bigint").alias("dof"))
 
 
-# --- Student t tail probability (small scalar helper) -------------------------
-def _betacf(a, b, x, iters=300, eps=1e-15):
-    """Continued fraction of the regularised incomplete beta (Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h = h * delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def _betainc(a, b, x):
-    x = np.clip(np.asarray(x, dtype=float), 0.0, 1.0)
-    lbeta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(a * np.log(x) + b * np.log1p(-x) - lbeta)
-        sym = x < (a + 1.0) / (a + b + 2.0)
-        direct = front * _betacf(a, b, np.where(sym, x, 0.5)) / a
-        flipped = 1.0 - front * _betacf(b, a, np.where(sym, 0.5, 1.0 - x)) / b
-    out = np.where(sym, direct, flipped)
-    return np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, out))
-
-
-def t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) for Student's t with ``dof`` degrees of freedom."""
-    t = np.asarray(t, dtype=float)
-    dof = np.asarray(dof, dtype=float)
-    out = np.full(t.shape, np.nan)
-    for i in range(t.size):
-        if np.isfinite(t.flat[i]) and dof.flat[i] > 0:
-            nu = dof.flat[i]
-            out.flat[i] = float(_betainc(nu / 2.0, 0.5, np.array([nu / (nu + t.flat[i] ** 2)]))[0])
-    return out
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_p_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(t_two_sided_p(t.to_numpy(dtype=float, na_value=np.nan),
-                                   dof.to_numpy(dtype=float, na_value=np.nan)))
-
-
 def ttest_pvalue(df: DataFrame, a: str, b: str) -> DataFrame:
-    """:func:`ttest_pooled` plus the two-sided p-value (Arrow-batched UDF on
-    the one-row result)."""
-    t = ttest_pooled(df, a, b)
-    return t.withColumn("p_value", _t_p_udf(F.col("t_stat"), F.col("dof")))
+    """:func:`ttest_pooled` plus the two-sided p-value.
+
+    The pooled test is the test of the slope in a regression of both columns'
+    values, stacked, on a 0/1 column that tells them apart, so the p-value is
+    that of Spark's own regression summary.  NULL where the statistic is (no
+    spread, or fewer than three values)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    t = ttest_pooled(df, a, b).first()
+    p = None
+    if t["t_stat"] is not None and t["dof"] > 0:
+        # centred and scaled, which changes no t: far-off values keep their digits
+        xa, xb = numeric_value(df, a), numeric_value(df, b)
+        mid, size = t["mean_a"], abs(t["mean_a"] - t["mean_b"]) or 1.0
+        both = df.select(F.explode(F.array(F.struct(((xa - F.lit(mid)) / F.lit(size)).alias("y"), F.lit(0.0).alias("x")),
+                                           F.struct(((xb - F.lit(mid)) / F.lit(size)).alias("y"), F.lit(1.0).alias("x"))))
+                         .alias("r")).select("r.y", array_to_vector(F.array("r.x")).alias("x")).where("y IS NOT NULL")
+        fit = LinearRegression(featuresCol="x", labelCol="y", regParam=0.0, solver="normal").fit(both)
+        p = float(fit.summary.pValues[0])
+    row = tuple(t) + (p,)
+    return df.sparkSession.createDataFrame(
+        [row], "col_a string, col_b string, n_a long, n_b long, mean_a double, mean_b double, t_stat double, dof long, "
+               "p_value double")
+
+
+def class_moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """``(label, rows, n, mean, var)``: one row per class with an array entry
+    per feature (population variances), written once."""
+    xs = [numeric_value(df, f) for f in features]
+    return keep(df.where(F.col(quote(label)).isNotNull()).groupBy(F.col(quote(label)).alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.array(*[F.count(x) for x in xs]).alias("n"),
+        F.array(*[F.avg(x) for x in xs]).alias("mean"), F.array(*[F.var_pop(x) for x in xs]).alias("var")), "classes")
 
 
 def f_classif(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One-way ANOVA F per feature (C5): F = (SSB/(k-1)) / (SSW/(n-k)) from
-    per-class count, mean and population variance (one ``groupBy(label)``)."""
-    xs = {f: numeric_value(df, f) for f in features}
-    aggs = []
-    for i, f in enumerate(features):
-        aggs += [F.count(xs[f]).alias(f"__n{i}"), F.avg(xs[f]).alias(f"__m{i}"),
-                 F.var_pop(xs[f]).alias(f"__v{i}")]
-    # one row per class (bounded by the label's cardinality), combined on the driver
-    per = df.where(F.col(label).isNotNull()).groupBy(label).agg(*aggs).collect()
+    per-class count, mean and population variance (one ``groupBy(label)``).
+    The classes stay a table: only sums over all of them are read."""
+    per = class_moments(df, features, label)
+    at = range(len(features))
+    there = [F.col("n")[i] > 0 for i in at]
+    sums = per.agg(*[e for i in at for e in (F.sum(F.when(there[i], F.col("n")[i] * F.col("mean")[i])).alias(f"s{i}"),
+                                             F.sum(F.col("n")[i]).alias(f"n{i}"))]).first()
+    mean = [sums[f"s{i}"] / sums[f"n{i}"] if sums[f"n{i}"] else 0.0 for i in at]
+    gap = [F.col("mean")[i] - F.lit(mean[i]) for i in at]
+    total = per.agg(*[e for i in at for e in (
+        F.count(F.when(there[i], 1)).alias(f"k{i}"), F.sum(F.when(there[i], F.col("n")[i] * gap[i] * gap[i])).alias(f"b{i}"),
+        F.sum(F.when(there[i], F.col("n")[i] * F.col("var")[i])).alias(f"w{i}"))]).first()
     rows = []
     for i, f in enumerate(features):
-        g = [(r[f"__n{i}"], r[f"__m{i}"], r[f"__v{i}"]) for r in per if r[f"__n{i}"]]
-        n_tot = sum(n for n, _, _ in g)
-        k = len(g)
-        fstat = None
-        if k > 1 and n_tot > k:
-            mean = sum(n * m for n, m, _ in g) / n_tot
-            ssb = sum(n * (m - mean) ** 2 for n, m, _ in g)
-            ssw = sum(n * v for n, _, v in g)
-            if ssw > 0:
-                fstat = (ssb / (k - 1)) / (ssw / (n_tot - k))
-        rows.append((f, fstat))
+        k, n = total[f"k{i}"], sums[f"n{i}"] or 0
+        usable = k > 1 and n > k and total[f"w{i}"] > 0
+        rows.append((f, (total[f"b{i}"] / (k - 1)) / (total[f"w{i}"] / (n - k)) if usable else None))
     return df.sparkSession.createDataFrame(rows, "feature string, f_score double")
 
 
@@ -220,3 +226,11 @@ def select_k_best(df: DataFrame, features: list[str], label: str, k: int | None
     k = min(10, len(features)) if k is None else k
     scores = f_classif(df, features, label) if classification else f_regression(df, features, label)
     return scores.orderBy(F.desc_nulls_last("f_score"), "feature").limit(k)
+
+
+def keep_k_best(df: DataFrame, features: list[str], label: str, k: int | None = None,
+                classification: bool = True) -> DataFrame:
+    """``df`` without the features that :func:`select_k_best` leaves out;
+    other columns stay."""
+    best = {r["feature"] for r in select_k_best(df, features, label, k, classification).collect()}
+    return df.select(*[F.col(quote(c)) for c in df.columns if c not in features or c in best])

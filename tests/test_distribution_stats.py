@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,9 +75,21 @@ def test_ttest_and_pvalue(spark):
     sp = ((len(xa) - 1) * xa.var(ddof=1) + (len(xb) - 1) * xb.var(ddof=1)) / (len(xa) + len(xb) - 2)
     t = (xa.mean() - xb.mean()) / np.sqrt(sp * (1 / len(xa) + 1 / len(xb)))
     assert r["t_stat"] == pytest.approx(t) and r["dof"] == 10
-    # reference value of the t distribution: P(|T| > 2.0 | 10 dof)
-    assert S.t_two_sided_p(np.array([2.0]), np.array([10]))[0] == pytest.approx(0.0733880347707, rel=1e-9)
-    assert 0 < r["p_value"] < 0.01
+    assert r["p_value"] == pytest.approx(_tail(t, 10), rel=1e-8) and 0 < r["p_value"] < 0.01
+    far = df.selectExpr("a + 1e9 AS a", "b + 1e9 AS b")
+    assert S.ttest_pvalue(far, "a", "b").first()["p_value"] == pytest.approx(_tail(t, 10), rel=1e-4)
+    for flat in ("1.0D AS a", "CAST(NULL AS double) AS a"):
+        assert S.ttest_pvalue(df.selectExpr(flat, "1.0D AS b"), "a", "b").first()["p_value"] is None
+
+
+def _tail(t, dof):
+    """P(|T| > |t|), by Simpson's rule on the density."""
+    x = np.linspace(0, abs(t), 20_001)
+    log_c = math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2) - 0.5 * math.log(dof * math.pi)
+    y = np.exp(log_c - (dof + 1) / 2 * np.log1p(x * x / dof))
+    w = np.ones(len(x))
+    w[1:-1:2], w[2:-1:2] = 4, 2
+    return 1 - 2 * (w * y).sum() * (x[1] - x[0]) / 3
 
 
 def test_f_scores(spark):

@@ -23,7 +23,7 @@ def test_knn_matches_brute_force(spark, ring):
     df, X, y = ring
     tr, te = df.where("k < 240"), df.where("k >= 240")
     m = M.knn(tr, ["a", "b", "c"], "y", "k", True, scale=False)
-    m.train_block, m.query_block = 70, 13          # force several blocks
+    m.pivots, m.block_rows = 6, 40                 # force several cells and rings
     got = {r["k"]: r["prediction"] for r in m.transform(te).collect()}
     for q in range(240, 300):
         d = ((X[:240] - X[q]) ** 2).sum(axis=1)
