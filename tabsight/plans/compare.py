@@ -1,9 +1,8 @@
 """Model comparison, cross-validation, tuning and ensembles (SURVEY §2.7-2.9:
 M10-M15, E10-E14, X10, T1-T7).
 
-The training table is prepared once, split deterministically, persisted
-(``MEMORY_AND_DISK``; lost blocks are recomputed from lineage) and reused by
-every fit.  Each fit is a distributed Spark job; the driver only loops over
+The training table is prepared once, split deterministically, written to the
+shared checkpoint folder and reused by every fit.  Each fit is a distributed Spark job; the driver only loops over
 models, folds and parameter combinations and collects one metric row each.
 """
 
@@ -13,16 +12,17 @@ import itertools
 import random
 import traceback
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.functions.columns import col, hash_order, kind_of
-from tabsight.functions.ranking import at_or_below, rank_cuts
+from tabsight.functions.columns import col, hash_order, kind_of, numeric_value
+from tabsight.functions.ranking import cuts_passed, hash_cuts, join_checked
 from tabsight.operators import evaluate as EV
 from tabsight.operators import models as M
 from tabsight.operators import prepare as PR
+from tabsight.session import keep
 
 # Model names, default selection and the models fed scaled input.
 CLASSIFIERS = ["Random Forest", "Logistic Regression", "SVM", "K-Nearest Neighbors", "Decision Tree",
@@ -62,22 +62,17 @@ def assign_folds(df: DataFrame, key: str, k: int, label: str | None = None, out:
     """Fold number per row (E10): contiguous blocks of the md5 order of the
     key, within each class when ``label`` is given (stratified: every fold
     gets floor or ceil of n_class / k rows of each class).  The k-1 block
-    boundaries per class are order statistics found with aggregates; rows
-    are compared with literals, so the table is not shuffled."""
-    base = df.withColumn("__h", hash_order(col(key))).withColumn("__k", col(key).cast("string"))
-    src = base.where(col(label).isNotNull()) if label is not None else base
-    cuts = rank_cuts(src, label, "__h", "__k", lambda g, n: [(n * j) // k for j in range(1, k)])
-    fold_of: dict = {}
-    for (g, _), c in cuts.items():
-        hit = F.when(at_or_below(F.col("__h"), F.col("__k"), c), F.lit(0)).otherwise(F.lit(1))
-        fold_of[g] = fold_of.get(g, F.lit(0)) + hit
-    if label is None:
-        fold = fold_of.get(None, F.lit(0))
-    else:
-        fold = F.lit(None)
-        for g, e in fold_of.items():
-            fold = F.when(col(label) == F.lit(g), e).otherwise(fold)
-    return base.withColumn(out, fold.cast("int")).drop("__h", "__k")
+    boundaries per class are order statistics found with two aggregates
+    (:func:`hash_cuts`) and joined to the rows by class."""
+    key_text = col(key).cast("string")
+    group = col(label) if label is not None else F.lit("")
+    cuts = hash_cuts(df, group, hash_order(col(key)), key_text, lambda n: F.transform(
+        F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.floor(n * j / k)) if k > 1 else F.array().cast("array<bigint>"))
+    cuts = cuts.select(F.col("g").alias("__g"), F.col("cuts").alias("__cuts"))
+    rows = df.select("*", hash_order(col(key)).alias("__h"), key_text.alias("__k"))
+    fold = F.when(F.col("__cuts").isNotNull(), cuts_passed(F.col("__cuts"), F.col("__h"), F.col("__k")))
+    return join_checked(rows, cuts, group == F.col("__g"), "left").select(
+        *[col(c) for c in df.columns], fold.cast("int").alias(out))
 
 
 def _score(model: M.FittedModel, test: DataFrame, label: str, classification: bool, key: str) -> float:
@@ -93,25 +88,29 @@ def _scaled(train, test, features, name):
     return train, test
 
 
-def cv_scores(data: DataFrame, features, label, key, name, classification, k: int = 5, classes=None,
-              **params) -> list[float]:
-    """Per-fold accuracy / R^2 of one model (E10, E11); scaling is fitted inside
-    each fold."""
-    folded = assign_folds(data, key, k, label if classification else None).persist(StorageLevel.MEMORY_AND_DISK)
+def fold_column(data: DataFrame, key: str, k: int, label: str | None) -> DataFrame:
+    """``data`` with its folds, written once for every fit that uses them."""
+    return keep(assign_folds(data, key, k, label), "folds")
+
 
+def _fold_scores(folded: DataFrame, features, label, key, name, classification, k, classes=None, **params) -> list[float]:
     def one(f):
         tr, te = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
         tr, te = _scaled(tr, te, features, name)
         m = fit_model(name, tr, features, label, key, classification, classes, **params)
         return _score(m, te, label, classification, key)
-    try:
-        # folds are independent Spark jobs; a few driver threads keep the
-        # cluster busy while small jobs wait on scheduling (as CrossValidator)
-        with ThreadPoolExecutor(max_workers=min(PARALLELISM, k)) as pool:
-            scores = list(pool.map(one, range(k)))
-    finally:
-        folded.unpersist()
-    return scores
+    # folds are independent Spark jobs; a few driver threads keep the
+    # cluster busy while small jobs wait on scheduling (as CrossValidator)
+    with ThreadPoolExecutor(max_workers=min(PARALLELISM, k)) as pool:
+        return list(pool.map(one, range(k)))
+
+
+def cv_scores(data: DataFrame, features, label, key, name, classification, k: int = 5, classes=None,
+              **params) -> list[float]:
+    """Per-fold accuracy / R^2 of one model (E10, E11); scaling is fitted inside
+    each fold."""
+    folded = fold_column(data, key, k, label if classification else None)
+    return _fold_scores(folded, features, label, key, name, classification, k, classes, **params)
 
 
 def _mean_std(xs):
@@ -123,11 +122,13 @@ def _mean_std(xs):
 
 
 def cv_folds(data: DataFrame, features, label, key, name, classification, k: int = 5) -> DataFrame:
-    """Cross-validation analysis (E11): one row per fold plus mean, std
-    (ddof=0) and best."""
+    """Cross-validation analysis (E11) of all rows of ``data``: one row per
+    fold plus mean, std (ddof=0) and best; a fold without a score (no rows, or
+    a constant target) is left out of these."""
     s = cv_scores(data, features, label, key, name, classification, k)
     mu, sd = _mean_std(s)
-    rows = [(f"Fold {i + 1}", v) for i, v in enumerate(s)] + [("mean", mu), ("std", sd), ("max", max(s))]
+    best = max((v for v in s if v is not None), default=None)
+    rows = [(f"Fold {i + 1}", v) for i, v in enumerate(s)] + [("mean", mu), ("std", sd), ("max", best)]
     return data.sparkSession.createDataFrame(rows, "fold string, score double")
 
 
@@ -135,83 +136,111 @@ CLS_METRICS = ["accuracy", "precision", "recall", "f1", "cv_mean", "cv_std", "ro
 REG_METRICS = ["mse", "mae", "r2", "rmse", "cv_mean", "cv_std"]
 
 
-def _metrics(model, test, label, key, classification, classes) -> tuple[dict, DataFrame]:
+def _scored(model, test, label, key) -> DataFrame:
+    """(row_key, actual, prediction[, probability]) of the test rows, written
+    once: metrics, curves and the returned rows all read it."""
     pred = model.transform(test, key) if isinstance(model, M.KNN) else model.transform(test)
-    pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
-    if classification:
-        acc = EV.metric_accuracy(pred, label).first()["accuracy"]
-        prf = EV.metric_weighted_prf(pred, label).first()
-        out = {"accuracy": acc, "precision": prf["precision"], "recall": prf["recall"], "f1": prf["f1"]}
-        if classes and len(classes) == 2 and "probability" in pred.columns:
-            sc = pred.withColumn("__score", F.col("probability")[1])
-            out["roc_auc"] = EV.roc_auc(sc, label, "__score", classes[1]).first()["auc"]
-    else:
-        r = EV.regression_metrics(pred, label).first()
-        out = {k: r[k] for k in ("mse", "mae", "r2", "rmse")}
-    return out, pred
+    more = ["probability"] if "probability" in pred.columns else []
+    return keep(pred.select(col(key).cast("string").alias("row_key"), col(label).alias("actual"), "prediction", *more), "scored")
+
+
+def _metrics(pred: DataFrame, classification, classes) -> tuple[dict, DataFrame | None]:
+    """Metrics of scored rows, and the ROC points of two-class probabilities."""
+    if not classification:
+        r = EV.regression_metrics(pred, "actual").first()
+        return {k: r[k] for k in ("mse", "mae", "r2", "rmse")}, None
+    prf = EV.metric_weighted_prf(pred, "actual").first()
+    out = {"accuracy": EV.metric_accuracy(pred, "actual").first()["accuracy"], "precision": prf["precision"],
+           "recall": prf["recall"], "f1": prf["f1"]}
+    if not (classes and len(classes) == 2 and "probability" in pred.columns):
+        return out, None
+    sc = pred.select("actual", F.col("probability")[1].alias("score"))
+    out["roc_auc"] = EV.roc_auc(sc, "actual", "score", classes[1]).first()["auc"]
+    return out, EV.roc_curve(sc, "actual", "score", classes[1])
 
 
 def refuse_wrong_target(df: DataFrame, target: str, classification: bool) -> None:
-    """Raise for a continuous target with classification, and for a target
-    that is no number with regression (X12)."""
+    """Raise (X12) for a continuous target with classification; and with
+    regression for a target that is no number or holds whole numbers only
+    (two values are binary, more are class codes)."""
     number = kind_of(df.schema[target].dataType) == "numeric"
-    if classification and number and PR.target_type(df, target).first()["target_type"] == "continuous":
+    if not number:
+        if not classification:
+            raise ValueError(f"{target} holds no numbers: choose Classification")
+        return
+    found = PR.target_type(df, target).first()["target_type"]
+    if classification and found == "continuous":
         raise ValueError(f"{target} is continuous: choose Regression")
-    if not classification and not number:
-        raise ValueError(f"{target} holds no numbers: choose Classification")
+    if not classification and found != "continuous":
+        raise ValueError(f"{target} is {found}: choose Classification")
 
 
-def compare_models(df: DataFrame, target: str, features: list[str], problem_type: str, key: str,
-                   models: list[str] | None = None, test_size: float = 0.2, cv_folds_k: int = 5):
+class Comparison(NamedTuple):
+    """What a comparison leaves behind.  All frames read written files, so they
+    stay valid and no model is run again."""
+
+    metrics: DataFrame            # one row per model
+    predictions: DataFrame        # (model, row_key, actual, predicted)
+    points: DataFrame             # (model, threshold, fpr, tpr): ROC of two-class models
+    models: dict                  # fitted models by name
+
+
+def compare(df: DataFrame, target: str, features: list[str], problem_type: str, key: str,
+            models: list[str] | None = None, test_size: float = 0.2, cv_folds_k: int = 5) -> Comparison:
     """Run the comparison (M15): prepare -> split (stratified for
     classification) -> per model fit, predict, CV and metrics.  A failing
-    model gets an ``error`` and NULL metrics.  Returns
-    ``(metrics, predictions)`` DataFrames."""
+    model gets an ``error`` and NULL metrics.  The prepared table and its
+    folds are written once."""
     classification = problem_type == "Classification"
     menu = CLASSIFIERS if classification else REGRESSORS
     models = models or menu[:DEFAULT_COUNT]
     if not features:
-        raise ValueError("select at least one feature")
+        raise ValueError("no feature columns selected")
     if target in features:
         raise ValueError("the target column cannot be a feature")
     refuse_wrong_target(df, target, classification)
-    data = PR.prepare(df, target, features, keep=[key])
-    data = (PR.stratified_split(data, [key], target, test_size) if classification
-            else PR.split(data, [key], test_size)).persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
-    try:
-        classes = M.class_list(data, target) if classification else None
-        train, test = data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
-        names = CLS_METRICS if classification else REG_METRICS
-        rows, preds, cached = [], None, []
-        for order, name in enumerate(models):
+    data = PR.prepare(df, target, features, keep=[key])
+    data = keep(PR.stratified_split(data, [key], target, test_size) if classification
+                else PR.split(data, [key], test_size), "prepared")
+    classes = M.class_list(data, target) if classification else None
+    train, test = data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
+    folded = None
+    names = CLS_METRICS if classification else REG_METRICS
+    rows, fitted = [], {}
+    preds = spark.createDataFrame([], "model string, row_key string, actual string, predicted string")
+    points = spark.createDataFrame([], "model string, threshold double, fpr double, tpr double")
+    for order, name in enumerate(models):
+        try:
+            tr, te = _scaled(train, test, features, name)
+            m = fit_model(name, tr, features, target, key, classification, classes)
+            scored = _scored(m, te, target, key)
+            met, curve = _metrics(scored, classification, classes)
             try:
-                tr, te = _scaled(train, test, features, name)
-                m = fit_model(name, tr, features, target, key, classification, classes)
-                met, pred = _metrics(m, te, target, key, classification, classes)
-                cached.append(pred)
-                try:
-                    cvs = cv_scores(train, features, target, key, name, classification, cv_folds_k, classes)
-                    met["cv_mean"], met["cv_std"] = _mean_std(cvs)
-                except Exception:  # noqa: BLE001 - CV failure leaves NULL, as a failed fit
-                    met["cv_mean"] = met["cv_std"] = None
-                rows.append((order, name, *[met.get(k) for k in names], None))
-                p = pred.select(F.lit(name).alias("model"), col(key).alias("row_key"),
-                                col(target).cast("string").alias("actual"),
-                                F.col("prediction").cast("string").alias("predicted"))
-                preds = p if preds is None else preds.unionByName(p)
-            except Exception as e:  # noqa: BLE001 - reported per model
-                rows.append((order, name, *[None] * len(names), f"{type(e).__name__}: {e}"[:500]))
-                traceback.print_exc(limit=1)
-        schema = "ordinal int, model string, " + ", ".join(f"{k} double" for k in names) + ", error string"
-        metrics = spark.createDataFrame(rows, schema)
-        if preds is None:
-            preds = spark.createDataFrame([], "model string, row_key string, actual string, predicted string")
-        return metrics, preds
-    finally:
-        for p in locals().get("cached", []):
-            p.unpersist()
-        data.unpersist()
+                if folded is None:
+                    folded = fold_column(train, key, cv_folds_k, target if classification else None)
+                cvs = _fold_scores(folded, features, target, key, name, classification, cv_folds_k, classes)
+                met["cv_mean"], met["cv_std"] = _mean_std(cvs)
+            except Exception:  # noqa: BLE001 - CV failure leaves NULL, as a failed fit
+                met["cv_mean"] = met["cv_std"] = None
+            rows.append((order, name, *[met.get(k) for k in names], None))
+            fitted[name] = m
+            preds = preds.unionByName(scored.select(
+                F.lit(name).alias("model"), "row_key", F.col("actual").cast("string").alias("actual"),
+                F.col("prediction").cast("string").alias("predicted")))
+            if curve is not None:
+                points = points.unionByName(keep(curve.select(F.lit(name).alias("model"), "threshold", "fpr", "tpr"), "points"))
+        except Exception as e:  # noqa: BLE001 - reported per model
+            rows.append((order, name, *[None] * len(names), f"{type(e).__name__}: {e}"[:500]))
+            traceback.print_exc(limit=1)
+    schema = "ordinal int, model string, " + ", ".join(f"{k} double" for k in names) + ", error string"
+    return Comparison(spark.createDataFrame(rows, schema), preds, points, fitted)
+
+
+def compare_models(df: DataFrame, target: str, features: list[str], problem_type: str, key: str,
+                   models: list[str] | None = None, test_size: float = 0.2, cv_folds_k: int = 5):
+    """``(metrics, predictions)`` of :func:`compare`."""
+    return compare(df, target, features, problem_type, key, models, test_size, cv_folds_k)[:2]
 
 
 # The metric names of the result table.
@@ -264,12 +293,12 @@ def recommend_model(metrics: DataFrame, problem_type: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ quick preview
-def quick_preview(df: DataFrame, target: str, key: str, features: list[str] | None = None,
-                  problem_type: str | None = None) -> DataFrame:
-    """Quick model preview (M10): label-encode text features (and a text
-    target), fill nulls with the mode, split 80/20 by md5 order, fit logistic
-    (max 200 iterations) or OLS; report accuracy or R^2.  Rows with a null
-    target are dropped first."""
+def quick_model(df: DataFrame, target: str, key: str, features: list[str] | None = None,
+                problem_type: str | None = None) -> tuple[DataFrame, M.FittedModel | None, DataFrame]:
+    """Quick model (M10): label-encode text features (and a text target), fill
+    nulls with the mode, split 80/20 by md5 order, fit logistic (max 200
+    iterations) or OLS; accuracy or R^2, the fitted model, and the encoded rows
+    it was fitted and scored on.  Rows with a null target are dropped first."""
     feats = features or [c for c in df.columns if c not in (target, key)]
     data = df.select(col(key), *[col(c) for c in feats], col(target)).dropna(subset=[target])
     PR.min_rows_guard(data)
@@ -277,18 +306,22 @@ def quick_preview(df: DataFrame, target: str, key: str, features: list[str] | No
     if problem_type == "Classification" and PR._is_text(data, target):
         txt = txt + [target]
     data = PR.label_encode(data, txt) if txt else data
-    data = PR.impute_mode(data, feats)
-    data = PR.split(data, [key], 0.2)
+    data = keep(PR.split(PR.impute_mode(data, feats), [key], 0.2), "quick")
     tr, te = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    spark, m, out = df.sparkSession, None, []
     if problem_type == "Classification":
         m = M.logistic(tr, feats, target, max_iter=200)
-        v = EV.metric_accuracy(m.transform(te), target).first()["accuracy"]
-        return df.sparkSession.createDataFrame([("Accuracy", v)], "metric string, value double")
-    if problem_type == "Regression":
+        out = [("Accuracy", EV.metric_accuracy(m.transform(te), target).first()["accuracy"])]
+    elif problem_type == "Regression":
         m = M.linear(tr, feats, target)
-        v = EV.regression_metrics(m.transform(te), target).first()["r2"]
-        return df.sparkSession.createDataFrame([("R²", v)], "metric string, value double")
-    return df.sparkSession.createDataFrame([], "metric string, value double")
+        out = [("R²", EV.regression_metrics(m.transform(te), target).first()["r2"])]
+    return spark.createDataFrame(out, "metric string, value double"), m, data
+
+
+def quick_preview(df: DataFrame, target: str, key: str, features: list[str] | None = None,
+                  problem_type: str | None = None) -> DataFrame:
+    """The score of :func:`quick_model`."""
+    return quick_model(df, target, key, features, problem_type)[0]
 
 
 # ----------------------------------------------------------- interpretation
@@ -335,8 +368,9 @@ def batch_predict(model: M.FittedModel, new: DataFrame, key: str | None = None)
     table; output ``Predictions`` and ``Probability_Class_i``."""
     out = model.transform(new, key) if isinstance(model, M.KNN) else model.transform(new)
     sel = [col(c) for c in new.columns] + [F.col("prediction").alias("Predictions")]
-    if "probability" in out.columns and model.classes:
-        sel += [F.col("probability")[i].alias(f"Probability_Class_{i}") for i in range(len(model.classes))]
+    n = len(model.classes) if model.classes else getattr(model, "n_classes", 0)
+    if "probability" in out.columns:
+        sel += [F.col("probability")[i].alias(f"Probability_Class_{i}") for i in range(n)]
     return out.select(*sel)
 
 
@@ -347,103 +381,140 @@ def rfe(df: DataFrame, features: list[str], label: str, key: str, n: int | None
     the least important feature until ``n`` (default min(5, d)) remain.
     Ranking 1 = selected, larger = eliminated earlier."""
     n = min(5, len(features)) if n is None else n
-    data = M.fixed_layout(df, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    df = keep(df.select(col(key), *[col(f) for f in features], col(label)), "rfe")
+    data = M.fixed_layout(df, [key])
     cur, dropped = list(features), []
-    try:
-        while len(cur) > n:
-            m = M.random_forest(data, cur, label, classification, num_trees=num_trees)
-            imp = dict(m.importances())
-            worst = min(cur, key=lambda f: (imp[f], -cur.index(f)))
-            cur.remove(worst)
-            dropped.append(worst)
-    finally:
-        data.unpersist()
+    while len(cur) > n:
+        m = M.random_forest(data, cur, label, classification, num_trees=num_trees)
+        imp = dict(m.importances())
+        worst = min(cur, key=lambda f: (imp[f], -cur.index(f)))
+        cur.remove(worst)
+        dropped.append(worst)
     rows = [(f, 1) for f in cur] + [(f, len(dropped) - i + 1) for i, f in enumerate(dropped)]
     return df.sparkSession.createDataFrame(rows, "feature string, ranking int")
 
 
+def keep_rfe(df: DataFrame, features: list[str], label: str, key: str, n: int | None = None,
+             classification: bool = True, num_trees: int = 50) -> DataFrame:
+    """``df`` without the features that :func:`rfe` eliminates."""
+    ranked = rfe(df, features, label, key, n, classification, num_trees).collect()
+    best = {r["feature"] for r in ranked if r["ranking"] == 1}
+    return df.select(*[col(c) for c in df.columns if c not in features or c in best])
+
+
 # ------------------------------------------------------------------ tuning
 def param_grids() -> dict:
-    """Parameter grids (T3) mapped onto the Spark models.  ``max_depth None``
-    becomes MLlib's maximum 30; ``min_samples_leaf`` -> minInstancesPerNode;
-    ``C`` keeps its meaning; ``penalty``, ``solver``, ``min_samples_split``
-    and the SVC ``kernel``/``gamma`` choices have no counterpart and are
-    dropped (the SVM here is always the Fourier-feature RBF)."""
+    """Parameter grids (T3) on the axes that Spark's models have: an unbounded
+    depth is MLlib's maximum 30, the leaf size is ``minInstancesPerNode``, the
+    penalty is ``elasticNetParam`` (1: L1, 0: L2).  The smallest node to split
+    and the solver have no counterpart."""
+    forest = {"num_trees": [50, 100, 200], "max_depth": [30, 10, 20], "min_leaf": [1, 2, 4]}
     return {
-        "Random Forest": {"num_trees": [50, 100, 200], "max_depth": [30, 10, 20]},
-        "Logistic Regression": {"C": [0.1, 1.0, 10.0]},
-        "SVM": {"C": [0.1, 1.0, 10.0]},
+        "Random Forest": forest,
+        "Logistic Regression": {"C": [0.1, 1.0, 10.0], "elastic_net": [1.0, 0.0]},
+        "SVM": {"C": [0.1, 1.0, 10.0], "kernel": ["rbf", "linear"], "gamma": ["scale", "auto"]},
         "Gradient Boosting": {"rounds": [50, 100, 200], "rate": [0.01, 0.1, 0.2], "depth": [3, 5, 7]},
     }
 
 
-def _search(data, features, label, key, name, classification, combos, k):
-    def one(combo):
-        mu, sd = _mean_std(cv_scores(data, features, label, key, name, classification, k, **combo))
-        return str(sorted(combo.items())), mu, sd
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        rows = list(pool.map(one, combos))
-    best = max(range(len(rows)), key=lambda i: (rows[i][1] if rows[i][1] is not None else float("-inf"), -i))
-    out = [(p, m, s, i == best) for i, (p, m, s) in enumerate(rows)]
-    return data.sparkSession.createDataFrame(out, "params string, mean_score double, std_score double, best boolean")
+class Search(NamedTuple):
+    """A search's table (params, mean_score, std_score, best), its best
+    parameters and score, and the model refitted with these on all rows."""
+
+    table: DataFrame
+    best_params: dict
+    best_score: float | None
+    model: M.FittedModel
 
 
-def grid_search(data, features, label, key, name, classification=True, k: int = 5) -> DataFrame:
-    """Grid search with k-fold CV (T1): one row per combination, the best
-    flagged (ties -> first combination)."""
-    grid = param_grids().get(name)
+def _combos(name: str, grid: dict | None) -> list[dict]:
+    grid = grid or param_grids().get(name)
     if not grid:
         raise ValueError(f"nothing to search for model {name!r}")
-    keys = list(grid)
-    combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k_] for k_ in keys])]
-    return _search(data, features, label, key, name, classification, combos, k)
+    return [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
 
 
-def random_search(data, features, label, key, name, classification=True, k: int = 5, n_iter: int = 20,
-                  seed: int = M.SEED) -> DataFrame:
+def _search(data, features, label, key, name, classification, combos, k) -> Search:
+    """All combinations on the same written folds; ties go to the first."""
+    folded = fold_column(data, key, k, label if classification else None)
+    classes = M.class_list(data, label) if classification else None
+
+    def one(combo):
+        return _mean_std(_fold_scores(folded, features, label, key, name, classification, k, classes, **combo))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        scores = list(pool.map(one, combos))
+    best = max(range(len(combos)), key=lambda i: (scores[i][0] if scores[i][0] is not None else float("-inf"), -i))
+    rows = [(str(sorted(c.items())), m, s, i == best) for i, (c, (m, s)) in enumerate(zip(combos, scores))]
+    table = data.sparkSession.createDataFrame(rows, "params string, mean_score double, std_score double, best boolean")
+    model = fit_model(name, _scaled(data, data, features, name)[0], features, label, key, classification, classes, **combos[best])
+    return Search(table, combos[best], scores[best][0], model)
+
+
+def search_grid(data, features, label, key, name, classification=True, k: int = 5, grid: dict | None = None) -> Search:
+    """Grid search with k-fold CV (T1) over every combination."""
+    return _search(data, features, label, key, name, classification, _combos(name, grid), k)
+
+
+def search_random(data, features, label, key, name, classification=True, k: int = 5, n_iter: int = 20,
+                  seed: int = M.SEED, grid: dict | None = None) -> Search:
     """Random search (T2): ``n_iter`` combinations drawn without replacement
-    from the grid with a seeded generator (the whole grid when smaller)."""
-    grid = param_grids().get(name)
-    if not grid:
-        raise ValueError(f"nothing to search for model {name!r}")
-    keys = list(grid)
-    combos = [dict(zip(keys, v)) for v in itertools.product(*[grid[k_] for k_ in keys])]
+    with a seeded generator (the whole grid when smaller)."""
+    combos = _combos(name, grid)
     if len(combos) > n_iter:
         combos = random.Random(seed).sample(combos, n_iter)
     return _search(data, features, label, key, name, classification, combos, k)
 
 
+def grid_search(data, features, label, key, name, classification=True, k: int = 5, grid: dict | None = None) -> DataFrame:
+    """The table of :func:`search_grid`: one row per combination, the best flagged."""
+    return search_grid(data, features, label, key, name, classification, k, grid).table
+
+
+def random_search(data, features, label, key, name, classification=True, k: int = 5, n_iter: int = 20,
+                  seed: int = M.SEED, grid: dict | None = None) -> DataFrame:
+    """The table of :func:`search_random`."""
+    return search_random(data, features, label, key, name, classification, k, n_iter, seed, grid).table
+
+
 # --------------------------------------------------------------- ensembles
+def _with_scaled(df: DataFrame, fit: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with scaled copies of the features beside them."""
+    names = [f"__z{i}" for i in range(len(features))]
+
+    def copies(x):
+        return x.select("*", *[numeric_value(x, f).alias(z) for f, z in zip(features, names)])
+    return PR.standard_scale(copies(df), names, fit=copies(fit)), names
+
+
 def voting_classifier(train, test, features, label, key) -> DataFrame:
     """Soft voting (T4): mean class probabilities of a 50-tree forest,
     logistic regression and the Fourier-feature SVM whose margins are turned
-    into probabilities with Platt scaling (binary) or a softmax."""
+    into probabilities with Platt scaling (binary) or a softmax.  The members
+    score one after another, each into a column of its own: no join."""
     classes = M.class_list(train, label)
-    trs, tes = PR.standard_scale(train, features, fit=train), PR.standard_scale(test, features, fit=train)
+    trs, z = _with_scaled(train, train, features)
+    out, _ = _with_scaled(test.select(col(key), col(label), *[col(f) for f in features]), train, features)
     rf = M.random_forest(M.fixed_layout(train, [key]), features, label, True, num_trees=50, classes=classes)
-    lr = M.logistic(trs, features, label, classes=classes)
-    svm = M.svm_rbf(trs, features, label, classes=classes)
-    p1 = rf.transform(test).select(col(key), F.col("probability").alias("p_rf"))
-    p2 = lr.transform(tes).select(col(key), F.col("probability").alias("p_lr"))
-    p3 = svm.probabilities(tes, trs).select(col(key), F.col("probability").alias("p_svm"))
-    j = test.select(col(key), col(label)).join(p1, key).join(p2, key).join(p3, key)
-    avg = F.zip_with(F.zip_with("p_rf", "p_lr", lambda a, b: a + b), "p_svm", lambda a, b: (a + b) / 3.0)
-    idx = F.array_position(avg, F.array_max(avg)) - 1
-    return j.select(col(key), col(label), avg.alias("probability"),
-                    M._label_of(idx, classes).alias("prediction"))
+    lr, svm = M.logistic(trs, z, label, classes=classes), M.svm_rbf(trs, z, label, classes=classes)
+    out = rf.transform(out).drop("prediction").withColumnRenamed("probability", "__p0")
+    out = lr.transform(out).drop("prediction").withColumnRenamed("probability", "__p1")
+    out = svm.probabilities(out, trs).withColumnRenamed("probability", "__p2")
+    avg = F.zip_with(F.zip_with("__p0", "__p1", lambda a, b: a + b), "__p2", lambda a, b: (a + b) / 3.0)
+    out = out.withColumn("probability", avg)
+    idx = F.array_position("probability", F.array_max("probability")) - 1
+    return out.select(col(key), col(label), "probability", M._label_of(idx, classes).alias("prediction"))
 
 
 def voting_regressor(train, test, features, label, key) -> DataFrame:
-    """Mean of a 50-tree forest, OLS and the Fourier-feature SVR (T5)."""
-    trs, tes = PR.standard_scale(train, features, fit=train), PR.standard_scale(test, features, fit=train)
-    rf = M.random_forest(M.fixed_layout(train, [key]), features, label, False, num_trees=50)
-    ols = M.linear(train, features, label)
-    svr = M.svr_rbf(trs, features, label)
-    p1 = rf.transform(test).select(col(key), F.col("prediction").alias("p_rf"))
-    p2 = ols.transform(test).select(col(key), F.col("prediction").alias("p_ols"))
-    p3 = svr.transform(tes).select(col(key), F.col("prediction").alias("p_svr"))
-    j = test.select(col(key), col(label)).join(p1, key).join(p2, key).join(p3, key)
-    return j.select(col(key), col(label), ((F.col("p_rf") + F.col("p_ols") + F.col("p_svr")) / 3).alias("prediction"))
+    """Mean of a 50-tree forest, OLS and the Fourier-feature SVR (T5), scored
+    one after another without a join."""
+    trs, z = _with_scaled(train, train, features)
+    out, _ = _with_scaled(test.select(col(key), col(label), *[col(f) for f in features]), train, features)
+    members = (M.random_forest(M.fixed_layout(train, [key]), features, label, False, num_trees=50),
+               M.linear(train, features, label), M.svr_rbf(trs, z, label))
+    for i, m in enumerate(members):
+        out = m.transform(out).withColumnRenamed("prediction", f"__p{i}")
+    return out.select(col(key), col(label), ((F.col("__p0") + F.col("__p1") + F.col("__p2")) / 3).alias("prediction"))
 
 
 def bagging(train, test, features, label, key, classification=True, n_estimators: int = 50) -> DataFrame:
