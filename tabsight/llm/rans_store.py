@@ -56,10 +56,11 @@ class ChunkTokens:
     joined back by position, as little-endian unsigned integers.
 
     No token reaches over white space, nor from a letter to the punctuation
-    behind it, and case is dropped before the merges.  So a text is lowered
-    (unless it holds a character whose lower case depends on its place, or the
-    start of a special string), cut at spaces, and a word's last mark is a
-    chunk of its own.  A chunk of letters is one word to the library, so its
+    behind it, and the library composes a text, then drops case, before the
+    merges.  So a text is lowered if that changes nothing else (it is composed
+    and stays so, and holds neither a character whose lower case depends on its
+    place nor the start of a special string), cut at spaces, and a word's last
+    mark is a chunk of its own.  A chunk of letters is one word to the library, so its
     merge model is asked directly; any other chunk goes through all its steps."""
 
     MARKS = ".,;:!?"
@@ -80,13 +81,22 @@ class ChunkTokens:
             return (self.table.get(w[:-1]) or self._chunk(w[:-1])) + self.table[w[-1]]
         return array(self.code, self.lib.encode(w, add_special_tokens=False).ids).tobytes()
 
+    @staticmethod
+    def _lowered(t: str) -> str:
+        if "<|" in t:
+            return t
+        low = t.lower()
+        if t.isascii():
+            return low
+        composed = unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low)
+        return low if composed and "\u03a3" not in t and "\u0130" not in t else t
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out, get = [], self.table.__getitem__
         for t in texts:
             if len(self.table) > self.max_chunks:
                 self.table.clear()
-            if not ("<|" in t or "\u03a3" in t or "\u0130" in t):
-                t = t.lower()
+            t = self._lowered(t)
             out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
         return out
 
