@@ -6,6 +6,9 @@
   batches: a greedy search on the graph so far proposes neighbours, relaxed
   distance pruning (``ALPHA``) keeps diverse ones, reverse edges are added and
   pruned again when a node has too many.
+* A shard centres and scales its vectors, and a search begins at ``ENTRIES``
+  nodes spread over the shard, so that shifted, huge, tiny or clustered vectors
+  are found as well as others.
 * Every query is beam-searched on every shard's graph; the shards' answers
   meet in one ranking per query.  Distances of the result are computed in
   double precision on the original vectors.
@@ -33,6 +36,8 @@ from tabsight.llm.topk_mtree import smallest_ids, usable_vectors
 SHARD_ROWS = 4096
 DEGREE, SLACK, ALPHA = 32, 16, 1.2
 BEAM_BUILD, BEAM_SEARCH, WIDTH = 64, 128, 4
+#: Nodes of a shard at which every search begins.
+ENTRIES = 48
 
 
 class PrunedGraph:
@@ -41,22 +46,42 @@ class PrunedGraph:
 
     def __init__(self, x: np.ndarray, degree: int = DEGREE, slack: int = SLACK, alpha: float = ALPHA,
                  beam: int = BEAM_BUILD):
-        self.x = np.ascontiguousarray(x, dtype=np.float32)
-        self.norms = (self.x ** 2).sum(axis=1)
+        # centred and scaled in double precision, so that single precision
+        # resolves vectors that are far off, huge or tiny
+        size = np.abs(x).max(axis=0).max() or 1.0
+        self.middle = (x / size).mean(axis=0) * size
+        self.scale = np.abs(x - self.middle).max() or 1.0
+        self.x = self.placed(x)
         self.degree, self.alpha2 = degree, alpha * alpha
         n = len(x)
         self.edges = np.full((n, degree + slack), -1, dtype=np.int32)
         self.count = np.zeros(n, dtype=np.int32)
-        middle = self.x.mean(axis=0)
-        self.entry = int(np.argmin(((self.x - middle) ** 2).sum(axis=1)))
+        self.entries = self._spread(min(n, ENTRIES))
         order = np.random.default_rng(n).permutation(n)
-        order = order[order != self.entry]
+        order = order[order != self.entries[0]]
         at, size = 0, 1
         while at < len(order):
             self._insert(order[at:at + size], beam)
             at += size
             size = min(2 * size, 256)
 
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Vectors as the graph holds them."""
+        return np.ascontiguousarray((x - self.middle) / self.scale, dtype=np.float32)
+
+    def _spread(self, n: int) -> np.ndarray:
+        """Entry points: the most central node, then ever the one farthest from
+        those taken, so that each group of vectors has one near."""
+        d = (self.x ** 2).sum(axis=1)
+        out = [int(d.argmin())]
+        d = np.full(len(self.x), np.inf, dtype=np.float32)
+        while len(out) < n:
+            d = np.minimum(d, ((self.x - self.x[out[-1]]) ** 2).sum(axis=1))
+            out.append(int(d.argmax()))
+            if d[out[-1]] == 0:
+                return np.array(out[:-1])
+        return np.array(out)
+
     def beam(self, q: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest found nodes of each query: ids and squared distances, both
         sorted by distance; -1 pads."""
@@ -67,9 +92,12 @@ class PrunedGraph:
         todo = np.zeros((b, size), dtype=bool)
         seen = np.zeros((b, n + 1), dtype=bool)
         seen[:, n] = True
-        q2 = (q ** 2).sum(axis=1)
-        ids[:, 0], todo[:, 0], seen[:, self.entry] = self.entry, True, True
-        dist[:, 0] = self.norms[self.entry] + q2 - 2 * (q @ self.x[self.entry])
+        start = self.entries[:size]
+        m = len(start)
+        d = np.stack([((q - self.x[e]) ** 2).sum(axis=1) for e in start], axis=1)
+        by = np.argsort(d, axis=1, kind="stable")
+        ids[:, :m], dist[:, :m] = start[by], np.take_along_axis(d, by, axis=1)
+        todo[:, :m], seen[:, start] = True, True
         while True:
             live = rows[todo.any(axis=1)]
             if not len(live):
@@ -89,7 +117,8 @@ class PrunedGraph:
             code = np.unique(own * (n + 1) + near)
             own, near = code // (n + 1), code % (n + 1)
             seen[own, near] = True
-            d = self.norms[near] + q2[own] - 2 * np.einsum("ij,ij->i", self.x[near], q[own])
+            gap = self.x[near] - q[own]
+            d = np.einsum("ij,ij->i", gap, gap)
             start = np.searchsorted(own, live)
             length = np.searchsorted(own, live, side="right") - start
             slot = np.arange(len(own)) - np.repeat(start, length)
@@ -113,12 +142,13 @@ class PrunedGraph:
         cand = np.sort(cand, axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         cand[cand == p[:, None]] = -1
-        x = self.x[cand]
-        d = self.norms[cand] + self.norms[p][:, None] - 2 * np.einsum("bcd,bd->bc", x, self.x[p])
+        x = self.x[cand] - self.x[p][:, None, :]  # seen from the node, so close pairs keep their digits
+        d = np.einsum("bcd,bcd->bc", x, x)
         d[cand < 0] = np.inf
         order = np.argsort(d, axis=1, kind="stable")
         cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-        x, norm = self.x[cand], self.norms[cand]
+        x = np.take_along_axis(x, order[:, :, None], axis=1)
+        norm = np.einsum("bcd,bcd->bc", x, x)
         between = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
         live = np.isfinite(d)
         out = np.full((len(p), self.degree), -1, dtype=np.int32)
@@ -181,20 +211,20 @@ def build_index(groups: DataFrame, shard_rows: int = SHARD_ROWS, n: int | None =
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM_SEARCH) -> DataFrame:
     """(id, v) -> (query_id, rank, vec_id, score): k nearest found."""
     from pyspark.sql import Window
-    shards = [r["shard"] for r in index.select("shard").collect()]
-    wanted = queries.select(F.explode(F.array(*[F.lit(s) for s in shards])).alias("shard"),
+    n_shards, last = index.agg(F.count("*"), F.max("shard")).first()
+    wanted = queries.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"),
                             F.lit(None).cast("binary").alias("graph"), "id", "v")
     both = (index.select("shard", "graph", F.lit(None).cast("long").alias("id"),
                          F.lit(None).cast("array<double>").alias("v")).unionByName(wanted)
-            .repartition(max(len(shards), 1), "shard")
+            .repartition(n_shards, "shard")
             .sortWithinPartitions("shard", F.col("id").asc_nulls_first()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = x = ids = None
+        graph = x = ids = at = None
 
         def answer(q_ids, vs):
             q = np.stack(vs)
-            rows, _ = graph.beam(q.astype(np.float32), beam)
+            rows, _ = graph.beam(graph.placed(q), beam)
             out = []
             for q_id, v, row in zip(q_ids, q, rows):
                 row = row[row >= 0]
@@ -205,15 +235,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM_S
 
         for part in parts:
             q_ids, vs = [], []
-            for blob, i, v in zip(part["graph"], part["id"], part["v"]):
-                if blob is None:
+            for shard, blob, i, v in zip(part["shard"], part["graph"], part["id"], part["v"]):
+                if blob is None and shard == at:  # no row has a number whose hash gave no shard
                     q_ids.append(i)
                     vs.append(v)
                 if vs and (blob is not None or len(vs) == 256):
                     yield answer(q_ids, vs)
                     q_ids, vs = [], []
                 if blob is not None:
-                    graph, x, ids = pickle.loads(blob)
+                    at, (graph, x, ids) = shard, pickle.loads(blob)
             if vs:
                 yield answer(q_ids, vs)
 
