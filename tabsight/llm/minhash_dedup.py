@@ -28,6 +28,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,12 +172,21 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: D
     lists = rare.where("df > 1").select("shingle", "rep")
     listed = (lists.toDF("shingle", "u").join(lists.toDF("shingle", "v"), "shingle").where("u < v")
               .groupBy("u", "v").agg(F.count("*").alias("k")).join(both, "u").join(other, "v").where(allowed(F.col("k"))))
-    left = open_.where("root <> low").select("key", F.col("rep").alias("u")).join(both, "u")
-    right = open_.select("key", F.col("rep").alias("v")).join(other, "v")
+    # a member whose common shingles can't reach the similarity even with the
+    # bucket's smallest set has no partner but listed ones; the others meet in
+    # bands of set sizes, of which only neighbours are similar enough
+    able = open_.select("key", "low", "rep").join(known, "rep")
+    least = able.groupBy("key").agg(F.min("n").alias("least"))
+    able = keep(able.join(least, "key").where(100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common")))
+                .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01))).cast("int")), "able")
+    left = able.where("root <> low").select("key", "band", F.col("rep").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"),
+                                            F.col("common").alias("cu"), F.col("bands").alias("bu"))
+    right = able.select("key", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)).alias("band"), F.col("rep").alias("v"),
+                        F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("common").alias("cv"), F.col("bands").alias("bv"))
     # a pair counts in the first table that it shares only
     same = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda i: F.col("bu")[i] == F.col("bv")[i])
     once = F.transform(F.array(same), lambda m: _key(m[1], m[0], F.col("bu"), collections))[0] == F.col("key")
-    bucketed = left.join(right, "key").where(allowed(F.lit(0)) & once)
+    bucketed = left.join(right, ["key", "band"]).where(allowed(F.lit(0)) & once)
     return (listed.select("u", "v").union(bucketed.select(F.least("u", "v"), F.greatest("u", "v"))).distinct())
 
 
