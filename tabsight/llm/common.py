@@ -51,3 +51,15 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", row_by
     if rows is None:
         rows = right.count()
     return left.join(F.broadcast(right) if rows * row_bytes <= BROADCAST_BYTES else right, on, how)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out

@@ -37,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import BROADCAST_BYTES, join_small, keep
+from tabsight.llm.common import BROADCAST_BYTES, fresh, join_small, keep
 
 #: Kinds in order, and what each is replaced by.
 KINDS = ("email", "ip", "card", "phone")
@@ -61,6 +61,8 @@ HIDDEN = "\uffff"
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.999
 #: Pairs of fewer documents than the support that may be accidental, over all pairs tried.
 CHANCE = 0.01
+#: Code points of a block of a text that is cut at many places.
+BLOCK = 512
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -90,25 +92,49 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(13, 19), _let(digits, _luhn)).otherwise(False)
 
 
+def _before(values: Column, add) -> Column:
+    """For every value, ``add`` folded over those before it (from 0).  Folds of
+    blocks of about the root of their number are kept, so that n values take
+    n * sqrt(n) steps and a text may have very many."""
+    def sized(v: Column) -> Column:
+        def blocks(step: Column) -> Column:
+            starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.ceil(F.size(v) / step).cast("int") - 1)).otherwise(
+                F.array().cast("array<int>"))
+
+            def folded(k: Column) -> Column:
+                sums = F.transform(starts, lambda b: F.aggregate(F.slice(k, F.lit(1), b), F.lit(0), add))
+
+                def one(t: Column):
+                    def at(_: Column, i: Column) -> Column:
+                        b = F.floor(i / step).cast("int")
+                        return F.aggregate(F.slice(v, b * step + 1, i - b * step), t[b], add)
+                    return at
+
+                return _let(sums, lambda t: F.transform(v, one(t)))
+
+            return _let(F.transform(starts, lambda b: F.aggregate(F.slice(v, b * step + 1, step), F.lit(0), add)), folded)
+
+        return _let(F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int"), blocks)
+
+    return _let(values, sized)
+
+
 def _offsets(text: Column, pattern: str) -> Column:
     """All matches of a pattern as (start, end, value)."""
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"),
+    both = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
     def place(b: Column) -> Column:
-        sizes = F.struct(F.transform(b["gaps"], F.length).alias("g"), F.transform(b["hits"], F.length).alias("h"))
-
-        def at(z: Column) -> Column:
-            def total(a: Column, n: Column) -> Column:
-                return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+        sizes = F.transform(b["hits"], lambda v, i: b["gaps"][i] + F.length(v))
 
+        def all_hits(earlier: Column) -> Column:
             def one(v: Column, i: Column) -> Column:
-                start = total(z["g"], i + 1) + total(z["h"], i)
+                start = earlier[i] + b["gaps"][i]
                 return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
 
             return F.transform(b["hits"], one)
 
-        return _let(sizes, at)
+        return _let(_before(sizes, lambda s, x: s + x), all_hits)
 
     return _let(both, place)
 
@@ -252,12 +278,21 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     e = F.broadcast(e) if ours.count() * 128 <= BROADCAST_BYTES else e
     marked = (texts.join(e, F.col("id").eqNullSafe(F.col("e_id")) & (F.md5("text") == F.col("e_print")))
               .select("row", "text").dropDuplicates(["row"]))
-    spans = (_places(marked).join(hits, ["row", "term"]).select("row", F.struct(
-        F.when(F.col("ratio") >= remove, "reveal").otherwise("term").alias("kind"),
-        "start", "end", F.col("term").alias("value")).alias("s"))
-        .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra")))
-    extra = (ours.join(spans, "row").select("id", "print", F.filter("extra", lambda s: ~F.exists(
-        "base", lambda x: (s["start"] < x["end"]) & (s["end"] > x["start"]))).alias("extra")).where(F.size("extra") > 0))
+    terms = _places(marked).join(hits, ["row", "term"]).select(
+        "row", "start", "end", F.lit(1).alias("added"), F.struct(
+            F.when(F.col("ratio") >= remove, "reveal").otherwise("term").alias("kind"),
+            "start", "end", F.col("term").alias("value")).alias("s"))
+    based = ours.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end", F.lit(0).alias("added"), "s")
+    # a term goes if the base spans that begin before its end reach into it
+    order = Window.partitionBy("row").orderBy("start", "added")  # one text at most
+    at = F.when(F.col("added") == 0, F.struct("start", "end"))
+    spans = (terms.unionByName(based)
+             .withColumn("upto", F.max(at["end"]).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("next", F.min(at["start"]).over(order.rowsBetween(0, Window.unboundedFollowing)))
+             .where((F.col("added") == 1) & (F.coalesce("upto", F.lit(0)) <= F.col("start"))
+                    & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
+             .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("extra")))
+    extra = ours.join(spans, "row").select("id", "print", "extra")
     return found.select("id", "print", "base"), extra
 
 
@@ -274,25 +309,39 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"), "all_spans")
 
 
+def _cut_out(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text that is held in
+    blocks of ``BLOCK`` of them, so that no cut walks from the text's begin."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    head, tail = F.get(blocks, first), F.coalesce(F.substring(F.get(blocks, last), F.lit(1), end % BLOCK), F.lit(""))
+    return (F.when(end <= start, "").when(first == last, F.substring(head, start % BLOCK + 1, end - start))
+            .otherwise(F.concat(F.substring(head, start % BLOCK + 1, F.lit(BLOCK)),
+                                F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)))
+
+
 def replaced(text: Column, spans: Column, by: Column | None = None) -> Column:
     """The text with every span replaced by its label, or by ``by``; spans that
     overlap are replaced once, by the first one's label."""
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
 
-    def build(s: Column) -> Column:
-        def done(n: Column) -> Column:
-            return F.aggregate(F.slice(s, F.lit(1), n), F.lit(0), lambda m, x: F.greatest(m, x["end"]))
+    def build(v: Column) -> Column:
+        s, blocks = v["spans"], v["blocks"]
+        ends = F.transform(s, lambda x: x["end"])
+
+        def all_spans(done: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                return F.when(x["start"] >= done[i], F.concat(
+                    _cut_out(blocks, done[i], x["start"]), F.element_at(label, x["kind"]) if by is None else by)).otherwise("")
 
-        def one(x: Column, i: Column) -> Column:
-            return _let(done(i), lambda m: F.when(x["start"] >= m, F.concat(
-                F.substring(text, m + 1, x["start"] - m),
-                F.element_at(label, x["kind"]) if by is None else by)).otherwise(""))
+            return F.transform(s, one)
 
-        return _let(done(F.size(s)), lambda m: F.concat(
-            F.array_join(F.transform(s, one), ""), F.substring(text, m + 1, F.length(text) - m)))
+        return F.concat(F.array_join(_let(_before(ends, lambda m, e: F.greatest(m, e)), all_spans), ""),
+                        _cut_out(blocks, F.array_max(ends), v["size"]))
 
     by_start = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.when(F.size(spans) > 0, _let(F.sort_array(by_start), build)).otherwise(text)
+    whole = F.struct(F.sort_array(by_start).alias("spans"), F.length(text).alias("size"),
+                     F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"))
+    return F.when(F.size(spans) > 0, _let(whole, build)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
@@ -300,7 +349,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spans are joined; the others are rewritten where they are read."""
     _, extra = find_spans(docs, id_col, text_col, **rule)
     extra = keep(extra, "extra")
-    mine = ["__id", "__print", "__extra"]
+    mine = fresh(docs, "__id", "__print", "__extra")
     e, n = extra.toDF(*mine), extra.count()
     text = F.col(text_col)
     e = F.broadcast(e) if n * 1024 <= BROADCAST_BYTES else e
