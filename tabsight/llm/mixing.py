@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import BROADCAST_BYTES, WORD, keep
+from tabsight.llm.common import BROADCAST_BYTES, WORD, fresh, keep
 
 #: Fixed values of the mixing rule.
 WEIGHTS = (5, 2, 1)
@@ -152,7 +152,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         """Documents in hash order while they fit; then, of the rest, the
         largest that still fit."""
         left, taken = float(part["words"].iloc[0]), []
-        part = part.sort_values(["h", "id", "size"])
+        part = part.sort_values(["h", "id", "size"])  # the hash is the permutation
         n, size = part["n"].to_numpy(), part["size"].to_numpy()
         at = 0
         while at < len(part) and size[at] * n[at] <= left:
@@ -163,7 +163,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             if 0 < size[k] * n[k] <= left:
                 taken.append(k)
                 left -= size[k] * n[k]
-        return part.iloc[taken][["id", "source", "size"]]
+        # quotas of the shards, from the same tree; the hash order deals them
+        dealt = split_quotas(np.array([len(taken)]), shards, seed + int(part["block"].iloc[0]))[:, 0]
+        out = part.iloc[sorted(taken)][["id", "source", "size"]]
+        return out.assign(shard=np.repeat(np.arange(shards), dealt).astype("int32"))
 
     id_type = sized.schema["id"].dataType.simpleString()
     there = (rows["source"].eqNullSafe(edge_blocks["source"])) & (rows["block"] == edge_blocks["block"])
@@ -171,7 +174,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
             .groupBy("id", rows["source"], rows["block"], "size", "words").agg(F.count("*").alias("n"))
             .withColumn("h", F.xxhash64("id", F.lit(seed + 1)))
             .withColumn("id", F.col("id").cast("string"))
-            .groupBy("source", "block").applyInPandas(fill, "id string, source string, size long"))
+            .groupBy("source", "block").applyInPandas(fill, "id string, source string, size long, shard int"))
     edge = keep(edge.withColumn("id", F.col("id").cast(id_type)), "edge")
     return Mix(sources, blocks, edge, len(table), edge.count()), rows
 
@@ -182,7 +185,8 @@ def _copies(rows: DataFrame, mix: Mix) -> DataFrame:
     blocks = mix.blocks.groupBy("source", "block").agg(F.sort_array(F.collect_list("shard")).alias("whole"))
     few = mix.n_blocks * 64 <= BROADCAST_BYTES
     blocks = blocks.toDF("b_source", "b_block", "whole")
-    edge = mix.edge.select(F.col("id").alias("e_id"), F.col("source").alias("e_source"), F.col("size").alias("e_size"))
+    edge = mix.edge.select(F.col("id").alias("e_id"), F.col("source").alias("e_source"), F.col("size").alias("e_size"),
+                           F.col("shard").alias("e_shard"))
     one = mix.n_edge * 64 <= BROADCAST_BYTES
     return (rows.join(F.broadcast(blocks) if few else blocks,
                       F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")), "left")
@@ -191,27 +195,30 @@ def _copies(rows: DataFrame, mix: Mix) -> DataFrame:
                   & (F.col("size") == F.col("e_size")), "left")
             .withColumn("shards", F.concat(
                 F.coalesce("whole", F.array().cast("array<int>")),
-                F.when(F.col("e_size").isNotNull(), F.array(F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int")))
+                F.when(F.col("e_size").isNotNull(), F.array("e_shard"))
                 .otherwise(F.array().cast("array<int>"))))
-            .drop("b_source", "b_block", "whole", "e_id", "e_source", "e_size"))
+            .drop("b_source", "b_block", "whole", "e_id", "e_source", "e_size", "e_shard"))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                **rule) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken."""
+    """One row per input row: id, size, source_size, target, taken, and the
+    output shards of its copies, comma-joined."""
     mix, rows = plan_mix(docs, id_col, text_col, source_col, **rule)
     s = mix.sources.select(F.col("source").alias("s_source"), "source_size", "target")
     return (_copies(rows, mix).join(F.broadcast(s) if s.count() * 64 <= BROADCAST_BYTES else s,
                                     F.col("source").eqNullSafe(F.col("s_source")))
             .select(F.col("id").alias(id_col), "size", "source_size", "target",
-                    (F.size("shards") * F.col("size")).cast("long").alias("taken")))
+                    (F.size("shards") * F.col("size")).cast("long").alias("taken"),
+                    F.array_join(F.array_sort(F.col("shards")).cast("array<string>"), ",").alias("shards")))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                   seed: int = 42, **rule) -> DataFrame:
     """The mixed rows themselves: the columns of ``docs``, each row as often as
-    it is taken, with a column ``mix_shard``; order rows of a shard by
-    ``mix_order`` for the local shuffle."""
+    it is taken, then two columns ``mix_shard`` and ``mix_order`` (with
+    underscores added if ``docs`` has such columns); order rows of a shard by
+    the second for the local shuffle (:func:`deal_out` does)."""
     mix, _ = plan_mix(docs, id_col, text_col, source_col, seed=seed, **rule)
     mine = ["__row", "__n", "__shard"]
     s = mix.sources.select(F.col("source").alias("s_source"), "n_blocks")
@@ -221,5 +228,15 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = (rows.join(F.broadcast(s), F.col("source").eqNullSafe(F.col("s_source")))
             .withColumn("block", _block(F.col("n_blocks"), seed)))
     out = _copies(rows, mix).select("id", mine[0], F.posexplode("shards").alias(mine[1], mine[2]))
-    return out.select(f"{mine[0]}.*", F.col(mine[2]).alias("mix_shard"),
-                      F.xxhash64("id", mine[1], F.lit(seed + 2)).alias("mix_order"))
+    shard, order = fresh(docs, "mix_shard", "mix_order")
+    return out.select(f"{mine[0]}.*", F.col(mine[2]).alias(shard),
+                      F.xxhash64("id", mine[1], F.lit(seed + 2)).alias(order))
+
+
+def deal_out(mixed: DataFrame) -> DataFrame:
+    """The result of :func:`mix_documents` with every shard in one partition,
+    its rows in the order of the local shuffle; the two columns go."""
+    shard, order = mixed.columns[-2:]
+    n = (mixed.agg(F.max(shard)).first()[0] or 0) + 1
+    dealt = mixed.repartitionById(n, F.col(shard)).sortWithinPartitions(shard, order)
+    return dealt.drop(shard, order)
