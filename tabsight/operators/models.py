@@ -13,8 +13,8 @@ the model has one, ``probability`` as ``array<double>``), ``importances()``,
   (:mod:`tabsight.operators.neighbours`).
 * Kernel SVM/SVR approximated with random Fourier features (Rahimi & Recht,
   2007) computed by an Arrow-batched pandas UDF, followed by ``LinearSVC``
-  (classification) or ``LinearRegression`` with the Huber loss (regression).
-  These are approximations.
+  (classification) or a reweighted ridge regression (regression).  These are
+  approximations.
 """
 
 from __future__ import annotations
@@ -227,7 +227,8 @@ def gbt(train, features, label, classification=True, rounds=100, rate=0.1, depth
     classifier is binary, so more classes use one-vs-rest."""
     if classification:
         classes = classes if classes is not None else class_list(train, label)
-        base = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=SEED)
+        # one-vs-rest reads its members' raw predictions under its own name for them
+        base = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=SEED).setRawPredictionCol("__raw")
         est = base if len(classes) <= 2 else OneVsRest(classifier=base)
     else:
         est = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=SEED)
@@ -579,12 +580,13 @@ def svm_rbf(train, features, label, C: float = 1.0, n_components: int = 128, gam
 
 
 def svr_rbf(train, features, label, C: float = 1.0, epsilon: float = 1.35, n_components: int = 128,
-            gamma=None, max_iter: int = 200):
-    """RBF-kernel SVR (M9), approximated: random Fourier features, then
-    ``LinearRegression`` with the Huber loss (linear for residuals over
-    ``epsilon`` deviations, as the SVR's is) and the same penalty, on the
-    standardised label, until it converges.  A label without spread is
-    predicted by its mean."""
+            gamma=None, rounds: int = 5):
+    """RBF-kernel SVR (M9), approximated: random Fourier features, then a ridge
+    regression of the standardised label with the SVR's penalty.  ``rounds``
+    reweighted fits make the loss linear for residuals over ``epsilon`` times
+    their spread, as the SVR's is for large ones.  Each fit solves its normal
+    equations, so neighbouring features that are nearly alike do no harm.  A
+    label without spread is predicted by its mean."""
     mu, sd, W, b = _rff_setup(train, features, n_components, gamma)
     tmp = RFFModel(features, label, None, False, W, b, (mu, sd), None, "SVM")
     y = col(label).cast("double")
@@ -592,15 +594,18 @@ def svr_rbf(train, features, label, C: float = 1.0, epsilon: float = 1.35, n_com
     if not s["sd"]:
         tmp.w_reg = ([0.0] * n_components, float(s["m"] or 0.0))
         return tmp
-    data = train.where(y.isNotNull()).select(((y - F.lit(s["m"])) / F.lit(s["sd"])).alias("__y"),
-                                             array_to_vector(tmp._z(train)).alias("__zv")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fit = LinearRegression(featuresCol="__zv", labelCol="__y", loss="huber", epsilon=epsilon,
-                               regParam=1.0 / (C * s["n"]), standardization=False, maxIter=max_iter,
-                               tol=1e-6).fit(data)
-    finally:
-        data.unpersist()
+    data = keep(train.where(y.isNotNull()).select(((y - F.lit(s["m"])) / F.lit(s["sd"])).alias("__y"), tmp._z(train).alias("__z")),
+                "svr").withColumn("__zv", array_to_vector("__z"))
+    est = LinearRegression(featuresCol="__zv", labelCol="__y", predictionCol="__p", regParam=1.0 / (C * s["n"]),
+                           standardization=False, solver="normal")
+    fit = est.fit(data)
+    for _ in range(rounds):
+        spread = fit.summary.rootMeanSquaredError
+        if not spread > 1e-9:
+            break
+        gap = F.abs(F.col("__y") - F.col("__p"))
+        weighted = fit.transform(data).withColumn("__w", F.least(F.lit(1.0), F.lit(epsilon * spread) / F.greatest(gap, F.lit(1e-12))))
+        fit = est.copy({est.weightCol: "__w"}).fit(weighted.drop("__p"))
     tmp.w_reg = ((fit.coefficients.toArray() * s["sd"]).tolist(), float(fit.intercept * s["sd"] + s["m"]))
     return tmp
 

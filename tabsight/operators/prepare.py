@@ -128,6 +128,15 @@ def impute_drop(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 
 
+def append_by_name(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows one after another, columns matched by name (U1); a column that one
+    side lacks is null there."""
+    out = first
+    for o in others:
+        out = out.unionByName(o, allowMissingColumns=True)
+    return out
+
+
 def label_encode(df: DataFrame, columns: list[str] | None = None, null_token: str = "nan") -> DataFrame:
     """Codes = position of the value among the column's sorted distinct values
     (X5); nulls become the category ``'nan'``.  Two readings: one for the

@@ -77,7 +77,7 @@ def kind_counts(spark, d):
 
 @query
 def duplicate_rows(spark, d):
-    return P.duplicate_rows(T(spark, d, "orders").select("o_custkey", "o_orderstatus"))
+    return P.duplicate_rows(X.orders_repeated(spark, d))
 
 
 @query
@@ -114,9 +114,9 @@ def preview(spark, d):
 from tabsight.operators import distribution as D  # noqa: E402
 from tabsight.operators import stats as S  # noqa: E402
 
-EV_COLS = ["event_id", "user_id", "event_type", "value"]
+EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_netprice"]
-EMB_COLS = [f"e{i}" for i in range(8)]
+EMB_COLS = [f"e{i}" for i in range(64)]
 
 
 @query
@@ -169,6 +169,12 @@ def correlation_matrix(spark, d):
     return S.correlation_matrix(X.lineitem_targets(spark, d), CORR_COLS).select("col_x", "col_y", "corr")
 
 
+@query
+def correlation_wide(spark, d):
+    # all 64 coordinates: pairs summed as matrices, no expression per pair
+    return S.correlation_matrix(X.embeddings_wide(spark, d), EMB_COLS).select("col_x", "col_y", "corr")
+
+
 @query
 def top_correlations(spark, d):
     return S.top_correlations(X.lineitem_targets(spark, d), CORR_COLS, 3)
@@ -186,7 +192,9 @@ def ttest_pooled(spark, d):
 
 @query
 def ttest_pvalue(spark, d):
-    return S.ttest_pvalue(T(spark, d, "lineitem"), "l_discount", "l_tax")
+    ev = T(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("even"),
+                                      F.when(F.col("event_id") % 2 == 1, F.col("value")).alias("odd"))
+    return S.ttest_pvalue(T(spark, d, "lineitem"), "l_discount", "l_tax").unionByName(S.ttest_pvalue(ev, "even", "odd"))
 
 
 @query
@@ -273,6 +281,26 @@ def preprocess(spark, d):
                          missing="median", scaling="standard", outliers="cap")
 
 
+@query
+def impute_by_column(spark, d):
+    ev = X.events_nulls(spark, d).select("event_id", "event_type", "value", "user_id")
+    return PR.impute_by_column(ev, {"event_type": "constant", "value": "median", "user_id": "drop"}, {"event_type": "none"})
+
+
+@query
+def impute_drop(spark, d):
+    return PR.impute_drop(X.events_nulls(spark, d).select("event_id", "event_type", "value"), ["event_type", "value"])
+
+
+@query
+def append_by_name(spark, d):
+    cu = T(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+                                        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    su = T(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"),
+                                        F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    return PR.append_by_name(cu, su)
+
+
 @query
 def prepare(spark, d):
     return PR.prepare(X.events_nulls(spark, d), "event_type", ["user_id", "value", "props"], keep=["event_id"])
@@ -387,6 +415,15 @@ def knn_classify(spark, d):
         "vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query
+def knn_rings(spark, d):
+    # the same search over several pivot cells and rings
+    tr, te = _emb_split(spark, d)
+    m = M.knn(tr, EMB_COLS, "ring", "vec_id", True)
+    m.pivots, m.block_rows = 8, 100
+    return m.transform(te).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
 @query
 def knn_regress(spark, d):
     tr, te = _emb_split(spark, d)
@@ -414,42 +451,80 @@ def pca_scores(spark, d):
     return s.select(*LI_KEY, sig_round("PC1", 4).alias("PC1"), sig_round("PC2", 4).alias("PC2"))
 
 
+PART = ["gap", "price", "noise"]
+
+
+def _part_split(spark, d):
+    p = PR.split(X.part_planted(spark, d), ["p_partkey"], 0.2)
+    return p.where(~F.col("is_test")).drop("is_test"), p.where(F.col("is_test")).drop("is_test")
+
+
+def _fitted(spark, d, fit, label):
+    """Test rows with what ``fit`` (on the train rows) predicts for ``label``."""
+    tr, te = _part_split(spark, d)
+    return fit(tr).transform(te).select("p_partkey", F.col(label).alias("actual"), "prediction")
+
+
 @query
 def logistic(spark, d):
-    tr, te = _emb_split(spark, d)
-    return M.logistic(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+    return _fitted(spark, d, lambda tr: M.logistic(tr, ["gap"], "cls"), "cls")
 
 
 @query
 def random_forest(spark, d):
-    tr, te = _emb_split(spark, d)
-    tr = M.fixed_layout(tr, ["vec_id"])
-    return M.random_forest(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+    return _fitted(spark, d, lambda tr: M.random_forest(M.fixed_layout(tr, ["p_partkey"]), PART, "cls"), "cls")
+
+
+@query
+def forest_regressor(spark, d):
+    return _fitted(spark, d, lambda tr: M.random_forest(M.fixed_layout(tr, ["p_partkey"]), PART, "num", False), "num")
 
 
 @query
 def decision_tree(spark, d):
-    tr, te = _li_split(spark, d)
-    return M.decision_tree(tr, REG_FEATURES, "target_reg", classification=False).transform(te) \
-        .select(*LI_KEY, "prediction")
+    return _fitted(spark, d, lambda tr: M.decision_tree(tr, PART, "num", classification=False), "num")
+
+
+@query
+def tree_classifier(spark, d):
+    return _fitted(spark, d, lambda tr: M.decision_tree(tr, PART, "cls"), "cls")
 
 
 @query
 def gbt(spark, d):
-    tr, te = _emb_split(spark, d)
-    return M.gbt(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+    return _fitted(spark, d, lambda tr: M.gbt(tr, PART, "bin", rounds=20), "bin")
+
+
+@query
+def gbt_regressor(spark, d):
+    return _fitted(spark, d, lambda tr: M.gbt(tr, PART, "num", False, rounds=20), "num")
+
+
+@query
+def gbt_classes(spark, d):
+    return _fitted(spark, d, lambda tr: M.gbt(tr, PART, "cls", rounds=10), "cls")
 
 
 @query
 def svm_rbf(spark, d):
-    tr, te = _emb_split(spark, d)
-    return M.svm_rbf(tr, EMB_COLS, "ring").transform(te).select("vec_id", "prediction")
+    return _fitted(spark, d, lambda tr: M.svm_rbf(tr, ["gap"], "bin"), "bin")
+
+
+@query
+def svm_classes(spark, d):
+    return _fitted(spark, d, lambda tr: M.svm_rbf(tr, ["gap"], "cls"), "cls")
+
+
+@query
+def svm_linear(spark, d):
+    return _fitted(spark, d, lambda tr: M.svm_rbf(tr, ["gap"], "bin", kernel="linear"), "bin")
 
 
 @query
 def svr_rbf(spark, d):
-    tr, te = _emb_split(spark, d)
-    return M.svr_rbf(tr, EMB_COLS, "radius2").transform(te).select("vec_id", "prediction")
+    # an approximation: what is checked is that it explains the target
+    out = _fitted(spark, d, lambda tr: M.svr_rbf(tr, ["gap"], "lin"), "lin")
+    return EV.regression_metrics(out, "actual").select("n", (F.col("r2") > 0.9).alias("explains"))
 
 
 # ---- stage 7: comparison, tuning, ensembles ----------------------------------
@@ -458,23 +533,38 @@ from tabsight.plans import compare as C  # noqa: E402
 
 @query
 def compare_models(spark, d):
-    e = X.embeddings_wide(spark, d).select("vec_id", *EMB_COLS, "ring")
-    metrics, _ = C.compare_models(e, "ring", EMB_COLS, "Classification", "vec_id")
+    p = X.part_planted(spark, d).select("p_partkey", "gap", "bin")
+    metrics, _ = C.compare_models(p, "bin", ["gap"], "Classification", "p_partkey")
+    return metrics.drop("error")
+
+
+@query
+def compare_regression(spark, d):
+    p = X.part_planted(spark, d).select("p_partkey", *PART, "num")
+    metrics, _ = C.compare_models(p, "num", PART, "Regression", "p_partkey", ["Random Forest", "Decision Tree"], cv_folds_k=3)
     return metrics.drop("error")
 
 
+@query
+def comparison_points(spark, d):
+    # ROC points of the comparison: every curve goes from (0, 0) over (0, 1) to (1, 1)
+    p = X.part_planted(spark, d).select("p_partkey", "gap", "bin")
+    c = C.compare(p, "bin", ["gap"], "Classification", "p_partkey", ["Logistic Regression", "Decision Tree"], cv_folds_k=2)
+    return c.points.groupBy("model").agg(
+        F.min("fpr").alias("first_fpr"), F.max(F.when(F.col("fpr") == 0, F.col("tpr"))).alias("best_tpr"),
+        F.max("fpr").alias("last_fpr"), F.max("tpr").alias("last_tpr"))
+
+
 @query
 def cv_scores(spark, d):
-    tr, _ = _emb_split(spark, d)
-    s = C.cv_scores(tr, EMB_COLS, "ring", "vec_id", "Logistic Regression", True, 5)
+    s = C.cv_scores(X.part_planted(spark, d), ["gap"], "cls", "p_partkey", "Logistic Regression", True, 5)
     mu, sd = C._mean_std(s)
     return spark.createDataFrame([("Logistic Regression", mu, sd)], "model string, cv_mean double, cv_std double")
 
 
 @query
 def cv_folds(spark, d):
-    tr, _ = _emb_split(spark, d)
-    return C.cv_folds(tr, EMB_COLS, "ring", "vec_id", "Naive Bayes", True, 5)
+    return C.cv_folds(X.embeddings_wide(spark, d), EMB_COLS, "ring", "vec_id", "Naive Bayes", True, 5)
 
 
 @query
@@ -492,101 +582,136 @@ def recommend_model(spark, d):
     return C.recommend_model(X.rule_model_metrics(spark, d), "Classification")
 
 
+@query
+def recommend_regression(spark, d):
+    # three shifts of one prediction, compared by their errors
+    base = X.regression_predictions(spark, d)
+    rows = []
+    for i, shift in enumerate((0.0, -2.0, 5.0)):
+        m = EV.regression_metrics(base.withColumn("prediction", F.col("prediction") + shift)).first()
+        rows.append((i, f"Shift {shift}", m["mse"], m["mae"], m["r2"], m["rmse"], m["r2"], None, None))
+    table = spark.createDataFrame(rows, "ordinal int, model string, mse double, mae double, r2 double, rmse double, "
+                                        "cv_mean double, cv_std double, error string")
+    return C.recommend_model(table, "Regression")
+
+
 @query
 def rfe(spark, d):
-    tr, _ = _emb_split(spark, d)
-    return C.rfe(tr, EMB_COLS, "ring", "vec_id", 5)
+    p = X.part_planted(spark, d)
+    return C.rfe(p, PART, "cls", "p_partkey", 1, num_trees=20).where("ranking = 1")
 
 
 @query
 def grid_search(spark, d):
-    tr, _ = _emb_split(spark, d)
-    return C.grid_search(tr, EMB_COLS, "ring", "vec_id", "Logistic Regression", True, 5)
+    return C.grid_search(X.part_planted(spark, d), ["gap"], "cls", "p_partkey", "Logistic Regression", True, 3)
 
 
 @query
 def random_search(spark, d):
-    tr, _ = _emb_split(spark, d)
-    return C.random_search(tr, EMB_COLS, "ring", "vec_id", "SVM", True, 5)
+    t = C.random_search(X.part_planted(spark, d), ["gap"], "bin", "p_partkey", "SVM", True, 3, n_iter=4)
+    return t.agg(F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("params").alias("n_different"),
+                 F.sum(F.col("best").cast("int")).alias("n_best"), F.min("mean_score").alias("least_score"))
+
+
+@query
+def search_model(spark, d):
+    # the refitted best model of a search, applied to rows it has not seen
+    tr, te = _part_split(spark, d)
+    best = C.search_grid(tr, ["gap"], "cls", "p_partkey", "Logistic Regression", True, 3, {"C": [1.0, 10.0]})
+    scaled = PR.standard_scale(te, ["gap"], fit=tr)
+    return best.model.transform(scaled).select("p_partkey", F.col("cls").alias("actual"), "prediction")
 
 
 @query
 def voting_classifier(spark, d):
-    tr, te = _emb_split(spark, d)
-    return C.voting_classifier(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+    tr, te = _part_split(spark, d)
+    return C.voting_classifier(tr, te, ["gap"], "cls", "p_partkey").select("p_partkey", F.col("cls").alias("actual"), "prediction")
 
 
 @query
 def voting_regressor(spark, d):
-    tr, te = _emb_split(spark, d)
-    return C.voting_regressor(tr, te, EMB_COLS, "radius2", "vec_id").select("vec_id", "prediction")
+    tr, te = _part_split(spark, d)
+    out = C.voting_regressor(tr, te, ["gap", "noise"], "lin", "p_partkey")
+    return EV.regression_metrics(out, "lin").select("n", (F.col("r2") > 0.95).alias("explains"))
 
 
 @query
 def bagging(spark, d):
-    tr, te = _emb_split(spark, d)
-    return C.bagging(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+    tr, te = _part_split(spark, d)
+    return C.bagging(tr, te, PART, "cls", "p_partkey").select("p_partkey", F.col("cls").alias("actual"), "prediction")
 
 
 @query
 def boosting(spark, d):
-    tr, te = _emb_split(spark, d)
-    return C.boosting(tr, te, EMB_COLS, "ring", "vec_id").select("vec_id", "prediction")
+    tr, te = _part_split(spark, d)
+    return C.boosting(tr, te, PART, "bin", "p_partkey", rounds=20).select("p_partkey", F.col("bin").alias("actual"), "prediction")
 
 
 @query
 def quick_preview(spark, d):
-    cu = T(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    a = C.quick_preview(cu, "c_mktsegment", "c_custkey", problem_type="Classification")
-    li = X.lineitem_targets(spark, d).withColumn("l_key", PR.key_column(LI_KEY)) \
-        .select("l_key", "l_quantity", "l_discount", "l_tax", "target_reg")
-    b = C.quick_preview(li, "target_reg", "l_key", problem_type="Regression")
+    p = X.part_planted(spark, d)
+    a = C.quick_preview(p.select("p_partkey", "gap", "cls"), "cls", "p_partkey", problem_type="Classification")
+    b = C.quick_preview(p.select("p_partkey", "gap", "noise", "lin"), "lin", "p_partkey", problem_type="Regression")
     return a.unionByName(b)
 
 
+def _first(importances):
+    """The most important feature, and what all importances add up to."""
+    return importances.agg(F.max_by("feature", "importance").alias("first"), F.sum("importance").alias("total"))
+
+
 @query
 def forest_importance(spark, d):
-    e = X.embeddings_wide(spark, d).select("vec_id", *EMB_COLS, "ring")
-    return C.forest_importance(e, "ring", "vec_id")
+    return _first(C.forest_importance(X.part_planted(spark, d).select("p_partkey", *PART, "cls"), "cls", "p_partkey", 30))
 
 
 @query
 def model_importance(spark, d):
-    tr, _ = _emb_split(spark, d)
-    return C.model_importance(M.logistic(tr, EMB_COLS, "ring"), spark)
+    tr, _ = _part_split(spark, d)
+    m = M.linear(tr, ["gap", "noise"], "lin")
+    return C.model_importance(m, spark)
 
 
 @query
 def model_coefficients(spark, d):
-    tr, _ = _li_split(spark, d)
-    return C.model_coefficients(M.logistic(tr, ["l_quantity", "l_discount"], "target_cls"), spark)
+    tr, _ = _part_split(spark, d)
+    return C.model_coefficients(M.linear(tr, ["noise", "gap"], "lin"), spark).select("feature", "value")
 
 
 @query
 def batch_predict(spark, d):
     tr, te = _emb_split(spark, d)
-    return C.batch_predict(M.gaussian_nb(tr, EMB_COLS, "ring"), te.select("vec_id", *EMB_COLS))
+    out = C.batch_predict(M.gaussian_nb(tr, EMB_COLS, "ring"), te.select("vec_id", *EMB_COLS))
+    return out.select("vec_id", "Predictions", "Probability_Class_0", "Probability_Class_1")
+
+
+@query
+def naive_bayes_table(spark, d):
+    # the many-class form on the whole table: o_custkey // 10 as class of an order
+    o = T(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("x"),
+                                     F.floor(F.col("o_custkey") / 5).cast("long").alias("y"))
+    return M.gaussian_nb(o, ["x"], "y").transform(o).select("o_orderkey", F.col("prediction"))
 
 
 # ---- stage 8: sources and sinks ----------------------------------------------
 from tabsight.sources import files as FI  # noqa: E402
 from tabsight.sources import model_store as MS  # noqa: E402
 
-EVN_NO_TS = ["event_id", "user_id", "event_type", "value", "props"]
+EVN = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 @query
 def read_csv(spark, d):
     path = FI.scratch_path(spark, "events-csv")
-    FI.write_csv(X.events_nulls(spark, d).select(*EVN_NO_TS), path)
-    return FI.read_csv(spark, path)
+    FI.write_csv(X.events_nulls(spark, d).select(*EVN), path)
+    return FI.read_csv(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def read_json(spark, d):
     path = FI.scratch_path(spark, "events-json")
-    X.events_nulls(spark, d).select(*EVN_NO_TS).write.json(path)
-    return FI.read_json(spark, path).select(*EVN_NO_TS)
+    X.events_nulls(spark, d).select(*EVN).write.options(**FI.MICROSECONDS).json(path)
+    return FI.read_json(spark, path).select(*EVN).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query

@@ -58,8 +58,8 @@ def prediction_table(spark: SparkSession, d: str) -> DataFrame:
                      F.when(score > 0.5, 1.0).otherwise(0.0).alias("prediction"))
 
 
-def embeddings_wide(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
-    """The first ``n`` embedding coordinates as columns e0..e(n-1) plus the
+def embeddings_wide(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
+    """All embedding coordinates as columns e0..e(n-1) plus the
     ring label ``e0^2 + e1^2 > 0.022``."""
     e = load_table(spark, d, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)]
@@ -114,3 +114,23 @@ def rule_model_metrics(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, model string, accuracy double, precision double, "
                                        "recall double, f1 double, cv_mean double, cv_std double, "
                                        "roc_auc double, error string")
+
+
+def part_planted(spark: SparkSession, d: str) -> DataFrame:
+    """part with a feature ``gap`` that separates the planted classes of
+    ``p_size`` by 41 or more, two features without signal, a two-class and a
+    three-class label, a two-valued and a linear number.  What a sound model
+    predicts from it is known exactly."""
+    size, kind = F.col("p_size"), F.when(F.col("p_size") < 15, 0).when(F.col("p_size") < 35, 1).otherwise(2)
+    gap, noise = (size + 40 * kind).cast("double"), (F.col("p_partkey") % 13).cast("double")
+    return load_table(spark, d, "part").select(
+        "p_partkey", gap.alias("gap"), F.col("p_retailprice").alias("price"), noise.alias("noise"),
+        F.when(size < 15, 0).otherwise(1).alias("bin"),
+        F.when(size < 15, "small").when(size < 35, "medium").otherwise("large").alias("cls"),
+        F.when(size < 15, 2.5).otherwise(10.0).alias("num"), (3 * gap - 2 * noise + 0.5).alias("lin"))
+
+
+def orders_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """orders with every 50th order twice: whole rows that repeat."""
+    o = load_table(spark, d, "orders")
+    return o.unionAll(o.where(F.col("o_orderkey") % 50 == 0))

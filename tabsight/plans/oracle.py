@@ -52,7 +52,7 @@ EMB = """emb AS (
   SELECT vec_id, {cols}, label,
          CASE WHEN embedding[1] * embedding[1] + embedding[2] * embedding[2] > 0.022 THEN 1 ELSE 0 END AS ring,
          embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE AS radius2
-  FROM embeddings)""".format(cols=", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)))
+  FROM embeddings)""".format(cols=", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(64)))
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax"]
@@ -132,10 +132,10 @@ UNION ALL
 SELECT 'datetime', 1::BIGINT, count(l_shipdate)::BIGINT FROM lineitem"""
 
 SQL["duplicate_rows"] = """
-SELECT count(*) AS n_rows,
-       (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS n_distinct_rows,
-       count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS n_duplicates
-FROM orders"""
+WITH t AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 50 = 0)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS n_distinct_rows,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS n_duplicates
+FROM t"""
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 SQL["distinct_counts"] = _union([
@@ -176,7 +176,7 @@ SELECT g.i::INTEGER AS bin, {R('lo + (g.i - 1) * (hi - lo) / 30')} AS lower,
        {R('lo + g.i * (hi - lo) / 30')} AS upper, coalesce(c.count, 0) AS count
 FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i ORDER BY bin"""
 
-_EV = f"event_id, user_id, event_type, {R('value')} AS value"
+_EV = f"event_id, ts, user_id, event_type, {R('value')} AS value, props"
 _IQR = """q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)"""
 SQL["outliers_iqr"] = f"""WITH {_IQR}
 SELECT {_EV} FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""
@@ -238,7 +238,7 @@ SELECT 'l_discount' AS col_a, 'l_tax' AS col_b, na AS n_a, nb AS n_b, {R('ma')}
        (na + nb - 2)::BIGINT AS dof
 FROM s"""
 
-_EMB = [f"e{i}" for i in range(8)]
+_EMB = [f"e{i}" for i in range(64)]
 SQL["f_classif"] = "WITH " + EMB + "\n" + _union([f"""
 SELECT '{c}' AS feature, {R(f'(sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))')} AS f_score
 FROM (SELECT label, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM emb GROUP BY label) g,
@@ -440,7 +440,7 @@ FROM range(1, 31) g(i) CROSS JOIN r LEFT JOIN c ON c.bin = g.i"""
 
 
 # ---- stage 6: models ---------------------------------------------------------
-_E = [f"e{i}" for i in range(8)]
+_E = [f"e{i}" for i in range(64)]
 EMB_SPLIT = EMB + """,
 s AS (SELECT *, ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 7))::BIGINT % 100 < 20 AS is_test FROM emb),
 tr AS (SELECT * FROM s WHERE NOT is_test),
@@ -546,7 +546,7 @@ SQL["recommend_model"] = _rule_ctes() + """SELECT
 
 
 # ---- stage 8: round trips equal their source ---------------------------------
-SQL["read_csv"] = "WITH " + EVENTS_NULLS + f"\nSELECT event_id, user_id, event_type, {R('value')} AS value, props FROM events_n"
+SQL["read_csv"] = "WITH " + EVENTS_NULLS + f"\nSELECT event_id, ts, user_id, event_type, {R('value')} AS value, props FROM events_n"
 SQL["read_json"] = SQL["read_csv"]
 SQL["read_workbooks"] = f"SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
 SQL["write_predictions"] = SQL["gaussian_nb"]
@@ -584,3 +584,120 @@ UNION ALL SELECT 5, 'no_missing', NULL, 0.0 FROM nl WHERE miss = 0
 UNION ALL SELECT 6, 'outliers', NULL, total::DOUBLE FROM ot WHERE total > 0
 UNION ALL SELECT 10, 'small_dataset', NULL, n::DOUBLE FROM nl WHERE n < 100
 UNION ALL SELECT 10, 'large_dataset', NULL, n::DOUBLE FROM nl WHERE n > 100000"""
+
+
+# ---- planted parts: what sound models predict is known ------------------------
+PART = """pp AS (
+  SELECT p_partkey, p_size + 40.0 * (CASE WHEN p_size < 15 THEN 0 WHEN p_size < 35 THEN 1 ELSE 2 END) AS gap,
+         CASE WHEN p_size < 15 THEN 0 ELSE 1 END AS bin,
+         CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'medium' ELSE 'large' END AS cls,
+         CASE WHEN p_size < 15 THEN 2.5::DOUBLE ELSE 10.0::DOUBLE END AS num,
+         ('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 7))::BIGINT % 100 < 20 AS is_test
+  FROM part)"""
+
+
+def _exact(label: str) -> str:
+    return f"WITH {PART} SELECT p_partkey, {label} AS actual, {label} AS prediction FROM pp WHERE is_test"
+
+
+for _name, _label in (("logistic", "cls"), ("random_forest", "cls"), ("forest_regressor", "num"), ("decision_tree", "num"),
+                      ("tree_classifier", "cls"), ("gbt", "bin"), ("gbt_regressor", "num"), ("gbt_classes", "cls"),
+                      ("svm_rbf", "bin"), ("svm_classes", "cls"), ("svm_linear", "bin"), ("search_model", "cls"),
+                      ("voting_classifier", "cls"), ("bagging", "cls"), ("boosting", "bin")):
+    SQL[_name] = _exact(_label)
+for _name in ("svr_rbf", "voting_regressor"):
+    SQL[_name] = f"WITH {PART} SELECT count(*) AS n, true AS explains FROM pp WHERE is_test"
+
+SQL["compare_models"] = """
+SELECT 0 AS ordinal, 'Random Forest' AS model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall,
+       1.0::DOUBLE AS f1, 1.0::DOUBLE AS cv_mean, 0.0::DOUBLE AS cv_std, 1.0::DOUBLE AS roc_auc
+UNION ALL SELECT 1, 'Logistic Regression', 1, 1, 1, 1, 1, 0, 1 UNION ALL SELECT 2, 'SVM', 1, 1, 1, 1, 1, 0, NULL"""
+SQL["compare_regression"] = """
+SELECT 0 AS ordinal, 'Random Forest' AS model, 0.0::DOUBLE AS mse, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS rmse,
+       1.0::DOUBLE AS cv_mean, 0.0::DOUBLE AS cv_std
+UNION ALL SELECT 1, 'Decision Tree', 0, 0, 1, 0, 1, 0"""
+SQL["comparison_points"] = """
+SELECT model, 0.0::DOUBLE AS first_fpr, 1.0::DOUBLE AS best_tpr, 1.0::DOUBLE AS last_fpr, 1.0::DOUBLE AS last_tpr
+FROM (VALUES ('Logistic Regression'), ('Decision Tree')) AS t(model)"""
+SQL["cv_scores"] = "SELECT 'Logistic Regression' AS model, 1.0::DOUBLE AS cv_mean, 0.0::DOUBLE AS cv_std"
+SQL["rfe"] = "SELECT 'gap' AS feature, 1 AS ranking"
+SQL["grid_search"] = _union([
+    f"SELECT '[(''C'', {c}), (''elastic_net'', {e})]' AS params, 1.0::DOUBLE AS mean_score, 0.0::DOUBLE AS std_score, "
+    f"{'true' if (c, e) == (0.1, 1.0) else 'false'} AS best" for c in (0.1, 1.0, 10.0) for e in (1.0, 0.0)])
+SQL["random_search"] = """SELECT 4::BIGINT AS n_drawn, 4::BIGINT AS n_different, 1::BIGINT AS n_best,
+       1.0::DOUBLE AS least_score"""
+SQL["quick_preview"] = "SELECT 'Accuracy' AS metric, 1.0::DOUBLE AS value UNION ALL SELECT 'R²', 1.0"
+SQL["forest_importance"] = "SELECT 'gap' AS first, 1.0::DOUBLE AS total"
+SQL["model_importance"] = "SELECT 'gap' AS feature, 3.0::DOUBLE AS importance UNION ALL SELECT 'noise', 2.0"
+SQL["model_coefficients"] = "SELECT 'gap' AS feature, 3.0::DOUBLE AS value UNION ALL SELECT 'noise', -2.0"
+SQL["recommend_regression"] = "WITH " + REG_PRED + """,
+e AS (SELECT k, s, avg((label - prediction - s) ^ 2) AS mse FROM rp, (VALUES (0, 0.0), (1, -2.0), (2, 5.0)) AS v(k, s) GROUP BY k, s),
+b AS (SELECT 'Shift ' || s::DOUBLE::VARCHAR AS m FROM e ORDER BY mse, k LIMIT 1)
+SELECT m AS best_r2, m AS best_rmse, m AS best_cv, m AS recommended FROM b"""
+
+SQL["correlation_wide"] = f"""
+WITH l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT 'e' || a.i AS col_x, 'e' || b.i AS col_y, CASE WHEN a.i = b.i THEN 1.0 ELSE {R('corr(a.x, b.x)')} END AS corr
+FROM l a JOIN l b USING (vec_id) GROUP BY a.i, b.i"""
+SQL["knn_rings"] = SQL["knn_classify"]
+
+
+def _ttest(table: str, a: str, b: str) -> str:
+    """The pooled test with its tail by Simpson's rule over 20,000 steps."""
+    return f"""
+SELECT '{a}' AS col_a, '{b}' AS col_b, n_a, n_b, {R('mean_a')} AS mean_a, {R('mean_b')} AS mean_b, {R('t')} AS t_stat, dof,
+       {R("1 - 2 * (abs(t) / 20000 / 3) * (SELECT sum((CASE WHEN g.i IN (0, 20000) THEN 1 WHEN g.i % 2 = 1 THEN 4 ELSE 2 END) "
+          "* exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0) - 0.5 * ln(dof * pi()) "
+          "- (dof + 1) / 2.0 * ln(1 + (abs(t) * g.i / 20000) ^ 2 / dof))) FROM range(0, 20001) AS g(i))")} AS p_value
+FROM (SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / dof * (1.0 / n_a + 1.0 / n_b)) AS t FROM (
+  SELECT count({a}) AS n_a, count({b}) AS n_b, avg({a}) AS mean_a, avg({b}) AS mean_b, var_samp({a}) AS v_a,
+         var_samp({b}) AS v_b, count({a}) + count({b}) - 2 AS dof FROM {table}))"""
+
+
+SQL["ttest_pvalue"] = "WITH ev AS (SELECT CASE WHEN event_id % 2 = 0 THEN value END AS even, " \
+    "CASE WHEN event_id % 2 = 1 THEN value END AS odd FROM events)" + _union(
+        [_ttest("lineitem", "l_discount", "l_tax"), _ttest("ev", "even", "odd")])
+
+_LL = (f"ln(prior) - 0.5 * ({' + '.join(f'ln(2 * pi() * (v_{c} + eps))' for c in _E)}) "
+       f"- ({' + '.join(f'(te.{c} - m_{c}) ^ 2 / (2 * (v_{c} + eps))' for c in _E)})")
+_STATS = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _E)
+_EPS = f"1e-9 * greatest({', '.join(f'var_pop({c})' for c in _E)})"
+SQL["batch_predict"] = "WITH " + EMB_SPLIT + f""",
+eps AS (SELECT {_EPS} AS eps FROM tr),
+cs AS (SELECT ring AS c, count(*) * 1.0 / (SELECT count(*) FROM tr) AS prior, {_STATS} FROM tr GROUP BY ring),
+ll AS (SELECT te.vec_id, cs.c, {_LL} AS ll FROM te, cs, eps),
+pv AS (SELECT vec_id, max(ll) FILTER (WHERE c = 0) AS a, max(ll) FILTER (WHERE c = 1) AS b FROM ll GROUP BY vec_id)
+SELECT vec_id, CASE WHEN b > a THEN 1 ELSE 0 END AS "Predictions", {R('1 / (1 + exp(b - a))')} AS "Probability_Class_0",
+       {R('1 / (1 + exp(a - b))')} AS "Probability_Class_1" FROM pv"""
+SQL["cv_folds"] = "WITH " + EMB + f""",
+n AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 7))::BIGINT,
+                                   CAST(vec_id AS VARCHAR)) AS r, count(*) OVER (PARTITION BY ring) AS m FROM emb),
+s AS (SELECT *, (r > m // 5)::INT + (r > m * 2 // 5)::INT + (r > m * 3 // 5)::INT + (r > m * 4 // 5)::INT AS fold FROM n),
+f AS (SELECT unnest(range(5)) AS f),
+tr AS (SELECT s.*, f.f FROM s, f WHERE s.fold <> f.f),
+eps AS (SELECT f, {_EPS} AS eps FROM tr GROUP BY f),
+cs AS (SELECT f, ring AS c, count(*) * 1.0 / (SELECT count(*) FROM tr t WHERE t.f = tr.f) AS prior, {_STATS} FROM tr GROUP BY f, ring),
+ll AS (SELECT te.vec_id, te.ring, cs.f, cs.c, {_LL} AS ll FROM s te JOIN cs ON te.fold = cs.f JOIN eps ON eps.f = cs.f),
+pr AS (SELECT f, ring, c, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, c) AS k FROM ll),
+sc AS (SELECT f, avg(CASE WHEN ring = c THEN 1.0 ELSE 0.0 END) AS score FROM pr WHERE k = 1 GROUP BY f)
+SELECT 'Fold ' || (f + 1) AS fold, {R('score')} AS score FROM sc
+UNION ALL SELECT 'mean', {R('avg(score)')} FROM sc UNION ALL SELECT 'std', {R('stddev_pop(score)')} FROM sc
+UNION ALL SELECT 'max', {R('max(score)')} FROM sc"""
+SQL["naive_bayes_table"] = """
+WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS x, o_custkey // 5 AS y FROM orders),
+eps AS (SELECT 1e-9 * var_pop(x) AS eps FROM o),
+cs AS (SELECT y, count(*) * 1.0 / (SELECT count(*) FROM o) AS prior, avg(x) AS m, greatest(var_pop(x) + any_value(eps), 1e-300) AS v
+       FROM o, eps GROUP BY y),
+ll AS (SELECT o_orderkey, cs.y, ln(prior) - 0.5 * ln(2 * pi() * v) - (x - m) ^ 2 / (2 * v) AS ll FROM o, cs)
+SELECT o_orderkey, y::BIGINT AS prediction FROM ll
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY ll DESC, y) = 1"""
+
+SQL["impute_by_column"] = "WITH " + EVENTS_NULLS + f""",
+m AS (SELECT quantile_cont(value, 0.5) AS med FROM events_n)
+SELECT event_id, coalesce(event_type, 'none') AS event_type, {R('coalesce(value, med)')} AS value, user_id
+FROM events_n, m WHERE user_id IS NOT NULL"""
+SQL["impute_drop"] = "WITH " + EVENTS_NULLS + f"""
+SELECT event_id, event_type, {R('value')} AS value FROM events_n WHERE event_type IS NOT NULL AND value IS NOT NULL"""
+SQL["append_by_name"] = f"""
+SELECT c_custkey AS key, c_name AS name, {R('c_acctbal')} AS balance, c_mktsegment AS segment, NULL::INTEGER AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_name, {R('s_acctbal')}, NULL, s_nationkey FROM supplier"""

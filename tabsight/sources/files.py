@@ -84,6 +84,10 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+#: Write options that keep microseconds (Spark's default drops them).
+MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, na_tokens=NA_TOKENS,
              infer: bool = True, multi_line: bool | None = None, **options) -> DataFrame:
     """CSV source (S1): header row, NA tokens -> NULL, inferred types.
@@ -116,8 +120,9 @@ def _looks_like_array(spark: SparkSession, path: str) -> bool:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV sink (S5): header, one file per partition."""
-    df.write.mode(mode).options(header="true", **_CSV_QUOTES).csv(path)
+    """CSV sink (S5): header, one file per partition, datetimes to the
+    microsecond."""
+    df.write.mode(mode).options(header="true", **_CSV_QUOTES, **MICROSECONDS).csv(path)
     return path
 
 
