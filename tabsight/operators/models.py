@@ -341,9 +341,11 @@ class GaussianNBTable(FittedModel):
                   .select("__id", "block", F.array_max("s").alias("best"), F.transform("s", lambda e: e["ll"]).alias("ll")))
         per_row = scored.groupBy("__id").agg(F.max("best").alias("best"), F.sort_array(F.collect_list(F.struct("block", "ll"))).alias("parts"))
         ex = F.transform(F.flatten(F.transform("parts", lambda p: p["ll"])), lambda v: F.exp(v - F.col("best.ll")))
-        total = F.aggregate("ex", F.lit(0.0), lambda a, b: a + b)
+        # the sum is bound to a lambda variable, so that it is taken once and not per class
+        both = F.array(F.struct(F.col("ex").alias("ex"), F.aggregate("ex", F.lit(0.0), lambda a, b: a + b).alias("total")))
+        share = F.transform(both, lambda e: F.transform(e["ex"], lambda v: v / e["total"]))[0]
         found = per_row.select("__id", F.col("best.value").alias("prediction"), ex.alias("ex")).select(
-            F.col("__id").alias("__of"), "prediction", F.transform("ex", lambda v: v / total).alias("probability"))
+            F.col("__id").alias("__of"), "prediction", share.alias("probability"))
         return rows.join(found, rows["__id"] == found["__of"], "left").select(*[col(c) for c in df.columns], "prediction", "probability")
 
     def _meta(self):
