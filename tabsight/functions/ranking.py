@@ -48,6 +48,10 @@ def running_sum(df: DataFrame, group: str | None, order: list[str], value, out,
     group_of = F.col(group).cast("string") if group else F.lit("")
     rows = keep(df.select("*", F.coalesce(group_of, F.lit("\x00null")).alias("__g")), "rows")
     n = partitions or max(1, -(-rows.count() // RANGE_ROWS))
+    if n == 1:  # one range: counted, so a window by group holds few rows
+        w = Window.partitionBy("__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns],
+                           *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(o) for v, o in zip(values, outs)])
     kinds = ["double" if df.schema[v].dataType.typeName() in ("double", "float") else "long" for v in values]
     local = [f"__local{i}" for i in range(len(values))]
 
