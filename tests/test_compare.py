@@ -196,3 +196,23 @@ def test_both_forms_of_naive_bayes_agree(data):
     table = M.GaussianNBTable.fit(data, ["x", "z"], "g").transform(data).select("k", "prediction", "probability").orderBy("k").collect()
     for a, b in zip(few, table):
         assert a["prediction"] == b["prediction"] and a["probability"] == pytest.approx(b["probability"], rel=1e-9)
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_random_features_spread_over_partitions(spark, data, monkeypatch, regression):
+    # one partition of narrow rows must not become one partition of wide ones
+    seen = []
+    kind = M.LinearRegression if regression else M.LinearSVC
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, df, *a: (seen.append(df.groupBy(F.spark_partition_id()).count().agg(
+        F.max("count")).first()[0]), fit(self, df, *a))[1])
+    monkeypatch.setattr(M, "SPREAD_BYTES", 16 * 128 * 8)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        one = data.coalesce(1)
+        m = M.svr_rbf(one, ["x", "z"], "r") if regression else M.svm_rbf(one, ["x", "z"], "y")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen and max(seen) < 80 and m.transform(data).count() == 160
