@@ -11,10 +11,12 @@ Python standard library (zip + XML), no driver-side parsing.
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -135,6 +137,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
 
 
 # ------------------------------------------------------------------ xlsx
+#: Rows of a written workbook (a sheet may hold 1,048,576), and of a parsed batch.
+WORKBOOK_ROWS, PARSED_ROWS = 50_000, 5_000
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -146,15 +150,16 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _first_sheet_rows(data: bytes) -> list[list]:
-    """Cell values (as text) of the first worksheet of an xlsx file."""
+def _first_sheet_rows(data: bytes) -> Iterator[list]:
+    """Cell values (as text) of the first worksheet of an xlsx file, row by
+    row: the sheet is never held as a tree."""
+    m = f"{{{_NS['m']}}}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in root.findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = ["".join(t.text or "" for t in si.iter(f"{m}t")) for si in _elements(f, f"{m}si")]
         sheets = sorted(n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n))
         wb = ET.fromstring(z.read("xl/workbook.xml")) if "xl/workbook.xml" in names else None
         first = sheets[0]
@@ -166,25 +171,37 @@ def _first_sheet_rows(data: bytes) -> list[list]:
                 if rel.get("Id") == rid:
                     target = rel.get("Target").lstrip("/")
                     first = target if target.startswith("xl/") else "xl/" + target
-        root = ET.fromstring(z.read(first))
-    rows = []
-    for row in root.iter(f"{{{_NS['m']}}}row"):
-        vals: dict = {}
-        for c in row.findall("m:c", _NS):
-            t = c.get("t")
-            v = c.find("m:v", _NS)
-            if t == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            elif t == "b" and v is not None:
-                val = "true" if v.text == "1" else "false"
-            else:
-                val = v.text if v is not None else None
-            vals[_col_index(c.get("r"))] = val
-        width = max(vals) + 1 if vals else 0
-        rows.append([vals.get(i) for i in range(width)])
-    return rows
+        with z.open(first) as f:
+            for row in _elements(f, f"{m}row"):
+                vals: dict = {}
+                for c in row.findall("m:c", _NS):
+                    t = c.get("t")
+                    v = c.find("m:v", _NS)
+                    if t == "s" and v is not None:
+                        val = shared[int(v.text)]
+                    elif t == "inlineStr":
+                        val = "".join(x.text or "" for x in c.iter(f"{m}t"))
+                    elif t == "b" and v is not None:
+                        val = "true" if v.text == "1" else "false"
+                    else:
+                        val = v.text if v is not None else None
+                    vals[_col_index(c.get("r"))] = val
+                width = max(vals) + 1 if vals else 0
+                yield [vals.get(i) for i in range(width)]
+
+
+def _elements(file, tag: str) -> Iterator[ET.Element]:
+    """The elements of this tag; what is read is given up at once."""
+    held: list = []
+    for event, e in ET.iterparse(file, events=("start", "end")):
+        if event == "start":
+            held.append(e)
+            continue
+        held.pop()
+        if e.tag == tag:
+            yield e
+            if held:
+                held[-1].clear()
 
 
 def read_workbooks(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
@@ -196,8 +213,8 @@ def read_workbooks(spark: SparkSession, path: str, infer: bool = True) -> DataFr
     def header_of(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                first = _first_sheet_rows(content)[:1]
-                yield pd.DataFrame({"h": [[None if v is None else str(v) for v in (first[0] if first else [])]]})
+                first = next(_first_sheet_rows(content), [])
+                yield pd.DataFrame({"h": [[None if v is None else str(v) for v in first]]})
     head = files.orderBy("path").limit(1).select("content").mapInPandas(header_of, "h array<string>").first()
     if head is None:
         return spark.createDataFrame([], "_empty string")
@@ -207,9 +224,9 @@ def read_workbooks(spark: SparkSession, path: str, infer: bool = True) -> DataFr
     def parse(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                rows = _first_sheet_rows(content)[1:]
-                fixed = [(r + [None] * len(header))[:len(header)] for r in rows]
-                yield pd.DataFrame(fixed, columns=header, dtype=object)
+                rows = itertools.islice(_first_sheet_rows(content), 1, None)
+                while some := [(r + [None] * len(header))[:len(header)] for r in itertools.islice(rows, PARSED_ROWS)]:
+                    yield pd.DataFrame(some, columns=header, dtype=object)
     n = max(1, files.count())
     raw = files.select("content").repartition(n).mapInPandas(parse, schema)
     raw = canonicalize_na(raw)
@@ -238,11 +255,6 @@ def _letters(i: int) -> str:
 
 def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
     """A minimal one-sheet xlsx (inline strings)."""
-    body = []
-    for ri, r in enumerate([tuple(columns)] + list(rows), start=1):
-        body.append(f'<row r="{ri}">' + "".join(_cell(f"{_letters(ci)}{ri}", v) for ci, v in enumerate(r)) + "</row>")
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             f'<worksheet xmlns="{_NS["m"]}"><sheetData>' + "".join(body) + "</sheetData></worksheet>")
     wb = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
           f'<workbook xmlns="{_NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
           '<sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
@@ -268,23 +280,39 @@ def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
         z.writestr("_rels/.rels", root_rels)
         z.writestr("xl/workbook.xml", wb)
         z.writestr("xl/_rels/workbook.xml.rels", rels)
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                         f'<worksheet xmlns="{_NS["m"]}"><sheetData>').encode())
+            for ri, r in enumerate(itertools.chain([tuple(columns)], rows), start=1):
+                cells = "".join(_cell(f"{_letters(ci)}{ri}", v) for ci, v in enumerate(r))
+                sheet.write(f'<row r="{ri}">{cells}</row>'.encode())
+            sheet.write(b"</sheetData></worksheet>")
     return buf.getvalue()
 
 
 def write_workbooks(df: DataFrame, path: str) -> str:
-    """One workbook per partition, written by the task that holds the rows."""
+    """Workbooks of up to ``WORKBOOK_ROWS`` rows, written by the tasks that
+    hold the rows; a table of more is dealt to as many tasks first."""
     columns = df.columns
     os.makedirs(path, exist_ok=True)
+    n = -(-df.count() // WORKBOOK_ROWS)
+    if n > df.rdd.getNumPartitions():
+        df = df.repartition(n)
+
+    def save(rows):
+        name = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
+        with open(name, "wb") as fh:
+            fh.write(workbook_bytes(columns, rows))
+        return pd.DataFrame({"file": [name], "rows": [len(rows)]})
 
     def write(batches):
         rows = []
         for pdf in batches:
             rows.extend(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None))
+            while len(rows) >= WORKBOOK_ROWS:
+                yield save(rows[:WORKBOOK_ROWS])
+                rows = rows[WORKBOOK_ROWS:]
         if rows:
-            name = os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx")
-            with open(name, "wb") as fh:
-                fh.write(workbook_bytes(columns, rows))
-            yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+            yield save(rows)
     df.mapInPandas(write, "file string, rows long").collect()
     return path

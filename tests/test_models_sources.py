@@ -116,3 +116,23 @@ def test_csv_quotes_line_breaks_and_codes(spark, tmp_path):
     out = write_csv(df.coalesce(1), str(tmp_path / "out"))
     back = pd.read_csv(next((tmp_path / "out").glob("part-*.csv")))
     assert out and sorted(map(tuple, back.values.tolist())) == rows
+
+
+def test_workbooks_are_written_and_parsed_in_bounded_parts(spark, tmp_path, monkeypatch):
+    import tracemalloc
+    from types import GeneratorType
+    monkeypatch.setattr(FI, "WORKBOOK_ROWS", 40)
+    df = spark.range(0, 330, 1, 1).selectExpr("id AS k", "concat('<n&', id, '>') AS name", "IF(id % 3 = 0, NULL, id / 4) AS v")
+    path = FI.write_workbooks(df, str(tmp_path / "wb"))
+    files = list((tmp_path / "wb").glob("*.xlsx"))
+    assert len(files) >= 9  # no file holds all rows of the one partition
+    got = sorted(map(tuple, FI.read_workbooks(spark, path).collect()))
+    assert got == sorted(map(tuple, df.collect()))
+    data = FI.workbook_bytes(["a", "b"], [(i, "x" * 50) for i in range(20_000)])
+    rows = FI._first_sheet_rows(data)
+    assert isinstance(rows, GeneratorType)
+    tracemalloc.start()
+    assert sum(1 for _ in rows) == 20_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
