@@ -137,7 +137,7 @@ def ttest_pooled(df: DataFrame, a: str, b: str) -> DataFrame:
                F.avg(xb).alias("mean_b"), F.var_samp(xa).alias("var_a"), F.var_samp(xb).alias("var_b"))
     dof = F.col("n_a") + F.col("n_b") - 2
     sp2 = F.try_divide((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"), dof)
-    se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b")))
+    se = F.sqrt(sp2 * (F.try_divide(F.lit(1.0), F.col("n_a")) + F.try_divide(F.lit(1.0), F.col("n_b"))))
     return s.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "n_a", "n_b", "mean_a", "mean_b",
                     F.try_divide(F.col("mean_a") - F.col("mean_b"), se).alias("t_stat"),
                     dof.cast("bigint").alias("dof"))
