@@ -44,13 +44,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_large(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join that broadcasts neither side.  Left to itself, Spark broadcasts what
+    it takes to be small, and it sizes a table by its files: rows made by an
+    explode, or packed well in Parquet, may be a hundred times as large, and
+    the driver gathers them all."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", row_bytes: int = 32,
                rows: int | None = None) -> DataFrame:
     """Join where ``right`` is broadcast only if its counted size is under
-    ``BROADCAST_BYTES``; otherwise Spark plans a shuffled join."""
+    ``BROADCAST_BYTES``; otherwise neither side is."""
     if rows is None:
         rows = right.count()
-    return left.join(F.broadcast(right) if rows * row_bytes <= BROADCAST_BYTES else right, on, how)
+    if rows * row_bytes > BROADCAST_BYTES:
+        return join_large(left, right, on, how)
+    return left.join(F.broadcast(right), on, how)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import join_small, keep, small_batches
+from tabsight.llm.common import join_large, join_small, keep, small_batches
 from tabsight.llm.components import components
 
 WORDS = 5
@@ -123,8 +123,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(left) + len(right) - both))
             yield part.loc[np.array(good, dtype=bool), ["u", "v"]]
 
-    full = (pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), "u")
-            .join(texts.select(F.col("id").alias("v"), F.col("text").alias("tb")), "v"))
+    full = join_large(join_large(pairs, texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), "u"),
+                      texts.select(F.col("id").alias("v"), F.col("text").alias("tb")), "v")
     return full.select("u", "v", "ta", "tb").mapInPandas(check, "u long, v long")
 
 
@@ -141,12 +141,12 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: D
     the rare ones (in at most ``RARE`` sets) that both hold.  Pairs that share
     rare shingles are listed from the short lists of those; for all others the
     common shingles alone must allow the similarity."""
-    member = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+    member = join_large(shared, roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = (member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low <> high").select("key", "low"))
-    open_ = keep(member.join(mixed, "key"), "open")
-    reps = keep(open_.select("rep", "root").distinct().join(groups.select("rep", "n", "bands"), "rep"), "reps")
+    open_ = keep(join_large(member, mixed, "key"), "open")
+    reps = keep(join_large(open_.select("rep", "root").distinct(), groups.select("rep", "n", "bands"), "rep"), "reps")
 
     def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Shingles()
@@ -159,8 +159,8 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: D
     held = join_small(texts, reps.select(F.col("rep").alias("id")), "id", "left_semi", 16).mapInPandas(
         spell, "rep long, shingle long")
     few = held.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = keep(held.join(few, "shingle"), "rare")
-    known = keep(reps.join(rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
+    rare = keep(join_large(held, few, "shingle"), "rare")
+    known = keep(join_large(reps, rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
                  .select("rep", "root", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common"), "bands"), "known")
     both = known.toDF("u", "ru", "nu", "cu", "bu")
     other = known.toDF("v", "rv", "nv", "cv", "bv")
@@ -170,14 +170,15 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: D
         return (F.col("ru") != F.col("rv")) & (100 * most >= percent * (F.col("nu") + F.col("nv") - most))
 
     lists = rare.where("df > 1").select("shingle", "rep")
-    listed = (lists.toDF("shingle", "u").join(lists.toDF("shingle", "v"), "shingle").where("u < v")
-              .groupBy("u", "v").agg(F.count("*").alias("k")).join(both, "u").join(other, "v").where(allowed(F.col("k"))))
+    listed = (join_large(lists.toDF("shingle", "u"), lists.toDF("shingle", "v"), "shingle").where("u < v")
+              .groupBy("u", "v").agg(F.count("*").alias("k")))
+    listed = join_large(join_large(listed, both, "u"), other, "v").where(allowed(F.col("k")))
     # a member whose common shingles can't reach the similarity even with the
     # bucket's smallest set has no partner but listed ones; the others meet in
     # bands of set sizes, of which only neighbours are similar enough
-    able = open_.select("key", "low", "rep").join(known, "rep")
+    able = join_large(open_.select("key", "low", "rep"), known, "rep")
     least = able.groupBy("key").agg(F.min("n").alias("least"))
-    able = keep(able.join(least, "key").where(100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common")))
+    able = keep(join_large(able, least, "key").where(100 * F.col("common") >= percent * (F.col("n") + F.col("least") - F.col("common")))
                 .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(max(100 / percent, 1.01))).cast("int")), "able")
     left = able.where("root <> low").select("key", "band", F.col("rep").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"),
                                             F.col("common").alias("cu"), F.col("bands").alias("bu"))
@@ -186,7 +187,7 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, groups: D
     # a pair counts in the first table that it shares only
     same = F.filter(F.sequence(F.lit(0), F.lit(collections - 1)), lambda i: F.col("bu")[i] == F.col("bv")[i])
     once = F.transform(F.array(same), lambda m: _key(m[1], m[0], F.col("bu"), collections))[0] == F.col("key")
-    bucketed = left.join(right, ["key", "band"]).where(allowed(F.lit(0)) & once)
+    bucketed = join_large(left, right, ["key", "band"]).where(allowed(F.lit(0)) & once)
     return (listed.select("u", "v").union(bucketed.select(F.least("u", "v"), F.greatest("u", "v"))).distinct())
 
 
@@ -218,12 +219,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                for i in range(collections) for j in range(i)]))
     rows = groups.select(keys.alias("key"), "rep")
     tops = rows.groupBy("key").agg(F.min("rep").alias("top"), F.count("*").alias("size")).where("size > 1")
-    shared = keep(rows.join(tops.select("key", "top"), "key"), "buckets")
+    shared = keep(join_large(rows, tops.select("key", "top"), "key"), "buckets")
     sizes = groups.select("rep", "n")
 
     def sized(p: DataFrame) -> DataFrame:
         """Pairs whose set sizes alone allow the similarity."""
-        return (p.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
+        return (join_large(join_large(p, sizes.toDF("u", "nu"), "u"), sizes.toDF("v", "nv"), "v")
                 .where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v"))
 
     stars = shared.where("rep <> top").select(F.col("top").alias("u"), F.col("rep").alias("v")).distinct()
@@ -231,12 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = keep(shared.select(F.col("rep").alias("id")).distinct(), "wanted")
     texts = keep(join_small(source, wanted, "id", "left_semi", 16), "texts")
     edges = keep(_confirm(first, texts, percent), "links")
-    rest = _open_pairs(shared, components(edges), texts, groups, percent, collections).join(first, ["u", "v"], "left_anti")
+    rest = join_large(_open_pairs(shared, components(edges), texts, groups, percent, collections), first, ["u", "v"], "left_anti")
     more = keep(_confirm(keep(rest, "pairs"), texts, percent), "links")
     roots = components(edges.union(more)).withColumnRenamed("node", "rep")
-    home = groups.join(roots, "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
+    home = join_large(groups, roots, "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
-    return (sig.select("id", "n", "print").join(home, "print", "left").join(repeated, "id", "left")
+    found = join_large(sig.select("id", "n", "print"), home, "print", "left")
+    return (join_small(found, repeated, "id", "left", 24)
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                     F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
                     F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows")))
