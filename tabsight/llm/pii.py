@@ -37,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import BROADCAST_BYTES, fresh, join_small, keep
+from tabsight.llm.common import BROADCAST_BYTES, fresh, join_large, join_small, keep
 
 #: Kinds in order, and what each is replaced by.
 KINDS = ("email", "ip", "card", "phone")
@@ -203,7 +203,7 @@ def _revealing(found: DataFrame, texts: DataFrame, support: int, generalise: flo
         least -= 1
     entities = (rows_e.groupBy("entity").agg(*_documents()).where(F.col("n") >= least)
                 .select("entity", F.struct("n", "low", "high").alias("e")))
-    groups = keep(rows_e.join(entities, "entity").groupBy("row").agg(
+    groups = keep(join_large(rows_e, entities, "entity").groupBy("row").agg(
         F.collect_set("e").alias("es"), F.max("e.n").alias("top"), F.first("print").alias("print")), "entities")
 
     def ratio(n_both: Column, n_entity: Column, n_term: Column) -> Column:

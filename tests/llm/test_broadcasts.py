@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tabsight.llm import common, components, minhash_dedup
+from tabsight.llm import common, components, minhash_dedup, pii
 
 
 @pytest.fixture()
@@ -15,7 +15,7 @@ def plans(monkeypatch):
     def keep(df, name):
         seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
         return common.keep(df, name)
-    for module in (minhash_dedup, components):
+    for module in (minhash_dedup, components, pii):
         monkeypatch.setattr(module, "keep", keep)
     return seen
 
@@ -47,3 +47,14 @@ def test_near_duplicates_broadcast_no_exploded_keys(spark, plans):
         True: 40, False: 30}
     assert {"buckets", "pairs", "links", "edges"} <= {n for n, _ in plans}
     assert not [x for _, p in plans for x in _broadcast_explodes(p)]
+
+
+def test_pipeline_stages_broadcast_no_exploded_rows(spark, plans):
+    import corpus_pipeline as P
+    stages = dict(P.STAGES)
+    kept = stages["near-duplicates"](spark, _docs(spark), "")
+    assert kept.count() == 40
+    assert not [x for _, p in plans for x in _broadcast_explodes(p)]
+    stages["personal data"](spark, kept, "").count()
+    entities = [p for n, p in plans if n == "entities"]
+    assert entities and not [x for p in entities for x in _broadcast_explodes(p)]
